@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from vellum.llm.bpe import op1_bpe_encode_decode
+from vellum.llm.media import op5_media_columns
+from vellum.llm.token_counts import op2_prefix_token_counts
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
+    "op2_prefix_token_counts": op2_prefix_token_counts,
+    "op5_media_columns": op5_media_columns,
 }
 ORACLES: dict[str, str] = {}
