@@ -6,6 +6,7 @@ from vellum.llm.bpe import op1_bpe_encode_decode
 from vellum.llm.language_id import op8_language_id
 from vellum.llm.media import op5_media_columns
 from vellum.llm.mixing import op4_pfair_mix
+from vellum.llm.ngram_join import op7_ngram_jaccard
 from vellum.llm.sharding import op6_kd_sharding
 from vellum.llm.token_counts import op2_prefix_token_counts
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_pfair_mix": op4_pfair_mix,
     "op5_media_columns": op5_media_columns,
     "op6_kd_sharding": op6_kd_sharding,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_language_id": op8_language_id,
 }
 ORACLES: dict[str, str] = {}
