@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vellum.llm.bpe import op1_bpe_encode_decode
+from vellum.llm.hnsw import op3_hnsw_search
 from vellum.llm.language_id import op8_language_id
 from vellum.llm.media import op5_media_columns
 from vellum.llm.mixing import op4_pfair_mix
@@ -13,6 +14,7 @@ from vellum.llm.token_counts import op2_prefix_token_counts
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_prefix_token_counts": op2_prefix_token_counts,
+    "op3_hnsw_search": op3_hnsw_search,
     "op4_pfair_mix": op4_pfair_mix,
     "op5_media_columns": op5_media_columns,
     "op6_kd_sharding": op6_kd_sharding,
