@@ -207,7 +207,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
     once = asked.dropDuplicates(["id", "v"])
     dealt = once.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks))).groupBy("dim", "block").applyInArrow(packed, "qdim int, block long, qids binary, qv binary")
     sent = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to")).withColumn("part", F.floor(F.col("block") / PART_BLOCKS))
-    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // PART_BLOCKS))).cast("long"))
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((blocks - 1) // PART_BLOCKS).cast("long"))))
 
     def answers(shard: pa.Table, asked: pa.Table) -> pa.Table:
         found: list = []
