@@ -5,6 +5,8 @@ from __future__ import annotations
 from vellum.llm.bpe import op1_bpe_encode_decode
 from vellum.llm.hnsw import op3_hnsw_search
 from vellum.llm.language_id import op8_language_id
+from vellum.llm.licenses import op9_license_scan
+from vellum.llm.lm_scoring import op10_lm_scoring
 from vellum.llm.media import op5_media_columns
 from vellum.llm.mixing import op4_pfair_mix
 from vellum.llm.ngram_join import op7_ngram_jaccard
@@ -20,5 +22,7 @@ QUERIES = {
     "op6_kd_sharding": op6_kd_sharding,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {}
