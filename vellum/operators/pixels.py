@@ -142,23 +142,40 @@ def dilate(mask: np.ndarray, size: int, border: bool = False) -> np.ndarray:
 
 
 def label(mask: np.ndarray) -> np.ndarray:
-    """Labels 1, 2, ... of the 8-connected components in reading order of their first pixel; 0 elsewhere."""
+    """Labels 1, 2, ... of the 8-connected components in reading order of their first pixel; 0 elsewhere.
+
+    Runs of each row are joined with the runs they touch in the row above.
+    """
     h, w = mask.shape
-    none = h * w
-    ids = np.where(mask, np.arange(none).reshape(h, w), none)
-    while True:
-        wide = np.pad(ids, 1, constant_values=none)
-        least = np.minimum.reduce([wide[i : i + h, j : j + w] for i in range(3) for j in range(3)])
-        least = np.where(mask, least, none)
-        flat = np.append(least.ravel(), none)
-        least = np.where(mask, np.minimum(least, flat[least]), none)  # jump along the labels
-        if (least == ids).all():
-            break
-        ids = least
-    out = np.zeros((h, w), int)
-    roots = np.unique(ids[mask])
-    out[mask] = np.searchsorted(roots, ids[mask]) + 1
-    return out
+    edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edges == 1)
+    stop = np.nonzero(edges == -1)[1]
+    parent = list(range(len(row)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    first = np.searchsorted(row, np.arange(h + 1)).tolist()
+    a, z = start.tolist(), stop.tolist()
+    for y in range(1, h):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if a[i] <= z[j] and a[j] <= z[i]:  # touching, corners included
+                x, t = find(i), find(j)
+                parent[max(x, t)] = min(x, t)
+            if z[i] <= z[j]:
+                i += 1
+            else:
+                j += 1
+    roots = np.array([find(i) for i in range(len(row))], int)
+    numbers = np.unique(roots, return_inverse=True)[1] + 1 if len(roots) else roots
+    out = np.zeros(h * w, int)
+    lengths = stop - start
+    at = np.repeat(row * w + start - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    out[at] = np.repeat(numbers, lengths)
+    return out.reshape(h, w)
 
 
 def regions(mask: np.ndarray) -> list[tuple[int, int, int, int, int, np.ndarray]]:
@@ -177,10 +194,11 @@ def find_rects(rgb: np.ndarray, bg: np.ndarray, text: np.ndarray, colours: int =
     rgb = rgb.astype(np.int16)
     explained = (np.abs(rgb - bg).sum(axis=2) < 60) | text
     rects, covered = [], np.zeros((h, w), bool)
-    free = (rgb // 32 * 32 + 16)[~explained]
+    cells = (rgb // 32)[~explained].astype(np.int32)
     min_area = int(0.002 * w * h)
-    if len(free):
-        keys, counts = np.unique(free, axis=0, return_counts=True)
+    if len(cells):
+        codes, counts = np.unique(cells[:, 0] << 6 | cells[:, 1] << 3 | cells[:, 2], return_counts=True)
+        keys = np.stack([codes >> 6, codes >> 3 & 7, codes & 7], axis=1) * 32 + 16
         for k in np.lexsort((*keys.T[::-1], -counts))[:colours]:
             if counts[k] < min_area:
                 continue

@@ -231,10 +231,10 @@ def _shown(layer):
     return layer.select("slide_idx", "item_idx", "strategy", "face", "points", F.round("in_w", 6).alias("in_w"))
 
 
-@query(f"with {ITEMS} select slide_idx, item_idx, case when item_idx % 4 <> 1 and (conf is null or conf >= 65) then 'text-replace' else 'text-layer' end as strategy, {PLACED.replace('(7.5 / 900)', 'least(13.333 / 1600, 7.5 / 900)')} from items where trim(text) <> ''")
+@query(f"with {ITEMS} select slide_idx, item_idx, case when size <= 24 and (conf is null or conf >= 65) then 'text-replace' else 'text-layer' end as strategy, {PLACED.replace('(7.5 / 900)', 'least(13.333 / 1600, 7.5 / 900)')} from items where trim(text) <> ''")
 def decomposed_layer(spark, sf_dir):
     items = text_items(spark, sf_dir)
-    return _shown(mapping.decomposed_layer(items, items.where(F.col("item_idx") % 4 == 1)))
+    return _shown(mapping.decomposed_layer(items, items.where("size > 24")))
 
 
 @query(f"with {ITEMS} select slide_idx, item_idx, case when bg is not null and (conf is null or conf >= 65) then 'text-replace' else 'text-layer' end as strategy, {PLACED.replace('(7.5 / 900)', 'least(13.333 / 1600, 7.5 / 900)')} from items where trim(text) <> ''")

@@ -56,12 +56,12 @@ def flatten_words(spark, sf_dir):
     return out.select("page_id", F.col("line_id._b").cast("long").alias("b"), F.col("line_id._l").cast("long").alias("l"), F.col("word_idx").cast("long").alias("word_idx"), F.col("word.text").alias("text"))
 
 
-@query(f"with {WORDS}, i as (select line_id, word_idx, case when word_idx % 4 <> 0 then conf end as conf from words), s as (select line_id, word_idx, case when word_idx % 3 = 0 then 'EEEEEE' end as bg, case when word_idx % 5 <> 0 then '112233' end as fg from words where word_idx % 7 <> 6) select line_id, word_idx, bg, coalesce(fg, '000000') as color, bg is not null and (conf is null or conf >= 65) as safe from i left join s using (line_id, word_idx)")
+@query(f"with {WORDS}, i as (select line_id, word_idx, case when word_idx % 4 <> 0 then conf end as conf from words), s as (select line_id, word_idx, case when word_idx % 3 = 0 then 'EEEEEE' end as bg, case when word_idx % 5 <> 0 then '112233' end as fg from words where conf >= 10) select line_id, word_idx, bg, coalesce(fg, '000000') as color, bg is not null and (conf is null or conf >= 65) as safe from i left join s using (line_id, word_idx)")
 def zip_samples(spark, sf_dir):
     w = words(spark, sf_dir)
     i = F.col("word_idx")
     items = w.select("line_id", "word_idx", F.when(i % 4 != 0, F.col("conf")).alias("conf"))
-    samples = w.where(i % 7 != 6).select("line_id", "word_idx", F.when(i % 3 == 0, "EEEEEE").alias("bg"), F.when(i % 5 != 0, "112233").alias("fg"))
+    samples = w.where("conf >= 10").select("line_id", "word_idx", F.when(i % 3 == 0, "EEEEEE").alias("bg"), F.when(i % 5 != 0, "112233").alias("fg"))
     return segments.zip_samples(items, samples, ["line_id", "word_idx"]).select("line_id", "word_idx", "bg", "color", "safe")
 
 
@@ -191,7 +191,7 @@ def decompose_pictures(spark, sf_dir):
                 out.append((slide, 160, 90, rgb.tobytes(), [240, 240, 240], bytes(90 * 160)))
             yield pd.DataFrame(out, columns=["slide_idx", "width", "height", "pixels", "bg", "text"])
 
-    parts = boxes(spark, sf_dir).where("slide_idx % 20 = 1").groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
+    parts = boxes(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
     pictures = parts.mapInPandas(draw, "slide_idx long, width int, height int, pixels binary, bg array<int>, text binary")
     return px.decompose(pictures)
 
@@ -276,11 +276,11 @@ def verify_flag(spark, sf_dir):
 
 
 def reconciled(spark, sf_dir):
-    return validation.reconcile(checked(spark, sf_dir), validation.flag_drift(drift(spark, sf_dir)).where("slide_idx % 10 <> 0"))
+    return validation.reconcile(checked(spark, sf_dir), validation.flag_drift(drift(spark, sf_dir)).where("kind <> 'other'"))
 
 
 RECON = f"""{CHECKS}, {FLAGS}, recon as (select c.slide_idx, f.diff_pct, f.tolerance, f.flagged, case when f.slide_idx is null then issues when f.flagged then list_append(issues, 'visual drift ' || coalesce(printf('%.2f', f.diff_pct), 'null') || '% (>' || printf('%.1f', cast(f.tolerance as double)) || '%)')
-  else list_filter(issues, lambda i: not regexp_matches(i, 'text collision|clipped/half-cut')) end as issues from checks c left join flagged f on f.slide_idx = c.slide_idx and f.slide_idx % 10 <> 0)"""
+  else list_filter(issues, lambda i: not regexp_matches(i, 'text collision|clipped/half-cut')) end as issues from checks c left join flagged f on f.slide_idx = c.slide_idx and f.kind <> 'other')"""
 
 
 @query(f"with {RECON} select slide_idx, array_to_string(issues, '; ') as issues, len(issues) > 0 as needs_review from recon")
@@ -317,7 +317,7 @@ def report_summary(spark, sf_dir):
     return validation.summary(_after_fix(spark, sf_dir))
 
 
-@query("select o_orderkey as slide_idx, 0 as coverage_pct, 'conversion failed: ' || o_orderpriority as issues, true as needs_review, true as failed from orders where o_orderkey % 13 = 0")
+@query("select o_orderkey as slide_idx, 0 as coverage_pct, 'conversion failed: ' || o_orderpriority as issues, true as needs_review, true as failed from orders where o_orderpriority = '1-URGENT'")
 def failure_rows(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 13 = 0").withColumnRenamed("o_orderkey", "slide_idx")
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_orderkey", "slide_idx")
     return validation.failure_rows(o, F.col("o_orderpriority")).withColumn("issues", F.array_join("issues", "; "))

@@ -157,11 +157,11 @@ def sse_frames(spark, sf_dir):
     return out.select("event_id", "frame_idx", "event.phase", "event.done")
 
 
-@query("select p_brand, p_type, n, first_part from (select p_brand, p_type, count(*) as n, min(p_partkey) as first_part from part group by all) where first_part % 5 <> 0")
+@query("select p_brand, p_type, n, first_part from (select p_brand, p_type, count(*) as n, min(p_partkey) as first_part, arg_min(p_size, p_partkey) as s from part group by all) where s >= 10")
 def ingest_memo(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     requests = part.select("p_brand", "p_type", F.col("p_partkey").alias("first_part"))
-    missing = part.where(F.col("p_partkey") % 5 == 0).select(F.col("p_partkey").alias("first_part"))
+    missing = part.where("p_size < 10").select(F.col("p_partkey").alias("first_part"))
     memo = lifecycle.ingest_memo(requests, ["p_brand", "p_type"], "first_part", missing, "first_part")
     return memo.join(part.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n")), ["p_brand", "p_type"])
 
