@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import cut, row_numbers, table
 
 DIMENSIONS = ("d_size", "d_wide", "d_hash")
-#: Digits of 16 bits; a key is a coordinate, the content hash and the id hash, of 32 bits each.
-DIGIT, KEY_BITS = 16, 96
+#: Bits of a digit; a key is a coordinate, the content hash and the id hash, of 32 bits each.
+DIGIT, KEY_BITS = 8, 96
 #: A bin of at most this share of the target bytes isn't refined any more.
 TOLERANCE = 0.001
 #: Rows numbered in one task.
@@ -53,8 +53,9 @@ def points(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
 
 def _digit(level: int) -> Column:
     """The level-th digit of the key (k1, k2, k3)."""
-    part = F.col(f"k{level // 2 + 1}")
-    return F.shiftright(part, DIGIT) if level % 2 == 0 else part.bitwiseAND((1 << DIGIT) - 1)
+    each = 32 // DIGIT
+    part = F.col(f"k{level // each + 1}")
+    return F.shiftright(part, 32 - DIGIT * (level % each + 1)).bitwiseAND((1 << DIGIT) - 1)
 
 
 def _keyed(df: DataFrame, dims: dict[int, str]) -> DataFrame:
