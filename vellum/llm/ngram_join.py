@@ -28,7 +28,7 @@ from vellum.llm.shingles import HASH_BITS, shingle_sets, signatures
 
 PERCENT = 75
 #: Documents and bytes of a batch; entries of a list compared at a time. Memory bounds, without effect on results.
-BATCH_ROWS, BATCH_BYTES, BLOCK = 8192, 1 << 24, 1024
+BATCH_ROWS, BATCH_BYTES, BLOCK = 4096, 1 << 23, 1024
 LOW = np.uint64((1 << HASH_BITS) - 1)
 
 
