@@ -6,7 +6,7 @@ import numpy as np
 
 WIDTH, HASH_BITS = 5, 48
 #: Bytes of text hashed at once; bounds memory, without effect on results.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 _random = np.random.default_rng(5_077)
 _LETTER = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
