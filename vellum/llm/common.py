@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -25,9 +26,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives lost executors."""
+    """Cut the lineage with a reliable checkpoint, which survives lost executors.
+
+    What led to the checkpoint isn't needed any more; collecting garbage lets Spark's cleaner
+    delete its shuffle files now instead of at the end of the session.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: unless the session says otherwise, a worker gets 2,000 of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "2000")
 
 
 def map_rows(df: DataFrame, columns: list, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, start: Callable[[], object] | None = None) -> DataFrame:
@@ -40,6 +56,7 @@ def map_rows(df: DataFrame, columns: list, work: Callable[[pa.RecordBatch], Iter
     from pyspark.sql.types import StructType
 
     types = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches):
         state = (start(),) if start else ()

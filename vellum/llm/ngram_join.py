@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, map_rows, table
+from vellum.llm.common import cut, map_rows, small_batches, table
 from vellum.llm.components import connected_components
 from vellum.llm.shingles import HASH_BITS, shingle_sets, signatures
 
@@ -59,6 +59,24 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
+def gathered(batches):
+    """Ids and UTF-8 texts of up to BATCH_ROWS documents and BATCH_BYTES bytes at a time."""
+    ids: list[int] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            data = (t or "").encode("utf-8", "surrogatepass")
+            if texts and (len(texts) == BATCH_ROWS or size + len(data) > BATCH_BYTES):
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(i)
+            texts.append(data)
+            size += len(data)
+    if texts:
+        yield ids, texts
+
+
 def deal(docs: DataFrame, ranges: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (bucket, batch, kind, payload): packed hash << 16 | document number; kind 1 holds ids, sizes and signatures."""
     shift = np.uint64(HASH_BITS - (ranges.bit_length() - 1))
@@ -67,28 +85,21 @@ def deal(docs: DataFrame, ranges: int, id_col: str, text_col: str) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        for whole in batches:
-            ids, texts = whole.column(0).to_numpy(zero_copy_only=False), [(t or "").encode("utf-8", "surrogatepass") for t in whole.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and upto - at < BATCH_ROWS and (upto == at or size + len(texts[upto]) <= BATCH_BYTES):
-                    size += len(texts[upto])
-                    upto += 1
-                keys, sizes = shingle_sets(texts[at:upto])
-                marks = signatures(keys, sizes)
-                first: dict[tuple, int] = {}
-                sent = np.array([first.setdefault((n, *m), i) == i and n > 0 for i, (n, m) in enumerate(zip(sizes.tolist(), marks.tolist()))], bool)
-                info = np.concatenate([ids[at:upto].astype(np.int64), sizes.astype(np.int64), marks[:, 0], marks[:, 1], sent.astype(np.int64)])
-                rows = [(ranges + number % ranges, number, 1, zstandard.compress(info.tobytes(), 1))]
-                owner = keys >> np.uint64(HASH_BITS)
-                keys = keys[sent[owner.astype(np.int64)]]
-                lists = np.sort((keys & LOW) << np.uint64(16) | keys >> np.uint64(HASH_BITS))
-                edges = np.searchsorted(lists >> np.uint64(16) >> shift, np.arange(ranges + 1, dtype=np.uint64))
-                rows += [(b, number, 0, pack(lists[edges[b] : edges[b + 1]])) for b in range(ranges) if edges[b + 1] > edges[b]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "batch", "kind", "payload"])
-                number, at = number + 1, upto
-
+        for ids, texts in gathered(batches):
+            keys, sizes = shingle_sets(texts)
+            marks = signatures(keys, sizes)
+            first: dict[tuple, int] = {}
+            sent = np.array([first.setdefault((n, *m), i) == i and n > 0 for i, (n, m) in enumerate(zip(sizes.tolist(), marks.tolist()))], bool)
+            info = np.concatenate([np.array(ids, np.int64), sizes.astype(np.int64), marks[:, 0], marks[:, 1], sent.astype(np.int64)])
+            rows = [(ranges + number % ranges, number, 1, zstandard.compress(info.tobytes(), 1))]
+            keys = keys[sent[(keys >> np.uint64(HASH_BITS)).astype(np.int64)]]
+            lists = np.sort((keys & LOW) << np.uint64(16) | keys >> np.uint64(HASH_BITS))
+            edges = np.searchsorted(lists >> np.uint64(16) >> shift, np.arange(ranges + 1, dtype=np.uint64))
+            rows += [(b, number, 0, pack(lists[edges[b] : edges[b + 1]])) for b in range(ranges) if edges[b + 1] > edges[b]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "batch", "kind", "payload"])
+            number += 1
+
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "bucket int, batch long, kind int, payload binary")
 
 
