@@ -185,10 +185,10 @@ def decompose_pictures(spark, sf_dir):
         for pdf in batches:
             out = []
             for slide, parts in zip(pdf["slide_idx"], pdf["parts"]):
-                rgb = np.full((90, 160, 3), 240, np.uint8)
+                rgb = np.full((45, 80, 3), 240, np.uint8)
                 for p in parts:
-                    rgb[p["y"] // 8 : (p["y"] + p["h"]) // 8, p["x"] // 8 : (p["x"] + p["w"]) // 8] = (p["size"] * 7 % 200, p["x"] % 200, p["y"] % 200)
-                out.append((slide, 160, 90, rgb.tobytes(), [240, 240, 240], bytes(90 * 160)))
+                    rgb[p["y"] // 16 : (p["y"] + p["h"]) // 16, p["x"] // 16 : (p["x"] + p["w"]) // 16] = (p["size"] * 7 % 200, p["x"] % 200, p["y"] % 200)
+                out.append((slide, 80, 45, rgb.tobytes(), [240, 240, 240], bytes(45 * 80)))
             yield pd.DataFrame(out, columns=["slide_idx", "width", "height", "pixels", "bg", "text"])
 
     parts = boxes(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
