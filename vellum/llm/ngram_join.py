@@ -299,6 +299,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     fewer than five words is one shingle. Rows that share an id count as one document with
     several texts. Rows with a null id link with nothing and have a null component. Repeated
     rows give repeated rows; an empty table gives an empty one; other columns are never read.
+
+    A document is known by its place in its input partition until its hashes are back, so
+    ``docs`` must give the same rows in the same order when a lost partition is read again, as
+    tables read from files do; cut the lineage of anything shuffled first.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
