@@ -113,11 +113,11 @@ def clip_inherit(spark, sf_dir):
 
 @query(
     f"""with recursive {NODES}, {PATHS}, k as (select a.leaf as node_id, bool_and(n.visible) as vis, bool_or(n.consumes and a.up > 0) as eaten from anc a join nodes n using (node_id) group by 1),
-    o as (select n.node_id, row_number() over (order by list_reverse(p.s)) - 1 as doc_order from k join nodes n using (node_id) join (select a.leaf, list(m.sibling order by a.up) as s, max(a.up) as d from anc a join nodes m using (node_id) group by 1) p on p.leaf = n.node_id where vis and not eaten)
+    o as (select n.node_id, row_number() over (partition by p.s[len(p.s)] order by list_reverse(p.s)) - 1 as doc_order from k join nodes n using (node_id) join (select a.leaf, list(m.sibling order by a.up) as s, max(a.up) as d from anc a join nodes m using (node_id) group by 1) p on p.leaf = n.node_id where vis and not eaten)
     select node_id, doc_order from o"""
 )
 def dom_order(spark, sf_dir):
-    kept = tree.skip_consumed(tree.prune(_paths(spark, sf_dir))).withColumn("slide_idx", F.lit(0))
+    kept = tree.skip_consumed(tree.prune(_paths(spark, sf_dir))).withColumn("slide_idx", F.get("path", F.lit(0))["sibling"])
     return tree.document_order(kept, "slide_idx").select("node_id", "doc_order")
 
 

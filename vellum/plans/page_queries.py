@@ -41,9 +41,9 @@ def page_split(spark, sf_dir):
     return out.select("blob_id", F.col("slide_idx").cast("long").alias("slide_idx"), "name", "title", F.length("html").cast("long").alias("n_chars"))
 
 
-@query(f"with {SPLIT} select blob_id, slide_idx, 'slide-' || case when k < 10 then '0' else '' end || k as name from (select blob_id, slide_idx, row_number() over (order by blob_id, slide_idx) as k from parts)")
+@query(f"with {SPLIT} select blob_id, slide_idx, 'slide-' || case when k < 10 then '0' else '' end || k as name from (select blob_id, slide_idx, row_number() over (partition by blob_id // 10 order by blob_id, slide_idx) as k from parts)")
 def string_slides(spark, sf_dir):
-    parts = split.split_documents(blobs(spark, sf_dir), "content", "path").withColumn("job", F.lit(1))
+    parts = split.split_documents(blobs(spark, sf_dir), "content", "path").withColumn("job", F.floor(F.col("blob_id") / 10))
     return split.number_documents(parts, ["blob_id", "slide_idx"], ["job"]).select("blob_id", F.col("slide_idx").cast("long").alias("slide_idx"), "name")
 
 
