@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.functions import color, media, text
+from vellum.functions import color, media
 from vellum.operators import lifecycle
 from vellum.plans.fixtures import table
 from vellum.plans.registry import query
