@@ -4,7 +4,6 @@ import hashlib
 import zlib
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from vellum.llm import language_id, media
 

@@ -4,7 +4,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from vellum.llm import mixing, sharding
 
