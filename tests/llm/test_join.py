@@ -42,6 +42,17 @@ def test_documents(spark, sf):
     assert {tuple(r) for r in ngram_join.op7_ngram_jaccard(spark, sf).collect()} == brute(rows)
 
 
+def test_documents_against_sql(spark, sf):
+    import duckdb
+
+    from vellum.llm.registry import ORACLES
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.execute(ORACLES["op7_ngram_jaccard"]).fetchall()
+    assert {tuple(r) for r in ngram_join.op7_ngram_jaccard(spark, sf).collect()} == set(want)
+
+
 def test_odd_documents(odd, none):
     got = ngram_join.jaccard_components(odd).collect()
     assert len(got) == odd.count()

@@ -25,4 +25,13 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES: dict[str, str] = {}
+#: All pairs that share a shingle are counted, and links are followed from every document; fine for small tables.
+ORACLES: dict[str, str] = {
+    "op7_ngram_jaccard": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+    sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as g from w),
+    s as (select doc_id, len(g) as n, unnest(g) as g from sets),
+    pairs as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+    links as (select x, y from pairs where 100 * c >= 75 * (nx + ny - c)), edges as (select x, y from links union all select y, x from links),
+    reach as (select doc_id as node, doc_id as root from documents union select e.y, r.root from reach r join edges e on e.x = r.node)
+    select doc_id, cast(len(g) as bigint) as n_shingles, c as component_id from sets join (select node, min(root) as c from reach group by node) m on m.node = doc_id""",
+}
