@@ -1,6 +1,7 @@
 """Operators 9 and 10."""
 
 import math
+import random
 
 import numpy as np
 
@@ -25,6 +26,17 @@ def test_differences_are_exact():
     assert scanner.scan("All rights are not reserved here, under no license at all.") == []
 
 
+def test_notices_in_long_prose():
+    """Common words of the templates ("all", "under", "general") all through the text hide no notice."""
+    r = random.Random(5)
+    prose = lambda n: " ".join(r.choice("all of the rights under general rule and version wall small fall call river stone house north light water garden winter".split()) + r.choice(["", "", ",", "."]) for _ in range(n))
+    scanner = licenses.Scanner(TEMPLATES)
+    for size in (500, 3000, 30000):
+        for name, wording in TEMPLATES.items():
+            text = prose(size) + " | " + wording + " | " + prose(size)
+            assert [(f[0], f[4:]) for f in scanner.scan(text)] == [(name, (0, 0))], (size, name)
+
+
 def test_lines_of_documents(docs):
     lines = {"Licensed under the Apache License, Version 2.0.": "apache-2.0-notice", "Released under the MIT License.": "mit-notice", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0-notice", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-notice", "All rights reserved.": "all-rights-reserved"}
     got = {(r.doc_id, r.license) for r in licenses.scan_licenses(docs).collect()}

@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
-Text around words that belong to a template is a candidate block. It is compressed with
-zstandard once plainly and once with each template as raw dictionary; templates are ranked
-by the bytes saved, and a winner is confirmed by the exact differences in wording.
+Every template of which enough words occur in a text is looked for in the whole text by its exact
+differences in wording. The block around each place found is compressed with zstandard once
+plainly and once with the template as raw dictionary, with the same parameters; among
+wordings of one length that claim the same words, the one that saves most bytes wins.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -33,77 +35,85 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
 }
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
-#: Letters kept around anchors; share of a template's words that may be missing, and of further words in between.
+#: Letters of a block around a finding; share of a template's words that may be missing, and of further words in between.
 AROUND, MISSING, EXTRA = 700, 0.10, 0.20
-#: Templates that make a block larger by more than these bytes aren't candidates (a short notice may save nothing).
-LOSS = 3
-ANCHORS_EACH = 3
+#: Tables of both compressors; without these, zstandard takes other ones where there is a dictionary.
+PARAMETERS = zstandard.ZstdCompressionParameters.from_level(3, source_size=1 << 16)
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.words = {name: [w.lower() for w in WORD.findall(text)] for name, text in templates.items()}
-        self.anchors = sorted({w for words in self.words.values() for w in sorted(set(words), key=lambda w: (-len(w), w))[:ANCHORS_EACH]})
-        self.find = re.compile("|".join(map(re.escape, self.anchors)))
-        self.plain = zstandard.ZstdCompressor(level=3)
-        self.given = {name: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in templates.items()}
-
-    def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Spans around anchors; anchors near each other share one."""
-        low = text.lower()
-        if len(low) != len(text):  # letters that grow in lower case would shift the offsets
-            low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
-        if not any(a in low for a in self.anchors):
-            return []
-        out: list[tuple[int, int]] = []
-        for m in self.find.finditer(low):
-            a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], b)
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
+        self.rarest = {name: sorted(c, key=lambda w: (-len(w), w)) for name, c in self.counts.items()}
+        self.lengths = sorted({len(w) for w in self.words.values()}, reverse=True)
+        self.plain = zstandard.ZstdCompressor(compression_params=PARAMETERS)
+        self.given = {name: zstandard.ZstdCompressor(compression_params=PARAMETERS, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in templates.items()}
+
+    def candidates(self, text: str) -> list[str]:
+        """Templates that may stand in the text: no more of their different words are absent than may be missing."""
+        low, there, out = text.lower(), {}, []
+        for name, words in self.rarest.items():
+            left = int(MISSING * len(self.words[name]))
+            for w in words:
+                if w not in there:
+                    there[w] = w in low
+                left -= not there[w]
+                if left < 0:
+                    break
             else:
-                out.append((a, b))
+                out.append(name)
         return out
 
-    def ranked(self, block: str) -> list[tuple[int, str]]:
-        """Bytes saved and template, best first; templates that cost more than LOSS bytes are left out."""
-        data = block.encode("utf-8", "surrogatepass")
-        size = len(self.plain.compress(data))
-        saved = [(size - len(c.compress(data)), name) for name, c in self.given.items()]
-        return sorted(((s, n) for s, n in saved if s >= -LOSS), key=lambda x: (-x[0], x[1]))
+    def saved(self, name: str, text: str, start: int, stop: int) -> int:
+        """Bytes that the template saves on the block around a finding."""
+        data = text[max(0, start - AROUND) : stop + AROUND].encode("utf-8", "surrogatepass")
+        return len(self.plain.compress(data)) - len(self.given[name].compress(data))
 
     def differences(self, name: str, words: list[str], free: list[bool]) -> list[tuple[int, int, int, int]]:
         """All places (first word, end, missing, extra) where the wording is confirmed, among free words."""
-        wanted, out = self.words[name], []
+        wanted, counts, out = self.words[name], self.counts[name], []
         slack = int(EXTRA * len(wanted))
-        at = 0
-        while at < len(words):
+        leads = set(wanted[: int(MISSING * len(wanted)) + 1])
+
+        def place(at: int) -> tuple[int, int, int, int]:
+            same = [m for m in SequenceMatcher(None, wanted, words[at : at + len(wanted) + slack], autojunk=False).get_matching_blocks() if m.size]
+            matched, start, end = sum(m.size for m in same), same[0].b, same[-1].b + same[-1].size
+            return at + start, at + end, len(wanted) - matched, end - start - matched
+
+        after = 0
+        for at in [i for i, w in enumerate(words) if w in leads]:
+            if at < after or not free[at]:
+                continue
             window = words[at : at + len(wanted) + slack]
-            lead = next((i for i, w in enumerate(wanted[: int(MISSING * len(wanted)) + 1]) if window[0] == w), None)
-            if lead is not None and free[at]:
-                same = [m for m in SequenceMatcher(None, wanted, window, autojunk=False).get_matching_blocks() if m.size]
-                matched = sum(m.size for m in same)
-                missing = len(wanted) - matched
-                end = same[-1].b + same[-1].size
-                extra = end - matched
-                if missing <= MISSING * len(wanted) and extra <= slack and all(free[at : at + end]):
-                    out.append((at, at + end, missing, extra))
-                    at += end
-                    continue
-            at += 1
+            there = Counter(w for w in window if w in counts)
+            if len(wanted) - sum(min(n, counts[w]) for w, n in there.items()) > MISSING * len(wanted):
+                continue  # too few words whatever their order
+            best = place(at)
+            if best[0] > at:  # words before the wording aren't part of it
+                best = min(best, place(best[0]), key=lambda p: p[2] + p[3])
+            start, end, missing, extra = best
+            if missing <= MISSING * len(wanted) and extra <= slack and all(free[start:end]):
+                out.append(best)
+                after = end
         return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, int, int]]:
         """Findings (license, start, stop, saved, missing, extra), by place; longer wordings win over parts of them."""
+        names = self.candidates(text)
+        if not names:
+            return []
+        spans = [m.span() for m in WORD.finditer(text)]
+        words = [text[x:y].lower() for x, y in spans]
+        free = [True] * len(words)
         out = []
-        for a, b in self.blocks(text):
-            block = text[a:b]
-            spans = [m.span() for m in WORD.finditer(block)]
-            words = [block[x:y].lower() for x, y in spans]
-            free = [True] * len(words)
-            for saved, name in sorted(self.ranked(block), key=lambda r: (-len(self.words[r[1]]), -r[0], r[1])):
-                for i, j, missing, extra in self.differences(name, words, free):
-                    free[i:j] = [False] * (j - i)
-                    out.append((name, a + spans[i][0], a + spans[j - 1][1], saved, missing, extra))
+        for length in self.lengths:
+            group = [n for n in names if len(self.words[n]) == length]
+            while found := [(-self.saved(n, text, spans[i][0], spans[j - 1][1]), n, i, j, missing, extra) for n in group for i, j, missing, extra in self.differences(n, words, free)]:
+                for less, name, i, j, missing, extra in sorted(found):
+                    if all(free[i:j]):
+                        free[i:j] = [False] * (j - i)
+                        out.append((name, spans[i][0], spans[j - 1][1], -less, missing, extra))
         return sorted(out, key=lambda f: (f[1], f[0]))
 
 
@@ -111,7 +121,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     """License wordings in whole texts.
 
     Returns a row for each finding: id, license, start and stop (character offsets), saved_bytes
-    (compressed size of the block without the template minus with it), missing_words and
+    (compressed size of the finding and the AROUND letters beside it, without the template minus with it), missing_words and
     extra_words (0 and 0: the exact wording). Null and empty texts give no rows; repeated rows
     give repeated findings; equal savings are ranked by name; an empty table gives an empty
     one; other columns are never read.
