@@ -75,6 +75,17 @@ def test_scores_match_a_plain_sum_and_training_helps(docs, odd):
     assert mean(trained) > mean(untrained)
 
 
+def test_every_word_is_trained_on(spark):
+    """All places of a document are learned, not one of every sixteen."""
+    rows = [(i, " ".join(f"x{j}" for j in range(17))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    frequent, trained = lm_scoring.fit(docs)
+    untrained = lm_scoring.fit(docs, rounds=0)[1]
+    codes = lm_scoring.Classes(frequent)(rows[0][1])
+    logs = [lm_scoring.log_probabilities(n, lm_scoring.windows(codes), codes) for n in (trained, untrained)]
+    assert (logs[0] > logs[1]).all()
+
+
 def test_large_weights_do_not_overflow():
     net = lm_scoring.start(np.ones(lm_scoring.CLASSES))
     net["out"] = net["out"] * 2000

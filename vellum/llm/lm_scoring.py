@@ -6,9 +6,9 @@ it on both sides: the embeddings of its neighbours, by place, add up to a hidden
 a softmax gives the class. A document's score is the sum of the log-probabilities of its
 words, each seen from both sides with the word itself masked.
 
-Class counts cover every document. Every document also gives training windows, a fixed
-share of its words: each round, each partition trains its own copy of the network, and the
-copies are averaged by the windows they saw.
+Class counts cover every document. Every word of every document is a training target once: the
+rounds deal a document's words among them. Each round, each partition trains its own copy
+of the network, and the copies are averaged by the windows they saw.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from vellum.llm.common import map_rows, table
 
 #: Classes of frequent words, classes of other words by ending, words seen on each side, hidden units.
 FREQUENT, ENDINGS, SIDE, HIDDEN = 255, 64, 2, 24
-#: Every STRIDE-th word of each document is a training target; rounds of averaging; step size; windows in a step.
-STRIDE, ROUNDS, RATE, WINDOWS = 16, 2, 0.5, 256
+#: Rounds of averaging; step size; windows in a step.
+ROUNDS, RATE, WINDOWS = 2, 0.5, 256
 #: Words and documents taken at once, rows of a softmax; memory bounds, without effect on results.
 BLOCK, DOCUMENTS, ROWS = 1 << 15, 512, 1024
 EDGE, SEED = 0, 11
@@ -117,8 +117,8 @@ def train(net: dict, around: np.ndarray, target: np.ndarray) -> None:
         back = (p @ net["out"].T) * (1 - h * h)
         net["out"] -= h.T @ p
         net["bias"] -= p.sum(axis=0)
-        for j in range(2 * SIDE):
-            np.subtract.at(net["embed"][j], x[:, j], back)
+        at = (x + np.arange(2 * SIDE) * CLASSES)[:, :, None] * HIDDEN + np.arange(HIDDEN)
+        net["embed"] -= np.bincount(at.ravel(), np.broadcast_to(back[:, None], at.shape).ravel(), net["embed"].size).reshape(net["embed"].shape)
 
 
 def flat(net: dict) -> np.ndarray:
@@ -130,26 +130,34 @@ def from_flat(values: np.ndarray) -> dict[str, np.ndarray]:
     return {"embed": values[:a].reshape(2 * SIDE, CLASSES, HIDDEN).astype(np.float32), "out": values[a : a + b].reshape(HIDDEN, CLASSES).astype(np.float32), "bias": values[a + b :].astype(np.float32)}
 
 
-def train_round(docs: DataFrame, text_col: str, frequent: list[str], net: dict) -> dict:
-    """Train a copy of the network in each partition, on windows of all its documents, and average the copies."""
+def train_round(docs: DataFrame, text_col: str, frequent: list[str], net: dict, turn: int = 0, rounds: int = 1) -> dict:
+    """Train a copy of the network in each partition and average the copies.
+
+    Targets are the words ``turn``, ``turn + rounds``, ... of every document, so the rounds together take every word.
+    """
     given = flat(net)
 
     def run(batches):
         own, classes, seen = from_flat(given), Classes(frequent), 0
         xs, ys, waiting = [], [], 0
+        mix = np.random.default_rng(SEED)
+
+        def step():
+            order = mix.permutation(waiting)  # neighbouring words of a document go to different steps
+            train(own, np.concatenate(xs)[order], np.concatenate(ys)[order])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 codes = classes(text or "")
-                if len(codes):
-                    at = np.arange(len(codes) // STRIDE % min(STRIDE, len(codes)), len(codes), STRIDE)
-                    xs.append(windows(codes)[at])
-                    ys.append(codes[at])
-                    waiting += len(at)
+                if len(codes) > turn:
+                    xs.append(windows(codes)[turn::rounds])
+                    ys.append(codes[turn::rounds])
+                    waiting += len(ys[-1])
                 if waiting >= 1 << 16:
-                    train(own, np.concatenate(xs), np.concatenate(ys))
+                    step()
                     seen, xs, ys, waiting = seen + waiting, [], [], 0
         if waiting:
-            train(own, np.concatenate(xs), np.concatenate(ys))
+            step()
             seen += waiting
         if seen:
             values = flat(own) * seen
@@ -179,8 +187,8 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[
     for r in map_rows(words, ["word", "n"], class_of, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         counts[r["code"]] = r["n"]
     net = start(counts)
-    for _ in range(rounds):
-        net = train_round(docs, text_col, frequent, net)
+    for turn in range(rounds):
+        net = train_round(docs, text_col, frequent, net, turn, rounds)
     return frequent, net
 
 
