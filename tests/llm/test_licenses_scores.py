@@ -75,6 +75,40 @@ def test_scores_match_a_plain_sum_and_training_helps(docs, odd):
     assert mean(trained) > mean(untrained)
 
 
+def test_words_count_within_their_class(spark, docs, odd):
+    """A rare word swapped for another of the same ending changes the score, by the counts of both."""
+    words = lm_scoring.count_words(docs, "text").cache()
+    counts = {r.word: r.n for r in words.collect()}
+    frequent, net = lm_scoring.fit(docs, rounds=0, words=words)
+    classes = lm_scoring.Classes(frequent)
+    by_class = {}
+    for w in counts:
+        by_class.setdefault(int(classes(w)[0]), []).append(w)
+
+    total = lambda of: sum(counts[v] for v in of) + lm_scoring.SMOOTH * (len(of) + 1)
+    totals = {c: total(of) for c, of in by_class.items()}
+
+    def inside(text):
+        rare = [(w, int(classes(w)[0])) for w in text.lower().split() if w not in frequent]
+        return sum(math.log((counts.get(w, 0) + lm_scoring.SMOOTH) / totals.get(c, total([]))) for w, c in rare)
+
+    single = {w[-2:]: w for w, n in counts.items() if n == 1 and w not in frequent}
+    common = max((n, w) for w, n in counts.items() if w not in frequent and n > 1 and w[-2:] in single)[1]
+    once = single[common[-2:]]
+    texts = [(1, f"{frequent[0]} {common}"), (2, f"{frequent[0]} {once}"), (3, f"{frequent[0]} zzzqqq{common[-2:]}")]
+    got = {r.doc_id: r.log_prob for r in lm_scoring.score(spark.createDataFrame(texts, "doc_id long, text string"), frequent, net, words=words).collect()}
+    assert got[1] > got[2] > got[3]
+    for df in (docs.limit(60), odd):
+        plain = lm_scoring.score(df, frequent, net).collect()
+        full = lm_scoring.score(df, frequent, net, words=words).collect()
+        order = lambda rows: sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.n_words))
+        texts = {(r.doc_id, len((r.text or "").split())): r.text or "" for r in df.collect()}
+        for a, b in zip(order(plain), order(full), strict=True):
+            assert (a.doc_id, a.n_words) == (b.doc_id, b.n_words)
+            assert abs(b.log_prob - a.log_prob - inside(texts[a.doc_id, a.n_words])) < 1e-6 * max(1, a.n_words)
+            assert (b.mean_log_prob is None) == (b.n_words == 0)
+
+
 def test_every_word_is_trained_on(spark):
     """All places of a document are learned, not one of every sixteen."""
     rows = [(i, " ".join(f"x{j}" for j in range(17))) for i in range(2000)]

@@ -4,7 +4,8 @@ Words become classes: the most frequent words of the corpus have one each, the o
 classes by their ending. The network predicts each word's class from the classes around
 it on both sides: the embeddings of its neighbours, by place, add up to a hidden layer, and
 a softmax gives the class. A document's score is the sum of the log-probabilities of its
-words, each seen from both sides with the word itself masked.
+words, each seen from both sides with the word itself masked: that of the class, by the network,
+and that of the word within its class, by the counts of all words of the corpus.
 
 Class counts cover every document. Every word of every document is a training target once: the
 rounds deal a document's words among them. Each round, each partition trains its own copy
@@ -13,15 +14,18 @@ of the network, and the copies are averaged by the windows they saw.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import map_rows, table
+from vellum.llm.common import cut, map_rows, table
 
 #: Classes of frequent words, classes of other words by ending, words seen on each side, hidden units.
 FREQUENT, ENDINGS, SIDE, HIDDEN = 255, 64, 2, 24
@@ -29,7 +33,11 @@ FREQUENT, ENDINGS, SIDE, HIDDEN = 255, 64, 2, 24
 ROUNDS, RATE, WINDOWS = 2, 0.5, 256
 #: Words and documents taken at once, rows of a softmax; memory bounds, without effect on results.
 BLOCK, DOCUMENTS, ROWS = 1 << 15, 512, 1024
+#: Documents whose words are looked up together; their numbers have 16 bits.
+TOGETHER = 2048
 EDGE, SEED = 0, 11
+#: Added to the count of every word of a class, and of one unseen word.
+SMOOTH = 0.5
 CLASSES = 1 + FREQUENT + ENDINGS
 
 
@@ -54,7 +62,9 @@ class Classes:
         self.fixed = len(self.known)
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.lower().split()
+        return self.of(text.lower().split())
+
+    def of(self, words: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > 300_000:  # forget the rare ones
             self.known = known = dict(list(known.items())[: self.fixed])
@@ -170,63 +180,130 @@ def train_round(docs: DataFrame, text_col: str, frequent: list[str], net: dict,
     return from_flat(np.concatenate([np.array(r["values"]) for r in rows])) if rows else net
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[list[str], dict]:
-    """Frequent words and the trained network. The driver holds FREQUENT words, class counts and one network."""
-    from vellum.llm.common import cut
-
-    words = cut(count_words(docs, text_col))
-    frequent = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+def class_totals(words: DataFrame, frequent: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and different words of each class, from (word, n)."""
 
     def class_of(batch: pa.RecordBatch):
-        classes, ends = Classes(frequent), np.zeros(CLASSES)
-        for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ends[classes(w)] += n
-        yield {"code": np.flatnonzero(ends), "n": ends[ends > 0].astype(np.int64)}
-
-    counts = np.zeros(CLASSES)
-    for r in map_rows(words, ["word", "n"], class_of, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
-        counts[r["code"]] = r["n"]
+        codes = Classes(frequent).of(batch.column(0).to_pylist())
+        ends, kinds = np.bincount(codes, batch.column(1).to_numpy(), CLASSES), np.bincount(codes, minlength=CLASSES)
+        yield {"code": np.flatnonzero(kinds), "n": ends[kinds > 0].astype(np.int64), "kinds": kinds[kinds > 0]}
+
+    counts, different = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in map_rows(words, ["word", "n"], class_of, "code int, n long, kinds long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
+        counts[r["code"]], different[r["code"]] = r["n"], r["kinds"]
+    return counts, different
+
+
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, words: DataFrame | None = None) -> tuple[list[str], dict]:
+    """Frequent words and the trained network. The driver holds FREQUENT words, class counts and one network.
+
+    ``words`` are the counts of ``count_words``, where they are there already.
+    """
+    words = cut(count_words(docs, text_col)) if words is None else words
+    frequent = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    counts = class_totals(words, frequent)[0]
     net = start(counts)
     for turn in range(rounds):
         net = train_round(docs, text_col, frequent, net, turn, rounds)
     return frequent, net
 
 
-def score(docs: DataFrame, frequent: list[str], net: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def postings(words: list[str], docs: np.ndarray) -> dict:
+    """Different words and, for each, the documents of its occurrences as packed 16-bit numbers."""
+    found = pa.array(words, pa.string()).dictionary_encode()
+    codes = found.indices.to_numpy()
+    raw = docs[np.argsort(codes, kind="stable")].astype(np.uint16).tobytes()
+    stops = (2 * np.cumsum(np.bincount(codes, minlength=len(found.dictionary)))).tolist()
+    return {"_word": found.dictionary.to_pylist(), "_docs": [raw[a:z] for a, z in zip([0, *stops], stops)]}
+
+
+def score(docs: DataFrame, frequent: list[str], net: dict, id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
     """Score every whole text.
 
-    Returns id, n_words, log_prob (sum over the words of log p(word's class | both sides)) and
-    mean_log_prob (null for texts that are null or without words, whose sum is 0). Repeated
-    rows give repeated rows; an empty table gives an empty one; other columns are never read.
+    Returns id, n_words, log_prob and mean_log_prob (null for texts that are null or without
+    words, whose sum is 0). With ``words``, the counts (word, n) of the corpus, log_prob sums
+    log p(word's class | both sides) + log p(word | class) over the words; without, the former
+    only. Repeated rows give repeated rows; an empty table gives an empty one; other columns
+    are never read.
     """
     given = flat(net)
 
-    def work(batch: pa.RecordBatch, state):
-        own, classes = state
+    def measure(texts: list, own: dict, classes: Classes) -> tuple[list[list[str]], list[np.ndarray], np.ndarray, np.ndarray]:
+        """Words, classes, number of words and sum of the classes' log-probabilities of each text."""
+        tokens = [(t or "").lower().split() for t in texts]
+        codes = [classes.of(t) for t in tokens]
+        sizes = np.array([len(c) for c in codes])
+        sums = np.zeros(len(codes))
+        first = 0
+        while first < len(codes):
+            last, taken = first, 0
+            while last < len(codes) and (last == first or taken + sizes[last] <= BLOCK):
+                taken += sizes[last]
+                last += 1
+            if taken:
+                around = np.concatenate([windows(c) for c in codes[first:last]])
+                target = np.concatenate(codes[first:last])
+                logs = np.concatenate([log_probabilities(own, around[a : a + ROWS], target[a : a + ROWS]) for a in range(0, taken, ROWS)])
+                sums[first:last] = np.bincount(np.repeat(np.arange(last - first), sizes[first:last]), logs, last - first)
+            first = last
+        return tokens, codes, sizes, sums
+
+    def means(sums: np.ndarray, sizes: np.ndarray) -> list:
+        return [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist())]
+
+    def by_class(batch: pa.RecordBatch, state):
         for at in range(0, batch.num_rows, DOCUMENTS):
             part = batch.slice(at, DOCUMENTS)
-            codes = [classes(t or "") for t in part.column(1).to_pylist()]
-            sizes = np.array([len(c) for c in codes])
-            sums = np.zeros(len(codes))
-            first = 0
-            while first < len(codes):
-                last, words = first, 0
-                while last < len(codes) and (last == first or words + sizes[last] <= BLOCK):
-                    words += sizes[last]
-                    last += 1
-                if words:
-                    around = np.concatenate([windows(c) for c in codes[first:last]])
-                    target = np.concatenate(codes[first:last])
-                    logs = np.concatenate([log_probabilities(own, around[a : a + ROWS], target[a : a + ROWS]) for a in range(0, words, ROWS)])
-                    sums[first:last] = np.bincount(np.repeat(np.arange(last - first), sizes[first:last]), logs, last - first)
-                first = last
-            yield {id_col: part.column(0), "n_words": sizes, "log_prob": sums, "mean_log_prob": [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist())]}
+            *_, sizes, sums = measure(part.column(1).to_pylist(), *state[:2])
+            yield {id_col: part.column(0), "n_words": sizes, "log_prob": sums, "mean_log_prob": means(sums, sizes)}
+
+    def with_words(batch: pa.RecordBatch, state):
+        """A row for each document, and one for each different word of a class of several."""
+        for start_at in range(0, batch.num_rows, TOGETHER):
+            whole = batch.slice(start_at, TOGETHER)
+            key = TaskContext.get().partitionId() << 32 | next(state[2])
+            many, where = [], []
+            for at in range(0, whole.num_rows, DOCUMENTS):
+                part = whole.slice(at, DOCUMENTS)
+                tokens, codes, sizes, sums = measure(part.column(1).to_pylist(), *state[:2])
+                for i, (t, c) in enumerate(zip(tokens, codes)):
+                    rare = np.flatnonzero(c > FREQUENT).tolist()
+                    many += [t[j] for j in rare]
+                    where.append(np.full(len(rare), at + i))
+                n = part.num_rows
+                # a document's key has a space in it, which no word has
+                yield {"_batch": [key] * n, "_doc": np.arange(at, at + n), "_id": part.column(0), "n_words": sizes, "log_prob": sums, "_word": [f"{key} {i}" for i in range(at, at + n)], "_code": [None] * n, "_docs": [None] * n}
+            if many:
+                found = postings(many, np.concatenate(where))
+                n = len(found["_word"])
+                none = [None] * n
+                yield {"_batch": [key] * n, "_doc": none, "_id": none, "n_words": none, "log_prob": none, "_code": state[1].of(found["_word"]), **found}
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    return map_rows(docs, [id_col, text_col], work, f"{id_col} {kind}, n_words long, log_prob double, mean_log_prob double", lambda: (from_flat(given), Classes(frequent)))
+    out = f"{id_col} {kind}, n_words long, log_prob double, mean_log_prob double"
+    begin = lambda: (from_flat(given), Classes(frequent), itertools.count())
+    if words is None:
+        return map_rows(docs, [id_col, text_col], by_class, out, begin)
+
+    counts, different = class_totals(words, frequent)
+    total = counts + SMOOTH * (different + 1)
+    rows = map_rows(docs, [id_col, text_col], with_words, f"_batch long, _doc int, _id {kind}, n_words long, log_prob double, _word string, _code int, _docs binary", begin)
+    known = words.select(F.col("word").alias("_known"), F.col("n").alias("_n"))
+    joined = rows.join(known, F.col("_word") == F.col("_known"), "left").drop("_word", "_known")
+
+    def add_up(t: pa.Table) -> pa.Table:
+        base, found = t.filter(pc.is_null(t["_docs"])), t.filter(pc.is_valid(t["_docs"]))
+        logs = np.log((found["_n"].fill_null(0).to_numpy() + SMOOTH) / total[found["_code"].to_numpy()])
+        each = pc.binary_length(found["_docs"]).to_numpy() // 2
+        inside = np.bincount(np.frombuffer(b"".join(found["_docs"].to_pylist()), np.uint16), np.repeat(logs, each), TOGETHER)
+        sums, sizes = base["log_prob"].to_numpy() + inside[base["_doc"].to_numpy()], base["n_words"].to_numpy()
+        return pa.table({id_col: base["_id"], "n_words": base["n_words"], "log_prob": sums, "mean_log_prob": pa.array(means(sums, sizes), pa.float64())})
+
+    return joined.groupBy("_batch").applyInArrow(add_up, out)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every document under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents")
-    return score(docs, *fit(docs))
+    words = cut(count_words(docs, "text"))
+    return score(docs, *fit(docs, words=words), words=words)
