@@ -47,6 +47,24 @@ def test_less_than_a_block_off():
             assert abs(n - (t + 1) * share[s] / total) < 1
 
 
+@pytest.mark.parametrize("weights, n", [({f"src{i}": 4.0 if i == 0 else 1.0 for i in range(20)}, 60_000), ({f"src{i}": 4.0 if i == 0 else 1.0 for i in range(1500)}, 9000), ({"a": 0.3333333, "b": 1, "c": 2.5}, 9000)])
+def test_never_a_block_off_the_weights(weights, n):
+    """Against the weights themselves, over many periods, with many sources and with periods longer than the mix."""
+    place, total = {}, sum(weights.values())
+    for r in mixing.phases(dict.fromkeys(weights, n // len(weights)), weights):
+        if r["phase"] == 0:
+            for k in range(r["stop"] - r["start"]):
+                place[k // r["share"] * r["period"] + r["slots"][k % r["share"]]] = r["source"]
+    assert sorted(place) == list(range(len(place))) and len(place) > n // len(weights)
+    taken = Counter()
+    for t in range(len(place)):
+        s = place[t]
+        assert (t + 1) * weights[s] / total - taken[s] > -1  # just before its block: not ahead
+        assert t * weights[s] / total - taken[s] < 1  # nor behind
+        taken[s] += 1
+        assert abs((t + 1) * weights[s] / total - taken[s]) < 1
+
+
 def test_mix_keeps_every_row(odd, none):
     rows = mixing.mix(odd, {"hot": 3.0}, block_rows=2).collect()
     assert len(rows) == odd.count() == len({r.position for r in rows})

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.common import row_numbers, table
 
-BLOCK_ROWS, PERIOD = 64, 1000
+BLOCK_ROWS = 64
 #: Target weights of the production query; sources not named weigh REST.
 WEIGHTS, REST = {"src0": 4.0}, 1.0
 #: Blocks in one row of the plan; rows numbered in one task.
@@ -42,15 +43,24 @@ def shares(weights: dict, period: int) -> dict:
     return out
 
 
-def pattern(share: dict) -> dict:
-    """Earliest deadline first over one period: the slots of each source's blocks, in order."""
+def exact_shares(weights: dict) -> dict:
+    """The least whole shares in exactly the proportion of the weights, as their decimals are written."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = math.lcm(*[w.denominator for w in exact.values()])
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    least = math.gcd(*whole.values())
+    return {s: n // least for s, n in whole.items()}
+
+
+def pattern(share: dict, length: int | None = None) -> dict:
+    """Earliest deadline first over one period (or its first ``length`` slots): the slots of each source's blocks, in order."""
     period = sum(share.values())
     names = sorted(share, key=str)
     waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
     slots: dict = {s: [] for s in names}
-    for t in range(period):
+    for t in range(period if length is None else min(period, length)):
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * period // share[names[i]]), i, k))
@@ -61,15 +71,19 @@ def pattern(share: dict) -> dict:
     return slots
 
 
-def phases(blocks: dict, weights: dict, period: int) -> list[dict]:
-    """Rows (source, phase, start, stop, base, share, period, slots): where each source's blocks go."""
+def phases(blocks: dict, weights: dict, period: int | None = None) -> list[dict]:
+    """Rows (source, phase, start, stop, base, share, period, slots): where each source's blocks go.
+
+    Without ``period``, shares are exactly in proportion to the weights.
+    """
     left = {s: n for s, n in blocks.items() if n > 0}
     base, phase, out = 0, 0, []
     while left:
-        share = shares({s: weights[s] for s in left}, max(period, len(left)))
+        live = {s: weights[s] for s in left}
+        share = shares(live, max(period, len(left))) if period else exact_shares(live)
         length = sum(share.values())
-        slots = pattern(share)
-        ends = {s: (n - 1) // share[s] * length + slots[s][(n - 1) % share[s]] + 1 for s, n in left.items()}
+        slots = pattern(share, sum(left.values()))  # by then one source has run out, or the period has ended
+        ends = {s: (n - 1) // share[s] * length + slots[s][(n - 1) % share[s]] + 1 for s, n in left.items() if (n - 1) % share[s] < len(slots[s])}
         end = min(ends.values())
         for s in list(left):
             taken = end // length * share[s] + sum(1 for t in slots[s] if t < end % length)
@@ -82,7 +96,7 @@ def phases(blocks: dict, weights: dict, period: int) -> list[dict]:
     return [r for r in out if r["stop"] > r["start"]]
 
 
-def mix(docs: DataFrame, weights: dict | None = None, rest: float = REST, block_rows: int = BLOCK_ROWS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, rest: float = REST, block_rows: int = BLOCK_ROWS, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Give every document its place in a mix that follows the target weights of the sources.
 
     Returns id, source, block (number in the source), slot (of the block, gapless over all
