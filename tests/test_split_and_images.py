@@ -64,3 +64,11 @@ def test_rectangles_found():
     rects, art = pixels.find_rects(rgb, np.array([240] * 3, np.int16), np.zeros((90, 160), bool))
     assert [(p["x"], p["y"], p["w"], p["h"], p["color"], p["radius"]) for p in rects] == [(20, 10, 70, 40, "105090", 0)] and not art
     assert pixels.find_rects(np.full((90, 160, 3), 240, np.uint8), np.array([240] * 3, np.int16), np.zeros((90, 160), bool)) == ([], [])
+
+
+def test_drawn_pictures_are_not_shrunk_further(spark, sf):
+    """Pictures are an eighth of a slide, so boxes of 160 slide pixels can be rectangles of their own."""
+    from vellum.plans.queries import QUERIES
+
+    rects = QUERIES["decompose_pictures"](spark, sf).where("kind = 'rect'").collect()
+    assert any(r.x + r.w > 80 for r in rects) and any(r.y + r.h > 45 for r in rects)
