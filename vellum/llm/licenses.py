@@ -1,9 +1,11 @@
 """License scans by conditional compression.
 
-Every template of which enough words occur in a text is looked for in the whole text by its exact
-differences in wording. The block around each place found is compressed with zstandard once
-plainly and once with the template as raw dictionary, with the same parameters; among
-wordings of one length that claim the same words, the one that saves most bytes wins.
+A place of a text where enough words of a template follow, whatever their order, is the
+start of a candidate block, about as long as the template. Each block is compressed with zstandard
+once plainly and once with each template that may stand there as raw dictionary, with the same
+parameters. The size reductions rank all pairs of block and template; from the largest down, a pair
+is confirmed by its exact differences in wording and takes its words, so a short notice
+inside a longer license isn't reported. The ranking only orders: no pair is left out for its size.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +38,8 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
 }
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
-#: Letters of a block around a finding; share of a template's words that may be missing, and of further words in between.
-AROUND, MISSING, EXTRA = 700, 0.10, 0.20
+#: Share of a template's words that may be missing, and of further words in between.
+MISSING, EXTRA = 0.10, 0.20
 #: Tables of both compressors; without these, zstandard takes other ones where there is a dictionary.
 PARAMETERS = zstandard.ZstdCompressionParameters.from_level(3, source_size=1 << 16)
 
@@ -46,7 +49,6 @@ class Scanner:
         self.words = {name: [w.lower() for w in WORD.findall(text)] for name, text in templates.items()}
         self.counts = {name: Counter(words) for name, words in self.words.items()}
         self.rarest = {name: sorted(c, key=lambda w: (-len(w), w)) for name, c in self.counts.items()}
-        self.lengths = sorted({len(w) for w in self.words.values()}, reverse=True)
         self.plain = zstandard.ZstdCompressor(compression_params=PARAMETERS)
         self.given = {name: zstandard.ZstdCompressor(compression_params=PARAMETERS, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in templates.items()}
 
@@ -65,55 +67,78 @@ class Scanner:
                 out.append(name)
         return out
 
-    def saved(self, name: str, text: str, start: int, stop: int) -> int:
-        """Bytes that the template saves on the block around a finding."""
-        data = text[max(0, start - AROUND) : stop + AROUND].encode("utf-8", "surrogatepass")
-        return len(self.plain.compress(data)) - len(self.given[name].compress(data))
-
-    def differences(self, name: str, words: list[str], free: list[bool]) -> list[tuple[int, int, int, int]]:
-        """All places (first word, end, missing, extra) where the wording is confirmed, among free words."""
-        wanted, counts, out = self.words[name], self.counts[name], []
-        slack = int(EXTRA * len(wanted))
-        leads = set(wanted[: int(MISSING * len(wanted)) + 1])
-
-        def place(at: int) -> tuple[int, int, int, int]:
-            same = [m for m in SequenceMatcher(None, wanted, words[at : at + len(wanted) + slack], autojunk=False).get_matching_blocks() if m.size]
+    def length(self, name: str) -> int:
+        """Most words from the start of a wording to its end."""
+        return len(self.words[name]) + int(EXTRA * len(self.words[name]))
+
+    def places(self, name: str, where: dict[str, np.ndarray]) -> np.ndarray:
+        """Words at which a block may start: one of the template's first, with enough of its words in reach."""
+        wanted = self.words[name]
+        leads = [where[w] for w in set(wanted[: int(MISSING * len(wanted)) + 1]) if w in where]
+        if not leads:
+            return np.zeros(0, np.int64)
+        at = np.sort(np.concatenate(leads))
+        found = np.zeros(len(at), np.int64)
+        for w, n in self.counts[name].items():
+            if w in where:
+                found += np.minimum(np.searchsorted(where[w], at + self.length(name)) - np.searchsorted(where[w], at), n)
+        return at[len(wanted) - found <= MISSING * len(wanted)]
+
+    def differences(self, name: str, words: list[str], free: list[bool], at: int) -> tuple[int, int, int, int] | None:
+        """(first word, end, missing, extra) of the wording that starts at or after ``at``, among free words, if it is confirmed."""
+        wanted = self.words[name]
+
+        def place(a: int) -> tuple[int, int, int, int]:
+            z = min(len(words), a + self.length(name))
+            while not all(free[a:z]):
+                z = a + free[a:z].index(False)
+            same = [m for m in SequenceMatcher(None, wanted, words[a:z], autojunk=False).get_matching_blocks() if m.size]
+            if not same:
+                return a, a, len(wanted), 0
             matched, start, end = sum(m.size for m in same), same[0].b, same[-1].b + same[-1].size
-            return at + start, at + end, len(wanted) - matched, end - start - matched
+            return a + start, a + end, len(wanted) - matched, end - start - matched
 
-        after = 0
-        for at in [i for i, w in enumerate(words) if w in leads]:
-            if at < after or not free[at]:
-                continue
-            window = words[at : at + len(wanted) + slack]
-            there = Counter(w for w in window if w in counts)
-            if len(wanted) - sum(min(n, counts[w]) for w, n in there.items()) > MISSING * len(wanted):
-                continue  # too few words whatever their order
-            best = place(at)
-            if best[0] > at:  # words before the wording aren't part of it
-                best = min(best, place(best[0]), key=lambda p: p[2] + p[3])
-            start, end, missing, extra = best
-            if missing <= MISSING * len(wanted) and extra <= slack and all(free[start:end]):
-                out.append(best)
-                after = end
-        return out
+        best = place(at)
+        if best[0] > at:  # words before the wording aren't part of it
+            best = min(best, place(best[0]), key=lambda p: p[2] + p[3])
+        _, _, missing, extra = best
+        return best if missing <= MISSING * len(wanted) and extra <= int(EXTRA * len(wanted)) else None
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, int, int]]:
-        """Findings (license, start, stop, saved, missing, extra), by place; longer wordings win over parts of them."""
+        """Findings (license, start, stop, saved, missing, extra), by place."""
         names = self.candidates(text)
         if not names:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
         words = [text[x:y].lower() for x, y in spans]
-        free = [True] * len(words)
-        out = []
-        for length in self.lengths:
-            group = [n for n in names if len(self.words[n]) == length]
-            while found := [(-self.saved(n, text, spans[i][0], spans[j - 1][1]), n, i, j, missing, extra) for n in group for i, j, missing, extra in self.differences(n, words, free)]:
-                for less, name, i, j, missing, extra in sorted(found):
-                    if all(free[i:j]):
-                        free[i:j] = [False] * (j - i)
-                        out.append((name, spans[i][0], spans[j - 1][1], -less, missing, extra))
+        known = set().union(*(self.counts[n] for n in names))
+        occurs: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in known:
+                occurs.setdefault(w, []).append(i)
+        where = {w: np.array(v) for w, v in occurs.items()}
+        starts = {n: self.places(n, where) for n in names}
+        rivals: dict[int, list[str]] = {}
+        for n in names:
+            for at in starts[n].tolist():
+                rivals.setdefault(at, []).append(n)
+        ranked = []
+        for at, of in rivals.items():
+            end = min(len(words), at + max(map(self.length, of)))
+            data = text[spans[at][0] : spans[end - 1][1]].encode("utf-8", "surrogatepass")
+            plain = len(self.plain.compress(data))
+            ranked += [(len(self.given[n].compress(data)) - plain, -len(self.words[n]), at, n) for n in of]
+        free, out = [True] * len(words), []
+        for less, _, at, name in sorted(ranked):
+            if not free[at]:
+                continue
+            a, z = np.searchsorted(starts[name], [at - self.length(name), at + 1])
+            # blocks of one wording overlap and save about as much; the least differences tell where it starts
+            found = [f for x in starts[name][a:z].tolist() if free[x] and (f := self.differences(name, words, free, x)) and f[1] > at]
+            if found:
+                i, j, missing, extra = min(found, key=lambda f: (f[2] + f[3], f[0]))
+                free[i:j] = [False] * (j - i)
+                out.append((name, spans[i][0], spans[j - 1][1], -less, missing, extra))
         return sorted(out, key=lambda f: (f[1], f[0]))
 
 
@@ -121,9 +146,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     """License wordings in whole texts.
 
     Returns a row for each finding: id, license, start and stop (character offsets), saved_bytes
-    (compressed size of the finding and the AROUND letters beside it, without the template minus with it), missing_words and
+    (compressed size of the block without the template minus with it), missing_words and
     extra_words (0 and 0: the exact wording). Null and empty texts give no rows; repeated rows
-    give repeated findings; equal savings are ranked by name; an empty table gives an empty
+    give repeated findings; equal savings are ranked by length, place and name; an empty table gives an empty
     one; other columns are never read.
     """
     templates = templates or TEMPLATES

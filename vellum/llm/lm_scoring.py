@@ -1,20 +1,23 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-Words become classes: the most frequent words of the corpus have one each, the others share
-classes by their ending. The network predicts each word's class from the classes around
-it on both sides: the embeddings of its neighbours, by place, add up to a hidden layer, and
-a softmax gives the class. A document's score is the sum of the log-probabilities of its
-words, each seen from both sides with the word itself masked: that of the class, by the network,
-and that of the word within its class, by the counts of all words of the corpus.
-
-Class counts cover every document. Every word of every document is a training target once: the
-rounds deal a document's words among them. Each round, each partition trains its own copy
-of the network, and the copies are averaged by the windows they saw.
+Every word is predicted from the words around it on both sides, itself masked, through a softmax
+of three levels: a group of classes, a class of the group, and the word in its class. The most
+frequent words have a class each, the others share classes by their ending. The network gives
+the first two levels: the embeddings of the neighbours' classes, by place, add up to a hidden
+layer, and a softmax follows at each level. The last level comes from the counts of all words of
+the corpus, less those of the document itself, so a document never vouches for its own words.
+A document's score is the sum of the log-probabilities of its words.
+
+Every word of every document is a training target once. Pieces of documents are dealt to blocks
+by a hash of their content, so how the table is partitioned changes nothing. The blocks are dealt
+to the rounds; in a round each block trains its own copy of the network, in an order that the
+hash gives, and the copies are averaged by the words they saw.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import Counter
 
@@ -28,17 +31,24 @@ from pyspark.sql import functions as F
 from vellum.llm.common import cut, map_rows, table
 
 #: Classes of frequent words, classes of other words by ending, words seen on each side, hidden units.
-FREQUENT, ENDINGS, SIDE, HIDDEN = 255, 64, 2, 24
-#: Rounds of averaging; step size; windows in a step.
-ROUNDS, RATE, WINDOWS = 2, 0.5, 256
-#: Words and documents taken at once, rows of a softmax; memory bounds, without effect on results.
-BLOCK, DOCUMENTS, ROWS = 1 << 15, 512, 1024
-#: Documents whose words are looked up together; their numbers have 16 bits.
-TOGETHER = 2048
+FREQUENT, ENDINGS, SIDE, HIDDEN = 511, 128, 2, 24
+CLASSES = 1 + FREQUENT + ENDINGS
+#: Groups of consecutive classes, and classes of a group.
+GROUPS = 20
+WIDE = -(-CLASSES // GROUPS)
+#: Rounds of averaging; step size; windows in a step; words of a block, which one copy trains on.
+ROUNDS, RATE, WINDOWS, BLOCK_WORDS = 2, 0.1, 2048, 1 << 20
+#: Words of a piece of a document; windows mixed before they are dealt to steps.
+PIECE, MIXED = 4096, 1 << 16
+#: Words taken at once: a memory bound, without effect on results.
+BLOCK = 1 << 15
+#: Documents, whose numbers have 16 bits, and words that are looked up together.
+TOGETHER, WORDS_TOGETHER = 2048, 1 << 21
 EDGE, SEED = 0, 11
 #: Added to the count of every word of a class, and of one unseen word.
 SMOOTH = 0.5
-CLASSES = 1 + FREQUENT + ENDINGS
+#: Values of the network in a row on their way to the average.
+SLICE = 4096
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -77,107 +87,198 @@ class Classes:
 
 
 def start(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The untrained network: small random embeddings, and the corpus' class frequencies as bias."""
+    """The untrained network: small random weights, and the corpus' frequencies of groups and classes as biases.
+
+    ``top`` has a column for each group, ``inner`` for each group one for each of its classes;
+    the last row of both is the bias.
+    """
     r = np.random.default_rng(SEED)
-    return {
-        "embed": r.normal(0, 0.3, (2 * SIDE, CLASSES, HIDDEN)).astype(np.float32),
-        "out": r.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32),
-        "bias": np.log((counts + 1.0) / (counts.sum() + len(counts))).astype(np.float32),
-    }
+    full = np.zeros(GROUPS * WIDE)
+    full[:CLASSES] = counts + 1.0
+    each = full.reshape(GROUPS, WIDE)
+    top = np.concatenate([r.normal(0, 0.1, (HIDDEN, GROUPS)), np.log(each.sum(axis=1) / full.sum())[None]])
+    bias = np.log(np.maximum(each / each.sum(axis=1, keepdims=True), 1e-13))
+    inner = np.concatenate([r.normal(0, 0.1, (GROUPS, HIDDEN, WIDE)), bias[:, None]], axis=1)
+    return {"embed": r.normal(0, 0.3, (2 * SIDE * CLASSES, HIDDEN)).astype(np.float32), "top": top.astype(np.float32), "inner": inner.astype(np.float32)}
 
 
-def windows(codes: np.ndarray) -> np.ndarray:
-    """The neighbours of each word, SIDE to the left and SIDE to the right."""
-    wide = np.pad(codes, SIDE, constant_values=EDGE)
-    return np.stack([wide[j : j + len(codes)] for j in range(2 * SIDE + 1) if j != SIDE], axis=1)
+SHAPES = {"embed": (2 * SIDE * CLASSES, HIDDEN), "top": (HIDDEN + 1, GROUPS), "inner": (GROUPS, HIDDEN + 1, WIDE)}
 
 
-def hidden(net: dict, around: np.ndarray) -> np.ndarray:
-    h = net["embed"][0, around[:, 0]]
-    for j in range(1, 2 * SIDE):
-        h = h + net["embed"][j, around[:, j]]
-    return np.tanh(h)
+def flat(net: dict) -> np.ndarray:
+    return np.concatenate([net[k].ravel() for k in SHAPES]).astype(np.float64)
 
 
-def log_probabilities(net: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log p(target | neighbours) for each row.
+def from_flat(values: np.ndarray) -> dict[str, np.ndarray]:
+    edges = np.cumsum([0, *[math.prod(s) for s in SHAPES.values()]])
+    return {k: values[a:z].reshape(s).astype(np.float32) for (k, s), a, z in zip(SHAPES.items(), edges, edges[1:])}
 
-    The hidden layer lies within -1 and 1, so the weights bound every logit; where that bound
-    is far from overflow, no row maximum has to be subtracted.
-    """
-    h = hidden(net, around)
-    z = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1) @ np.concatenate([net["out"], net["bias"][None]])
-    if np.abs(net["out"]).sum(axis=0).max() + np.abs(net["bias"]).max() > 60:
-        z -= z.max(axis=1, keepdims=True)
-    picked = z[np.arange(len(z)), target].astype(np.float64)
-    np.exp(z, out=z)
-    return picked - np.log(z.sum(axis=1).astype(np.float64))
 
+def around_each(wide: np.ndarray) -> np.ndarray:
+    """The rows of ``embed`` for the neighbours of each word of a piece that has SIDE classes more at both ends."""
+    n = len(wide) - 2 * SIDE
+    return np.stack([wide[j : j + n] for j in range(2 * SIDE + 1) if j != SIDE], axis=1) + np.arange(2 * SIDE, dtype=np.int32) * CLASSES
 
-def train(net: dict, around: np.ndarray, target: np.ndarray) -> None:
-    """One pass of stochastic gradient steps, in place."""
-    for a in range(0, len(target), WINDOWS):
-        x, y = around[a : a + WINDOWS], target[a : a + WINDOWS]
-        h = hidden(net, x)
-        z = h @ net["out"] + net["bias"]
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        p *= RATE / len(y)
-        back = (p @ net["out"].T) * (1 - h * h)
-        net["out"] -= h.T @ p
-        net["bias"] -= p.sum(axis=0)
-        at = (x + np.arange(2 * SIDE) * CLASSES)[:, :, None] * HIDDEN + np.arange(HIDDEN)
-        net["embed"] -= np.bincount(at.ravel(), np.broadcast_to(back[:, None], at.shape).ravel(), net["embed"].size).reshape(net["embed"].shape)
 
+def windows(codes: np.ndarray) -> np.ndarray:
+    """The neighbours of each word of a whole document."""
+    return around_each(np.pad(codes, SIDE, constant_values=EDGE))
 
-def flat(net: dict) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in ("embed", "out", "bias")]).astype(np.float64)
 
+def hidden(net: dict, around: np.ndarray) -> np.ndarray:
+    """The hidden layer, with a last column of ones."""
+    out = np.ones((len(around), HIDDEN + 1), np.float32)
+    total = net["embed"][around[:, 0]]
+    for j in range(1, 2 * SIDE):
+        total += net["embed"][around[:, j]]
+    np.tanh(total, out=out[:, :HIDDEN])
+    return out
 
-def from_flat(values: np.ndarray) -> dict[str, np.ndarray]:
-    a, b = 2 * SIDE * CLASSES * HIDDEN, HIDDEN * CLASSES
-    return {"embed": values[:a].reshape(2 * SIDE, CLASSES, HIDDEN).astype(np.float32), "out": values[a : a + b].reshape(HIDDEN, CLASSES).astype(np.float32), "bias": values[a + b :].astype(np.float32)}
 
+def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order by class, the groups in it, and (group, start, stop) of those that occur."""
+    order = np.argsort(target, kind="stable")
+    group = target[order] // WIDE
+    edges = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    return order, group, [(k, i, j) for k, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
 
-def train_round(docs: DataFrame, text_col: str, frequent: list[str], net: dict, turn: int = 0, rounds: int = 1) -> dict:
-    """Train a copy of the network in each partition and average the copies.
 
-    Targets are the words ``turn``, ``turn + rounds``, ... of every document, so the rounds together take every word.
-    """
+def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax(z)[row, at[row]]; z is used up."""
+    z -= z.max(axis=1, keepdims=True)
+    picked = z[np.arange(len(z)), at].astype(np.float64)
+    return picked - np.log(np.exp(z, out=z).sum(axis=1).astype(np.float64))
+
+
+def log_probabilities(net: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log p(class | neighbours) for each row: that of its group and that of the class in the group."""
+    order, group, runs = by_group(target)
+    h, classes = hidden(net, around[order]), target[order]
+    logs = log_softmax_at(h @ net["top"], group)
+    for k, i, j in runs:
+        logs[i:j] += log_softmax_at(h[i:j] @ net["inner"][k], classes[i:j] - k * WIDE)
+    out = np.empty(len(target))
+    out[order] = logs
+    return out
+
+
+def softmax_error(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Gradient by the logits of the mean negative log-likelihood over n rows."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(z)), at] -= 1
+    z /= n
+    return z
+
+
+def gradient(net: dict, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of embed, their gradient, gradient of top, gradient of inner) of the mean negative log-likelihood."""
+    n = len(target)
+    order, group, runs = by_group(target)
+    x, classes = around[order], target[order]
+    h = hidden(net, x)
+    error = softmax_error(h @ net["top"], group, n)
+    back, top, inner = error @ net["top"][:HIDDEN].T, h.T @ error, np.zeros_like(net["inner"])
+    for k, i, j in runs:
+        error = softmax_error(h[i:j] @ net["inner"][k], classes[i:j] - k * WIDE, n)
+        back[i:j] += error @ net["inner"][k, :HIDDEN].T
+        inner[k] = h[i:j].T @ error
+    back *= 1 - h[:, :HIDDEN] ** 2
+    flat_rows = x.ravel()
+    by_row = np.argsort(flat_rows, kind="stable")
+    rows = flat_rows[by_row]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[first], np.add.reduceat(back[by_row // (2 * SIDE)], first, axis=0), top, inner
+
+
+def train(net: dict, squares: dict, around: np.ndarray, target: np.ndarray) -> None:
+    """One pass of gradient steps in place; each weight's step is RATE over the root of its squared gradients so far."""
+    for a in range(0, len(target), WINDOWS):
+        rows, embed, top, inner = gradient(net, around[a : a + WINDOWS], target[a : a + WINDOWS])
+        seen = squares["embed"][rows] + embed * embed
+        squares["embed"][rows] = seen
+        net["embed"][rows] -= RATE * embed / np.sqrt(seen)
+        for k, d in (("top", top), ("inner", inner)):
+            squares[k] += d * d
+            net[k] -= RATE * d / np.sqrt(squares[k])
+
+
+class Copy:
+    """The copy of the network that one block trains."""
+
+    def __init__(self, given: np.ndarray, block: int):
+        self.net, self.mix = from_flat(given), np.random.default_rng([SEED, block])
+        self.squares = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
+        self.xs, self.ys, self.waiting, self.seen = [], [], 0, 0
+
+    def add(self, piece: np.ndarray) -> None:
+        self.xs.append(around_each(piece))
+        self.ys.append(piece[SIDE : len(piece) - SIDE])
+        self.waiting += len(self.ys[-1])
+        if self.waiting >= MIXED:
+            self.step()
+
+    def step(self) -> None:
+        if self.waiting:
+            order = self.mix.permutation(self.waiting)  # neighbouring words of a document go to different steps
+            train(self.net, self.squares, np.concatenate(self.xs)[order], np.concatenate(self.ys)[order])
+            self.xs, self.ys, self.waiting, self.seen = [], [], 0, self.seen + self.waiting
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str, frequent: list[str]) -> DataFrame:
+    """Rows (key, part, codes): the classes of each document in pieces, with SIDE classes more at both ends."""
+
+    def work(batch: pa.RecordBatch, classes: Classes):
+        for at in range(0, batch.num_rows, 256):
+            rows = []
+            for key, text in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in (0, 1))):
+                codes = classes(text or "")
+                wide = np.pad(codes, SIDE, constant_values=EDGE).astype(np.int16)
+                rows += [(key, a // PIECE, wide[a : a + PIECE + 2 * SIDE].tobytes()) for a in range(0, len(codes), PIECE)]
+            if rows:
+                yield dict(zip(("key", "part", "codes"), zip(*rows)))
+
+    return map_rows(docs, [F.xxhash64(id_col, text_col), text_col], work, "key long, part int, codes binary", lambda: Classes(frequent))
+
+
+def train_round(dealt: DataFrame, net: dict) -> dict:
+    """Train a copy of the network for each block of (block, key, part, codes), and average the copies."""
     given = flat(net)
 
     def run(batches):
-        own, classes, seen = from_flat(given), Classes(frequent), 0
-        xs, ys, waiting = [], [], 0
-        mix = np.random.default_rng(SEED)
+        total, seen, block, copy = np.zeros(len(given)), 0, None, None
 
-        def step():
-            order = mix.permutation(waiting)  # neighbouring words of a document go to different steps
-            train(own, np.concatenate(xs)[order], np.concatenate(ys)[order])
+        def done():
+            copy.step()
+            return flat(copy.net) * copy.seen, copy.seen
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                codes = classes(text or "")
-                if len(codes) > turn:
-                    xs.append(windows(codes)[turn::rounds])
-                    ys.append(codes[turn::rounds])
-                    waiting += len(ys[-1])
-                if waiting >= 1 << 16:
-                    step()
-                    seen, xs, ys, waiting = seen + waiting, [], [], 0
-        if waiting:
-            step()
-            seen += waiting
-        if seen:
-            values = flat(own) * seen
-            cuts = range(0, len(values), 2048)
-            yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array([float(seen)] * len(cuts)), pa.array([values[c : c + 2048].tolist() for c in cuts], pa.list_(pa.float64()))], names=["at", "seen", "values"])
-
-    parts = docs.select(text_col).mapInArrow(run, "at int, seen double, values array<double>")
-    sums = parts.select("at", "seen", F.posexplode("values").alias("i", "v")).groupBy("at", "i").agg((F.sum("v") / F.sum("seen")).alias("v"))
-    rows = sums.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("values")).orderBy("at").collect()
-    return from_flat(np.concatenate([np.array(r["values"]) for r in rows])) if rows else net
+            for b, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != block:
+                    if copy:
+                        values, n = done()
+                        total, seen = total + values, seen + n
+                    block, copy = b, Copy(given, b)
+                copy.add(np.frombuffer(codes, np.int16).astype(np.int32))
+        if copy:
+            values, n = done()
+            total, seen = total + values, seen + n
+            cuts = range(0, len(total), SLICE)
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array([part] * len(cuts), pa.int32()), pa.array([seen] * len(cuts), pa.int64()), pa.array([total[c : c + SLICE].tobytes() for c in cuts], pa.binary())], names=["at", "part", "seen", "values"])
+
+    def add(t: pa.Table) -> pa.Table:
+        values = np.sum([np.frombuffer(v) for v in t["values"].to_pylist()], axis=0)
+        return pa.table({"at": t["at"][:1], "part": t["part"][:1], "seen": pa.array([pc.sum(t["seen"]).as_py()], pa.int64()), "values": [values.tobytes()]})
+
+    schema = "at int, part int, seen long, values binary"
+    ordered = dealt.repartition("block").sortWithinPartitions("block", "key", "part", "codes").select("block", "codes")
+    parts = ordered.mapInArrow(run, schema)
+    teams = max(1, math.isqrt(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    some = parts.groupBy("at", F.pmod("part", F.lit(teams)).alias("team")).applyInArrow(add, schema)
+    rows = some.groupBy("at").applyInArrow(add, schema).orderBy("at").collect()  # one network
+    return from_flat(np.concatenate([np.frombuffer(bytes(r["values"])) for r in rows]) / rows[0]["seen"]) if rows else net
 
 
 def class_totals(words: DataFrame, frequent: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,17 +295,21 @@ def class_totals(words: DataFrame, frequent: list[str]) -> tuple[np.ndarray, np.
     return counts, different
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, words: DataFrame | None = None) -> tuple[list[str], dict]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, words: DataFrame | None = None, block_words: int = BLOCK_WORDS) -> tuple[list[str], dict]:
     """Frequent words and the trained network. The driver holds FREQUENT words, class counts and one network.
 
-    ``words`` are the counts of ``count_words``, where they are there already.
+    ``words`` are the counts of ``count_words``, where they are there already. The result is the
+    same for every partitioning of ``docs``, but for the rounding of sums.
     """
     words = cut(count_words(docs, text_col)) if words is None else words
     frequent = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     counts = class_totals(words, frequent)[0]
     net = start(counts)
-    for turn in range(rounds):
-        net = train_round(docs, text_col, frequent, net, turn, rounds)
+    if rounds:
+        blocks = rounds * max(1, math.ceil(counts.sum() / (rounds * block_words)))
+        dealt = cut(pieces(docs, id_col, text_col, frequent).withColumn("block", F.pmod(F.xxhash64("key", "part"), F.lit(blocks))))
+        for turn in range(rounds):
+            net = train_round(dealt.where(F.col("block") % rounds == turn), net)
     return frequent, net
 
 
@@ -222,9 +327,9 @@ def score(docs: DataFrame, frequent: list[str], net: dict, id_col: str = "doc_id
 
     Returns id, n_words, log_prob and mean_log_prob (null for texts that are null or without
     words, whose sum is 0). With ``words``, the counts (word, n) of the corpus, log_prob sums
-    log p(word's class | both sides) + log p(word | class) over the words; without, the former
-    only. Repeated rows give repeated rows; an empty table gives an empty one; other columns
-    are never read.
+    log p(word's class | both sides) + log p(word | class) over the words, the latter from the
+    counts less those of the document itself; without, the former only. Repeated rows give repeated
+    rows; an empty table gives an empty one; other columns are never read.
     """
     given = flat(net)
 
@@ -241,9 +346,9 @@ def score(docs: DataFrame, frequent: list[str], net: dict, id_col: str = "doc_id
                 taken += sizes[last]
                 last += 1
             if taken:
-                around = np.concatenate([windows(c) for c in codes[first:last]])
                 target = np.concatenate(codes[first:last])
-                logs = np.concatenate([log_probabilities(own, around[a : a + ROWS], target[a : a + ROWS]) for a in range(0, taken, ROWS)])
+                around = np.concatenate([windows(c) for c in codes[first:last]])
+                logs = np.concatenate([log_probabilities(own, around[a : a + BLOCK], target[a : a + BLOCK]) for a in range(0, taken, BLOCK)])
                 sums[first:last] = np.bincount(np.repeat(np.arange(last - first), sizes[first:last]), logs, last - first)
             first = last
         return tokens, codes, sizes, sums
@@ -252,32 +357,40 @@ def score(docs: DataFrame, frequent: list[str], net: dict, id_col: str = "doc_id
         return [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist())]
 
     def by_class(batch: pa.RecordBatch, state):
-        for at in range(0, batch.num_rows, DOCUMENTS):
-            part = batch.slice(at, DOCUMENTS)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             *_, sizes, sums = measure(part.column(1).to_pylist(), *state[:2])
             yield {id_col: part.column(0), "n_words": sizes, "log_prob": sums, "mean_log_prob": means(sums, sizes)}
 
     def with_words(batch: pa.RecordBatch, state):
         """A row for each document, and one for each different word of a class of several."""
-        for start_at in range(0, batch.num_rows, TOGETHER):
-            whole = batch.slice(start_at, TOGETHER)
-            key = TaskContext.get().partitionId() << 32 | next(state[2])
-            many, where = [], []
-            for at in range(0, whole.num_rows, DOCUMENTS):
-                part = whole.slice(at, DOCUMENTS)
-                tokens, codes, sizes, sums = measure(part.column(1).to_pylist(), *state[:2])
-                for i, (t, c) in enumerate(zip(tokens, codes)):
-                    rare = np.flatnonzero(c > FREQUENT).tolist()
-                    many += [t[j] for j in rare]
-                    where.append(np.full(len(rare), at + i))
-                n = part.num_rows
-                # a document's key has a space in it, which no word has
-                yield {"_batch": [key] * n, "_doc": np.arange(at, at + n), "_id": part.column(0), "n_words": sizes, "log_prob": sums, "_word": [f"{key} {i}" for i in range(at, at + n)], "_code": [None] * n, "_docs": [None] * n}
-            if many:
-                found = postings(many, np.concatenate(where))
-                n = len(found["_word"])
-                none = [None] * n
-                yield {"_batch": [key] * n, "_doc": none, "_id": none, "n_words": none, "log_prob": none, "_code": state[1].of(found["_word"]), **found}
+        own, classes, numbers = state
+        many, where, key, documents, size = [], [], None, 0, 0
+
+        def found():
+            rows = postings(many, np.concatenate(where))
+            n = len(rows["_word"])
+            none = [None] * n
+            return {"_batch": [key] * n, "_doc": none, "_id": none, "n_words": none, "log_prob": none, "_code": classes.of(rows["_word"]), **rows}
+
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            n = part.num_rows
+            if key is None or documents + n > TOGETHER or size > WORDS_TOGETHER:
+                if many:
+                    yield found()
+                many, where, documents, size = [], [], 0, 0
+                key = TaskContext.get().partitionId() << 32 | next(numbers)
+            tokens, codes, sizes, sums = measure(part.column(1).to_pylist(), own, classes)
+            for i, (t, c) in enumerate(zip(tokens, codes)):
+                rare = np.flatnonzero(c > FREQUENT).tolist()
+                many += [t[j] for j in rare]
+                where.append(np.full(len(rare), documents + i))
+            # a document's key has a space in it, which no word has
+            yield {"_batch": [key] * n, "_doc": np.arange(documents, documents + n), "_id": part.column(0), "n_words": sizes, "log_prob": sums, "_word": [f"{key} {i}" for i in range(documents, documents + n)], "_code": [None] * n, "_docs": [None] * n}
+            documents, size = documents + n, size + int(sizes.sum())
+        if many:
+            yield found()
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
     out = f"{id_col} {kind}, n_words long, log_prob double, mean_log_prob double"
@@ -286,22 +399,38 @@ def score(docs: DataFrame, frequent: list[str], net: dict, id_col: str = "doc_id
         return map_rows(docs, [id_col, text_col], by_class, out, begin)
 
     counts, different = class_totals(words, frequent)
-    total = counts + SMOOTH * (different + 1)
     rows = map_rows(docs, [id_col, text_col], with_words, f"_batch long, _doc int, _id {kind}, n_words long, log_prob double, _word string, _code int, _docs binary", begin)
     known = words.select(F.col("word").alias("_known"), F.col("n").alias("_n"))
     joined = rows.join(known, F.col("_word") == F.col("_known"), "left").drop("_word", "_known")
 
     def add_up(t: pa.Table) -> pa.Table:
         base, found = t.filter(pc.is_null(t["_docs"])), t.filter(pc.is_valid(t["_docs"]))
-        logs = np.log((found["_n"].fill_null(0).to_numpy() + SMOOTH) / total[found["_code"].to_numpy()])
-        each = pc.binary_length(found["_docs"]).to_numpy() // 2
-        inside = np.bincount(np.frombuffer(b"".join(found["_docs"].to_pylist()), np.uint16), np.repeat(logs, each), TOGETHER)
+        inside = within(found["_n"].fill_null(0).to_numpy(), found["_code"].to_numpy(), found["_docs"].to_pylist(), counts, different)
         sums, sizes = base["log_prob"].to_numpy() + inside[base["_doc"].to_numpy()], base["n_words"].to_numpy()
         return pa.table({id_col: base["_id"], "n_words": base["n_words"], "log_prob": sums, "mean_log_prob": pa.array(means(sums, sizes), pa.float64())})
 
     return joined.groupBy("_batch").applyInArrow(add_up, out)
 
 
+def within(n: np.ndarray, code: np.ndarray, docs: list[bytes], counts: np.ndarray, different: np.ndarray) -> np.ndarray:
+    """For each of TOGETHER documents, the sum of log p(word | class) over its words that share a class.
+
+    n, code, docs: corpus count, class and occurrences (packed document numbers, ascending) of
+    each different word. Counts leave out the document itself.
+    """
+    each = np.array([len(d) // 2 for d in docs], np.int64)
+    doc = np.frombuffer(b"".join(docs), np.uint16).astype(np.int64)
+    word = np.repeat(np.arange(len(docs)), each)
+    first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    own = np.diff(first, append=len(doc))
+    word, doc = word[first], doc[first]
+    there = doc * CLASSES + code[word]
+    in_class = np.bincount(there, own, TOGETHER * CLASSES)[there]
+    rest = np.maximum(n[word] - own, 0) + SMOOTH
+    total = np.maximum(counts[code[word]] - in_class, 0) + SMOOTH * (different[code[word]] + 1)
+    return np.bincount(doc, own * (np.log(rest) - np.log(total)), TOGETHER)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every document under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents")
