@@ -100,18 +100,27 @@ def brute_score(text, frequent, net):
     return total
 
 
+def coded(df, words=None):
+    """Encoded documents with the vocabulary of ``words`` (default: their own)."""
+    words = (lm_scoring.count_words(df, "text") if words is None else words).cache()
+    frequent, counts, different = lm_scoring.vocabulary(words)
+    return lm_scoring.encoded(df, frequent, "doc_id", "text").cache(), words, frequent, counts, different
+
+
 def test_scores_match_a_plain_sum_and_training_helps(docs, odd):
-    frequent, trained = lm_scoring.fit(docs)
-    untrained = lm_scoring.fit(docs, rounds=0)[1]
+    own, words, frequent, counts, _ = coded(docs)
+    trained, untrained = lm_scoring.fit(own, counts), lm_scoring.start(counts)
+    order = lambda rows: sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, len((r.text or "").lower().split()) if "text" in r else r.n_words))
     for df in (docs, odd):
-        rows = lm_scoring.score(df, frequent, trained).collect()
-        texts = [r.text or "" for r in df.select("text").collect()]
-        for r, t in list(zip(rows, texts))[:40]:
-            assert r.n_words == len(t.lower().split())
+        rows = lm_scoring.score(coded(df, words)[0], trained)
+        assert rows.columns == ["doc_id", "n_words", "log_prob", "mean_log_prob"]
+        for r, d in list(zip(order(rows.collect()), order(df.collect()), strict=True))[:40]:
+            t = d.text or ""
+            assert (r.doc_id, r.n_words) == (d.doc_id, len(t.lower().split()))
             if r.n_words < 3000:
                 assert abs(r.log_prob - brute_score(t, frequent, trained)) < 1e-3 * max(1, r.n_words)
             assert (r.mean_log_prob is None) == (r.n_words == 0)
-    mean = lambda net: lm_scoring.score(docs, frequent, net).selectExpr("sum(log_prob) / sum(n_words) as m").first().m
+    mean = lambda net: lm_scoring.score(own, net).selectExpr("sum(log_prob) / sum(n_words) as m").first().m
     assert mean(trained) > mean(untrained) + 0.3  # the untrained one knows the frequencies only
 
 
@@ -139,12 +148,10 @@ def test_gradient():
 
 def test_training_against_a_plain_loop(docs):
     """Blocks, rounds and averages, redone on the driver."""
-    few = docs.where("length(text) < 3000")
-    frequent, got = lm_scoring.fit(few, block_words=3000)
-    words = lm_scoring.count_words(few, "text")
-    counts = lm_scoring.class_totals(words, frequent)[0]
+    own, _, _, counts, _ = coded(docs.where("length(text) < 3000"))
+    got = lm_scoring.fit(own, counts, block_words=3000)
     blocks = 2 * max(1, math.ceil(counts.sum() / 6000))
-    rows = lm_scoring.pieces(few, "doc_id", "text", frequent).selectExpr("*", f"pmod(xxhash64(key, part), {blocks}L) as block").collect()
+    rows = own.where("kind = 1").selectExpr("*", f"pmod(xxhash64(key, part), {blocks}L) as block").collect()
     net = lm_scoring.start(counts)
     for turn in range(2):
         total, seen = 0, 0
@@ -160,11 +167,7 @@ def test_training_against_a_plain_loop(docs):
 
 
 def test_same_scores_for_any_partitioning(docs):
-    def scores(df):
-        words = lm_scoring.count_words(df, "text").cache()
-        return {r.doc_id: (r.n_words, r.log_prob) for r in lm_scoring.score(df, *lm_scoring.fit(df, words=words), words=words).collect()}
-
-    one, other = scores(docs), scores(docs.repartition(7))
+    one, other = ({r.doc_id: (r.n_words, r.log_prob) for r in lm_scoring.score_corpus(df).collect()} for df in (docs, docs.repartition(7)))
     assert one.keys() == other.keys()
     for i, (n, log_prob) in one.items():
         assert other[i][0] == n and abs(other[i][1] - log_prob) <= 1e-4 * max(1, n)
@@ -172,9 +175,8 @@ def test_same_scores_for_any_partitioning(docs):
 
 def test_words_count_within_their_class(spark, docs, odd):
     """Words of a shared class count by how often the other documents use them."""
-    words = lm_scoring.count_words(docs, "text").cache()
-    counts = {r.word: r.n for r in words.collect()}
-    frequent, net = lm_scoring.fit(docs, rounds=0, words=words)
+    _, words, frequent, totals, different = coded(docs)
+    counts, net = {r.word: r.n for r in words.collect()}, lm_scoring.start(totals)
     classes = lm_scoring.Classes(frequent)
     by_class = {}
     for w in counts:
@@ -189,14 +191,14 @@ def test_words_count_within_their_class(spark, docs, odd):
             total += math.log((max(0, counts.get(w, 0) - own[w]) + lm_scoring.SMOOTH) / rest)
         return total
 
+    scored = lambda df, *more: lm_scoring.score(coded(df, words)[0], net, "doc_id", *more).collect()
     single = {w[-2:]: w for w, n in counts.items() if n == 1 and w not in frequent}
     common = max((n, w) for w, n in counts.items() if w not in frequent and n > 2 and w[-2:] in single)[1]
     texts = [(1, f"{frequent[0]} {common}"), (2, f"{frequent[0]} {single[common[-2:]]}")]
-    got = {r.doc_id: r.log_prob for r in lm_scoring.score(spark.createDataFrame(texts, "doc_id long, text string"), frequent, net, words=words).collect()}
+    got = {r.doc_id: r.log_prob for r in scored(spark.createDataFrame(texts, "doc_id long, text string"), words, totals, different)}
     assert got[1] > got[2]
     for df in (docs.limit(60), odd):
-        plain = lm_scoring.score(df, frequent, net).collect()
-        full = lm_scoring.score(df, frequent, net, words=words).collect()
+        plain, full = scored(df), scored(df, words, totals, different)
         order = lambda rows: sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.n_words))
         texts = {(r.doc_id, len((r.text or "").split())): r.text or "" for r in df.collect()}
         for a, b in zip(order(plain), order(full), strict=True):
@@ -208,13 +210,19 @@ def test_words_count_within_their_class(spark, docs, odd):
 def test_every_word_is_trained_on(spark):
     """All places of a document are learned."""
     rows = [(i, " ".join(f"x{j}" for j in range(17))) for i in range(2000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    frequent, trained = lm_scoring.fit(docs)
-    untrained = lm_scoring.fit(docs, rounds=0)[1]
+    own, _, frequent, counts, _ = coded(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     codes = lm_scoring.Classes(frequent)(rows[0][1])
-    logs = [lm_scoring.log_probabilities(n, lm_scoring.windows(codes), codes) for n in (trained, untrained)]
+    logs = [lm_scoring.log_probabilities(n, lm_scoring.windows(codes), codes) for n in (lm_scoring.fit(own, counts), lm_scoring.start(counts))]
     assert (logs[0] > logs[1]).all()
-    assert lm_scoring.pieces(docs, "doc_id", "text", frequent).selectExpr(f"sum(length(codes) / 2 - {2 * lm_scoring.SIDE}) as n").first().n == 2000 * 17
+    assert own.where("kind = 1").selectExpr(f"sum(length(codes) / 2 - {2 * lm_scoring.SIDE}) as n").first().n == 2000 * 17
+
+
+def test_many_batches(docs, monkeypatch):
+    """Results don't depend on how many documents are looked up together."""
+    one = {r.doc_id: r.log_prob for r in lm_scoring.score_corpus(docs, rounds=0).collect()}
+    monkeypatch.setattr(lm_scoring, "PIECE", 100)
+    other = {r.doc_id: r.log_prob for r in lm_scoring.score_corpus(docs.repartition(9), rounds=0).collect()}
+    assert one.keys() == other.keys() and all(abs(one[i] - other[i]) < 1e-4 * (1 + abs(one[i])) for i in one)
 
 
 def test_large_weights_do_not_overflow():
@@ -224,6 +232,6 @@ def test_large_weights_do_not_overflow():
     assert np.isfinite(lm_scoring.log_probabilities(net, around, target)).all()
 
 
-def test_empty_table(none):
-    frequent, net = lm_scoring.fit(none)
-    assert frequent == [] and lm_scoring.score(none, frequent, net).count() == 0
+def test_empty_table(none, odd):
+    assert lm_scoring.score_corpus(none).count() == 0
+    assert lm_scoring.score_corpus(odd).count() == odd.count()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or what the context was given.
+
+    Where neither is set, a local session, as in tests, gets a temporary folder; on a
+    cluster that is an error, since a folder of one machine isn't shared.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellum-"))
     return folder or sc._jsc.sc().getCheckpointDir().get()
 
@@ -39,6 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, of compressed columns of which readers take what they need."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts are long rows: unless the session says otherwise, a worker gets 2,000 of them at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

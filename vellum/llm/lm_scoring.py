@@ -19,7 +19,7 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, map_rows, table
+from vellum.llm.common import cut, map_rows, small_batches, table, written
 
 #: Classes of frequent words, classes of other words by ending, words seen on each side, hidden units.
 FREQUENT, ENDINGS, SIDE, HIDDEN = 511, 128, 2, 24
@@ -40,10 +40,8 @@ WIDE = -(-CLASSES // GROUPS)
 ROUNDS, RATE, WINDOWS, BLOCK_WORDS = 2, 0.1, 2048, 1 << 20
 #: Words of a piece of a document; windows mixed before they are dealt to steps.
 PIECE, MIXED = 4096, 1 << 16
-#: Words taken at once: a memory bound, without effect on results.
-BLOCK = 1 << 15
-#: Documents, whose numbers have 16 bits, and words that are looked up together.
-TOGETHER, WORDS_TOGETHER = 2048, 1 << 21
+#: Windows scored at once; documents, whose numbers have 16 bits, and words that are looked up together: memory bounds, without effect on results.
+BLOCK, TOGETHER, WORDS_TOGETHER = 1 << 15, 8192, 1 << 22
 EDGE, SEED = 0, 11
 #: Added to the count of every word of a class, and of one unseen word.
 SMOOTH = 0.5
@@ -51,17 +49,52 @@ SMOOTH = 0.5
 SLICE = 4096
 
 
+class Vocabulary:
+    """Numbers for the words of some documents, in order of first use."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict = defaultdict(itertools.count().__next__)
+        self.sizes: list[int] = []
+        self.parts: list[np.ndarray] = []
+        self.total = 0
+
+    def add(self, text: str | None) -> None:
+        words = text.lower().split() if text else []
+        self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+        self.sizes.append(len(words))
+        self.total += len(words)
+
+    def full(self) -> bool:
+        return len(self.sizes) >= TOGETHER or self.total >= WORDS_TOGETHER
+
+    def codes(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int32), *self.parts])
+
+
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) over all documents; counts are added up within batches before the shuffle."""
+    """(word, n) over all documents; counts are added up over many documents before the shuffle."""
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        seen = Vocabulary()
 
-    def work(batch: pa.RecordBatch):
-        found: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            found.update((text or "").lower().split())
-        if found:
-            yield {"word": list(found.keys()), "n": list(found.values())}
+        def counted():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen.number), pa.string()), pa.array(np.bincount(seen.codes(), minlength=len(seen.number)))], schema=schema)
 
-    return map_rows(docs, [text_col], work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.add(text)
+                if seen.full():
+                    yield counted()
+                    seen.clear()
+        if seen.number:
+            yield counted()
+
+    small_batches(docs.sparkSession)
+    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Classes:
@@ -69,21 +102,13 @@ class Classes:
 
     def __init__(self, frequent: list[str]):
         self.known = {w: i + 1 for i, w in enumerate(frequent)}
-        self.fixed = len(self.known)
 
     def __call__(self, text: str) -> np.ndarray:
         return self.of(text.lower().split())
 
     def of(self, words: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > 300_000:  # forget the rare ones
-            self.known = known = dict(list(known.items())[: self.fixed])
-        out = [known.get(w) for w in words]
-        if None in out:
-            for i, w in enumerate(words):
-                if out[i] is None:
-                    out[i] = known[w] = 1 + FREQUENT + zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % ENDINGS
-        return np.array(out, np.int32)
+        return np.array([known.get(w) or 1 + FREQUENT + zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % ENDINGS for w in words], np.int32)
 
 
 def start(counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -226,20 +251,70 @@ class Copy:
             self.xs, self.ys, self.waiting, self.seen = [], [], 0, self.seen + self.waiting
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, frequent: list[str]) -> DataFrame:
-    """Rows (key, part, codes): the classes of each document in pieces, with SIDE classes more at both ends."""
+#: Rows of ``encoded``: kind 0 a document, 1 a piece of its classes, 2 a word of a shared class.
+ENCODED = "kind int, batch long, doc int, id {}, n_words long, key long, part int, codes binary, word string, code int, docs binary"
+
+
+def encoded(docs: DataFrame, frequent: list[str], id_col: str, text_col: str) -> DataFrame:
+    """Documents as numbers. A batch is some thousands of documents of one task, numbered within it.
+
+    kind 0: batch, doc, id, n_words of a document. kind 1: key (content hash), part, codes: the
+    document's classes in pieces, with SIDE classes more at both ends. kind 2: each
+    different word of a batch that shares its class, with its class and its occurrences as
+    packed document numbers, ascending.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = dict(docs.select(id_col).dtypes)[id_col]
+    types = to_arrow_schema(StructType.fromDDL(ENCODED.format(kind)))
+
+    def run(batches):
+        classes, seen, numbers = Classes(frequent), Vocabulary(), itertools.count()
+        ids: list = []
+        keys: list = []
+
+        def rows(n, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in types], schema=types)
 
-    def work(batch: pa.RecordBatch, classes: Classes):
-        for at in range(0, batch.num_rows, 256):
-            rows = []
-            for key, text in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in (0, 1))):
-                codes = classes(text or "")
-                wide = np.pad(codes, SIDE, constant_values=EDGE).astype(np.int16)
-                rows += [(key, a // PIECE, wide[a : a + PIECE + 2 * SIDE].tobytes()) for a in range(0, len(codes), PIECE)]
-            if rows:
-                yield dict(zip(("key", "part", "codes"), zip(*rows)))
+        def done():
+            batch = TaskContext.get().partitionId() << 32 | next(numbers)
+            words, codes, sizes, n = list(seen.number), seen.codes(), np.array(seen.sizes), len(ids)
+            of = classes.of(words)
+            yield rows(n, kind=[0] * n, batch=[batch] * n, doc=np.arange(n, dtype=np.int32), id=ids, n_words=sizes)
+            edges = np.cumsum([0, *sizes]).tolist()
+            some = []
+            for i, (a, z) in enumerate(zip(edges, edges[1:])):
+                wide = np.pad(of[codes[a:z]], SIDE, constant_values=EDGE).astype(np.int16)
+                some += [(i, keys[i], x // PIECE, wide[x : x + PIECE + 2 * SIDE].tobytes()) for x in range(0, z - a, PIECE)]
+                if some and (len(some) >= 1024 or i + 1 == n):
+                    yield rows(len(some), kind=[1] * len(some), batch=[batch] * len(some), **dict(zip(("doc", "key", "part", "codes"), zip(*some))))
+                    some = []
+            shared = np.flatnonzero(of > FREQUENT)
+            rare = np.flatnonzero(of[codes] > FREQUENT)
+            order = rare[np.argsort(codes[rare], kind="stable")]
+            raw = np.repeat(np.arange(n, dtype=np.uint16), sizes)[order].tobytes()
+            stops = (2 * np.cumsum(np.bincount(codes[rare], minlength=len(words))[shared])).tolist()
+            starts = [0, *stops]
+            for x in range(0, len(shared), 50_000):
+                part = shared[x : x + 50_000].tolist()
+                m = len(part)
+                yield rows(m, kind=[2] * m, batch=[batch] * m, word=[words[j] for j in part], code=of[part], docs=[raw[a:z] for a, z in zip(starts[x : x + m], stops[x : x + m])])
+
+        for batch in batches:
+            for i, key, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                ids.append(i)
+                keys.append(key)
+                seen.add(text)
+                if seen.full():
+                    yield from done()
+                    seen.clear()
+                    ids, keys = [], []
+        if ids:
+            yield from done()
 
-    return map_rows(docs, [F.xxhash64(id_col, text_col), text_col], work, "key long, part int, codes binary", lambda: Classes(frequent))
+    small_batches(docs.sparkSession)
+    return docs.select(id_col, F.xxhash64(id_col, text_col), text_col).mapInArrow(run, ENCODED.format(kind))
 
 
 def train_round(dealt: DataFrame, net: dict) -> dict:
@@ -295,121 +370,68 @@ def class_totals(words: DataFrame, frequent: list[str]) -> tuple[np.ndarray, np.
     return counts, different
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, words: DataFrame | None = None, block_words: int = BLOCK_WORDS) -> tuple[list[str], dict]:
-    """Frequent words and the trained network. The driver holds FREQUENT words, class counts and one network.
-
-    ``words`` are the counts of ``count_words``, where they are there already. The result is the
-    same for every partitioning of ``docs``, but for the rounding of sums.
-    """
-    words = cut(count_words(docs, text_col)) if words is None else words
+def vocabulary(words: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The frequent words, and occurrences and different words of each class. The driver holds FREQUENT words and class counts."""
     frequent = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    counts = class_totals(words, frequent)[0]
-    net = start(counts)
-    if rounds:
-        blocks = rounds * max(1, math.ceil(counts.sum() / (rounds * block_words)))
-        dealt = cut(pieces(docs, id_col, text_col, frequent).withColumn("block", F.pmod(F.xxhash64("key", "part"), F.lit(blocks))))
-        for turn in range(rounds):
-            net = train_round(dealt.where(F.col("block") % rounds == turn), net)
-    return frequent, net
+    return frequent, *class_totals(words, frequent)
+
 
+def fit(coded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, block_words: int = BLOCK_WORDS) -> dict:
+    """The network, trained on all pieces of ``encoded``. The driver holds one network.
 
-def postings(words: list[str], docs: np.ndarray) -> dict:
-    """Different words and, for each, the documents of its occurrences as packed 16-bit numbers."""
-    found = pa.array(words, pa.string()).dictionary_encode()
-    codes = found.indices.to_numpy()
-    raw = docs[np.argsort(codes, kind="stable")].astype(np.uint16).tobytes()
-    stops = (2 * np.cumsum(np.bincount(codes, minlength=len(found.dictionary)))).tolist()
-    return {"_word": found.dictionary.to_pylist(), "_docs": [raw[a:z] for a, z in zip([0, *stops], stops)]}
+    The result is the same for every partitioning of the documents, but for the rounding of sums.
+    """
+    net = start(counts)
+    blocks = max(1, rounds) * max(1, math.ceil(counts.sum() / (max(1, rounds) * block_words)))
+    dealt = coded.where("kind = 1").select(F.pmod(F.xxhash64("key", "part"), F.lit(blocks)).alias("block"), "key", "part", "codes")
+    for turn in range(rounds):
+        net = train_round(dealt.where(F.col("block") % rounds == turn), net)
+    return net
 
 
-def score(docs: DataFrame, frequent: list[str], net: dict, id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
-    """Score every whole text.
+def score(coded: DataFrame, net: dict, id_col: str = "doc_id", words: DataFrame | None = None, counts: np.ndarray | None = None, different: np.ndarray | None = None) -> DataFrame:
+    """Score every whole text of ``encoded``.
 
     Returns id, n_words, log_prob and mean_log_prob (null for texts that are null or without
-    words, whose sum is 0). With ``words``, the counts (word, n) of the corpus, log_prob sums
-    log p(word's class | both sides) + log p(word | class) over the words, the latter from the
+    words, whose sum is 0). With ``words``, the counts (word, n) of the corpus, and the totals by class,
+    log_prob sums log p(word's class | both sides) + log p(word | class) over the words, the latter from the
     counts less those of the document itself; without, the former only. Repeated rows give repeated
-    rows; an empty table gives an empty one; other columns are never read.
+    rows; an empty table gives an empty one.
     """
     given = flat(net)
 
-    def measure(texts: list, own: dict, classes: Classes) -> tuple[list[list[str]], list[np.ndarray], np.ndarray, np.ndarray]:
-        """Words, classes, number of words and sum of the classes' log-probabilities of each text."""
-        tokens = [(t or "").lower().split() for t in texts]
-        codes = [classes.of(t) for t in tokens]
-        sizes = np.array([len(c) for c in codes])
-        sums = np.zeros(len(codes))
-        first = 0
-        while first < len(codes):
-            last, taken = first, 0
-            while last < len(codes) and (last == first or taken + sizes[last] <= BLOCK):
-                taken += sizes[last]
-                last += 1
-            if taken:
-                target = np.concatenate(codes[first:last])
-                around = np.concatenate([windows(c) for c in codes[first:last]])
-                logs = np.concatenate([log_probabilities(own, around[a : a + BLOCK], target[a : a + BLOCK]) for a in range(0, taken, BLOCK)])
-                sums[first:last] = np.bincount(np.repeat(np.arange(last - first), sizes[first:last]), logs, last - first)
-            first = last
-        return tokens, codes, sizes, sums
-
-    def means(sums: np.ndarray, sizes: np.ndarray) -> list:
-        return [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist())]
-
-    def by_class(batch: pa.RecordBatch, state):
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            *_, sizes, sums = measure(part.column(1).to_pylist(), *state[:2])
-            yield {id_col: part.column(0), "n_words": sizes, "log_prob": sums, "mean_log_prob": means(sums, sizes)}
-
-    def with_words(batch: pa.RecordBatch, state):
-        """A row for each document, and one for each different word of a class of several."""
-        own, classes, numbers = state
-        many, where, key, documents, size = [], [], None, 0, 0
-
-        def found():
-            rows = postings(many, np.concatenate(where))
-            n = len(rows["_word"])
-            none = [None] * n
-            return {"_batch": [key] * n, "_doc": none, "_id": none, "n_words": none, "log_prob": none, "_code": classes.of(rows["_word"]), **rows}
-
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            n = part.num_rows
-            if key is None or documents + n > TOGETHER or size > WORDS_TOGETHER:
-                if many:
-                    yield found()
-                many, where, documents, size = [], [], 0, 0
-                key = TaskContext.get().partitionId() << 32 | next(numbers)
-            tokens, codes, sizes, sums = measure(part.column(1).to_pylist(), own, classes)
-            for i, (t, c) in enumerate(zip(tokens, codes)):
-                rare = np.flatnonzero(c > FREQUENT).tolist()
-                many += [t[j] for j in rare]
-                where.append(np.full(len(rare), documents + i))
-            # a document's key has a space in it, which no word has
-            yield {"_batch": [key] * n, "_doc": np.arange(documents, documents + n), "_id": part.column(0), "n_words": sizes, "log_prob": sums, "_word": [f"{key} {i}" for i in range(documents, documents + n)], "_code": [None] * n, "_docs": [None] * n}
-            documents, size = documents + n, size + int(sizes.sum())
-        if many:
-            yield found()
-
-    kind = dict(docs.select(id_col).dtypes)[id_col]
-    out = f"{id_col} {kind}, n_words long, log_prob double, mean_log_prob double"
-    begin = lambda: (from_flat(given), Classes(frequent), itertools.count())
-    if words is None:
-        return map_rows(docs, [id_col, text_col], by_class, out, begin)
-
-    counts, different = class_totals(words, frequent)
-    rows = map_rows(docs, [id_col, text_col], with_words, f"_batch long, _doc int, _id {kind}, n_words long, log_prob double, _word string, _code int, _docs binary", begin)
-    known = words.select(F.col("word").alias("_known"), F.col("n").alias("_n"))
-    joined = rows.join(known, F.col("_word") == F.col("_known"), "left").drop("_word", "_known")
+    def work(batch: pa.RecordBatch, own: dict):
+        at = 0
+        codes = batch.column(2)
+        sizes = pc.binary_length(codes).to_numpy() // 2 - 2 * SIDE
+        while at < batch.num_rows:
+            stop = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK, "right")))
+            wide = [np.frombuffer(c, np.int16).astype(np.int32) for c in codes.slice(at, stop - at).to_pylist()]
+            logs = log_probabilities(own, np.concatenate([around_each(w) for w in wide]), np.concatenate([w[SIDE : len(w) - SIDE] for w in wide]))
+            yield {"batch": batch.column(0).slice(at, stop - at), "doc": batch.column(1).slice(at, stop - at), "log_prob": np.add.reduceat(logs, np.cumsum([0, *sizes[at : stop - 1]]))}
+            at = stop
+
+    kind = dict(coded.dtypes)["id"]
+    by_class = map_rows(coded.where("kind = 1"), ["batch", "doc", "codes"], work, "batch long, doc int, log_prob double", lambda: from_flat(given))
+    rows = coded.where("kind = 0").select("batch", "doc", "id", "n_words").unionByName(by_class, allowMissingColumns=True)
+    with_words = words is not None
+    if with_words:
+        # a word of one document alone counts 0 elsewhere, as an unknown one does, so its count isn't sent
+        known = words.where("n > 1").select(F.col("word").alias("_known"), "n")
+        found = coded.where("kind = 2").select("batch", "word", "code", "docs").join(known, F.col("word") == F.col("_known"), "left").drop("word", "_known")
+        rows = rows.unionByName(found, allowMissingColumns=True)
 
     def add_up(t: pa.Table) -> pa.Table:
-        base, found = t.filter(pc.is_null(t["_docs"])), t.filter(pc.is_valid(t["_docs"]))
-        inside = within(found["_n"].fill_null(0).to_numpy(), found["_code"].to_numpy(), found["_docs"].to_pylist(), counts, different)
-        sums, sizes = base["log_prob"].to_numpy() + inside[base["_doc"].to_numpy()], base["n_words"].to_numpy()
-        return pa.table({id_col: base["_id"], "n_words": base["n_words"], "log_prob": sums, "mean_log_prob": pa.array(means(sums, sizes), pa.float64())})
+        base, pieces = t.filter(pc.is_valid(t["n_words"])), t.filter(pc.is_valid(t["log_prob"]))
+        sums = np.bincount(pieces["doc"].to_numpy(), pieces["log_prob"].to_numpy(), TOGETHER)
+        if with_words:
+            found = t.filter(pc.is_valid(t["docs"]))
+            sums = sums + within(found["n"].fill_null(0).to_numpy(), found["code"].to_numpy(), found["docs"].to_pylist(), counts, different)
+        own, sizes = sums[base["doc"].to_numpy()], base["n_words"].to_numpy()
+        means = pa.array([x / n if n else None for x, n in zip(own.tolist(), sizes.tolist())], pa.float64())
+        return pa.table({id_col: base["id"], "n_words": base["n_words"], "log_prob": own, "mean_log_prob": means})
 
-    return joined.groupBy("_batch").applyInArrow(add_up, out)
+    return rows.groupBy("batch").applyInArrow(add_up, f"{id_col} {kind}, n_words long, log_prob double, mean_log_prob double")
 
 
 def within(n: np.ndarray, code: np.ndarray, docs: list[bytes], counts: np.ndarray, different: np.ndarray) -> np.ndarray:
@@ -424,15 +446,24 @@ def within(n: np.ndarray, code: np.ndarray, docs: list[bytes], counts: np.ndarra
     first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
     own = np.diff(first, append=len(doc))
     word, doc = word[first], doc[first]
-    there = doc * CLASSES + code[word]
-    in_class = np.bincount(there, own, TOGETHER * CLASSES)[there]
+    there, place = np.unique(doc * CLASSES + code[word], return_inverse=True)
+    in_class = np.bincount(place, own, len(there))[place]
     rest = np.maximum(n[word] - own, 0) + SMOOTH
     total = np.maximum(counts[code[word]] - in_class, 0) + SMOOTH * (different[code[word]] + 1)
     return np.bincount(doc, own * (np.log(rest) - np.log(total)), TOGETHER)
 
 
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Train on all documents and score each of them: id, n_words, log_prob, mean_log_prob (see ``score``).
+
+    Other columns are never read. Documents are encoded once, into a table in the shared folder.
+    """
+    words = cut(count_words(docs, text_col))
+    frequent, counts, different = vocabulary(words)
+    coded = written(encoded(docs, frequent, id_col, text_col), "encoded")
+    return score(coded, fit(coded, counts, rounds, block_words), id_col, words, counts, different)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every document under a network trained on all of them."""
-    docs = table(spark, sf_dir, "documents")
-    words = cut(count_words(docs, "text"))
-    return score(docs, *fit(docs, words=words), words=words)
+    return score_corpus(table(spark, sf_dir, "documents"))
