@@ -37,7 +37,7 @@ CLASSES = 1 + FREQUENT + ENDINGS
 GROUPS = 20
 WIDE = -(-CLASSES // GROUPS)
 #: Rounds of averaging; step size; windows in a step; words of a block, which one copy trains on.
-ROUNDS, RATE, WINDOWS, BLOCK_WORDS = 2, 0.1, 2048, 1 << 20
+ROUNDS, RATE, WINDOWS, BLOCK_WORDS = 2, 0.1, 4096, 1 << 20
 #: Words of a piece of a document; windows mixed before they are dealt to steps.
 PIECE, MIXED = 4096, 1 << 16
 #: Windows scored at once; documents, whose numbers have 16 bits, and words that are looked up together: memory bounds, without effect on results.
@@ -162,7 +162,7 @@ def hidden(net: dict, around: np.ndarray) -> np.ndarray:
 
 def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """An order by class, the groups in it, and (group, start, stop) of those that occur."""
-    order = np.argsort(target, kind="stable")
+    order = np.argsort(target.astype(np.int16), kind="stable")  # numpy sorts short integers by radix
     group = target[order] // WIDE
     edges = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
     return order, group, [(k, i, j) for k, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
@@ -197,8 +197,8 @@ def softmax_error(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return z
 
 
-def gradient(net: dict, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of embed, their gradient, gradient of top, gradient of inner) of the mean negative log-likelihood."""
+def gradient(net: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+    """The gradient of the mean negative log-likelihood."""
     n = len(target)
     order, group, runs = by_group(target)
     x, classes = around[order], target[order]
@@ -210,21 +210,19 @@ def gradient(net: dict, around: np.ndarray, target: np.ndarray) -> tuple[np.ndar
         back[i:j] += error @ net["inner"][k, :HIDDEN].T
         inner[k] = h[i:j].T @ error
     back *= 1 - h[:, :HIDDEN] ** 2
-    flat_rows = x.ravel()
-    by_row = np.argsort(flat_rows, kind="stable")
-    rows = flat_rows[by_row]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[first], np.add.reduceat(back[by_row // (2 * SIDE)], first, axis=0), top, inner
+    columns = back.T.astype(np.float64)  # a count for each side and hidden unit is the fastest sum by row
+    embed = np.empty_like(net["embed"])
+    for j in range(2 * SIDE):
+        rows = x[:, j] - j * CLASSES
+        for k in range(HIDDEN):
+            embed[j * CLASSES : (j + 1) * CLASSES, k] = np.bincount(rows, columns[k], CLASSES)
+    return {"embed": embed, "top": top, "inner": inner}
 
 
 def train(net: dict, squares: dict, around: np.ndarray, target: np.ndarray) -> None:
     """One pass of gradient steps in place; each weight's step is RATE over the root of its squared gradients so far."""
     for a in range(0, len(target), WINDOWS):
-        rows, embed, top, inner = gradient(net, around[a : a + WINDOWS], target[a : a + WINDOWS])
-        seen = squares["embed"][rows] + embed * embed
-        squares["embed"][rows] = seen
-        net["embed"][rows] -= RATE * embed / np.sqrt(seen)
-        for k, d in (("top", top), ("inner", inner)):
+        for k, d in gradient(net, around[a : a + WINDOWS], target[a : a + WINDOWS]).items():
             squares[k] += d * d
             net[k] -= RATE * d / np.sqrt(squares[k])
 
