@@ -92,35 +92,65 @@ def test_shards_are_even_and_whole(odd, docs, none):
     assert {r.shard for r in sharding.kd_shards(docs, target_bytes=1 << 40).collect()} == {0}
 
 
-def brute_split(points, leaves, lo=0):
+def brute_split(groups, leaves, lo=0):
     """Sort by the full key and cut where the bytes below come nearest to the goal."""
     if leaves == 1:
-        return {lo: sum(p["size"] for p in points)}
-    dim = max(sharding.DIMENSIONS, key=lambda d: max(p[d] for p in points) - min(p[d] for p in points))
-    points = sorted(points, key=lambda p: (p[dim], p["crc"], p["id_hash"]))
-    goal, below, best = sum(p["size"] for p in points) * (leaves // 2) / leaves, 0, (1e18, 0)
-    for i, p in enumerate(points):
+        return {lo: sum(p["w"] for p in groups)}
+    dim = max(sharding.DIMENSIONS, key=lambda d: max(p[d] for p in groups) - min(p[d] for p in groups))
+    groups = sorted(groups, key=lambda p: (p[dim], p["tie"]))
+    goal, below, best = sum(p["w"] for p in groups) * (leaves // 2) / leaves, 0, (1e18, 0)
+    for i, p in enumerate(groups):
         if abs(goal - below) < best[0]:
             best = (abs(goal - below), i)
-        below += p["size"]
-    return brute_split(points[: best[1]], leaves // 2, lo) | brute_split(points[best[1] :], leaves - leaves // 2, lo + leaves // 2)
+        below += p["w"]
+    return brute_split(groups[: best[1]], leaves // 2, lo) | brute_split(groups[best[1] :], leaves - leaves // 2, lo + leaves // 2)
 
 
-def test_splits_match_a_sorted_cut(docs):
-    points = [r.asDict() for r in sharding.points(docs, "doc_id", "text")[0].collect()]
-    want = brute_split(points, 6)
+@pytest.mark.parametrize("few", [20_000, 1])  # bins put in order at once, or refined to the end
+def test_splits_match_a_sorted_cut(docs, monkeypatch, few):
+    monkeypatch.setattr(sharding, "BIN_POINTS", few)
+    rows = sharding.points(docs, 6, None, "doc_id", "text")[0]
+    want = brute_split([r.asDict() for r in rows.groupBy(*sharding.DIMENSIONS, "tie").agg({"size": "sum"}).withColumnRenamed("sum(size)", "w").collect()], 6)
     got = defaultdict(int)
     for r in sharding.kd_shards(docs, shards=6, tolerance=0).collect():
         got[r.shard] += r["size"]
     assert dict(got) == want
 
 
-def test_equal_texts_share_a_shard_unless_too_heavy(spark):
+def test_equal_texts_share_a_shard(spark):
+    """At the default tolerance only the group that is too heavy alone is cut, and the shards stay near equal."""
     rows = [(i, f"text number {i % 400} " + "y" * (i % 400)) for i in range(1200)] + [(5000 + i, "hot copy") for i in range(6000)]
-    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=8, tolerance=0.02).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.kd_shards(docs, shards=8).collect()
     texts = dict(rows)
-    by_text = defaultdict(set)
+    by_text, size = defaultdict(set), Counter()
     for r in got:
         by_text[texts[r.doc_id]].add(r.shard)
-    split = [t for t, s in by_text.items() if len(s) > 1]
-    assert len(split) <= 4
+        size[r.shard] += r["size"]
+    assert len(got) == len(rows) and [t for t, s in by_text.items() if len(s) > 1] in ([], ["hot copy"])
+    assert max(size.values()) < 1.1 * min(size.values())
+
+
+def test_many_shards(docs):
+    """A node count far beyond that of the query plans and runs; equal texts share shards there too."""
+    rows = sharding.kd_shards(docs, shards=150).collect()
+    by_text = defaultdict(set)
+    for r in rows:
+        by_text[r["size"], r.text_crc32].add(r.shard)
+    assert len({r.shard for r in rows}) > 75 and all(0 <= r.shard < 150 for r in rows) and len(rows) == docs.count()
+    heavy = {k for k, n in Counter((r["size"], r.text_crc32) for r in rows).items() if n > 1 and n * k[0] > max(r["size"] for r in rows)}
+    assert {k for k, s in by_text.items() if len(s) > 1} <= heavy
+
+
+def test_query_op6(spark, sf):
+    from vellum.llm.registry import QUERIES
+
+    got = QUERIES["op6_kd_sharding"](spark, sf)
+    assert got.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    rows = got.collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    by_text = defaultdict(set)
+    for r in rows:
+        by_text[texts[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for s in by_text.values())
