@@ -3,6 +3,7 @@
 import io
 from contextlib import redirect_stdout
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import geometry, validation
@@ -30,3 +31,29 @@ def test_empty_report(spark, sf):
     empty = boxes(spark, sf).where("false")
     assert validation.issue_list(validation.slide_checks(empty)).count() == 0
     assert validation.summary(spark.createDataFrame([], "needs_review boolean, failed boolean, auto_fixed boolean, diff_pct double")).first()["slides"] == 0
+
+
+def test_tree_of_any_depth(spark):
+    from vellum.operators import tree
+
+    rows = [(i, i - 1 if i % 40 else None, i % 3 if i % 4 else None) for i in range(120)] + [(500, 499, 1)]
+    nodes = spark.createDataFrame(rows, "node_id int, parent_id int, z int")
+    assert tree.tree_depth(nodes) == 40
+    found = {r.node_id: len(r.path) for r in tree.with_paths(nodes, ["z"]).collect()}
+    assert found == {i: i % 40 + 1 for i in range(120)}  # 500's parent isn't there
+    assert tree.tree_depth(nodes.where("false")) == 1
+    with pytest.raises(ValueError):
+        tree.tree_depth(spark.createDataFrame([(1, 2), (2, 1)], "node_id int, parent_id int"))
+
+
+def test_boxes_without_pixels_keep_their_background(spark):
+    from vellum.operators import pixels as px
+
+    ring = spark.createDataFrame([(1, "101010", 16.0, 16.0, 16.0), (2, None, 16.0, 16.0, 16.0)], "slide_idx int, bg string, med_r double, med_g double, med_b double")
+    inside = spark.createDataFrame([(2, 16, 16, 16)], "slide_idx int, r int, g int, b int")
+    got = {r.slide_idx: (r.fg, r.bg) for r in px.text_colour(inside, ring, ["slide_idx"]).collect()}
+    assert got == {1: ("000000", "101010"), 2: ("FFFFFF", None)}
+
+
+def test_coverage_without_text(spark, sf):
+    assert {r.coverage_pct for r in validation.slide_checks(boxes(spark, sf)).select("coverage_pct").distinct().collect()} == {100}

@@ -72,3 +72,38 @@ def test_drawn_pictures_are_not_shrunk_further(spark, sf):
 
     rects = QUERIES["decompose_pictures"](spark, sf).where("kind = 'rect'").collect()
     assert any(r.x + r.w > 80 for r in rects) and any(r.y + r.h > 45 for r in rects)
+
+
+def test_inputs_of_folders_and_files(spark, tmp_path):
+    (tmp_path / "d" / "deep").mkdir(parents=True)
+    for name in ("b.HTML", "a.Htm", "c.html", "no.txt", "deep/x.html"):
+        (tmp_path / "d" / name).write_text(f"<h1>{name}</h1>")
+    (tmp_path / "notes 1.TXT").write_text("plain")
+    got = split.read_inputs(spark, [(str(tmp_path / "notes 1.TXT"), False), (str(tmp_path / "d"), True)])
+    assert [(r.input_idx, r.path.rsplit("/", 1)[1]) for r in got.orderBy("input_idx", "path").collect()] == [(0, "notes 1.TXT"), (1, "a.Htm"), (1, "b.HTML"), (1, "c.html")]
+    slides = split.split_documents(got, "content", "path").orderBy("input_idx", "path").collect()
+    assert [(r.name, r.title) for r in slides] == [("notes 1", "notes 1"), ("a", "a.Htm"), ("b", "b.HTML"), ("c", "c.html")]
+
+
+def test_pasted_strings_are_titled_by_their_number(spark):
+    df = spark.createDataFrame([(0, "<p>x</p>"), (1, "<h1>T</h1>")], "idx int, content string").withColumn("path", F.lit("paste"))
+    out = split.number_documents(split.split_documents(df, "content", "path").withColumn("job", F.lit(1)), ["idx", "slide_idx"], ["job"])
+    assert [(r["name"], r.title) for r in out.orderBy("idx").collect()] == [("slide-01", "slide-01"), ("slide-02", "T")]
+
+
+def test_titles_count_script_units(spark):
+    from vellum.functions.text import utf16_prefix
+
+    texts = ["a" * 70, "\U0001f600" * 40, "a" + "\U0001f600" * 40, "short", "é" * 61]
+    want = ["a" * 60, "\U0001f600" * 30, "a" + "\U0001f600" * 29, "short", "é" * 60]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.p for r in df.select("i", utf16_prefix(F.col("t"), 60).alias("p")).orderBy("i").collect()] == want
+
+
+def test_jpeg_with_a_long_header(spark):
+    from vellum.sources.image_header import image_size
+
+    comment = b"\xff\xfe\x00\x04ab"
+    frame = b"\xff\xc2\x00\x11\x08" + (300).to_bytes(2, "big") + (500).to_bytes(2, "big") + b"\x03"
+    df = spark.createDataFrame([(n, bytearray(b"\xff\xd8" + comment * n + frame)) for n in (0, 1, 63, 64, 200)], "n int, c binary")
+    assert {(r.s.w, r.s.h) for r in df.select(image_size(F.col("c")).alias("s")).collect()} == {(500, 300)}

@@ -84,9 +84,11 @@ def rewrite_links(html: Column, base: str = "") -> Column:
     return html
 
 
-def log_line(ts: Column, level: Column, scope: Column, message: Column) -> Column:
+def log_line(ts: Column, level: Column, scope: Column, *arguments: Column | tuple[Column, bool]) -> Column:
+    """A log line of any number of arguments; (column, True) marks objects (structs, maps, arrays), which are written as JSON."""
     stamp = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return F.concat(F.lit("["), stamp, F.lit("] ["), pad_right(level, 5), F.lit("] ["), scope, F.lit("] "), message)
+    parts = [F.to_json(a[0]) if isinstance(a, tuple) and a[1] else (a[0] if isinstance(a, tuple) else a).cast("string") for a in arguments]
+    return F.concat(F.lit("["), stamp, F.lit("] ["), pad_right(level, 5), F.lit("] ["), scope, F.lit("] "), F.concat_ws(" ", *[F.coalesce(p, F.lit("null")) for p in parts]))
 
 
 # Where the phases of a job lie on its bar.
@@ -101,15 +103,27 @@ def progress_fraction(phase: Column, done: Column, total: Column) -> Column:
     return F.when(phase == "slide", rendering).when(phase == "refine", refining).otherwise(fixed)
 
 
+# What a job's bar says in its phases; the counts follow where a phase has them.
+LABELS = {"ingest": "Reading input…", "write": "Writing deck…", "verify": "Verifying with PowerPoint…", "refine-load": "Refining drifted slides…", "refine": "Refining drifted slides…"}
+
+
 def progress_label(phase: Column, done: Column, total: Column) -> Column:
+    """What a job is doing, from its phase and counts; null for unknown phases."""
     count = F.concat(done.cast("string"), F.lit(" / "), total.cast("string"))
+    begun = F.concat(F.lit("Rendering "), total.cast("string"), F.when(total > 1, " slides…").otherwise(" slide…"))
     return (
-        F.when(phase == "slide", F.concat(F.lit("slide "), count))
-        .when((phase == "refine") & (F.coalesce(total, F.lit(0)) != 0), F.concat(F.lit("refining "), count))
-        .when(phase.isin(*BANDS, "refine"), phase)
+        F.when(phase == "slide", F.concat(F.lit("Rendering slide "), count))
+        .when(phase == "start", begun)
+        .when((phase == "refine") & (F.coalesce(total, F.lit(0)) != 0), F.concat(F.lit("Refining slide "), count))
+        .otherwise(F.coalesce(*[F.when(phase == p, F.lit(text)) for p, text in LABELS.items()]))
     )
 
 
+def progress_kind(phase: Column) -> Column:
+    """struct(indet, slow): bars without a known end, and phases that take long."""
+    return F.struct((phase == "ingest").alias("indet"), phase.isin("verify", "refine-load", "refine").alias("slow"))
+
+
 def time_left(elapsed: Column, fraction: Column) -> Column:
     """Elapsed * (1 - f) / f, where 0.06 < f < 0.999; else null."""
     return F.when((fraction > 0.06) & (fraction < 0.999), elapsed * (1 - fraction) / fraction)

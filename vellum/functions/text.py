@@ -43,10 +43,23 @@ def pad_right(c: Column, width: int, fill: str = " ") -> Column:
     return F.when(F.length(c) >= width, c).otherwise(F.rpad(c, width, fill))
 
 
+def utf16_prefix(c: Column, n: int) -> Column:
+    """The first n UTF-16 units, as scripts count; a character that would be cut in half is left out."""
+    units = F.encode(c, "UTF-16BE")
+    half = F.hex(F.substring(units, 2 * n - 1, 1)).between("D8", "DB") & (F.length(units) > 2 * n)
+    cut = F.decode(F.substring(units, F.lit(1), F.when(half, 2 * n - 2).otherwise(2 * n)), "UTF-16BE")
+    return F.when(F.length(c) * 2 == F.length(units), F.substring(c, 1, n)).otherwise(cut)
+
+
+def number_text(c: Column) -> Column:
+    """A number as scripts print it: no ``.0`` at the end; null as null."""
+    return F.coalesce(F.regexp_replace(c.cast("double").cast("string"), r"\.0$", ""), F.lit("null"))
+
+
 def page_title(html: Column, fallback: Column) -> Column:
-    """The trimmed title element, else the first 60 characters of the first h1 without tags, else the fallback."""
+    """The trimmed title element, else the first 60 units of the first h1 without tags, else the fallback."""
     title = trim(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))
-    h1 = F.substring(trim(F.regexp_replace(F.regexp_extract(html, "(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", "")), 1, 60)
+    h1 = utf16_prefix(trim(F.regexp_replace(F.regexp_extract(html, "(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", "")), 60)
     return F.coalesce(F.nullif(title, F.lit("")), F.nullif(h1, F.lit("")), fallback)
 
 
@@ -54,7 +67,7 @@ def card_title(html: Column, number: Column) -> Column:
     """The variant shown in lists: tags are stripped from titles too, both are cut at 60, fallback ``Slide N``."""
     def clean(tag: str) -> Column:
         found = F.regexp_extract(html, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
-        return F.nullif(F.substring(trim(F.regexp_replace(found, "<[^>]+>", "")), 1, 60), F.lit(""))
+        return F.nullif(utf16_prefix(trim(F.regexp_replace(found, "<[^>]+>", "")), 60), F.lit(""))
 
     return F.coalesce(clean("title"), clean("h1"), F.concat(F.lit("Slide "), number.cast("string")))
 

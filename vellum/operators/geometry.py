@@ -36,6 +36,26 @@ def clamp(x: Column, y: Column, w: Column, h: Column, bound_w: Column, bound_h:
     return F.when((x1 - x0 >= 0.5) & (y1 - y0 >= 0.5), box(half_up(x0), half_up(y0), half_up(x1 - x0), half_up(y1 - y0)))
 
 
+def whole_box(own: Column, bound_w: Column, bound_h: Column) -> Column:
+    """A box bounded by the canvas only, for small marks that are meant to be seen whole."""
+    return clamp(own["x"], own["y"], own["w"], own["h"], bound_w, bound_h)
+
+
+def text_box(text: Column, own: Column, bound_w: Column, bound_h: Column) -> Column:
+    """The box of an element's rendered text (clipped as its own box is), where that is over half a pixel each way; else its own box."""
+    tight = F.when((text["w"] > 0.5) & (text["h"] > 0.5), text).otherwise(own)
+    return clamp(tight["x"], tight["y"], tight["w"], tight["h"], bound_w, bound_h)
+
+
+def px_to_inches(px: Column) -> Column:
+    """At 96 pixels an inch."""
+    return px / 96.0
+
+
+def px_to_points(px: Column) -> Column:
+    return px * 0.75
+
+
 def overlap_area(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column, bw: Column, bh: Column) -> Column:
     ox = F.greatest(F.lit(0), F.least(ax + aw, bx + bw) - F.greatest(ax, bx))
     oy = F.greatest(F.lit(0), F.least(ay + ah, by + bh) - F.greatest(ay, by))
@@ -54,11 +74,16 @@ def overflow_fit(df: DataFrame, slide: str = "slide_idx", bound: tuple[int, int]
     return grown.select(slide, fit_w.alias("fit_w"), fit_h.alias("fit_h"), ((fit_w > canvas[0] + 1) | (fit_h > canvas[1] + 1)).alias("overflow"))
 
 
-def refit(df: DataFrame, fits: DataFrame, slide: str = "slide_idx") -> DataFrame:
-    """Clamp elements to their slide's fit and drop what lies outside."""
-    joined = df.join(fits.select(F.col(slide).alias("_s"), "fit_w", "fit_h"), F.col(slide) == F.col("_s"))
-    c = clamp(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("fit_w"), F.col("fit_h"))
-    return joined.withColumn("_c", c).where(F.col("_c").isNotNull()).withColumns({k: F.col(f"_c.{k}") for k in ("x", "y", "w", "h")}).drop("_s", "_c", "fit_w", "fit_h")
+def fitted(df: DataFrame, slide: str = "slide_idx", bound: tuple[int, int] = (1 << 30, 1 << 30), canvas: tuple[int, int] = CANVAS) -> DataFrame:
+    """Elements clamped to their slide's grown canvas; what lies outside is dropped.
+
+    The canvas is a window over the slide, so it shares the shuffle of a stacking order that follows.
+    """
+    content, whole = F.col("kind").isin(*CONTENT_KINDS), Window.partitionBy(slide)
+    grown = lambda end, least, most: F.least(F.greatest(F.lit(least), F.coalesce(F.max(F.when(content, end)).over(whole), F.lit(0))), F.lit(most))
+    fits = df.withColumns({"_w": grown(F.col("x") + F.col("w"), canvas[0], bound[0]), "_h": grown(F.col("y") + F.col("h"), canvas[1], bound[1])})
+    c = clamp(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("_w"), F.col("_h"))
+    return fits.withColumn("_c", c).where(F.col("_c").isNotNull()).withColumns({k: F.col(f"_c.{k}") for k in ("x", "y", "w", "h")}).drop("_c", "_w", "_h")
 
 
 def stacking_order(df: DataFrame, slide: str = "slide_idx", z: str = "z", index: str = "elem_idx") -> DataFrame:
@@ -121,9 +146,3 @@ def widen_text(place: Column, w: Column, h: Column, size: Column, align: Column,
 def clipped_share(visible_w: Column, visible_h: Column, whole_w: Column, whole_h: Column, share: float) -> Column:
     """Whether less than the share of the whole area is visible (0.6 for icons, 0.75 for text)."""
     return (whole_w * whole_h > 0) & (visible_w * visible_h < share * whole_w * whole_h)
-
-
-def grid_candidates(df: DataFrame, slide: str, cell: int) -> DataFrame:
-    """A row for each grid cell a box touches: columns cx, cy. Equi-keys for overlap joins of crowded slides."""
-    cells = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor(b / cell)))
-    return df.withColumn("cx", cells(F.col("x"), F.col("x") + F.col("w"))).withColumn("cy", cells(F.col("y"), F.col("y") + F.col("h")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import signature
+from vellum.functions.text import signature, trim
 
 
 def ingest_memo(requests: DataFrame, key: list[str], order: str, missing: DataFrame, on: str) -> DataFrame:
@@ -26,11 +26,17 @@ def monotone(df: DataFrame, job: str, order: list[str], fraction: str) -> DataFr
 
 
 def event_frames(df: DataFrame, stream: str, schema: str) -> DataFrame:
-    """Events out of text streams: frames end in a blank line, data lines hold JSON; broken ones are skipped."""
-    frames = df.select("*", F.posexplode(F.split(stream, "\n\n")).alias("frame_idx", "_f"))
-    data = F.regexp_extract("_f", r"(?m)^data: ?(.*)$", 1)
-    parsed = frames.withColumn("event", F.from_json(data, schema, {"mode": "PERMISSIVE"}))
-    return parsed.where(F.col("event").isNotNull() & F.col("event.phase").isNotNull()).drop("_f", stream)
+    """Events out of text streams, with frame_idx.
+
+    A frame ends in a blank line; what follows the last one isn't complete yet. Its first data
+    line holds JSON; frames without one and malformed JSON are skipped, all other events stay,
+    whatever their type and fields.
+    """
+    chunks = F.split(stream, "\n\n", -1)
+    frames = df.select("*", F.posexplode(F.slice(chunks, F.lit(1), F.size(chunks) - 1)).alias("frame_idx", "_f"))
+    line = F.get(F.filter(F.split("_f", "\n"), lambda x: x.startswith("data:")), F.lit(0))
+    body = frames.withColumn("_d", trim(F.substring(line, 6, 1 << 30)))
+    return body.where(F.try_parse_json("_d").isNotNull()).withColumn("event", F.from_json("_d", schema)).drop("_f", "_d", stream)
 
 
 def source_signature(df: DataFrame, keys: list[str], name: str, content: str) -> DataFrame:

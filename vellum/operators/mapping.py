@@ -81,6 +81,32 @@ def decomposed_layer(items: DataFrame, embedded: DataFrame, slide: str = "slide_
     return text_layer(marked, F.col("_e").isNull() & trusted(F.col("conf"))).drop("_s", "_i", "_e")
 
 
+def decomposed_shapes(rects: DataFrame, images: DataFrame, slide: str = "slide_idx", width: str = "width", height: str = "height") -> DataFrame:
+    """Placed rectangles and artwork of rebuilt pictures, rectangles first: strategy, reason, deck box, and the corner radius in inches.
+
+    Sides are at least 0.03 inches; a radius over half a pixel makes a rounded rectangle, whose
+    corners take at most half of the shorter side.
+    """
+    s = scale(F.col(width), F.col(height))
+    at = letterbox(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col(width), F.col(height), 0.03)
+    placed = [at["x"].alias("in_x"), at["y"].alias("in_y"), at["w"].alias("in_w"), at["h"].alias("in_h")]
+    rounded = F.coalesce(F.col("radius"), F.lit(0.0)) > 0.5
+    inches = lambda px: F.round(px * s, 3)
+    radius = F.when(rounded, F.least(inches(F.col("radius")), inches(F.least("w", "h")) / 2)).otherwise(0.0)
+    box_ = [slide, "x", "y", "w", "h"]
+    shapes = rects.select(*box_, F.lit(0).alias("layer"), F.lit("native-shape").alias("strategy"), F.lit(None).cast("string").alias("reason"), F.when(rounded, "roundRect").otherwise("rect").alias("shape"), *placed, radius.alias("in_radius"))
+    art = images.select(*box_, F.lit(1).alias("layer"), F.lit("image").alias("strategy"), F.lit("art").alias("reason"), F.lit(None).cast("string").alias("shape"), *placed, F.lit(0.0).alias("in_radius"))
+    return shapes.unionByName(art)
+
+
+def fix_items(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Text items of a slide that is done again as a picture: each text element's runs joined, its box, its largest size, black."""
+    runs = F.array_sort(F.collect_list(F.struct("run_idx", "text", "size")))
+    one = texts.groupBy(*keys, "x", "y", "w", "h").agg(runs.alias("_r"))
+    size = F.greatest(F.array_max(F.transform("_r", lambda r: F.coalesce(r["size"], F.lit(0)))), F.lit(1))
+    return one.select(*keys, "x", "y", "w", "h", F.array_join(F.transform("_r", lambda r: r["text"]), "").alias("text"), size.alias("size"), F.lit("000000").alias("color"))
+
+
 def overlay_layer(items: DataFrame, mode: str = "visible") -> DataFrame:
     """Text over a whole picture: visible where its background is plain and it is trusted, in visible mode."""
     return text_layer(items, F.lit(mode == "visible") & F.col("bg").isNotNull() & trusted(F.col("conf")))

@@ -39,19 +39,21 @@ def middle_colour(samples: DataFrame, keys: list[str]) -> DataFrame:
 
 def text_colour(inside: DataFrame, ring: DataFrame, keys: list[str]) -> DataFrame:
     """fg and bg of each box: the median of pixels far (L1 over 120) from the ring's median, if at least 4;
-    bg is withdrawn if over 15 % of the pixels are far (over 90) from both; without far pixels fg contrasts."""
+    bg is withdrawn if over 15 % of the pixels are far (over 90) from both; without far pixels fg contrasts;
+    a box without any pixel inside keeps its bg, with black text."""
     def away(prefix: str) -> Column:
         return sum((F.abs(F.col(c) - F.col(f"{prefix}_{c}")) for c in CHANNELS), F.lit(0.0))
 
-    near = inside.join(ring, keys).withColumn("far", away("med") > 120)
+    near = ring.join(inside, keys, "left").withColumn("far", away("med") > 120)
     fg = near.where("far").groupBy(*keys).agg(*[F.median(c).alias(f"fg_{c}") for c in CHANNELS], F.count(F.lit(1)).alias("n_far")).where("n_far >= 4")
     judged = near.join(fg, keys, "left")
     other = F.count_if((away("med") > 90) & (away("fg") > 90)) / F.count(F.lit(1))
+    n_inside = F.count("r").alias("n_inside")
     first = [F.first(c).alias(c) for c in ("bg", *[f"med_{c}" for c in CHANNELS], *[f"fg_{c}" for c in CHANNELS])]
-    out = judged.groupBy(*keys).agg(other.alias("other"), *first)
+    out = judged.groupBy(*keys).agg(other.alias("other"), n_inside, *first)
     found = F.concat(*[hex2(F.floor(f"fg_{c}")) for c in CHANNELS])
     has = F.col("fg_r").isNotNull()
-    return out.select(*keys, F.when(has, found).otherwise(contrast(*[F.col(f"med_{c}") for c in CHANNELS])).alias("fg"), F.when(~(has & (F.col("other") > 0.15)), F.col("bg")).alias("bg"))
+    return out.select(*keys, F.when(has, found).when(F.col("n_inside") == 0, "000000").otherwise(contrast(*[F.col(f"med_{c}") for c in CHANNELS])).alias("fg"), F.when(~(has & (F.col("other") > 0.15)), F.col("bg")).alias("bg"))
 
 
 def colour_counts(pixels: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,9 +9,14 @@ from vellum.functions.text import squeeze, trim
 
 
 def flatten_words(df: DataFrame, tree: str) -> DataFrame:
-    """Words out of nested blocks, paragraphs and lines (arrays of structs), with line_id and word_idx."""
+    """Words out of nested blocks, paragraphs and lines (arrays of structs), with line_id and word_idx.
+
+    A line recognised without words counts as one word: its fields of the same names as a word's.
+    """
     lines = df.select("*", F.posexplode(tree).alias("_b", "_block")).select("*", F.posexplode("_block.paragraphs").alias("_p", "_para")).select("*", F.posexplode("_para.lines").alias("_l", "_line"))
-    words = lines.select("*", F.posexplode("_line.words").alias("word_idx", "word"))
+    line = lines.schema["_line"].dataType
+    whole = F.struct(*[(F.col(f"_line.{f.name}") if f.name in line.names else F.lit(None)).cast(f.dataType).alias(f.name) for f in line["words"].dataType.elementType])
+    words = lines.select("*", F.posexplode(F.when(F.size("_line.words") > 0, F.col("_line.words")).otherwise(F.array(whole))).alias("word_idx", "word"))
     return words.withColumn("line_id", F.struct("_b", "_p", "_l")).drop(tree, "_block", "_para", "_line", "_b", "_p", "_l")
 
 

@@ -2,7 +2,7 @@
 
 A node row holds its materialised path, an array of structs from the root to itself, so that
 every ancestor rule is an array function on the row and needs no join along the tree.
-``with_paths`` builds the paths from parent links, a level a join, up to the tree's depth.
+``with_paths`` builds the paths from parent links, a level a join, down to the deepest node.
 """
 
 from __future__ import annotations
@@ -12,10 +12,35 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import squeeze
 from vellum.operators.geometry import box
+from vellum.session import shared_folder
 
 
-def with_paths(nodes: DataFrame, keep: list[str], depth: int, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
-    """Add ``path``: structs (node, *keep) from the root down to the node, for trees up to ``depth`` levels."""
+#: Doublings after which parent links are taken for a circle: paths of over 4,096 nodes.
+ROUNDS = 12
+
+
+def tree_depth(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id") -> int:
+    """Levels of the deepest tree. Links to ancestors double in reach with every round, so rounds grow with the depth's logarithm."""
+    shared_folder(nodes.sparkSession)
+    links = nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("up"), F.lit(1).alias("far"))
+    for _ in range(ROUNDS + 1):
+        above = links.select(F.col("n").alias("_n"), F.col("up").alias("_up"), F.col("far").alias("_far"))
+        joined = links.join(above, F.col("up") == F.col("_n"), "left")
+        more = F.col("_n").isNotNull()
+        links = joined.select("n", F.when(more, F.col("_up")).otherwise(F.col("up")).alias("up"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), more.alias("more")).checkpoint()
+        s = links.agg(F.coalesce(F.bool_or("more"), F.lit(False)).alias("more"), F.coalesce(F.max("far"), F.lit(0)).alias("far")).first()
+        if not s["more"]:
+            return s["far"] + 1
+    raise ValueError(f"paths of over {1 << ROUNDS} nodes: parent links go in a circle")
+
+
+def with_paths(nodes: DataFrame, keep: list[str], depth: int | None = None, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
+    """Add ``path``: structs (node, *keep) from the root down to the node.
+
+    ``depth`` is the number of levels, where it is known; otherwise ``tree_depth`` finds it.
+    Nodes whose parent isn't there hang on no root and are left out.
+    """
+    depth = depth or tree_depth(nodes, node, parent)
     item = F.struct(F.col(node), *keep)
     level = nodes.where(F.col(parent).isNull()).withColumn("path", F.array(item))
     out = level
@@ -95,6 +120,17 @@ def direct_text(df: DataFrame, keys: list[str], order: str, text: str) -> DataFr
     return df.groupBy(*keys).agg(squeeze(joined).alias("text"))
 
 
+# Tags that run inside a line of text.
+INLINE = ("SPAN", "B", "STRONG", "EM", "I", "A", "U", "SMALL", "MARK", "SUB", "SUP", "BR", "LABEL", "CODE")
+ICON = r"\bfa[srlbd]?\b|\bfa-"
+
+
+def block_children(children: DataFrame, parent: str = "parent_id", tag: str = "tag") -> DataFrame:
+    """Per parent whether it has a block child: one that is neither inline (icons are) nor media."""
+    block = ~F.col(tag).isin(*INLINE, "svg", "IMG")
+    return children.groupBy(parent).agg(F.bool_or(block).alias("block_child"))
+
+
 def text_runs(df: DataFrame, keys: list[str], order: str = "run_idx") -> DataFrame:
     """Runs (array of structs) of a text node, one level deep: bold from weight 600 on, BR as line breaks, blank runs dropped."""
     br = F.col("tag") == "BR"
@@ -121,7 +157,7 @@ def table_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def element_kinds(tag: Column, is_chart: Column, rich: Column, cls: Column, shaped: Column, has_text: Column, block_child: Column) -> Column:
     """The kinds of elements a node yields, in order: media and tables one, others a shape and a text or none."""
-    icon = (tag == "I") & cls.rlike(r"\bfa[srlbd]?\b|\bfa-")
+    icon = (tag == "I") & cls.rlike(ICON)
     one = (
         F.when(is_chart, "chart")
         .when(tag == "TABLE", F.when(rich, "table-image").otherwise("table"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import half_up
+from vellum.functions.text import half_up, number_text
 from vellum.operators.geometry import CANVAS, overlap_area
 
 # Tolerated share of changed pixels by class of slide.
@@ -52,14 +52,26 @@ def coverage(native_chars: Column, source_chars: Column) -> Column:
 
 
 def slide_checks(report: DataFrame, slide: str = "slide_idx") -> DataFrame:
-    """Counts a slide: n_elements, n_text, n_off_canvas, n_unrendered, n_clipped, n_collisions, and collisions (percent, in pair order)."""
+    """Counts a slide: n_elements, n_text, n_off_canvas, n_unrendered, n_clipped, n_collisions, collisions (percent,
+    in pair order), strategies (a map to counts) and coverage_pct.
+
+    Coverage needs the columns native_chars (what an element shows as native text) and source_chars (the
+    element's part of the source's text); it is 100 where the report has none.
+    """
+    chars = [F.sum(c).alias(c) for c in ("native_chars", "source_chars") if c in report.columns]
     counts = report.groupBy(slide).agg(
         F.count(F.lit(1)).alias("n_elements"),
         F.count_if(F.col("strategy") == "native-text").alias("n_text"),
         F.count_if(off_canvas(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("n_off_canvas"),
         F.count_if(F.col("strategy").isin(*UNRENDERED)).alias("n_unrendered"),
         F.count_if(F.coalesce("clipped", F.lit(False))).alias("n_clipped"),
+        F.array_sort(F.collect_list("strategy")).alias("_all"),
+        *chars,
     )
+    names = F.array_distinct("_all")
+    counts = counts.withColumn("strategies", F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter("_all", lambda x: x == n))))).drop("_all")
+    share = coverage(F.coalesce("native_chars", F.lit(0)), F.coalesce("source_chars", F.lit(0))) if len(chars) == 2 else F.lit(100)
+    counts = counts.withColumn("coverage_pct", share)
     hits = text_collisions(report, slide).groupBy(slide).agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "pct"))), lambda s: s["pct"]).alias("collisions"))
     return counts.join(hits, slide, "left").withColumn("n_collisions", F.coalesce(F.size("collisions"), F.lit(0)))
 
@@ -94,25 +106,40 @@ def flag_drift(diffs: DataFrame, kind: str = "kind", override: float | None = No
     return out.withColumn("flagged", F.col("diff_pct").isNull() | (F.col("diff_pct") > F.col("tolerance")))
 
 
+def drift_issue(diff_pct: Column, tolerance_: Column, region: Column) -> Column:
+    """The issue of a flagged slide: difference, tolerance and the worst region (an array of four), which a missing slide hasn't."""
+    return F.concat(F.lit("visual drift "), number_text(diff_pct), F.lit("% (>"), number_text(tolerance_), F.lit("%) @"), F.coalesce(F.to_json(region), F.lit("undefined")))
+
+
 def reconcile(reports: DataFrame, verified: DataFrame, slide: str = "slide_idx") -> DataFrame:
     """Join reports with verified slides by key. Drift becomes an issue; a good comparison drops
     collision and clipping issues; slides without a comparison stay as they are."""
-    v = verified.select(F.col(slide).alias("_s"), "diff_pct", "tolerance", "flagged")
+    v = verified.select(F.col(slide).alias("_s"), "diff_pct", "tolerance", "flagged", "worst_region")
     joined = reports.join(v, F.col(slide) == F.col("_s"), "left")
-    drift = F.concat(F.lit("visual drift "), F.coalesce(F.format_string("%.2f", "diff_pct"), F.lit("null")), F.lit("% (>"), F.format_string("%.1f", "tolerance"), F.lit("%)"))
+    drift = drift_issue(F.col("diff_pct"), F.col("tolerance"), F.col("worst_region"))
     kept = F.filter("issues", lambda i: ~i.rlike(OVERRULED))
     issues = F.when(F.col("_s").isNull(), F.col("issues")).when(F.col("flagged"), F.concat("issues", F.array(drift))).otherwise(kept)
-    return joined.withColumn("issues", issues).withColumn("needs_review", F.size("issues") > 0).drop("_s")
+    return joined.withColumn("issues", issues).withColumn("needs_review", F.size("issues") > 0).drop("_s", "worst_region")
 
 
 def needs_fix(flagged: Column, needs_review: Column, image_slide: Column, failed: Column) -> Column:
     return (F.coalesce(flagged, F.lit(False)) | needs_review) & ~image_slide & ~failed
 
 
-def retry_once(reports: DataFrame, again: DataFrame, slide: str = "slide_idx") -> DataFrame:
-    """Replace the rows of slides done again, once; the others stay."""
-    rest = reports.join(again.select(slide), slide, "left_anti")
-    return rest.withColumn("auto_fixed", F.lit(False)).unionByName(again.withColumn("auto_fixed", F.lit(True)), allowMissingColumns=True)
+def second_check(layer: DataFrame, diffs: DataFrame, slide: str = "slide_idx") -> DataFrame:
+    """Reports of slides done again as pictures with a text layer, after their own comparison: coverage, text_count, issues."""
+    again = image_report(layer, slide).join(flag_drift(diffs.withColumn("kind", F.lit("image"))), slide)
+    issues = F.when(F.col("flagged"), F.array(drift_issue(F.col("diff_pct"), F.col("tolerance"), F.col("worst_region")))).otherwise(F.array().cast("array<string>"))
+    return again.withColumn("issues", issues).withColumn("needs_review", F.col("flagged")).drop("kind", "worst_region", "invisible")
+
+
+def retry_once(reports: DataFrame, again: DataFrame, picked: Column, slide: str = "slide_idx") -> DataFrame:
+    """Picked slides take the columns that ``again``, a row a slide, has for them; the others stay. One join; slides are done again once."""
+    new = {c: f"_again_{c}" for c in again.columns if c != slide}
+    joined = reports.join(again.select(F.col(slide).alias("_s"), *[F.col(c).alias(n) for c, n in new.items()]), (F.col(slide) == F.col("_s")) & picked, "left")
+    fixed = F.col("_s").isNotNull()
+    kept = {c: F.when(fixed, F.col(n)).otherwise(F.col(c)) if c in reports.columns else F.col(n) for c, n in new.items()}
+    return joined.withColumns(kept | {"auto_fixed": fixed}).drop("_s", *new.values())
 
 
 def failure_rows(slides: DataFrame, message: Column, slide: str = "slide_idx") -> DataFrame:
@@ -133,6 +160,11 @@ def summary(reports: DataFrame) -> DataFrame:
     )
 
 
+def shown_cards(reports: DataFrame, mode: str = "all") -> DataFrame:
+    """The slides that a filter leaves visible: all, ok (without review) or rev (to review)."""
+    return reports if mode == "all" else reports.where(F.col("needs_review") == (mode == "rev"))
+
+
 def drift_meter(diff_pct: Column, tolerance_: Column) -> Column:
     """A bar of 0 to 100 on which the tolerance is at 75."""
     return F.least(F.lit(100.0), 75 * diff_pct / F.coalesce(tolerance_, F.lit(8.0)))

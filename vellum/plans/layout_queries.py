@@ -47,8 +47,7 @@ def overflow_fit(spark, sf_dir):
 )
 def z_order(spark, sf_dir):
     e = _elements(spark, sf_dir)
-    fitted = geometry.refit(e, geometry.overflow_fit(e, bound=(1900, 1000)))
-    return geometry.stacking_order(fitted).select("slide_idx", "elem_idx", "w", "h", "op_idx")
+    return geometry.stacking_order(geometry.fitted(e, bound=(1900, 1000))).select("slide_idx", "elem_idx", "w", "h", "op_idx")
 
 
 SCALE = "least(13.333 / cast(1280 + size * 8 as double), 7.5 / cast(720 + size * 3 as double))"
@@ -94,7 +93,7 @@ TREE_KEEP = ["z", "clips", "visible", "consumes", "sibling", "x", "y", "w", "h"]
 
 
 def _paths(spark, sf_dir):
-    return tree.with_paths(nodes(spark, sf_dir), TREE_KEEP, 3)
+    return tree.with_paths(nodes(spark, sf_dir), TREE_KEEP)
 
 
 @query(f"with recursive {NODES}, {PATHS} select a.leaf as node_id, coalesce(min_by(n.z, a.up) filter (where n.z is not null), 0) as z from anc a join nodes n using (node_id) group by 1")
@@ -245,3 +244,42 @@ def overlay_layer(spark, sf_dir):
 @query(f"with {ITEMS}, l as (select slide_idx, bg is not null and (conf is null or conf >= 65) as vis from items where trim(text) <> '') select slide_idx, not bool_or(vis) as invisible from l group by 1")
 def invisible_slides(spark, sf_dir):
     return mapping.invisible_slides(mapping.overlay_layer(text_items(spark, sf_dir)))
+
+
+BOUNDED = "case when least({x} + {w}, 1280) - greatest(0, {x}) >= 0.5 and least({y} + {h}, 720) - greatest(0, {y}) >= 0.5 then {v} end"
+
+
+@query(
+    f"""with {BOXES}, t as (select *, case when size % 3 = 0 then 0 else w // 2 end as tw, h // 2 as th from boxes), b as (select *, case when tw > 0.5 and th > 0.5 then x + 5 else x end as bx, case when tw > 0.5 and th > 0.5 then tw else w end as bw, case when tw > 0.5 and th > 0.5 then th else h end as bh from t)
+    select slide_idx, elem_idx, {BOUNDED.format(x="x", y="y", w="w", h="h", v="cast(least(x + w, 1280) - greatest(0, x) as bigint)")} as whole_w,
+    {BOUNDED.format(x="bx", y="y", w="bw", h="bh", v="cast(greatest(0, bx) as bigint)")} as text_x, {BOUNDED.format(x="bx", y="y", w="bw", h="bh", v="cast(least(bx + bw, 1280) - greatest(0, bx) as bigint)")} as text_w from b"""
+)
+def box_variants(spark, sf_dir):
+    """Boxes bounded by the canvas only, and boxes of rendered text with the element's own as fallback."""
+    own = geometry.box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+    tight = geometry.box(F.col("x") + 5, F.col("y"), F.when(F.col("size") % 3 == 0, 0).otherwise(F.floor(F.col("w") / 2)), F.floor(F.col("h") / 2))
+    whole = geometry.whole_box(own, F.lit(1280), F.lit(720))
+    text = geometry.text_box(tight, geometry.box(*[F.col(c).cast("long") for c in "xywh"]), F.lit(1280), F.lit(720))
+    return boxes(spark, sf_dir).select("slide_idx", "elem_idx", whole["w"].cast("long").alias("whole_w"), text["x"].cast("long").alias("text_x"), text["w"].cast("long").alias("text_w"))
+
+
+@query("select o_custkey as parent_id, bool_or(o_orderkey % 5 >= 3) as block_child from orders group by 1")
+def block_child(spark, sf_dir):
+    """Whether a node has a block child: spans, icons and pictures are none, paragraphs and divisions are."""
+    tags = F.array(*[F.lit(t) for t in ("SPAN", "I", "IMG", "P", "DIV")])
+    return tree.block_children(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("parent_id"), F.get(tags, (F.col("o_orderkey") % 5).cast("int")).alias("tag")))
+
+
+FIT = "least(13.333 / 1600.0, 7.5 / 900.0)"
+
+
+@query(
+    f"""with {BOXES}, p as (select *, case when strategy = 'native-shape' then size % 4 * 0.4 end as radius, {FIT} as s from boxes where strategy in ('native-shape', 'image'))
+    select slide_idx, x, y, w, h, cast(case strategy when 'image' then 1 else 0 end as int) as layer, strategy, case strategy when 'image' then 'art' end as reason, case when strategy = 'native-shape' then case when radius > 0.5 then 'roundRect' else 'rect' end end as shape,
+    round((13.333 - 1600 * s) / 2 + x * s, 3) as in_x, round((7.5 - 900 * s) / 2 + y * s, 3) as in_y, greatest(round(w * s, 3), 0.03) as in_w, greatest(round(h * s, 3), 0.03) as in_h,
+    case when coalesce(radius, 0) > 0.5 then least(round(radius * s, 3), round(least(w, h) * s, 3) / 2) else 0.0 end as in_radius from p"""
+)
+def decomposed_shapes(spark, sf_dir):
+    """Rectangles and artwork of rebuilt pictures, placed on the deck."""
+    b = boxes(spark, sf_dir).withColumns({"width": F.lit(1600), "height": F.lit(900)})
+    return mapping.decomposed_shapes(b.where("strategy = 'native-shape'").withColumn("radius", F.col("size") % 4 * 0.4), b.where("strategy = 'image'"))

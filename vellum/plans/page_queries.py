@@ -41,10 +41,53 @@ def page_split(spark, sf_dir):
     return out.select("blob_id", F.col("slide_idx").cast("long").alias("slide_idx"), "name", "title", F.length("html").cast("long").alias("n_chars"))
 
 
-@query(f"with {SPLIT} select blob_id, slide_idx, 'slide-' || case when k < 10 then '0' else '' end || k as name from (select blob_id, slide_idx, row_number() over (partition by blob_id // 10 order by blob_id, slide_idx) as k from parts)")
+@query(
+    f"""with {SPLIT}, named as (select blob_id, slide_idx, case when (blob_id + slide_idx) % 4 = 0 then '<p>untitled</p>' else html end as html, 'slide-' || case when k < 10 then '0' else '' end || k as name from (select *, row_number() over (partition by blob_id // 10 order by blob_id, slide_idx) as k from parts))
+    select blob_id, slide_idx, name, coalesce(nullif({TITLE}, ''), nullif(substr({H1}, 1, 60), ''), name) as title from named"""
+)
 def string_slides(spark, sf_dir):
+    """Pasted strings: names run over all strings of a job, and a document without a title is titled by its name."""
     parts = split.split_documents(blobs(spark, sf_dir), "content", "path").withColumn("job", F.floor(F.col("blob_id") / 10))
-    return split.number_documents(parts, ["blob_id", "slide_idx"], ["job"]).select("blob_id", F.col("slide_idx").cast("long").alias("slide_idx"), "name")
+    plain = parts.withColumn("html", F.when((F.col("blob_id") + F.col("slide_idx")) % 4 == 0, "<p>untitled</p>").otherwise(F.col("html")))
+    return split.number_documents(plain, ["blob_id", "slide_idx"], ["job"]).select("blob_id", F.col("slide_idx").cast("long").alias("slide_idx"), "name", "title")
+
+
+def _marked(spark, sf_dir, mark):
+    """Five pages a blob, each behind the mark of a rule."""
+    pages = table(spark, sf_dir, "pages").withColumn("blob_id", F.floor(F.col("page_id") / 5))
+    body = F.concat(F.lit(mark), F.lit("<h1>"), F.col("url"), F.lit("</h1>"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", body.alias("t")))), lambda s: s["t"]), "\n")
+    return pages.groupBy("blob_id").agg(joined.alias("content")).withColumn("path", F.concat(F.lit("/in/b"), F.col("blob_id").cast("string"), F.lit(".html")))
+
+
+def _by_mark(mark):
+    return f"""with numbered as (select page_id // 5 as blob_id, url, row_number() over (partition by page_id // 5 order by page_id) - 1 as slide_idx, count(*) over (partition by page_id // 5) as n from pages)
+    select blob_id, slide_idx, 'b' || blob_id || case when n > 1 then '-' || lpad(cast(slide_idx + 1 as varchar), 2, '0') else '' end as name, substr(url, 1, 60) as title, length('{mark}<h1></h1>') + length(url) as n_chars from numbered"""
+
+
+@query(_by_mark("<html lang=en>"))
+def split_by_html(spark, sf_dir):
+    """The second rule: several html elements, no doctype."""
+    out = split.split_documents(_marked(spark, sf_dir, "<html lang=en>"), "content", "path")
+    return out.select("blob_id", F.col("slide_idx").cast("long").alias("slide_idx"), "name", "title", F.length("html").cast("long").alias("n_chars"))
+
+
+@query(_by_mark('<div class="a slide-container">'))
+def split_by_container(spark, sf_dir):
+    """The third rule: several slide containers, neither doctype nor html element."""
+    out = split.split_documents(_marked(spark, sf_dir, '<div class="a slide-container">'), "content", "path")
+    return out.select("blob_id", F.col("slide_idx").cast("long").alias("slide_idx"), "name", "title", F.length("html").cast("long").alias("n_chars"))
+
+
+@query(
+    f"""with {SPLIT}, u as (select 0 as input_idx, blob_id as id, slide_idx from parts union all select 1, conv_id, turn from conversations)
+    select input_idx, id, slide_idx, row_number() over (partition by id order by input_idx, slide_idx) - 1 as slide_no from u"""
+)
+def mixed_inputs(spark, sf_dir):
+    """Slides of a mixed input, one kind after the other, numbered in that order within a job (here: an id)."""
+    pages = split.split_documents(blobs(spark, sf_dir), "content", "path").select(F.col("blob_id").alias("id"), F.col("slide_idx").cast("long").alias("slide_idx"))
+    talks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("slide_idx"))
+    return split.numbered(split.ordered_union([pages, talks]), ["id"], ["input_idx", "slide_idx"]).select("input_idx", "id", "slide_idx", "slide_no")
 
 
 @query(r"select page_id, length(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', '', 'g')) as n_chars, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as plain from pages")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vellum.functions import color, media
 from vellum.operators import lifecycle
+from vellum.operators.geometry import px_to_inches, px_to_points
 from vellum.plans.fixtures import table
 from vellum.plans.registry import query
+from vellum.session import shared_folder
 from vellum.sources import sinks
 
 COLOURS = """colours as (select p_partkey, case p_partkey % 5
@@ -28,11 +32,11 @@ def _colours(spark, sf_dir):
     rf"""with {COLOURS}, p as (select p_partkey, c, list_transform(string_split(nullif(regexp_extract(c, 'rgba?\(([^)]+)\)', 1, 'i'), ''), ','), lambda x: cast(trim(x) as double)) as v from colours)
     select p_partkey, case when v is not null then list_aggregate(list_transform(v[1:3], lambda x: lpad(to_hex(cast(greatest(0, least(255, floor(x + 0.5))) as bigint)), 2, '0')), 'string_agg', '')
       when regexp_matches(replace(c, '#', ''), '^[0-9a-fA-F]{{6}}$') then upper(replace(c, '#', '')) end as hex,
-      cast(case when v is not null then case when len(v) = 4 then v[4] else 1 end when regexp_matches(replace(c, '#', ''), '^[0-9a-fA-F]{{6}}$') then 1 else 0 end as double) as alpha from p"""
+      cast(case when v is not null then case when len(v) = 4 then v[4] else 1 end when regexp_matches(replace(c, '#', ''), '^[0-9a-fA-F]{{6}}$') then 1 else 0 end as double) as alpha, coalesce(hex, 'FFFFFF') as shown from p"""
 )
 def parse_color(spark, sf_dir):
     p = color.parse_color(F.col("c"))
-    return _colours(spark, sf_dir).select("p_partkey", p["hex"].alias("hex"), p["alpha"].alias("alpha"))
+    return _colours(spark, sf_dir).select("p_partkey", p["hex"].alias("hex"), p["alpha"].alias("alpha"), color.hex_of(F.col("c"), "FFFFFF").alias("shown"))
 
 
 STACKS = ("'Segoe UI', Tahoma, sans-serif", '"JetBrains Mono", monospace', "Oswald, sans-serif", "Playfair Display, serif", "Inter, Helvetica, sans-serif", "Noto Sans Serif Mix", "", "Georgia", "Roboto Slab, serif", "system-ui, serif")
@@ -62,7 +66,7 @@ def system_font(spark, sf_dir):
 )
 def align_dash(spark, sf_dir):
     pick = lambda v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("p_partkey") % len(v)).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", color.align_of(pick(("left", "center", "right", "justify", "start"))).alias("align"), color.dash_of(pick(("solid", "dashed", "dotted", "double"))).alias("dash"), (F.col("p_size") / 96.0).alias("inches"), (F.col("p_size") * 0.75).alias("pts"))
+    return table(spark, sf_dir, "part").select("p_partkey", color.align_of(pick(("left", "center", "right", "justify", "start"))).alias("align"), color.dash_of(pick(("solid", "dashed", "dotted", "double"))).alias("dash"), px_to_inches(F.col("p_size")).alias("inches"), px_to_points(F.col("p_size")).alias("pts"))
 
 
 @query(
@@ -108,9 +112,18 @@ def _logs(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.get(levels, (F.col("event_id") % 4).cast("int")).alias("level"), F.col("event_type").alias("scope"), F.col("props").alias("message"))
 
 
-@query(f"with {LOGS} select event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z] [' || rpad(level, 5, ' ') || '] [' || scope || '] ' || message as line, level in ('WARN', 'ERROR') as alert from logs")
+@query(f"""with {LOGS} select event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z] [' || rpad(level, 5, ' ') || '] [' || scope || '] ' || message || case when event_id % 2 = 0 then ' {{"id":' || event_id || ',"kind":"' || scope || '"}}' else ' null' end as line, level in ('WARN', 'ERROR') as alert from logs""")
 def log_lines(spark, sf_dir):
-    return _logs(spark, sf_dir).select("event_id", media.log_line(F.col("ts"), F.col("level"), F.col("scope"), F.col("message")).alias("line"), sinks.is_alert(F.col("level")).alias("alert"))
+    return _logs(spark, sf_dir).select("event_id", media.log_line(F.col("ts"), F.col("level"), F.col("scope"), F.col("message"), (F.when(F.col("event_id") % 2 == 0, F.struct(F.col("event_id").alias("id"), F.col("scope").alias("kind"))), True)).alias("line"), sinks.is_alert(F.col("level")).alias("alert"))
+
+
+@query(f"with {LOGS} select cast(cast(ts as date) as varchar) as day, 'all' as part, count(*) as n from logs group by 1 union all select cast(cast(ts as date) as varchar), 'alerts', count(*) from logs where level in ('WARN', 'ERROR') group by 1")
+def written_logs(spark, sf_dir):
+    """Logs written by day, warnings and errors also on their own, and read back."""
+    folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    sinks.write_logs(_logs(spark, sf_dir), folder)
+    parts = [spark.read.parquet(f"{folder}/{p}").groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")).select("day", F.lit(p).alias("part"), "n") for p in ("all", "alerts")]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"with {LOGS}, m as (select max(ts) as now from logs) select level, count(*) as n, min(event_id) as first_id from logs, m where ts >= now - interval 14 day group by level")
@@ -133,11 +146,12 @@ def progress(spark, sf_dir):
 
 @query(
     f"""with {PROGRESS}, f as (select *, {FRACTION} as fraction from progress) select event_id, round(fraction, 6) as fraction, case when fraction > 0.06 and fraction < 0.999 then round(value * (1 - fraction) / fraction, 4) end as eta,
-    case when phase = 'slide' then 'slide ' || done || ' / ' || total when phase = 'refine' then 'refining ' || done || ' / ' || total when phase <> 'other' then phase end as label from f"""
+    case phase when 'slide' then 'Rendering slide ' || done || ' / ' || total when 'refine' then 'Refining slide ' || done || ' / ' || total when 'ingest' then 'Reading input…' when 'start' then 'Rendering ' || total || ' slides…' when 'write' then 'Writing deck…' when 'verify' then 'Verifying with PowerPoint…' when 'refine-load' then 'Refining drifted slides…' end as label,
+    phase = 'ingest' as indet, phase in ('verify', 'refine-load', 'refine') as slow from f"""
 )
 def progress_fraction(spark, sf_dir):
     p = progress(spark, sf_dir)
-    return p.select("event_id", F.round("fraction", 6).alias("fraction"), F.round(media.time_left(F.col("value"), F.col("fraction")), 4).alias("eta"), media.progress_label(F.col("phase"), F.col("done"), F.col("total")).alias("label"))
+    return p.select("event_id", F.round("fraction", 6).alias("fraction"), F.round(media.time_left(F.col("value"), F.col("fraction")), 4).alias("eta"), media.progress_label(F.col("phase"), F.col("done"), F.col("total")).alias("label"), media.progress_kind(F.col("phase")).alias("k")).select("event_id", "fraction", "eta", "label", "k.*")
 
 
 @query(f"with {PROGRESS}, f as (select *, {FRACTION} as fraction from progress) select job_id, seq, round(max(fraction) over (partition by job_id order by seq rows unbounded preceding), 6) as shown from f")
@@ -146,15 +160,17 @@ def progress_monotone(spark, sf_dir):
 
 
 @query(
-    """with f as (select event_id, event_id % 3 as kind, value from events) select event_id, cast(0 as int) as frame_idx, 'slide' as phase, event_id % 7 as done from f where kind <> 2
-    union all select event_id, 1, 'write', event_id % 5 from f"""
+    """with f as (select event_id, event_id % 4 as kind from events) select event_id, cast(0 as int) as frame_idx, case kind when 0 then 'progress' else 'done' end as type, case kind when 0 then 'slide' end as phase, event_id % 7 as done from f where kind <= 1
+    union all select event_id, 2, 'progress', 'write', event_id % 5 from f"""
 )
 def sse_frames(spark, sf_dir):
+    """Event streams with events of two types, broken JSON, a frame without data, and an end that isn't complete."""
     i = F.col("event_id")
-    first = F.when(i % 3 != 2, F.concat(F.lit('data: {"phase":"slide","done":'), (i % 7).cast("string"), F.lit("}"))).otherwise('data: {"phase":')
-    stream = F.concat(first, F.lit("\n\nevent: x\ndata: "), F.lit('{"phase":"write","done":'), (i % 5).cast("string"), F.lit("}\n\n"))
-    out = lifecycle.event_frames(table(spark, sf_dir, "events").select("event_id", stream.alias("stream")), "stream", "phase string, done long")
-    return out.select("event_id", "frame_idx", "event.phase", "event.done")
+    text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    first = F.when(i % 4 == 0, text('data: {"type":"progress","phase":"slide","done":', i % 7, "}")).when(i % 4 == 1, text('data:{"type":"done","done":', i % 7, "}")).otherwise('data: {"type":"progress","phase":')
+    stream = text(first, "\n\n: nothing\n\n", 'event: x\ndata: {"type":"progress","phase":"write","done":', i % 5, "}\n\n", 'data: {"type":"progress","phase":"verify","done":1}')
+    out = lifecycle.event_frames(table(spark, sf_dir, "events").select("event_id", stream.alias("stream")), "stream", "type string, phase string, done long")
+    return out.select("event_id", "frame_idx", "event.type", "event.phase", "event.done")
 
 
 @query("select p_brand, p_type, n, first_part from (select p_brand, p_type, count(*) as n, min(p_partkey) as first_part, arg_min(p_size, p_partkey) as s from part group by all) where s >= 10")

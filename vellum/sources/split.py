@@ -17,8 +17,17 @@ RULES = (
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Rows (path, content) of the .htm and .html files of a folder, not of its subfolders, in name order."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", False).option("pathGlobFilter", "*.{htm,html,HTM,HTML}").text(folder)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).orderBy("path")
+    return _whole_files(spark, folder, "*.{[hH][tT][mM],[hH][tT][mM][lL]}").orderBy("path")
+
+
+def _whole_files(spark: SparkSession, path: str, only: str = "*") -> DataFrame:
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", False).option("pathGlobFilter", only).text(path)
+    return files.select(F.url_decode("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def read_inputs(spark: SparkSession, inputs: list[tuple[str, bool]]) -> DataFrame:
+    """Rows (input_idx, path, content) of the given (path, is folder): folders give their pages, files of any name, .txt too, themselves."""
+    return ordered_union([read_pages(spark, path) if folder else _whole_files(spark, path) for path, folder in inputs])
 
 
 def pieces(content: Column) -> Column:
@@ -44,9 +53,10 @@ def split_documents(df: DataFrame, content: str, name: str) -> DataFrame:
 
 
 def number_documents(df: DataFrame, order: list[str], per: list[str]) -> DataFrame:
-    """Name documents slide-NN by their order over all inputs of a job."""
+    """Name documents slide-NN by their order over all inputs of a job, and title them anew: the fallback is that name."""
     w = Window.partitionBy(*per).orderBy(*order)
-    return df.withColumn("name", F.concat(F.lit("slide-"), pad_left(F.row_number().over(w).cast("string"), 2)))
+    named = df.withColumn("name", F.concat(F.lit("slide-"), pad_left(F.row_number().over(w).cast("string"), 2)))
+    return named.withColumn("title", page_title(F.col("html"), F.col("name")))
 
 
 def ordered_union(inputs: list[DataFrame]) -> DataFrame:
@@ -58,6 +68,11 @@ def ordered_union(inputs: list[DataFrame]) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, per: list[str], order: list[str]) -> DataFrame:
+    """slide_no, from 0: the place of a slide among all inputs of its job."""
+    return df.withColumn("slide_no", (F.row_number().over(Window.partitionBy(*per).orderBy(*order)) - 1).cast("long"))
+
+
 def readable(df: DataFrame, content: str) -> tuple[DataFrame, DataFrame]:
     """Inputs with content, and error rows for those without."""
     bad = F.col(content).isNull() | (trim(F.col(content)) == "")
