@@ -32,6 +32,42 @@ def test_encoding(odd, docs, none):
     assert bpe.encode(none, WORDS).count() == 0
 
 
+def test_characters_that_python_does_not_know(spark):
+    """Unassigned code points, which Python's tables and the library's may treat differently."""
+    import random
+    import unicodedata
+
+    r = random.Random(4)
+    unknown = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) == "Cn"]
+    odd = ["\u0558", "\u1c89", "\ua7cb", *r.sample(unknown, 400)]
+    texts = [f"Wörter{c}und {c} Ⅷ don't{c}stop" for c in odd] + ["<|endoftext|>\u1c89Σς<|startoftext|> x", "".join(odd)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_encoding(bpe.encode(df, WORDS).orderBy("doc_id").collect(), texts)
+
+
+def test_registered_queries(spark, sf):
+    """Columns and values of the contract, through the registered functions."""
+    from vellum.llm.registry import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op1_bpe_encode_decode"](spark, sf)
+    assert got.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    t = Tokenizer.from_file(WORDS)
+    for r in rows:
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
+    got = QUERIES["op2_prefix_token_counts"](spark, sf)
+    assert got.columns[:4] == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    s = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = len(s.encode(texts[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 4096)
+
+
 def test_words_forgotten_and_long_words(monkeypatch, docs):
     texts = [r.text for r in docs.limit(60).collect()]
     big = bpe.SpeculativeBpe(WORDS)

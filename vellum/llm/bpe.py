@@ -75,18 +75,38 @@ class SpeculativeBpe:
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
         self.letters = str.maketrans({b: c for b, c in enumerate(byte_letters())})
+        self.byte_of = {c: b for b, c in enumerate(byte_letters())}
+        self.file, self.library, self.assigned = file, None, set()
         self.pairs: dict[int, bool] = {}
         self.words, self.chunks = Remembered(WORDS_KEPT), Remembered(WORDS_KEPT)
 
     def chunks_of(self, text: str) -> list[str]:
-        """The normalised text cut at white space; special tokens come with a space in front."""
+        """The normalised text cut at white space; special tokens come with a space in front, words that the library cut with two."""
+        cut = (lambda part: self.cut(self.normal(part))) if text.isascii() or self.known_letters(text) else self.library_words
         if not any(s in text for s in self.special):
-            return self.cut(self.normal(text))
+            return cut(text)
         out: list[str] = []
         for part in self.split.split(text):
-            out += [f" {part}"] if part in self.special else self.cut(self.normal(part))
+            out += [f" {part}"] if part in self.special else cut(part)
         return out
 
+    def known_letters(self, text: str) -> bool:
+        """Whether Python's Unicode tables have every character; the library's may be newer and differ on the rest."""
+        for c in set(text) - self.assigned:
+            if unicodedata.category(c) == "Cn":
+                return False
+            self.assigned.add(c)
+        return True
+
+    def library_words(self, text: str) -> list[str]:
+        """The words of a text as the library's own normaliser and pre-tokenizer cut it."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.file)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return ["  " + bytes(self.byte_of[c] for c in w).decode("utf-8", "surrogatepass") for w, _ in found]
+
     @staticmethod
     def cut(text: str) -> list[str]:
         return BETWEEN.findall(text) if any(c in text for c in CONTROL) else text.split()
@@ -199,11 +219,11 @@ class SpeculativeBpe:
         """For each text: token count, decimal ids joined by spaces, and the decoded text."""
         split = [self.chunks_of(text) for text in texts]
         fresh = self.chunks.missing({c for chunks in split for c in chunks})
-        words = {c: WORD.findall(c) for c in fresh if c[0] != " "}
+        words = {c: [c[2:]] if c.startswith("  ") else WORD.findall(c) for c in fresh if c[0] != " " or c.startswith("  ")}
         self.learn({w for found in words.values() for w in found})
         known, of_word, out = self.chunks.now, self.words.now, []
         for c in fresh:
-            if c[0] == " ":
+            if c not in words:
                 known[c] = (1, str(self.special[c[1:]]), c[1:])
             elif len(found := words[c]) == 1:
                 known[c] = of_word[found[0]]

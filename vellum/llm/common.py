@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,27 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import shared_folder
+
+__all__ = ["cut", "map_rows", "row_numbers", "shared_folder", "small_batches", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark (the folder may be in a store only Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or what the context was given.
-
-    Where neither is set, a local session, as in tests, gets a temporary folder; on a
-    cluster that is an error, since a folder of one machine isn't shared.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not folder and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellum-"))
-    return folder or sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives lost executors.
 

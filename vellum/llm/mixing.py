@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import row_numbers, table
 
 BLOCK_ROWS = 64
+#: Longest period that the driver schedules: a bound on the weights' digits, not on the data.
+LONGEST_PERIOD = 1 << 22
 #: Target weights of the production query; sources not named weigh REST.
 WEIGHTS, REST = {"src0": 4.0}, 1.0
 #: Blocks in one row of the plan; rows numbered in one task.
@@ -82,6 +84,8 @@ def phases(blocks: dict, weights: dict, period: int | None = None) -> list[dict]
         live = {s: weights[s] for s in left}
         share = shares(live, max(period, len(left))) if period else exact_shares(live)
         length = sum(share.values())
+        if length > LONGEST_PERIOD:
+            raise ValueError(f"the weights' period is {length} blocks; give them as smaller whole numbers")
         slots = pattern(share, sum(left.values()))  # by then one source has run out, or the period has ended
         ends = {s: (n - 1) // share[s] * length + slots[s][(n - 1) % share[s]] + 1 for s, n in left.items() if (n - 1) % share[s] < len(slots[s])}
         end = min(ends.values())

@@ -173,7 +173,7 @@ def token_counts(docs: DataFrame, file: str, limit: int = LIMIT, id_col: str = "
 def prefix_tables(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store the token count of every prefix: id and prefix_tokens array<int>, one entry for each character.
 
-    ``truncate_chars`` and ``tokens_between`` answer budget questions from this column alone.
+    ``truncate_chars`` answers budget questions from this column alone; so does a difference of two entries.
     """
 
     def work(batch: pa.RecordBatch, counter: PrefixCounter):
