@@ -39,8 +39,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of least id, of each group linked by 5-word shingle similarity of 0.75.
 
-    Documents without words, or with a null id, are in no group and stay. Repeated rows of one
-    id are one document: one of them stays.
+    Documents without words, or with a null id, are in no group and stay. Rows of one id are one
+    document: its texts stay or go together, and of equal texts one row stays.
     """
     found = ngram_join.jaccard_components(docs)
     groups = cut(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("__vellum_gone")).distinct())
@@ -48,19 +48,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     if repeated.isEmpty():
         return rest
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    return rest.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(rest.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the documents in the order of the mix: files in name order hold it from first to last.
 
     Every document stays; the decision is the order. Places are found for (doc_id, source) and
-    joined back; repeated rows of one id take the first of their places.
+    joined back; repeated rows of one id, and all rows with a null id, take the first of their places.
     """
     places = mixing.mix(docs, mixing.WEIGHTS).groupBy("doc_id").agg(F.min("position").alias("__vellum_place")).withColumnRenamed("doc_id", "__vellum_id")
-    placed = docs.join(places, docs["doc_id"].eqNullSafe(F.col("__vellum_id")))
+    named = docs.join(places, docs["doc_id"] == F.col("__vellum_id")).select(*[docs[c] for c in docs.columns], "__vellum_place")
+    if first := places.where("__vellum_id is null").first():  # one row; without a join, null ids aren't one hot key
+        named = named.unionByName(docs.where(docs["doc_id"].isNull()).withColumn("__vellum_place", F.lit(first["__vellum_place"])))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartitionByRange(parts, "__vellum_place").sortWithinPartitions("__vellum_place").select(*[docs[c] for c in docs.columns])
+    order = ["__vellum_place", F.xxhash64("doc_id", "text")]  # rows of one place may fill several files
+    return named.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
