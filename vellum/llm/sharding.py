@@ -19,18 +19,18 @@ from vellum.llm.common import cut, row_numbers, table
 
 DIMENSIONS = ("d_size", "d_wide", "d_hash")
 #: Bits of a coordinate and of the hash that orders points of one coordinate.
-COORDINATE, TIE = 32, 48
+COORDINATE, TIE = 36, 48
 #: A bin of at most this share of the target bytes isn't refined any more.
 TOLERANCE = 0.001
 #: A group of equal texts heavier than this share of the target bytes, and than any single row, is cut into parts.
 GROUP = 0.04
 #: Points of a bin that are put in order at once instead of being refined; rows numbered in one task.
-BIN_POINTS, ROWS_NUMBERED = 20_000, 20_000
+BIN_POINTS, ROWS_NUMBERED = 4096, 20_000
 
 
 def _digit_bits(nodes: int) -> int:
     """Bits of a digit: fewer for many nodes, so that bins stay few."""
-    return 16 if nodes <= 64 else 8
+    return 12 if nodes <= 64 else 6
 
 
 def _scaled(c: str, low: float | None, high: float | None) -> Column:
@@ -65,7 +65,7 @@ def points(docs: DataFrame, shards: int | None, target_bytes: int | None, id_col
     known = _table(docs.sparkSession, "h, size, crc, parts", [tuple(r) for r in heavy] or [(None,) * 4])
     marked = rows.join(known, ["h", "size", "crc"], "left")
     part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0)
-    scaled = marked.withColumns({c: _scaled(c, s[f"low_{c}"], s[f"high_{c}"]) for c in ("d_size", "d_wide")} | {"d_hash": F.col("crc"), "tie": F.shiftrightunsigned(F.xxhash64("h", "size", part), 64 - TIE)})
+    scaled = marked.withColumns({c: _scaled(c, s[f"low_{c}"], s[f"high_{c}"]) for c in ("d_size", "d_wide")} | {"d_hash": F.shiftleft(F.col("crc"), COORDINATE - 32), "tie": F.shiftrightunsigned(F.xxhash64("h", "size", part), 64 - TIE)})
     return scaled.select("id", "size", "crc", *DIMENSIONS, "tie"), leaves, total, s["rows"]
 
 
