@@ -27,7 +27,7 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}
 BETWEEN = regex.compile(rf"[^{SPACE}]+")
 CONTROL = "\x1c\x1d\x1e\x1f"  # str.split() takes these for white space; the tokenizer doesn't
 #: Words and pairs a Python worker remembers in a generation; bounds memory, without effect on results.
-WORDS_KEPT, PAIRS_KEPT = 150_000, 1_000_000
+WORDS_KEPT, PAIRS_KEPT = 100_000, 400_000
 
 
 def byte_letters() -> list[str]:
