@@ -70,7 +70,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Token count, token ids, and hashes of ids and of the decoded text, of every document left."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).drop("decoded")
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=False)
 
 
 STAGES = [

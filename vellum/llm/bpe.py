@@ -239,11 +239,11 @@ class SpeculativeBpe:
         return " ".join(self.token[i] for i in ids)
 
 
-def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
     """Encode and decode every whole text.
 
-    Returns id, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the token ids
-    (array<int>) and the decoded string. A null text counts as empty: no tokens, hashes of
+    Returns id, n_tokens, ids_sha256, decoded_sha256 and, with ``ids`` and ``decoded``, the token
+    ids (array<int>) and the decoded string. A null text counts as empty: no tokens, hashes of
     the empty string. Repeated rows give repeated rows; an empty table gives an empty one;
     columns other than the two named are never read.
     """
@@ -259,11 +259,13 @@ def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
                 "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for _, _, d in found],
             }
             if ids:
-                out |= {"ids": [list(map(int, s.split())) for _, s, _ in found], "decoded": [d for _, _, d in found]}
+                out["ids"] = [np.fromstring(s, np.int32, sep=" ") for _, s, _ in found]
+            if decoded:
+                out["decoded"] = [d for _, _, d in found]
             yield out
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
+    schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     return map_rows(docs, [id_col, text_col], work, schema, lambda: SpeculativeBpe(file))
 
 
@@ -271,4 +273,4 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     import public_tokenizers
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False, decoded=False)
