@@ -95,7 +95,9 @@ def test_small_blocks(spark, monkeypatch):
     for h in range(20):
         e = [(10 + h % 3, (h * i) % 4, i, i % 5) for i in range(12)]
         want |= {(a[2], b[2]) for a in e for b in e if a[2] < b[2] and a[3] != b[3] and 175 * min(a[0] - a[1], b[0] - b[1]) >= 75 * (a[0] + b[0])}
-    assert {tuple(r) for r in ngram_join.cross_pairs(lists, 75).collect()} == want
+    for list_rows in (100, 12, 5, 1):  # whole lists, then lists split into parts that meet two by two
+        got = [tuple(r) for r in ngram_join.cross_pairs(lists, 75, list_rows).collect()]
+        assert set(got) == want and len(got) == len(want)
     e = [t.encode() for _, t in rows]
     whole = shingles.shingle_sets(e)
     monkeypatch.setattr(shingles, "BLOCK", 300)

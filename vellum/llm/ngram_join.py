@@ -29,6 +29,8 @@ from vellum.llm.shingles import HASH_BITS, shingle_sets, signatures
 PERCENT = 75
 #: Documents and bytes of a batch; entries of a list compared at a time. Memory bounds, without effect on results.
 BATCH_ROWS, BATCH_BYTES, BLOCK = 4096, 1 << 23, 1024
+#: Entries of a list that one task takes by itself; longer lists are split, none is cut.
+LIST_ROWS = 65_536
 LOW = np.uint64((1 << HASH_BITS) - 1)
 
 
@@ -181,15 +183,23 @@ def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return both.where(fits(F.col("ln"), F.col("lp"), F.col("n"), F.col("pos"), percent)).select(F.col("la").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of entries of one list that fit and don't yet reach each other (column c differs)."""
-    open_ = lists.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("h").alias("oh"))
-    mixed = lists.join(open_, F.col("h") == F.col("oh")).select("h", "n", "pos", "id", "c")
+def cross_pairs(lists: DataFrame, percent: int, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Distinct pairs of entries of one list that fit and don't yet reach each other (column c differs).
+
+    A list longer than ``list_rows`` is split into m parts by id hash, and each two parts (and each
+    part by itself) meet in a task of their own, so that no task holds more than about two parts.
+    """
+    open_ = lists.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / list_rows).alias("m")).where("lo <> hi").select(F.col("h").alias("oh"), "m")
+    own = F.when(F.col("m") > 1, F.pmod(F.xxhash64("id"), "m")).otherwise(F.lit(0))
+    met = lists.join(open_, F.col("h") == F.col("oh")).withColumn("own", own.cast("long"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    mixed = met.select("h", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "n", "pos", "id", "c", "own")
 
     def pairs_of(rows: np.ndarray):
-        """rows: n, pos, id, c of one list. Sorted by size, blocks of partners are skipped as a whole."""
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        n, pos, ids, c = rows.T
+        """rows: u, v, n, pos, id, c, own of two parts of a list. Sorted by size, blocks of partners are skipped as a whole."""
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2]))]
+        u, v, n, pos, ids, c, own = rows.T
+        two = u[0] != v[0]  # pairs inside one part are that part's own task
         starts = range(0, len(rows), BLOCK)
         for x in starts:
             a = slice(x, x + BLOCK)
@@ -200,13 +210,15 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                 if (c[a].min() == c[a].max() == c[b].min() == c[b].max()) or not (100 + percent) * min((n[a] - pos[a]).max(), (n[b] - pos[b]).max()) >= percent * (n[a].min() + n[b].min()):
                     continue
                 ok = fits(n[a][:, None], pos[a][:, None], n[b][None], pos[b][None], percent) & (c[a][:, None] != c[b][None])
+                if two:
+                    ok &= own[a][:, None] != own[b][None]
                 i, j = np.nonzero(ok)
                 keep = (i + x) < (j + y)
-                u, v = ids[a][i[keep]], ids[b][j[keep]]
-                yield np.minimum(u, v), np.maximum(u, v)
+                left, right = ids[a][i[keep]], ids[b][j[keep]]
+                yield np.minimum(left, right), np.maximum(left, right)
 
     def run(batches):
-        rest = np.zeros((0, 5), np.int64)
+        held: list[np.ndarray] = []  # the last, unfinished group, as pieces of batches
         seen: list[np.ndarray] = []
 
         def flush():
@@ -214,25 +226,28 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
-        def done(rows):
-            edges = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else []
-            for x, y in zip(edges, [*edges[1:], len(rows)]):
-                for u, v in pairs_of(rows[x:y, 1:]):
-                    if len(u):
-                        seen.append(np.stack([u, v], axis=1))
-                    if sum(map(len, seen)) > 200_000:
-                        yield flush()
+        def done():
+            for left, right in pairs_of(np.concatenate(held)[:, 1:]):
+                if len(left):
+                    seen.append(np.stack([left, right], axis=1))
+                if sum(map(len, seen)) > 200_000:
+                    yield flush()
+            held.clear()
 
         for batch in batches:
-            rows = np.concatenate([rest, np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1)])
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
-            yield from done(rows[:last])
-            rest = rows[last:]
-        yield from done(rest)
+            rows = np.stack([batch.column(i).to_numpy() for i in range(8)], axis=1)
+            edges = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            for piece in np.split(rows, edges):
+                if held and len(piece) and (held[-1][-1, :3] != piece[0, :3]).any():
+                    yield from done()
+                if len(piece):
+                    held.append(piece)
+        if held:
+            yield from done()
         if seen:
             yield flush()
 
-    return mixed.repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").distinct()
+    return mixed.repartition("h", "u", "v").sortWithinPartitions("h", "u", "v").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
