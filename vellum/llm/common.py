@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.session import shared_folder
 
-__all__ = ["cut", "map_rows", "row_numbers", "shared_folder", "small_batches", "table", "written"]
+__all__ = ["cut", "give_back", "map_rows", "row_numbers", "shared_folder", "small_batches", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "2000")
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the machine.
+
+    Workers outlive their tasks; what their allocators keep would count through later stages.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def map_rows(df: DataFrame, columns: list, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, start: Callable[[], object] | None = None) -> DataFrame:
     """Apply ``work`` to each Arrow batch of ``columns``; it yields dicts of equally long lists.
 
@@ -65,6 +77,8 @@ def map_rows(df: DataFrame, columns: list, work: Callable[[pa.RecordBatch], Iter
         for batch in batches:
             for out in work(batch, *state):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+        state = batch = out = None
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, map_rows, small_batches, table
+from vellum.llm.common import cut, give_back, map_rows, small_batches, table
 from vellum.llm.components import connected_components
 from vellum.llm.shingles import HASH_BITS, shingle_sets, signatures
 
@@ -100,11 +100,18 @@ def deal(docs: DataFrame, ranges: int, id_col: str, text_col: str) -> DataFrame:
             rows += [(b, number, 0, pack(lists[edges[b] : edges[b + 1]])) for b in range(ranges) if edges[b + 1] > edges[b]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "batch", "kind", "payload"])
             number += 1
+        ids = texts = keys = sizes = marks = first = sent = info = rows = lists = edges = None
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "bucket int, batch long, kind int, payload binary")
 
 
+def then_give_back(found: pa.Table) -> pa.Table:
+    give_back()
+    return found
+
+
 def repeated(t: pa.Table) -> pa.Table:
     """Of one hash range: the entries of lists of two or more, by batch, with the lists' lengths."""
     batch, kind, payload = (t.column(c).to_pylist() for c in ("batch", "kind", "payload"))
@@ -246,6 +253,7 @@ def cross_pairs(lists: DataFrame, percent: int, list_rows: int = LIST_ROWS) -> D
             yield from done()
         if seen:
             yield flush()
+        give_back()
 
     return mixed.repartition("h", "u", "v").sortWithinPartitions("h", "u", "v").mapInArrow(run, "a long, b long").distinct()
 
@@ -325,8 +333,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     kind = dict(docs.select(id_col).dtypes)[id_col]
     known = docs.where(F.col(id_col).isNotNull())
     dealt = deal(known, ranges, id_col, text_col)
-    lists = dealt.groupBy("bucket").applyInArrow(repeated, "batch long, kind int, payload binary, counts binary")
-    rows = cut(lists.groupBy("batch").applyInArrow(lambda t: ordered(t, percent), "id long, n long, s1 long, s2 long, lone long, hashes binary"))
+    lists = dealt.groupBy("bucket").applyInArrow(lambda t: then_give_back(repeated(t)), "batch long, kind int, payload binary, counts binary")
+    rows = cut(lists.groupBy("batch").applyInArrow(lambda t: then_give_back(ordered(t, percent)), "id long, n long, s1 long, s2 long, lone long, hashes binary"))
 
     # equal sets are one class, named by its least document; one of its members carries the set
     info = rows.select("id", "n", "s1", "s2", F.col("hashes").isNotNull().alias("holds"))
