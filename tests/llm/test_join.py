@@ -87,6 +87,20 @@ def test_borderline_families(spark, seed, monkeypatch):
     assert {tuple(r) for r in ngram_join.jaccard_components(df).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("often", [2, 5, 40])
+def test_frequent_shingles_and_small_ranges(spark, often):
+    rows = chains(4)
+    df = spark.createDataFrame(rows + [(None, rows[0][1]), (1000, None), (1001, rows[0][1])], "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in ngram_join.jaccard_components(df, often=often, range_bytes=400).collect() if r.doc_id is not None}
+    assert got == brute([*rows, (1000, None), (1001, rows[0][1])])
+
+
+def test_ranges_follow_the_texts(spark):
+    df = spark.createDataFrame([(i, "é" * 512) for i in range(1024)], "doc_id long, text string")
+    assert [ngram_join.range_count(df, "text", b) for b in (1 << 23, 1 << 12, 1 << 10)] == [64, 512, 2048]
+    assert ngram_join.range_count(df.where("false"), "text", 1 << 10) == 64
+
+
 def test_small_blocks(spark, monkeypatch):
     rows = chains(9)
     df = spark.createDataFrame(rows, "doc_id long, text string")

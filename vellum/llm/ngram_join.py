@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard join by prefix lists, position skipping and derived answers.
 
 1. Each batch of documents gives its shingle hashes, dealt by hash ranges as compressed arrays;
-   equal sets of a batch are sent once.
+   equal sets of a batch are sent once. Of a hash that many documents of the batch share, only
+   the count is dealt; its entries wait at the batch.
 2. Each hash range counts its lists. Hashes of one document alone can't link anything and
    go no further; the others return to their batch with their document frequency.
 3. Each document orders its hashes rarest first. Two sets of the wanted similarity share
@@ -16,6 +17,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -31,6 +34,8 @@ PERCENT = 75
 BATCH_ROWS, BATCH_BYTES, BLOCK = 4096, 1 << 23, 1024
 #: Entries of a list that one task takes by itself; longer lists are split, none is cut.
 LIST_ROWS = 65_536
+#: Bytes of text for each hash range, and documents of a batch that make a hash a frequent one. Without effect on results.
+RANGE_BYTES, OFTEN = 1 << 23, 64
 LOW = np.uint64((1 << HASH_BITS) - 1)
 
 
@@ -79,8 +84,19 @@ def gathered(batches):
         yield ids, texts
 
 
-def deal(docs: DataFrame, ranges: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (bucket, batch, kind, payload): packed hash << 16 | document number; kind 1 holds ids, sizes and signatures."""
+def range_count(docs: DataFrame, text_col: str, range_bytes: int) -> int:
+    """How many hash ranges, a power of two that follows the bytes of all texts, so that a range's size doesn't."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return 1 << max(6, (size // range_bytes).bit_length())
+
+
+def deal(docs: DataFrame, ranges: int, id_col: str, text_col: str, often: int = OFTEN) -> DataFrame:
+    """Rows (bucket, batch, kind, payload), packed.
+
+    Kind 0 holds hash << 16 | document number, kind 1 ids, sizes and signatures. Of the hashes that
+    ``often`` documents of a batch or more share, kind 2 holds the entries, which stay with the
+    batch, and kind 3 hash << 16 | count, so a very common shingle sends one number a batch.
+    """
     shift = np.uint64(HASH_BITS - (ranges.bit_length() - 1))
 
     def run(batches):
@@ -93,14 +109,23 @@ def deal(docs: DataFrame, ranges: int, id_col: str, text_col: str) -> DataFrame:
             first: dict[tuple, int] = {}
             sent = np.array([first.setdefault((n, *m), i) == i and n > 0 for i, (n, m) in enumerate(zip(sizes.tolist(), marks.tolist()))], bool)
             info = np.concatenate([np.array(ids, np.int64), sizes.astype(np.int64), marks[:, 0], marks[:, 1], sent.astype(np.int64)])
-            rows = [(ranges + number % ranges, number, 1, zstandard.compress(info.tobytes(), 1))]
+            home = ranges + zlib.crc32(number.to_bytes(8, "little")) % ranges
+            rows = [(home, number, 1, zstandard.compress(info.tobytes(), 1))]
             keys = keys[sent[(keys >> np.uint64(HASH_BITS)).astype(np.int64)]]
             lists = np.sort((keys & LOW) << np.uint64(16) | keys >> np.uint64(HASH_BITS))
-            edges = np.searchsorted(lists >> np.uint64(16) >> shift, np.arange(ranges + 1, dtype=np.uint64))
-            rows += [(b, number, 0, pack(lists[edges[b] : edges[b + 1]])) for b in range(ranges) if edges[b + 1] > edges[b]]
+            h = lists >> np.uint64(16)
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            length = np.diff(start, append=len(h))
+            frequent = np.repeat(length >= often, length)
+            common = h[start[length >= often]] << np.uint64(16) | length[length >= often].astype(np.uint64)
+            if len(common):
+                rows.append((home, number, 2, pack(lists[frequent])))
+            for kind, values in ((0, lists[~frequent]), (3, common)):
+                found, first_of = np.unique(values >> np.uint64(16) >> shift, return_index=True)
+                rows += [(b, number, kind, pack(part)) for b, part in zip(found.tolist(), np.split(values, first_of[1:]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "batch", "kind", "payload"])
             number += 1
-        ids = texts = keys = sizes = marks = first = sent = info = rows = lists = edges = None
+        ids = texts = keys = sizes = marks = first = sent = info = rows = lists = h = frequent = common = values = None
         give_back()
 
     small_batches(docs.sparkSession)
@@ -113,24 +138,26 @@ def then_give_back(found: pa.Table) -> pa.Table:
 
 
 def repeated(t: pa.Table) -> pa.Table:
-    """Of one hash range: the entries of lists of two or more, by batch, with the lists' lengths."""
+    """Of one hash range: the entries (and frequent hashes) of lists of two or more, by batch, with the lists' lengths."""
     batch, kind, payload = (t.column(c).to_pylist() for c in ("batch", "kind", "payload"))
-    rows = [(b, 1, p, None) for b, k, p in zip(batch, kind, payload) if k == 1]
-    mine = sorted((b, p) for b, k, p in zip(batch, kind, payload) if k == 0)
+    rows = [(b, k, p, None) for b, k, p in zip(batch, kind, payload) if k in (1, 2)]
+    mine = sorted((b, k, p) for b, k, p in zip(batch, kind, payload) if k in (0, 3))
     if mine:
-        parts = [unpack(p) for _, p in mine]
+        parts = [unpack(p) for *_, p in mine]
         keys = np.concatenate(parts)
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        counted = np.array([k == 3 for _, k, _ in mine], bool)[owner]
+        documents = np.where(counted, keys & np.uint64(0xFFFF), np.uint64(1))
         order = np.argsort(keys >> np.uint64(16), kind="stable")
         h = keys[order] >> np.uint64(16)
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         length = np.diff(first, append=len(h))
         count = np.empty(len(keys), np.uint64)
-        count[order] = np.repeat(length, length)
+        count[order] = np.repeat(np.add.reduceat(documents[order], first), length)
         keep = count > 1
         keys, owner, count = keys[keep], owner[keep], count[keep]
         edges = np.searchsorted(owner, np.arange(len(parts) + 1))
-        rows += [(b, 0, pack(keys[x:y]), zstandard.compress(count[x:y].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)) for (b, _), x, y in zip(mine, edges, edges[1:]) if y > x]
+        rows += [(b, k, pack(keys[x:y]), zstandard.compress(count[x:y].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)) for (b, k, _), x, y in zip(mine, edges, edges[1:]) if y > x]
     return pa.Table.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows) if rows else ([],) * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "kind", "payload", "counts"])
 
 
@@ -139,7 +166,16 @@ def ordered(t: pa.Table, percent: int) -> pa.Table:
     kind, payload, counts = (t.column(c).to_pylist() for c in ("kind", "payload", "counts"))
     info = np.frombuffer(zstandard.decompress(next(p for k, p in zip(kind, payload) if k == 1)), np.int64).reshape(5, -1)
     ids, n, a, b, sent = info
-    parts = [(unpack(p), np.frombuffer(zstandard.decompress(c), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()) for k, p, c in zip(kind, payload, counts) if k == 0]
+
+    def with_counts(which: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(unpack(p), np.frombuffer(zstandard.decompress(c), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()) for k, p, c in zip(kind, payload, counts) if k == which]
+
+    parts = with_counts(0)
+    if waiting := [unpack(p) for k, p in zip(kind, payload) if k == 2]:
+        common = with_counts(3)
+        key, of_key = np.concatenate([p for p, _ in common]) >> np.uint64(16), np.concatenate([c for _, c in common])
+        by_hash = np.argsort(key)
+        parts += [(own, of_key[by_hash[np.searchsorted(key, own >> np.uint64(16), sorter=by_hash)]]) for own in waiting]
     lone, hashes = [None] * len(ids), [None] * len(ids)
     keys = np.concatenate([p for p, _ in parts]) if parts else np.zeros(0, np.uint64)
     df = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.uint32)
@@ -314,7 +350,7 @@ def in_sorted(values: np.ndarray, probes: np.ndarray) -> np.ndarray:
     return values[at] == probes if len(values) else np.zeros(len(probes), bool)
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES, often: int = OFTEN) -> DataFrame:
     """Link documents whose sets of 5-word shingles have a Jaccard similarity of percent/100 or more.
 
     Returns id, n_shingles and component_id, the least id reachable by links (itself included).
@@ -327,12 +363,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     ``docs`` must give the same rows in the same order when a lost partition is read again, as
     tables read from files do; cut the lineage of anything shuffled first.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 1 << max(6, (4 * parts - 1).bit_length())
     kind = dict(docs.select(id_col).dtypes)[id_col]
     known = docs.where(F.col(id_col).isNotNull())
-    dealt = deal(known, ranges, id_col, text_col)
+    dealt = deal(known, range_count(known, text_col, range_bytes), id_col, text_col, often)
     lists = dealt.groupBy("bucket").applyInArrow(lambda t: then_give_back(repeated(t)), "batch long, kind int, payload binary, counts binary")
     rows = cut(lists.groupBy("batch").applyInArrow(lambda t: then_give_back(ordered(t, percent)), "id long, n long, s1 long, s2 long, lone long, hashes binary"))
 
