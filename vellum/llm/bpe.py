@@ -61,7 +61,7 @@ class Remembered:
 class SpeculativeBpe:
     """A word-end BPE vocabulary, with remembered words and remembered pair checks."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, words_kept: int = WORDS_KEPT):
         spec = json.loads(open(file, encoding="utf-8").read())
         model, self.end = spec["model"], spec["model"]["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -78,7 +78,7 @@ class SpeculativeBpe:
         self.byte_of = {c: b for b, c in enumerate(byte_letters())}
         self.file, self.library, self.assigned = file, None, set()
         self.pairs: dict[int, bool] = {}
-        self.words, self.chunks = Remembered(WORDS_KEPT), Remembered(WORDS_KEPT)
+        self.words, self.chunks = Remembered(words_kept), Remembered(words_kept)
 
     def chunks_of(self, text: str) -> list[str]:
         """The normalised text cut at white space; special tokens come with a space in front, words that the library cut with two."""
@@ -239,13 +239,14 @@ class SpeculativeBpe:
         return " ".join(self.token[i] for i in ids)
 
 
-def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
+def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True, words_kept: int = WORDS_KEPT) -> DataFrame:
     """Encode and decode every whole text.
 
     Returns id, n_tokens, ids_sha256, decoded_sha256 and, with ``ids`` and ``decoded``, the token
     ids (array<int>) and the decoded string. A null text counts as empty: no tokens, hashes of
     the empty string. Repeated rows give repeated rows; an empty table gives an empty one;
-    columns other than the two named are never read.
+    columns other than the two named are never read. A worker remembers the encodings of
+    ``words_kept`` words in a generation: fewer take less memory and more time.
     """
 
     def work(batch: pa.RecordBatch, bpe: SpeculativeBpe):
@@ -266,7 +267,7 @@ def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
-    return map_rows(docs, [id_col, text_col], work, schema, lambda: SpeculativeBpe(file))
+    return map_rows(docs, [id_col, text_col], work, schema, lambda: SpeculativeBpe(file, words_kept))
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
