@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from vellum.llm import bpe, language_id, mixing, ngram_join
 from vellum.llm.common import cut, shared_folder, table
 
+#: Words a Python worker remembers in the last stage, which runs beside what earlier stages left in the executor's memory.
+WORDS_KEPT = 40_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents with a language.
@@ -70,7 +73,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Token count, token ids, and hashes of ids and of the decoded text, of every document left."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=False)
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=False, words_kept=WORDS_KEPT)
 
 
 STAGES = [
