@@ -18,6 +18,7 @@ def session(master: str | None = None, name: str = "vellum", **conf: str) -> Spa
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         builder = builder.config(k, v)
@@ -37,3 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellum-"))
     return folder or sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's own part of the shared folder, for tables that are written and read again."""
+    return f"{shared_folder(spark)}/vellum-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Remove a folder or file of any store that Spark reaches; false if there was none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> bool:
+    """Remove all tables this application wrote to the shared folder. Call it when every result has been stored."""
+    return remove(spark, scratch(spark))
