@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.session import shared_folder
+from vellum.session import scratch, shared_folder
 
-__all__ = ["cut", "give_back", "map_rows", "row_numbers", "shared_folder", "small_batches", "table", "written"]
+__all__ = ["cut", "give_back", "map_rows", "row_numbers", "scratch", "shared_folder", "small_batches", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, of compressed columns of which readers take what they need."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
