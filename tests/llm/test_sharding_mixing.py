@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 
@@ -154,3 +155,30 @@ def test_query_op6(spark, sf):
     for r in rows:
         by_text[texts[r.doc_id]].add(r.shard)
     assert all(len(s) == 1 for s in by_text.values())
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.3333333, "b": 1, "c": 2.5}, {"a": 0.412345678, "b": 0.287654322, "c": 0.3}, {"a": 1 / 3, "b": 1 / 7, "c": 1 - 1 / 3 - 1 / 7}, {"a": 1000, "b": 0.0001}])
+def test_periods_longer_than_any_mix(weights):
+    """A million slots, exactly: in whole numbers, |taken - share| < 1 after every block of every source, and memory only for what is used."""
+    n = 1_000_000
+    total = sum(Fraction(str(w)) for w in weights.values())
+    first = [r for r in mixing.phases(dict.fromkeys(weights, n), weights) if r["phase"] == 0]
+    assert sum(len(r["slots"]) for r in first) <= max(n * len(weights), 1)
+    used = 0
+    for r in first:
+        w = Fraction(str(weights[r["source"]])) / total
+        for k, t in enumerate(r["slots"]):
+            # before its slot a source has k blocks and after it k + 1; between, the share rises to that of the next slot
+            assert -1 < k - t * w and k + 1 - (t + 1) * w < 1
+            assert k - t * w < 1
+        used += len(r["slots"])
+        assert abs(len(r["slots"]) - w * sum(len(x["slots"]) for x in first)) < 1
+    assert sorted(t for r in first for t in r["slots"]) == list(range(used))
+
+
+def test_plan_sends_a_pattern_once():
+    rows = mixing.phases({"a": 300_000, "b": 700_000}, {"a": 3, "b": 7})
+    pieces = list(mixing.plan(rows))
+    assert sum(len(p[-1]) for p in pieces) == 11  # the last block is a phase of its own
+    places = sorted(p[4] + t * p[6] + at for p in pieces for t in range(p[8], p[9]) for i, at in enumerate(p[-1]) if p[2] + t * p[5] + p[7] + i < p[3])
+    assert places == list(range(1_000_000))

@@ -3,15 +3,19 @@
 Rows of a source form blocks. Block k of a source of weight w/H (H slots make a period) may
 take a slot from floor(k H / w) on and must have one before ceil((k + 1) H / w). In each slot the
 block of earliest deadline goes among those released, so no source is ever a whole block
-ahead of or behind its share. The pattern repeats with the period, so the driver only
-schedules one period; the place of every block follows from its number by arithmetic.
-When a source runs out, a new phase begins in which the others share its weight.
+ahead of or behind its share. The pattern repeats with the period, so the driver schedules
+one period, or, where that is longer, the slots until a source runs out; the place of every
+block follows from its number by arithmetic. When a source runs out, a new phase begins in which the
+others share its weight.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +24,10 @@ from pyspark.sql import functions as F
 from vellum.llm.common import row_numbers, table
 
 BLOCK_ROWS = 64
-#: Longest period that the driver schedules: a bound on the weights' digits, not on the data.
-LONGEST_PERIOD = 1 << 22
 #: Target weights of the production query; sources not named weigh REST.
 WEIGHTS, REST = {"src0": 4.0}, 1.0
-#: Blocks in one row of the plan; rows numbered in one task.
-PLAN_BLOCKS, ROWS_NUMBERED = 65_536, 20_000
+#: Slots of a pattern in one row of the plan, and blocks such a row stands for; rows numbered in one task.
+PLAN_SLOTS, PLAN_BLOCKS, ROWS_NUMBERED = 65_536, 1 << 22, 20_000
 
 
 def shares(weights: dict, period: int) -> dict:
@@ -54,20 +56,28 @@ def exact_shares(weights: dict) -> dict:
     return {s: n // least for s, n in whole.items()}
 
 
-def pattern(share: dict, length: int | None = None) -> dict:
-    """Earliest deadline first over one period (or its first ``length`` slots): the slots of each source's blocks, in order."""
+def pattern(share: dict, most: dict | None = None) -> dict:
+    """Earliest deadline first over one period: the slots of each source's blocks, in order.
+
+    Ends early with the slot in which a source has had as many blocks as ``most`` gives it. Releases and
+    deadlines are whole numbers of any size, so nothing is rounded and memory follows the slots used.
+    """
     period = sum(share.values())
     names = sorted(share, key=str)
     waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    slots: dict = {s: [] for s in names}
-    for t in range(period if length is None else min(period, length)):
+    slots: dict = {s: array("q") for s in names}
+    t = 0
+    while t < period:
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * period // share[names[i]]), i, k))
         _, i, k = heapq.heappop(ready)
         slots[names[i]].append(t)
+        t += 1
+        if most and k + 1 >= most[names[i]]:
+            break
         if k + 1 < share[names[i]]:
             heapq.heappush(waiting, ((k + 1) * period // share[names[i]], i, k + 1))
     return slots
@@ -76,21 +86,23 @@ def pattern(share: dict, length: int | None = None) -> dict:
 def phases(blocks: dict, weights: dict, period: int | None = None) -> list[dict]:
     """Rows (source, phase, start, stop, base, share, period, slots): where each source's blocks go.
 
-    Without ``period``, shares are exactly in proportion to the weights.
+    Without ``period``, shares are exactly in proportion to the weights, however long their period is.
+    A phase that ends within its first period has as its period and shares what it used.
     """
     left = {s: n for s, n in blocks.items() if n > 0}
     base, phase, out = 0, 0, []
     while left:
         live = {s: weights[s] for s in left}
         share = shares(live, max(period, len(left))) if period else exact_shares(live)
-        length = sum(share.values())
-        if length > LONGEST_PERIOD:
-            raise ValueError(f"the weights' period is {length} blocks; give them as smaller whole numbers")
-        slots = pattern(share, sum(left.values()))  # by then one source has run out, or the period has ended
-        ends = {s: (n - 1) // share[s] * length + slots[s][(n - 1) % share[s]] + 1 for s, n in left.items() if (n - 1) % share[s] < len(slots[s])}
-        end = min(ends.values())
+        slots = pattern(share, left)
+        if any(len(slots[s]) >= n for s, n in left.items()):  # a source has run out, in its last slot so far
+            share, length = {s: len(slots[s]) for s in left}, sum(map(len, slots.values()))
+            end = length
+        else:
+            length = sum(share.values())
+            end = min((n - 1) // share[s] * length + slots[s][(n - 1) % share[s]] + 1 for s, n in left.items())
         for s in list(left):
-            taken = end // length * share[s] + sum(1 for t in slots[s] if t < end % length)
+            taken = end // length * share[s] + bisect.bisect_left(slots[s], end % length)
             start = blocks[s] - left[s]
             out.append({"source": s, "phase": phase, "start": start, "stop": start + taken, "base": base, "share": share[s], "period": length, "slots": slots[s]})
             left[s] -= taken
@@ -100,6 +112,18 @@ def phases(blocks: dict, weights: dict, period: int | None = None) -> list[dict]
     return [r for r in out if r["stop"] > r["start"]]
 
 
+def plan(rows: list[dict]) -> Iterator[tuple]:
+    """Rows of ``phases`` in pieces: part of a pattern and how often it repeats. A pattern is sent once for every ``PLAN_BLOCKS`` blocks."""
+    for r in rows:
+        blocks = r["stop"] - r["start"]
+        for first in range(0, min(len(r["slots"]), blocks), PLAN_SLOTS):
+            part = r["slots"][first : first + PLAN_SLOTS].tolist()
+            times = -(-(blocks - first) // r["share"])
+            step = max(1, PLAN_BLOCKS // len(part))
+            for t in range(0, times, step):
+                yield r["source"], r["phase"], r["start"], r["stop"], r["base"], r["share"], r["period"], first, t, min(times, t + step), part
+
+
 def mix(docs: DataFrame, weights: dict | None = None, rest: float = REST, block_rows: int = BLOCK_ROWS, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Give every document its place in a mix that follows the target weights of the sources.
 
@@ -116,13 +140,12 @@ def mix(docs: DataFrame, weights: dict | None = None, rest: float = REST, block_
     wanted = {s: (weights or {}).get(s, rest) for s in counts}
     if any(w <= 0 for w in wanted.values()):
         raise ValueError("target weights must be positive")
-    plan = []
-    for r in phases({s: -(-n // block_rows) for s, n in counts.items()}, wanted, period):
-        plan += [(r["source"], r["phase"], a, min(r["stop"], a + PLAN_BLOCKS), r["start"], r["base"], r["share"], r["period"], r["slots"]) for a in range(r["start"], r["stop"], PLAN_BLOCKS)]
-    planned = spark.createDataFrame(plan, "s string, phase int, a long, z long, start long, base long, share long, period long, slots array<int>")
-    k = F.col("b") - F.col("start")
-    place = F.col("base") + F.floor(k / F.col("share")) * F.col("period") + F.element_at("slots", (k % F.col("share") + 1).cast("int"))
-    slots = planned.select("*", F.explode(F.sequence("a", F.col("z") - 1)).alias("b")).select("s", "b", "phase", place.cast("long").alias("slot"))
+    placed = phases({s: -(-n // block_rows) for s, n in counts.items()}, wanted, period)
+    planned = spark.createDataFrame(list(plan(placed)), "s string, phase int, start long, stop long, base long, share long, period long, first long, low long, high long, slots array<long>")
+    again = planned.select("*", F.explode(F.sequence("low", F.col("high") - 1)).alias("again"))
+    each = again.select("s", "phase", "start", "stop", "base", "share", "period", "first", "again", F.posexplode("slots").alias("i", "at"))
+    b = F.col("start") + F.col("again") * F.col("share") + F.col("first") + F.col("i")
+    slots = each.withColumn("b", b).where(F.col("b") < F.col("stop")).select("s", "b", "phase", (F.col("base") + F.col("again") * F.col("period") + F.col("at")).alias("slot"))
     buckets = max(64, math.ceil(sum(counts.values()) / ROWS_NUMBERED))
     numbered = row_numbers(rows.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 32)) * F.lit(buckets) / F.lit(float(1 << 32)))), ["source"], ["h", "id"], "bucket", "n")
     blocks = numbered.withColumn("block", F.floor(F.col("n") / block_rows))
