@@ -10,13 +10,12 @@ all runs share the buckets of the batch's shuffle, the runs themselves are never
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import scratch, table
+from vellum.llm.common import scratch, table, written
 from vellum.session import remove
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -88,7 +87,10 @@ class LineIndex:
         A line goes unless its document owns it. The owner is the least id of the first batch
         that held the line, so a batch that comes twice gives the same result twice.
         """
-        lines = lines_of(docs, self.least)
+        return self.add_lines(lines_of(docs, self.least))
+
+    def add_lines(self, lines: DataFrame) -> DataFrame:
+        """``add`` for a batch given as rows of ``lines_of``, which are read more than once."""
         keys = lines.groupBy(*HASHES).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
         for i, run in enumerate(self.runs()):
             before = self.spark.table(run).where("not known").select(*HASHES, F.col("owner").alias(f"o{i}"))
@@ -150,16 +152,14 @@ def dedup(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, id_col:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     index, edges = LineIndex(spark, fanout=fanout, least=least), boundaries(rows, batches)
-    out: list[DataFrame] = []
+    lines, gone = written(lines_of(rows, least), "line-hashes"), []  # texts are read twice only: here and at the end
     for low, high in zip([None, *edges], [*edges, None]):
-        part: Callable = lambda df, low=low, high=high: df.where((F.lit(True) if low is None else F.col("id") > low) & (F.lit(True) if high is None else F.col("id") <= high))
-        batch = part(rows)
-        gone = index.add(batch.select("id", "text")).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "gone")
-        joined = batch.withColumn("row", F.xxhash64("text")).join(gone, (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row")), "left")
-        out.append(joined)
+        batch = lines if low is None else lines.where(F.col("id") > low)
+        gone.append(index.add_lines(batch if high is None else batch.where(F.col("id") <= high)))
+    places = reduce(DataFrame.unionByName, gone).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "gone")
+    joined = rows.withColumn("row", F.xxhash64("text")).join(places, (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     n_lines = F.size(F.split("text", "\n", -1)).cast("long")
-    counted = [j.select(F.col("doc").alias(id_col), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), without(F.col("text"), F.col("gone")).alias("kept")) for j in out]
-    return reduce(DataFrame.unionByName, counted)
+    return joined.select(F.col("doc").alias(id_col), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), without(F.col("text"), F.col("gone")).alias("kept"))
 
 
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
