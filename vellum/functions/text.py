@@ -19,9 +19,14 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def single_blanks(c: Column) -> Column:
+    """Runs of white space become one blank, at the ends too."""
+    return F.regexp_replace(c, f"[{SPACE}]+", " ")
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
-    return trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    return trim(single_blanks(c))
 
 
 def bare_length(c: Column) -> Column:

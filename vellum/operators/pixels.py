@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.color import contrast, hex2, quantise
+from vellum.operators.cells import crowd, touching
+from vellum.operators.geometry import overlap_area
 
 CHANNELS = ("r", "g", "b")
 
@@ -118,13 +120,15 @@ def embedded_text(texts: DataFrame, parts: DataFrame, slide: str, item: str, wid
     Big parts cover over 2 % of the picture and are padded by 2.5 % of its width; tall text has
     4.5 % of its height or more.
     """
-    big = parts.where(F.col("w") * F.col("h") > 0.02 * width * height).select(F.col(slide).alias("_s"), *[F.col(c).alias(f"_{c}") for c in "xywh"])
-    pad = F.floor(0.025 * width)
-    ox = F.greatest(F.lit(0), F.least(F.col("x") + F.col("w"), F.col("_x") + F.col("_w") + pad) - F.greatest(F.col("x"), F.col("_x") - pad))
-    oy = F.greatest(F.lit(0), F.least(F.col("y") + F.col("h"), F.col("_y") + F.col("_h") + pad) - F.greatest(F.col("y"), F.col("_y") - pad))
-    inside = texts.join(big, (F.col(slide) == F.col("_s")) & (ox * oy / F.greatest(F.col("w") * F.col("h"), F.lit(1)) >= 0.6), "left_semi").where(~F.col("safe"))
+    pad, large = F.floor(0.025 * width), F.col("w") * F.col("h") > 0.02 * width * height
+    sides = [F.lit(None).cast("long").alias(item), (F.col("x") - pad).alias("x"), (F.col("y") - pad).alias("y"), (F.col("w") + 2 * pad).alias("w"), (F.col("h") + 2 * pad).alias("h")]
+    asked = texts.where(~F.col("safe")).select(slide, F.col(item).cast("long").alias(item), *[F.col(c) for c in "xywh"])
+    both = crowd(asked.unionByName(parts.where(large).select(slide, *sides)), slide)  # both sides of a slide agree whether it is crowded
+    met = touching(both.where(F.col(item).isNotNull()), both.where(F.col(item).isNull()).drop(item), slide)
+    shared = overlap_area(*[F.col(f"{p}_{c}") for p in "ab" for c in "xywh"]) / F.greatest(F.col("a_w") * F.col("a_h"), F.lit(1))
+    inside = met.where(shared >= 0.6).select(F.col(f"a_{slide}").alias(slide), F.col(f"a_{item}").cast(dict(texts.dtypes)[item]).alias(item))
     tall = texts.where(F.col("h") >= 0.045 * height)
-    return inside.select(slide, item).unionByName(tall.select(slide, item)).distinct()
+    return inside.unionByName(tall.select(slide, item)).distinct()
 
 
 # ---- regions: per picture, in numpy, as no column function follows connected pixels ----

@@ -1,93 +1,106 @@
 """Document trees as tables of nodes: inheritance, pruning, order, occlusion.
 
-A node row holds its materialised path, an array of structs from the root to itself, so that
-every ancestor rule is an array function on the row and needs no join along the tree.
-``with_paths`` builds the paths from parent links, a level a join, down to the deepest node.
+What a node takes from its ancestors is a fold along its path. ``along_paths`` computes folds by
+doubling: a node's row holds the fold over the nearest ancestors it has reached and a link to the next one;
+each round joins it with that one's row, so reach doubles and a tree of depth d takes about log2(d) joins.
+Folds of bounded size (nearest z, intersection of clips, all visible) keep rows small at any depth;
+``with_paths`` folds whole paths into arrays, for rules that are array functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import squeeze
+from vellum.functions.text import single_blanks, squeeze
+from vellum.operators.cells import crowd, holding
 from vellum.operators.geometry import box
 from vellum.session import shared_folder
 
 
-#: Doublings after which parent links are taken for a circle: paths of over 4,096 nodes.
+#: Rounds after which it is worth to count the nodes, to tell a deep tree from parent links in a circle.
 ROUNDS = 12
 
 
-def tree_depth(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id") -> int:
-    """Levels of the deepest tree. Links to ancestors double in reach with every round, so rounds grow with the depth's logarithm."""
-    shared_folder(nodes.sparkSession)
-    links = nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("up"), F.lit(1).alias("far"))
-    for _ in range(ROUNDS + 1):
-        above = links.select(F.col("n").alias("_n"), F.col("up").alias("_up"), F.col("far").alias("_far"))
-        joined = links.join(above, F.col("up") == F.col("_n"), "left")
-        more = F.col("_n").isNotNull()
-        links = joined.select("n", F.when(more, F.col("_up")).otherwise(F.col("up")).alias("up"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), more.alias("more")).checkpoint()
-        s = links.agg(F.coalesce(F.bool_or("more"), F.lit(False)).alias("more"), F.coalesce(F.max("far"), F.lit(0)).alias("far")).first()
-        if not s["more"]:
-            return s["far"] + 1
-    raise ValueError(f"paths of over {1 << ROUNDS} nodes: parent links go in a circle")
-
-
-def with_paths(nodes: DataFrame, keep: list[str], depth: int | None = None, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
-    """Add ``path``: structs (node, *keep) from the root down to the node.
-
-    ``depth`` is the number of levels, where it is known; otherwise ``tree_depth`` finds it.
-    Nodes whose parent isn't there hang on no root and are left out.
+def along_paths(nodes: DataFrame, own: dict[str, Column], combine: dict[str, Callable[[Column, Column], Column]], node: str = "node_id", parent: str = "parent_id") -> DataFrame:
+    """Add for each name the fold over the path from the root to the node, and ``above_<name>``, without the node itself (null for roots).
+
+    ``own`` is a node's contribution and ``combine(above, below)`` joins two stretches of a path; it is
+    associative and takes null for a stretch without contributions. Nodes whose parent isn't there hang on
+    no root and are left out. Links in a circle are an error.
     """
-    depth = depth or tree_depth(nodes, node, parent)
-    item = F.struct(F.col(node), *keep)
-    level = nodes.where(F.col(parent).isNull()).withColumn("path", F.array(item))
-    out = level
-    for _ in range(depth - 1):
-        above = level.select(F.col(node).alias("_p"), F.col("path").alias("_path"))
-        level = nodes.join(above, F.col(parent) == F.col("_p")).withColumn("path", F.concat("_path", F.array(item))).drop("_p", "_path")
-        out = out.unionByName(level)
-    return out
+    shared_folder(nodes.sparkSession)
+    names = {n: f"above_{n}" for n in own}
+    rows = nodes.withColumns({n: c for n, c in own.items()} | {"_up": F.col(parent)})
+    rows = rows.withColumns({a: F.when(F.lit(False), F.col(n)) for n, a in names.items()})
+    rounds = 0
+    while True:
+        rows = rows.checkpoint()
+        live = rows.where(F.col("_up").isNotNull())
+        if live.isEmpty():
+            return rows.drop("_up")
+        if rounds > ROUNDS and 1 << rounds > rows.count():
+            raise ValueError("parent links go in a circle")
+        far = rows.select(F.col(node).alias("_n"), F.col("_up").alias("_next"), *[F.col(n).alias(f"_far_{n}") for n in own])
+        joined = live.join(far, F.col("_up") == F.col("_n"))
+        more = {n: combine[n](F.col(f"_far_{n}"), F.col(n)) for n in own} | {a: combine[n](F.col(f"_far_{n}"), F.col(a)) for n, a in names.items()}
+        rows = rows.where(F.col("_up").isNull()).unionByName(joined.withColumns(more | {"_up": F.col("_next")}).select(*rows.columns))
+        rounds += 1
 
 
-def effective_z(path: Column) -> Column:
-    """The nearest z of the node and its ancestors, else 0."""
-    known = F.filter(F.transform(path, lambda p: p["z"]), lambda z: z.isNotNull())
-    return F.coalesce(F.element_at(F.when(F.size(known) > 0, known), -1), F.lit(0))
+def tree_depth(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id") -> int:
+    """Levels of the deepest tree, at least 1."""
+    add = lambda above, below: above + F.coalesce(below, F.lit(0))
+    return along_paths(nodes.select(node, parent), {"depth": F.lit(1)}, {"depth": add}, node, parent).agg(F.coalesce(F.max("depth"), F.lit(1))).first()[0]
 
 
-def inherited_clip(path: Column, own: Column) -> Column:
-    """The node's box intersected with those of all ancestors that clip (clips is true)."""
-    above = F.filter(F.slice(path, 1, F.size(path) - 1), lambda p: p["clips"])
+def with_paths(nodes: DataFrame, keep: list[str], node: str = "node_id", parent: str = "parent_id") -> DataFrame:
+    """Add ``path``: structs (node, *keep) from the root down to the node."""
+    chain = lambda above, below: F.concat(above, F.coalesce(below, F.array().cast(nodes.select(F.array(F.struct(node, *keep))).schema[0].dataType)))
+    return along_paths(nodes, {"path": F.array(F.struct(F.col(node), *keep))}, {"path": chain}, node, parent).drop("above_path")
 
-    def edge(low: bool, axis: str, size: str) -> Column:
-        pick = F.array_max if low else F.array_min
-        ends = F.transform(above, lambda p: p[axis] if low else p[axis] + p[size])
-        mine = own[axis] if low else own[axis] + own[size]
-        return (F.greatest if low else F.least)(mine, F.coalesce(pick(ends), mine))
 
-    x0, y0, x1, y1 = edge(True, "x", "w"), edge(True, "y", "h"), edge(False, "x", "w"), edge(False, "y", "h")
-    return F.when((x1 > x0) & (y1 > y0), box(x0, y0, x1 - x0, y1 - y0))
+def nearest(above: Column, below: Column) -> Column:
+    """The value nearest to the node."""
+    return F.coalesce(below, above)
 
 
-def is_visible(display: Column, visibility: Column, opacity: Column, w: Column, h: Column) -> Column:
-    return (display != "none") & (visibility != "hidden") & (opacity != 0) & (w > 0.5) & (h > 0.5)
+def with_z(nodes: DataFrame, z: str = "z") -> DataFrame:
+    """Add effective_z: the nearest z of the node and its ancestors, else 0."""
+    out = along_paths(nodes.withColumn("_z", F.col(z)), {"effective_z": F.col(z)}, {"effective_z": nearest})
+    return out.withColumn("effective_z", F.coalesce("effective_z", F.lit(0))).drop("_z", "above_effective_z")
+
 
+def with_clip(nodes: DataFrame) -> DataFrame:
+    """Add clip: the node's box (x, y, w, h) cut by all ancestors that clip (``clips``); null if nothing is left."""
+    edges = {"_x0": F.col("x"), "_y0": F.col("y"), "_x1": F.col("x") + F.col("w"), "_y1": F.col("y") + F.col("h")}
+    inner = lambda pick: lambda above, below: pick(above, below)
+    folds = {k: inner(F.greatest if k.endswith("0") else F.least) for k in edges}
+    out = along_paths(nodes, {k: F.when(F.col("clips"), e) for k, e in edges.items()}, folds)
+    x0, y0, x1, y1 = (folds[k](F.col(f"above_{k}"), e) for k, e in edges.items())
+    clip = F.when((x1 > x0) & (y1 > y0), box(x0, y0, x1 - x0, y1 - y0))
+    return out.withColumn("clip", clip).drop(*edges, *[f"above_{k}" for k in edges])
 
-def prune(df: DataFrame) -> DataFrame:
-    """Nodes whose whole path is visible: what is under a hidden node goes with it."""
-    return df.where(F.forall("path", lambda p: p["visible"]))
 
+def in_order(nodes: DataFrame, key: str = "sibling") -> DataFrame:
+    """Nodes whose whole path is visible and of which no ancestor consumes the content, with ``place``: sibling numbers from the root, in whose order the document runs."""
+    every = lambda above, below: F.coalesce(above & below, above, below)
+    some = lambda above, below: F.coalesce(above | below, above, below)
+    none = F.array().cast(nodes.select(F.array(key)).schema[0].dataType)
+    chain = lambda above, below: F.concat(above, F.coalesce(below, none))
+    out = along_paths(nodes, {"_seen": F.col("visible"), "_eaten": F.col("consumes"), "place": F.array(key)}, {"_seen": every, "_eaten": some, "place": chain})
+    return out.where(F.col("_seen") & ~F.coalesce("above__eaten", F.lit(False))).drop("_seen", "_eaten", "above__seen", "above__eaten", "above_place")
 
-def skip_consumed(df: DataFrame) -> DataFrame:
-    """Nodes no ancestor of which has consumed its content (path field consumes)."""
-    return df.where(~F.exists(F.slice("path", 1, F.size("path") - 1), lambda p: p["consumes"]))
 
+def is_visible(display: Column, visibility: Column, opacity: Column, w: Column, h: Column) -> Column:
+    return (display != "none") & (visibility != "hidden") & (opacity != 0) & (w > 0.5) & (h > 0.5)
 
-def document_order(df: DataFrame, slide: str, key: str = "sibling") -> DataFrame:
+
+def document_order(df: DataFrame, slide: str, place: str = "place") -> DataFrame:
     """Pre-order numbers from 0: the order of the arrays of sibling numbers along the path."""
-    w = Window.partitionBy(slide).orderBy(F.transform("path", lambda p: p[key]))
+    w = Window.partitionBy(slide).orderBy(place)
     return df.withColumn("doc_order", F.row_number().over(w) - 1)
 
 
@@ -103,15 +116,15 @@ def occluded(boxes: DataFrame, slide: str = "slide_idx", elem: str = "elem_idx",
     Points are the centre and the centres of the left and right halves. An element on top is
     one of another ``group`` (unrelated in the tree) with larger (z, index) that holds the point.
     """
-    at = lambda part: F.struct((F.col("x") + F.col("w") * part).alias("px"), (F.col("y") + F.col("h") / 2).alias("py"))
-    points = boxes.select(slide, elem, "z", "group", F.explode(F.array(at(0.25), at(0.5), at(0.75))).alias("p")).select(slide, elem, "z", "group", "p.px", "p.py")
+    at = lambda i: F.struct(F.lit(1 << i).alias("bit"), (F.col("x") + F.col("w") * (i + 1) / 4).alias("px"), (F.col("y") + F.col("h") / 2).alias("py"))
+    own = crowd(boxes.select(slide, elem, "z", "group", "x", "y", "w", "h"), slide)
+    points = own.select(slide, elem, "z", "group", "_crowded", F.explode(F.array(at(0), at(1), at(2))).alias("p")).select(slide, elem, "z", "group", "_crowded", "p.*")
     inside = points.where((F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") < view[0]) & (F.col("py") < view[1]))
-    tops = boxes.select(F.col(slide).alias("_s"), F.col(elem).alias("_e"), F.col("z").alias("_z"), F.col("group").alias("_g"), *[F.col(c).alias(f"_{c}") for c in "xywh"])
-    above = (F.col("_z") > F.col("z")) | ((F.col("_z") == F.col("z")) & (F.col("_e") > F.col(elem)))
-    holds = F.col("px").between(F.col("_x"), F.col("_x") + F.col("_w")) & F.col("py").between(F.col("_y"), F.col("_y") + F.col("_h"))
-    hit = inside.join(tops, (F.col(slide) == F.col("_s")) & (F.col("group") != F.col("_g")) & above & holds, "left_semi").groupBy(slide, elem).agg(F.count(F.lit(1)).alias("covered"))
-    total = inside.groupBy(slide, elem).agg(F.count(F.lit(1)).alias("points"))
-    return total.join(hit, [slide, elem], "left").select(slide, elem, (F.coalesce("covered", F.lit(0)) == F.col("points")).alias("occluded"))
+    above = (F.col("b_z") > F.col("z")) | ((F.col("b_z") == F.col("z")) & (F.col(f"b_{elem}") > F.col(elem)))
+    hit = holding(inside, own, slide, (F.col("group") != F.col("b_group")) & above)
+    bits = lambda df, name: df.groupBy(slide, elem).agg(F.bit_or("bit").alias(name))
+    joined = bits(inside, "points").join(bits(hit, "covered"), [slide, elem], "left")
+    return joined.select(slide, elem, (F.coalesce("covered", F.lit(0)) == F.col("points")).alias("occluded"))
 
 
 def direct_text(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
@@ -132,19 +145,28 @@ def block_children(children: DataFrame, parent: str = "parent_id", tag: str = "t
 
 
 def text_runs(df: DataFrame, keys: list[str], order: str = "run_idx") -> DataFrame:
-    """Runs (array of structs) of a text node, one level deep: bold from weight 600 on, BR as line breaks, blank runs dropped."""
+    """Runs (array of structs) of a text node, one level deep: bold from weight 600 on, BR as line breaks, blank runs dropped.
+
+    White space in a run becomes single blanks; those at its ends stay, as they part it from its
+    neighbours. A SUB or SUP marks its own run, or, if it is blank, the run before it.
+    """
     br = F.col("tag") == "BR"
-    kept = df.where(br | (squeeze(F.col("text")) != ""))
+    kept = br | (squeeze(F.col("text")) != "")
+    inside = Window.partitionBy(*keys).orderBy(order)
+    owned = df.withColumn("_kept", kept).withColumn("_run", F.count_if("_kept").over(inside)).where("_run > 0")
+    mark = lambda tag: F.bool_or(F.col("tag") == tag)
+    own = {c: F.any_value(F.when(F.col("_kept"), F.col(c)), True).alias(c) for c in (order, "text", "tag", "weight", "style")}
+    runs = owned.groupBy(*keys, "_run").agg(*own.values(), mark("SUB").alias("_sub"), mark("SUP").alias("_sup"))
     run = F.struct(
         F.col(order),
-        F.when(br, F.lit("\n")).otherwise(F.col("text")).alias("text"),
+        F.when(br, F.lit("\n")).otherwise(single_blanks(F.col("text"))).alias("text"),
         br.alias("br"),
         (F.col("weight") >= 600).alias("bold"),
         (F.col("style") == "italic").alias("italic"),
-        (F.col("tag") == "SUB").alias("sub"),
-        (F.col("tag") == "SUP").alias("sup"),
+        F.col("_sub").alias("sub"),
+        F.col("_sup").alias("sup"),
     )
-    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(run)).alias("runs"))
 
 
 def table_rows(cells: DataFrame, keys: list[str]) -> DataFrame:

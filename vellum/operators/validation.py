@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import half_up, number_text
+from vellum.operators.cells import crowd, touching_pairs
 from vellum.operators.geometry import CANVAS, overlap_area
 
 # Tolerated share of changed pixels by class of slide.
@@ -28,17 +29,16 @@ def tally_map(report: DataFrame, slide: str = "slide_idx") -> DataFrame:
 def text_collisions(report: DataFrame, slide: str = "slide_idx", elem: str = "elem_idx") -> DataFrame:
     """Pairs of native texts that cover each other: over half of the smaller, over 400 px, similar sizes.
 
-    An equi-join on the slide with the tests as residual condition; pairs come once, a before b.
+    Texts of a slide meet by grid cells; pairs come once, a before b.
     """
-    texts = report.where(F.col("strategy") == "native-text").select(slide, elem, "x", "y", "w", "h", "size")
-    a = texts.select(slide, *[F.col(c).alias(f"a_{c}") for c in (elem, "x", "y", "w", "h", "size")])
-    b = texts.select(F.col(slide).alias("_s"), *[F.col(c).alias(f"b_{c}") for c in (elem, "x", "y", "w", "h", "size")])
+    sides = [F.col(c).cast("double").alias(c) for c in "xywh"]  # areas of large boxes leave 32 bits
+    texts = report.where(F.col("strategy") == "native-text").select(slide, elem, *sides, "size")
     ov = overlap_area(*[F.col(f"{p}_{c}") for p in "ab" for c in "xywh"])
     least = F.least(F.col("a_w") * F.col("a_h"), F.col("b_w") * F.col("b_h"))
     ratio = F.greatest("a_size", "b_size") / F.greatest(F.lit(1), F.least("a_size", "b_size"))
     tests = (least > 0) & (ov > 400) & (ov * 2 > least) & (ratio <= 1.8)
-    joined = a.join(b, (F.col(slide) == F.col("_s")) & (F.col(f"a_{elem}") < F.col(f"b_{elem}")) & tests)
-    return joined.select(slide, F.col(f"a_{elem}").alias("a"), F.col(f"b_{elem}").alias("b"), half_up(100 * ov / least).cast("int").alias("pct"))
+    met = touching_pairs(crowd(texts, slide), slide, elem).where(tests)
+    return met.select(F.col(f"a_{slide}").alias(slide), F.col(f"a_{elem}").alias("a"), F.col(f"b_{elem}").alias("b"), half_up(100 * ov / least).cast("int").alias("pct"))
 
 
 def off_canvas(x: Column, y: Column, w: Column, h: Column, canvas: tuple[int, int] = CANVAS, slack: int = 2) -> Column:
@@ -59,17 +59,23 @@ def slide_checks(report: DataFrame, slide: str = "slide_idx") -> DataFrame:
     element's part of the source's text); it is 100 where the report has none.
     """
     chars = [F.sum(c).alias(c) for c in ("native_chars", "source_chars") if c in report.columns]
-    counts = report.groupBy(slide).agg(
-        F.count(F.lit(1)).alias("n_elements"),
-        F.count_if(F.col("strategy") == "native-text").alias("n_text"),
-        F.count_if(off_canvas(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("n_off_canvas"),
-        F.count_if(F.col("strategy").isin(*UNRENDERED)).alias("n_unrendered"),
-        F.count_if(F.coalesce("clipped", F.lit(False))).alias("n_clipped"),
-        F.array_sort(F.collect_list("strategy")).alias("_all"),
+    # counts by name first, then of each slide: a slide's map holds an entry a strategy
+    by_name = report.groupBy(slide, "strategy").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(off_canvas(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("_off"),
+        F.count_if(F.coalesce("clipped", F.lit(False))).alias("_cut"),
         *chars,
     )
-    names = F.array_distinct("_all")
-    counts = counts.withColumn("strategies", F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter("_all", lambda x: x == n))))).drop("_all")
+    of = lambda names: F.sum(F.when(F.col("strategy").isin(*names), F.col("_n")).otherwise(0))
+    counts = by_name.groupBy(slide).agg(
+        F.sum("_n").alias("n_elements"),
+        of(["native-text"]).alias("n_text"),
+        F.sum("_off").alias("n_off_canvas"),
+        of(UNRENDERED).alias("n_unrendered"),
+        F.sum("_cut").alias("n_clipped"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", F.col("_n").cast("int").alias("n"))))).alias("strategies"),
+        *[F.sum(c).alias(c) for c in ("native_chars", "source_chars") if c in report.columns],
+    )
     share = coverage(F.coalesce("native_chars", F.lit(0)), F.coalesce("source_chars", F.lit(0))) if len(chars) == 2 else F.lit(100)
     counts = counts.withColumn("coverage_pct", share)
     hits = text_collisions(report, slide).groupBy(slide).agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "pct"))), lambda s: s["pct"]).alias("collisions"))
@@ -160,9 +166,9 @@ def summary(reports: DataFrame) -> DataFrame:
     )
 
 
-def shown_cards(reports: DataFrame, mode: str = "all") -> DataFrame:
-    """The slides that a filter leaves visible: all, ok (without review) or rev (to review)."""
-    return reports if mode == "all" else reports.where(F.col("needs_review") == (mode == "rev"))
+def shown_cards(reports: DataFrame) -> DataFrame:
+    """Each slide with each mode of the filter that leaves it visible: all, ok (without review) or rev (to review). One pass."""
+    return reports.withColumn("mode", F.explode(F.array(F.lit("all"), F.when(F.col("needs_review"), "rev").otherwise("ok"))))
 
 
 def drift_meter(diff_pct: Column, tolerance_: Column) -> Column:

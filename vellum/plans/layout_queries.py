@@ -89,16 +89,9 @@ def shape_geometry(spark, sf_dir):
     return boxes(spark, sf_dir).select("slide_idx", "elem_idx", r.alias("radius"), geometry.is_ellipse(r, w, h).alias("ellipse"), geometry.rotation(matrix).alias("turn"), bg.alias("bg"), geometry.clipped_share(w, h * 0.5, w, h, 0.6).alias("cut_icon"), geometry.clipped_share(w, h * 0.8, w, h, 0.75).alias("cut_text"))
 
 
-TREE_KEEP = ["z", "clips", "visible", "consumes", "sibling", "x", "y", "w", "h"]
-
-
-def _paths(spark, sf_dir):
-    return tree.with_paths(nodes(spark, sf_dir), TREE_KEEP)
-
-
 @query(f"with recursive {NODES}, {PATHS} select a.leaf as node_id, coalesce(min_by(n.z, a.up) filter (where n.z is not null), 0) as z from anc a join nodes n using (node_id) group by 1")
 def z_inherit(spark, sf_dir):
-    return _paths(spark, sf_dir).select("node_id", tree.effective_z(F.col("path")).alias("z"))
+    return tree.with_z(nodes(spark, sf_dir).select("node_id", "parent_id", "z")).select("node_id", F.col("effective_z").alias("z"))
 
 
 @query(
@@ -106,8 +99,8 @@ def z_inherit(spark, sf_dir):
     select node_id, case when x1 > x0 and y1 > y0 then x0 end as x, case when x1 > x0 and y1 > y0 then y0 end as y, case when x1 > x0 and y1 > y0 then x1 - x0 end as w, case when x1 > x0 and y1 > y0 then y1 - y0 end as h from e"""
 )
 def clip_inherit(spark, sf_dir):
-    c = tree.inherited_clip(F.col("path"), F.struct("x", "y", "w", "h"))
-    return _paths(spark, sf_dir).select("node_id", *[c[k].alias(k) for k in "xywh"])
+    clipped = tree.with_clip(nodes(spark, sf_dir).select("node_id", "parent_id", "clips", "x", "y", "w", "h"))
+    return clipped.select("node_id", *[F.col("clip")[k].alias(k) for k in "xywh"])
 
 
 @query(
@@ -116,7 +109,7 @@ def clip_inherit(spark, sf_dir):
     select node_id, doc_order from o"""
 )
 def dom_order(spark, sf_dir):
-    kept = tree.skip_consumed(tree.prune(_paths(spark, sf_dir))).withColumn("slide_idx", F.get("path", F.lit(0))["sibling"])
+    kept = tree.in_order(nodes(spark, sf_dir).select("node_id", "parent_id", "visible", "consumes", "sibling")).withColumn("slide_idx", F.get("place", F.lit(0)))
     return tree.document_order(kept, "slide_idx").select("node_id", "doc_order")
 
 
@@ -138,17 +131,20 @@ def occlusion(spark, sf_dir):
     return tree.occluded(boxes(spark, sf_dir).withColumn("group", F.col("l_linenumber") % 2))
 
 
-RUNS = """runs as (select conv_id, turn, text, case turn % 4 when 0 then 'BR' when 1 then 'SPAN' when 2 then 'SUB' else 'SUP' end as tag, case when turn % 3 = 0 then 700 else 400 end as weight from conversations)"""
+RUNS = r"""runs as (select conv_id, turn, case when (conv_id + turn) % 5 = 2 then E' \n ' when (conv_id + turn) % 3 = 1 then E'\t' || replace(text, ' ', E' \n\n ') || ' ' else text end as text, case turn % 4 when 0 then 'BR' when 1 then 'SPAN' when 2 then 'SUB' else 'SUP' end as tag, case when turn % 3 = 0 then 700 else 400 end as weight from conversations)"""
 
 
 def _runs(spark, sf_dir):
     t = F.col("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", t.alias("run_idx"), "text", F.when(t % 4 == 0, "BR").when(t % 4 == 1, "SPAN").when(t % 4 == 2, "SUB").otherwise("SUP").alias("tag"), F.when(t % 3 == 0, 700).otherwise(400).alias("weight"), F.lit("italic").alias("style"))
+    text = F.when((F.col("conv_id") + t) % 5 == 2, " \n ").when((F.col("conv_id") + t) % 3 == 1, F.concat(F.lit("\t"), F.replace("text", F.lit(" "), F.lit(" \n\n ")), F.lit(" "))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", t.alias("run_idx"), text.alias("text"), F.when(t % 4 == 0, "BR").when(t % 4 == 1, "SPAN").when(t % 4 == 2, "SUB").otherwise("SUP").alias("tag"), F.when(t % 3 == 0, 700).otherwise(400).alias("weight"), F.lit("italic").alias("style"))
 
 
 @query(
-    rf"""with {RUNS}, k as (select *, tag = 'BR' as br from runs where tag = 'BR' or trim(text) <> ''), f as (select *, coalesce(lead(br) over (partition by conv_id order by turn), false) as break_line from k)
-    select conv_id, turn as run_idx, text, weight >= 600 as bold, break_line, tag = 'SUB' as sub, tag = 'SUP' as sup from f where not br"""
+    rf"""with {RUNS}, m as (select *, tag = 'BR' or trim(text, E' \t\n') <> '' as kept from runs), g as (select *, count(*) filter (kept) over (partition by conv_id order by turn) as run from m),
+    k as (select conv_id, run, any_value(turn) filter (kept) as turn, any_value(text) filter (kept) as text, any_value(tag) filter (kept) as tag, any_value(weight) filter (kept) as weight, bool_or(tag = 'SUB') as sub, bool_or(tag = 'SUP') as sup from g where run > 0 group by all),
+    f as (select *, coalesce(lead(tag = 'BR') over (partition by conv_id order by turn), false) as break_line from k)
+    select conv_id, turn as run_idx, regexp_replace(text, '\s+', ' ', 'g') as text, weight >= 600 as bold, break_line, sub, sup from f where tag <> 'BR'"""
 )
 def fold_breaks(spark, sf_dir):
     runs = tree.text_runs(_runs(spark, sf_dir), ["conv_id"]).select("conv_id", F.explode("runs").alias("r")).select("conv_id", "r.*")

@@ -344,9 +344,7 @@ def report_summary(spark, sf_dir):
 @query(f"with {CHECKS}, c as (select slide_idx, len(issues) > 0 as r from checks) select 'all' as mode, slide_idx from c union all select 'ok', slide_idx from c where not r union all select 'rev', slide_idx from c where r")
 def review_filter(spark, sf_dir):
     """Which slides each filter of the review page leaves visible."""
-    c = checked(spark, sf_dir).select("slide_idx", "needs_review")
-    modes = [validation.shown_cards(c, m).select(F.lit(m).alias("mode"), "slide_idx") for m in ("all", "ok", "rev")]
-    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+    return validation.shown_cards(checked(spark, sf_dir).select("slide_idx", "needs_review")).select("mode", "slide_idx")
 
 
 @query("select o_orderkey as slide_idx, 0 as coverage_pct, 'conversion failed: ' || o_orderpriority as issues, true as needs_review, true as failed from orders where o_orderpriority = '1-URGENT'")
