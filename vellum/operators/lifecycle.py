@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import signature, trim
@@ -34,9 +34,14 @@ def event_frames(df: DataFrame, stream: str, schema: str) -> DataFrame:
     """
     chunks = F.split(stream, "\n\n", -1)
     frames = df.select("*", F.posexplode(F.slice(chunks, F.lit(1), F.size(chunks) - 1)).alias("frame_idx", "_f"))
+    return parsed_events(frames.drop(stream), schema)
+
+
+def parsed_events(frames: DataFrame, schema: str) -> DataFrame:
+    """The events of frames (column _f): JSON of the first data line, where there is one and it is whole."""
     line = F.get(F.filter(F.split("_f", "\n"), lambda x: x.startswith("data:")), F.lit(0))
     body = frames.withColumn("_d", trim(F.substring(line, 6, 1 << 30)))
-    return body.where(F.try_parse_json("_d").isNotNull()).withColumn("event", F.from_json("_d", schema)).drop("_f", "_d", stream)
+    return body.where(F.try_parse_json("_d").isNotNull()).withColumn("event", F.from_json("_d", schema)).drop("_f", "_d")
 
 
 def source_signature(df: DataFrame, keys: list[str], name: str, content: str) -> DataFrame:
@@ -44,6 +49,11 @@ def source_signature(df: DataFrame, keys: list[str], name: str, content: str) ->
     return df.groupBy(*keys).agg(signature(F.collect_list(F.concat(name, content))).alias("signature"))
 
 
-def capabilities(spark: SparkSession) -> DataFrame:
-    """What this engine can do, as one row."""
-    return spark.range(1).select(F.lit(True).alias("html"), F.lit(False).alias("pdf_render"), F.lit(False).alias("ocr"), F.lit(False).alias("verify_render"))
+# Kinds of files that are read here, by their last name; others need programs outside.
+READ = ("html", "htm", "txt", "png", "jpg", "jpeg")
+
+
+def capabilities(files: DataFrame, name: str) -> DataFrame:
+    """Per kind of the files given: how many there are, and whether they can be read here."""
+    kind = F.coalesce(F.nullif(F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)), F.lit("")), F.lit("none"))
+    return files.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.any_value(kind.isin(*READ)).alias("read"))

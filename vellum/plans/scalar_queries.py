@@ -11,7 +11,7 @@ from vellum.operators import lifecycle
 from vellum.operators.geometry import px_to_inches, px_to_points
 from vellum.plans.fixtures import table
 from vellum.plans.registry import query
-from vellum.session import shared_folder
+from vellum.session import scratch
 from vellum.sources import sinks
 
 COLOURS = """colours as (select p_partkey, case p_partkey % 5
@@ -107,28 +107,28 @@ def fill_border(spark, sf_dir):
 LOGS = "logs as (select event_id, ts, (['INFO', 'WARN', 'ERROR', 'DEBUG'])[1 + event_id % 4] as level, event_type as scope, props as message from events)"
 
 
-def _logs(spark, sf_dir):
+def log_rows(spark, sf_dir):
     levels = F.array(*[F.lit(x) for x in ("INFO", "WARN", "ERROR", "DEBUG")])
     return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.get(levels, (F.col("event_id") % 4).cast("int")).alias("level"), F.col("event_type").alias("scope"), F.col("props").alias("message"))
 
 
 @query(f"""with {LOGS} select event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z] [' || rpad(level, 5, ' ') || '] [' || scope || '] ' || message || case when event_id % 2 = 0 then ' {{"id":' || event_id || ',"kind":"' || scope || '"}}' else ' null' end as line, level in ('WARN', 'ERROR') as alert from logs""")
 def log_lines(spark, sf_dir):
-    return _logs(spark, sf_dir).select("event_id", media.log_line(F.col("ts"), F.col("level"), F.col("scope"), F.col("message"), (F.when(F.col("event_id") % 2 == 0, F.struct(F.col("event_id").alias("id"), F.col("scope").alias("kind"))), True)).alias("line"), sinks.is_alert(F.col("level")).alias("alert"))
+    return log_rows(spark, sf_dir).select("event_id", media.log_line(F.col("ts"), F.col("level"), F.col("scope"), F.col("message"), (F.when(F.col("event_id") % 2 == 0, F.struct(F.col("event_id").alias("id"), F.col("scope").alias("kind"))), True)).alias("line"), sinks.is_alert(F.col("level")).alias("alert"))
 
 
 @query(f"with {LOGS} select cast(cast(ts as date) as varchar) as day, 'all' as part, count(*) as n from logs group by 1 union all select cast(cast(ts as date) as varchar), 'alerts', count(*) from logs where level in ('WARN', 'ERROR') group by 1")
 def written_logs(spark, sf_dir):
     """Logs written by day, warnings and errors also on their own, and read back."""
-    folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
-    sinks.write_logs(_logs(spark, sf_dir), folder)
+    folder = f"{scratch(spark)}/logs-{uuid.uuid4().hex}"
+    sinks.write_logs(log_rows(spark, sf_dir), folder)
     parts = [spark.read.parquet(f"{folder}/{p}").groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")).select("day", F.lit(p).alias("part"), "n") for p in ("all", "alerts")]
     return parts[0].unionByName(parts[1])
 
 
 @query(f"with {LOGS}, m as (select max(ts) as now from logs) select level, count(*) as n, min(event_id) as first_id from logs, m where ts >= now - interval 14 day group by level")
 def log_retention(spark, sf_dir):
-    logs = _logs(spark, sf_dir)
+    logs = log_rows(spark, sf_dir)
     now = logs.agg(F.max("ts")).scalar()
     return lifecycle.retained(logs, "ts", now).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
@@ -188,6 +188,8 @@ def job_reports(spark, sf_dir):
     return sinks.job_report(o, "job_id", ["o_orderkey", "o_orderstatus"])
 
 
-@query("select true as html, false as pdf_render, false as ocr, false as verify_render")
+@query("select ext as kind, count(*) as files, ext in ('html', 'txt', 'png', 'jpeg') as read from (select (['html', 'TXT', 'pdf', 'png', 'pptx', 'jpeg', ''])[1 + page_id % 7] as e, case when lower(e) = '' then 'none' else lower(e) end as ext from pages) group by 1")
 def capabilities(spark, sf_dir):
-    return lifecycle.capabilities(spark)
+    """Which kinds among the files given can be read here."""
+    kind = F.get(F.array(*[F.lit(k) for k in (".html", ".TXT", ".pdf", ".png", ".pptx", ".jpeg", "")]), (F.col("page_id") % 7).cast("int"))
+    return lifecycle.capabilities(table(spark, sf_dir, "pages").select(F.concat(F.lit("in/f"), "page_id", kind).alias("file")), "file")

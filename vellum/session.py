@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
@@ -51,6 +52,25 @@ def remove(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@dataclass(frozen=True)
+class Listed:
+    """An entry of a folder."""
+
+    name: str
+    is_folder: bool
+    size: int
+    modified: int
+
+
+def listed(spark: SparkSession, path: str) -> list[Listed]:
+    """What is in a folder of any store that Spark reaches; nothing if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    return [Listed(f.getPath().getName(), f.isDirectory(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)]
+
+
 def clean(spark: SparkSession) -> bool:
     """Remove all tables this application wrote to the shared folder. Call it when every result has been stored."""
     return remove(spark, scratch(spark))
