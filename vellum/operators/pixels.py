@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -134,108 +136,173 @@ def embedded_text(texts: DataFrame, parts: DataFrame, slide: str, item: str, wid
 # ---- regions: per picture, in numpy, as no column function follows connected pixels ----
 
 
-def close(mask: np.ndarray, size: int) -> np.ndarray:
+def closed(mask: np.ndarray, size: int = 7) -> np.ndarray:
     """Morphological closing by a square."""
     return ~dilate(~dilate(mask, size), size, False)
 
 
 def dilate(mask: np.ndarray, size: int, border: bool = False) -> np.ndarray:
     """True where any pixel of the square around is; beyond the picture counts as ``border``."""
-    half = size // 2
-    out = np.pad(mask, half, constant_values=border)
-    out = np.logical_or.reduce([out[:, i : i + mask.shape[1]] for i in range(size)])
-    return np.logical_or.reduce([out[i : i + mask.shape[0]] for i in range(size)])
+    out = np.pad(mask, size // 2, constant_values=border)
+    for axis in (0, 1):
+        reach = 1  # doubles: a window of 7 takes three steps
+        while reach < size:
+            step = min(reach, size - reach)
+            ahead, behind = (slice(step, None), slice(None, -step)) if axis == 0 else ((slice(None), slice(step, None)), (slice(None), slice(None, -step)))
+            out = out[ahead] | out[behind]
+            reach += step
+    return out
 
 
-def label(mask: np.ndarray) -> np.ndarray:
-    """Labels 1, 2, ... of the 8-connected components in reading order of their first pixel; 0 elsewhere.
+def join_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n things the least one it is linked with, over links a-b: roots are hooked to smaller ones and paths shortened until nothing changes."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not (root[root] == root).all():
+            root = root[root]
 
-    Runs of each row are joined with the runs they touch in the row above.
-    """
+
+@dataclass
+class Regions:
+    """The 8-connected components of a mask, numbered from 1 in reading order of their first pixel, with all figures as arrays."""
+
+    labels: np.ndarray
+    area: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    h: np.ndarray
+
+    def member(self, i: int) -> np.ndarray:
+        """The mask of component i (from 0) in its hull."""
+        return self.labels[self.y[i] : self.y[i] + self.h[i], self.x[i] : self.x[i] + self.w[i]] == i + 1
+
+
+def regions(mask: np.ndarray) -> Regions:
+    """Components by runs: each row's runs are linked with those they touch in the row above, corners included; all of it in arrays, in linear space."""
     h, w = mask.shape
     edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, start = np.nonzero(edges == 1)
     stop = np.nonzero(edges == -1)[1]
-    parent = list(range(len(row)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    first = np.searchsorted(row, np.arange(h + 1)).tolist()
-    a, z = start.tolist(), stop.tolist()
-    for y in range(1, h):
-        i, j = first[y - 1], first[y]
-        while i < first[y] and j < first[y + 1]:
-            if a[i] <= z[j] and a[j] <= z[i]:  # touching, corners included
-                x, t = find(i), find(j)
-                parent[max(x, t)] = min(x, t)
-            if z[i] <= z[j]:
-                i += 1
-            else:
-                j += 1
-    roots = np.array([find(i) for i in range(len(row))], int)
-    numbers = np.unique(roots, return_inverse=True)[1] + 1 if len(roots) else roots
-    out = np.zeros(h * w, int)
-    lengths = stop - start
-    at = np.repeat(row * w + start - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-    out[at] = np.repeat(numbers, lengths)
-    return out.reshape(h, w)
-
-
-def regions(mask: np.ndarray) -> list[tuple[int, int, int, int, int, np.ndarray]]:
-    """(area, x, y, w, h, member mask of the hull) of each component."""
-    labels, out = label(mask), []
-    for i in range(1, labels.max(initial=0) + 1):
-        ys, xs = np.nonzero(labels == i)
-        x, y, w, h = xs.min(), ys.min(), xs.max() - xs.min() + 1, ys.max() - ys.min() + 1
-        out.append((len(xs), int(x), int(y), int(w), int(h), labels[y : y + h, x : x + w] == i))
+    n, wide = len(row), w + 2
+    # runs of the row above that end at or after this one's start, and start at or before its end
+    first = np.searchsorted(row * wide + stop, (row - 1) * wide + start)
+    beyond = np.searchsorted(row * wide + start, (row - 1) * wide + stop, side="right")
+    count = np.maximum(beyond - first, 0)
+    here = np.repeat(np.arange(n), count)
+    above = np.arange(len(here)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    roots = join_labels(n, here, above)
+    known, number = np.unique(roots, return_inverse=True) if n else (roots, roots)
+    lengths, k = stop - start, len(known)
+    out = np.zeros(h * w, np.int32)
+    out[np.repeat(row * w + start - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())] = np.repeat(number + 1, lengths)
+    low = lambda v: np.full(k, h + w).astype(int) if not n else _reduced(np.minimum, v, number, k)
+    high = lambda v: np.zeros(k, int) if not n else _reduced(np.maximum, v, number, k)
+    x, y = low(start), low(row)
+    return Regions(out.reshape(h, w), np.bincount(number, lengths, k).astype(int), x, y, high(stop) - x, high(row) + 1 - y)
+
+
+def _reduced(pick: np.ufunc, values: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
+    out = values[np.unique(number, return_index=True)[1]].copy()
+    pick.at(out, number, values)
     return out
 
 
-def find_rects(rgb: np.ndarray, bg: np.ndarray, text: np.ndarray, colours: int = 14, least: tuple[int, int] = (20, 12)) -> tuple[list[dict], list[dict]]:
+def label(mask: np.ndarray) -> np.ndarray:
+    """Labels 1, 2, ... of the 8-connected components in reading order of their first pixel; 0 elsewhere."""
+    return regions(mask).labels
+
+
+def box_sums(mask: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How many pixels of a mask each box holds, from one table of running sums."""
+    total = np.pad(mask.astype(np.int32).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+    return total[y + h, x + w] - total[y, x + w] - total[y + h, x] + total[y, x]
+
+
+# Which components of a picture are plain rectangles and which are artwork.
+RECT_SIDES, RECT_FILL, RECT_AREA, WHOLE_AREA = (20, 12), 0.72, 0.002, 0.93
+ART_AREA, ART_SIDE, ART_MOST = 140, 12, 48
+NEAR_BACKGROUND, NEAR_COLOUR, COLOURS = 60, 45, 14
+CORNER, CORNER_FILL, ROUND_RADIUS = 6, 0.35, 10
+
+
+def main_colours(pixels: np.ndarray, area: int) -> np.ndarray:
+    """The most frequent quantised colours of a list of pixels that cover enough of the picture's area, ties by colour."""
+    step = (pixels >> 5).astype(np.int32)
+    counts = np.bincount(step[:, 0] << 6 | step[:, 1] << 3 | step[:, 2], minlength=512)
+    codes = np.lexsort((np.arange(512), -counts))[:COLOURS]
+    codes = codes[(counts[codes] > 0) & (counts[codes] >= int(RECT_AREA * area))]
+    return np.stack([codes >> 6, codes >> 3 & 7, codes & 7], axis=1) * 32 + 16
+
+
+def plain_rects(rgb: np.ndarray, ys: np.ndarray, xs: np.ndarray, text: np.ndarray) -> tuple[list[dict], tuple, np.ndarray]:
+    """The rectangles among the regions of some pixels, and the window and mask they cover. Text on a rectangle counts as part of it.
+
+    Only the window around the pixels is looked at, with as much room as closing reaches.
+    """
+    room = 6
+    at = tuple(slice(max(0, int(v.min()) - room), min(size, int(v.max()) + 1 + room)) for v, size in zip((ys, xs), text.shape))
+    like = np.zeros((at[0].stop - at[0].start, at[1].stop - at[1].start), bool)
+    like[ys - at[0].start, xs - at[1].start] = True
+    found, area, inner = regions(closed(like)), text.size, rgb[at]
+    hull = found.w * found.h
+    good = (found.area >= int(RECT_AREA * area)) & (found.w >= RECT_SIDES[0]) & (found.h >= RECT_SIDES[1]) & (hull <= WHOLE_AREA * area)
+    good &= (found.area + box_sums(text[at], found.x, found.y, found.w, found.h)) / np.maximum(hull, 1) >= RECT_FILL
+    rects = []
+    for i in np.flatnonzero(good):
+        inside = found.member(i)
+        open_corners = all(corner.mean() < CORNER_FILL for corner in (inside[:CORNER, :CORNER], inside[:CORNER, -CORNER:]))
+        x, y, w, h = (int(getattr(found, k)[i]) for k in "xywh")
+        colour = inner[y : y + h, x : x + w][inside].mean(axis=0).astype(int)
+        rects.append({"kind": "rect", "x": x + at[1].start, "y": y + at[0].start, "w": w, "h": h, "area": int(found.area[i]), "color": bytes(colour.tolist()).hex().upper(), "radius": ROUND_RADIUS if open_corners else 0})
+    return rects, at, np.concatenate([[False], good])[found.labels]
+
+
+def find_rects(rgb: np.ndarray, bg: np.ndarray, text: np.ndarray) -> tuple[list[dict], list[dict]]:
     """Plain rectangles (area descending) and art regions (at most 48, largest first) of one picture."""
-    h, w = rgb.shape[:2]
-    rgb = rgb.astype(np.int16)
-    explained = (np.abs(rgb - bg).sum(axis=2) < 60) | text
-    rects, covered = [], np.zeros((h, w), bool)
-    cells = (rgb // 32)[~explained].astype(np.int32)
-    min_area = int(0.002 * w * h)
-    if len(cells):
-        codes, counts = np.unique(cells[:, 0] << 6 | cells[:, 1] << 3 | cells[:, 2], return_counts=True)
-        keys = np.stack([codes >> 6, codes >> 3 & 7, codes & 7], axis=1) * 32 + 16
-        for k in np.lexsort((*keys.T[::-1], -counts))[:colours]:
-            if counts[k] < min_area:
-                continue
-            like = close((np.abs(rgb - keys[k]).sum(axis=2) < 45) & ~explained, 7)
-            for area, x, y, rw, rh, member in regions(like):
-                credit = int(text[y : y + rh, x : x + rw].sum())
-                if area < min_area or rw < least[0] or rh < least[1] or (area + credit) / (rw * rh) < 0.72 or rw * rh > 0.93 * w * h:
-                    continue
-                mean = rgb[y : y + rh, x : x + rw][member].mean(axis=0)
-                round_ = member[:6, :6].mean() < 0.35 and member[:6, -6:].mean() < 0.35
-                rects.append({"kind": "rect", "x": x, "y": y, "w": rw, "h": rh, "area": area, "color": "%02X%02X%02X" % tuple(int(v) for v in mean), "radius": 10 if round_ else 0})
-                covered[y : y + rh, x : x + rw] |= member
-    rest = dilate(close(~(explained | covered | text), 7), 3)
-    art = [(a, x, y, rw, rh) for a, x, y, rw, rh, _ in regions(rest) if a >= 140 and max(rw, rh) >= 12]
-    art = [{"kind": "art", "x": x, "y": y, "w": rw, "h": rh, "area": a, "color": None, "radius": None} for a, x, y, rw, rh in sorted(art, reverse=True)[:48]]
+    off = np.zeros(text.shape, np.int16)
+    for c in range(3):
+        off += np.abs(rgb[..., c].astype(np.int16) - np.int16(bg[c]))
+    rest = (off >= NEAR_BACKGROUND) & ~text
+    ys, xs = np.nonzero(rest)
+    pixels, rects = rgb[ys, xs].astype(np.int16), []
+    for colour in main_colours(pixels, text.size):
+        near = np.abs(pixels - colour.astype(np.int16)).sum(axis=1) < NEAR_COLOUR
+        if near.any():
+            some, at, mask = plain_rects(rgb, ys[near], xs[near], text)
+            rects += some
+            rest[at] &= ~mask
+    found = regions(dilate(closed(rest), 3))
+    kept = np.flatnonzero((found.area >= ART_AREA) & (np.maximum(found.w, found.h) >= ART_SIDE))
+    order = kept[np.lexsort([-c[kept] for c in (found.h, found.w, found.y, found.x, found.area)])][:ART_MOST]
+    art = [{"kind": "art", **{k: int(getattr(found, k)[i]) for k in ("x", "y", "w", "h", "area")}, "color": None, "radius": None} for i in order]
     return sorted(rects, key=lambda r: -r["area"]), art
 
 
+PARTS = "part_idx int, kind string, x int, y int, w int, h int, area int, color string, radius int"
+
+
+def part_rows(pdf: pd.DataFrame, slide: str) -> list[dict]:
+    """Parts of a batch of pictures."""
+    out = []
+    for row in pdf.to_dict("records"):
+        shape = (row["height"], row["width"])
+        rgb = np.frombuffer(row["pixels"], np.uint8).reshape(*shape, 3)
+        rects, art = find_rects(rgb, np.array(row["bg"], np.int16), np.frombuffer(row["text"], np.uint8).reshape(shape) > 0)
+        out += [{slide: row[slide], "part_idx": i} | p for i, p in enumerate(rects + art)]
+    return out
+
+
 def decompose(pictures: DataFrame, slide: str = "slide_idx") -> DataFrame:
     """Rectangles and art regions of pictures (slide, width, height, pixels: flat rgb bytes, bg array, text: flat mask bytes)."""
-    schema = f"{slide} long, part_idx int, kind string, x int, y int, w int, h int, area int, color string, radius int"
+    schema = f"{slide} long, {PARTS}"
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                shape = (row["height"], row["width"])
-                rgb = np.frombuffer(row["pixels"], np.uint8).reshape(*shape, 3)
-                text = np.frombuffer(row["text"], np.uint8).reshape(shape) > 0
-                rects, art = find_rects(rgb, np.array(row["bg"], np.int16), text)
-                out += [{slide: row[slide], "part_idx": i} | p for i, p in enumerate(rects + art)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame(part_rows(pdf, slide), columns=[c.split()[0] for c in schema.split(", ")])
 
     return pictures.select(slide, "width", "height", "pixels", "bg", "text").mapInPandas(run, schema)

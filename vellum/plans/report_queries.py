@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.functions.text import pad_left
-from vellum.operators import mapping
+from vellum.operators import inpaint, mapping
 from vellum.operators import pixels as px
-from vellum.operators import segments, validation
+from vellum.operators import resample, segments, validation
 from vellum.plans.fixtures import BOXES, PIXELS, WORDS, boxes, pixels, table, words
 from vellum.plans.registry import query
 
@@ -180,32 +180,71 @@ def embedded_text(spark, sf_dir):
     return px.embedded_text(texts, b.where("strategy = 'image'"), "slide_idx", "item_idx", F.lit(1280), F.lit(720))
 
 
+def drawn(pdf, shrink: int = 1):
+    """Pictures of slides from their boxes, one batch at a time: a row a slide, as the operators on pictures take them."""
+    import pandas as pd
+
+    for slide, parts in zip(pdf["slide_idx"], pdf["parts"]):
+        bg = [240, 240, 240] if slide % 2 else [225, 232, 240]
+        rgb = np.full((720 // shrink, 1280 // shrink, 3), bg, np.uint8)
+        text = np.zeros(rgb.shape[:2], np.uint8)
+        texts = []
+        for p in parts:
+            area = slice(p["y"] // shrink, (p["y"] + p["h"]) // shrink), slice(p["x"] // shrink, (p["x"] + p["w"]) // shrink)
+            if p["size"] % 3:
+                rgb[area] = (p["size"] * 7 % 200, p["x"] % 200, p["y"] % 200)
+            else:  # a line of text over what is there: its upper half in dark letters
+                line = slice(area[0].start, (area[0].start + area[0].stop + 1) // 2), area[1]
+                rgb[line] = (20, 20, 20)
+                text[line] = 1
+                x, y, w, h = area[1].start, area[0].start, area[1].stop - area[1].start, line[0].stop - line[0].start
+                role = "title" if h >= 0.045 * rgb.shape[0] else "baked" if p["size"] % 2 else "wiped"
+                texts.append({"x": x, "y": y, "w": w, "h": h, "role": role})
+        yield pd.DataFrame([(slide, rgb.shape[1], rgb.shape[0], rgb.tobytes(), bg, text.tobytes(), texts)], columns=["slide_idx", "width", "height", "pixels", "bg", "text", "texts"])
+
+
+def slide_parts(spark, sf_dir):
+    return boxes(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
+
+
 @query()
 def decompose_pictures(spark, sf_dir):
-    """Rectangles and art regions of pictures drawn from boxes; tests hold it against a plain flood fill."""
-    def draw(batches):
+    """Rectangles and art regions of pictures of whole size drawn from boxes; tests hold it against a plain flood fill."""
+    def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for slide, parts in zip(pdf["slide_idx"], pdf["parts"]):
-                bg = [240, 240, 240] if slide % 2 else [225, 232, 240]
-                rgb = np.full((90, 160, 3), bg, np.uint8)
-                text = np.zeros((90, 160), np.uint8)
-                for p in parts:
-                    area = slice(p["y"] // 8, (p["y"] + p["h"]) // 8), slice(p["x"] // 8, (p["x"] + p["w"]) // 8)
-                    if p["size"] % 3:
-                        rgb[area] = (p["size"] * 7 % 200, p["x"] % 200, p["y"] % 200)
-                    else:  # a line of text over what is there: its upper half in dark letters
-                        line = slice(area[0].start, (area[0].start + area[0].stop + 1) // 2), area[1]
-                        rgb[line] = (20, 20, 20)
-                        text[line] = 1
-                out.append((slide, 160, 90, rgb.tobytes(), bg, text.tobytes()))
-            yield pd.DataFrame(out, columns=["slide_idx", "width", "height", "pixels", "bg", "text"])
-
-    parts = boxes(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
-    pictures = parts.mapInPandas(draw, "slide_idx long, width int, height int, pixels binary, bg array<int>, text binary")
-    return px.decompose(pictures)
+            for picture in drawn(pdf):  # drawn and taken apart in one task: pictures aren't sent
+                yield pd.DataFrame(px.part_rows(picture, "slide_idx"), columns=["slide_idx", *[c.split()[0] for c in px.PARTS.split(", ")]])
+
+    return slide_parts(spark, sf_dir).mapInPandas(run, f"slide_idx long, {px.PARTS}")
+
+
+@query()
+def picture_crops(spark, sf_dir):
+    """Crops of artwork and titles, with other text wiped out, of pictures of half size: boxes and checksums; tests fill pixel by pixel."""
+    def run(batches):
+        import zlib
+
+        import pandas as pd
+
+        for pdf in batches:
+            for picture in drawn(pdf, 2):
+                rows = [c | {"crc": zlib.crc32(c.pop("pixels"))} for c in inpaint.crop_rows(picture, "slide_idx")]
+                yield pd.DataFrame(rows, columns=["slide_idx", "crop_idx", "kind", "x", "y", "w", "h", "crc"])
+
+    return slide_parts(spark, sf_dir).mapInPandas(run, "slide_idx long, crop_idx int, kind string, x int, y int, w int, h int, crc long")
+
+
+@query()
+def picture_drift(spark, sf_dir):
+    """Each vector's picture of 8 x 8 against the next one's, stretched to another shape; some have no output. Tests resample by plain loops."""
+    p = pixels(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("pix", "r", "g", "b"))).alias("p"))
+    hexes = F.array_join(F.transform("p", lambda c: F.concat(*[F.lpad(F.hex(F.pmod(c[k], F.lit(256))), 2, "0") for k in "rgb"])), "")
+    flat = p.select("slide_idx", F.unhex(hexes).alias("src"))
+    after = flat.select((F.col("slide_idx") - 1).alias("slide_idx"), F.when(F.col("slide_idx") % 10 != 0, F.concat("src", "src")).alias("out"))
+    sized = flat.join(after, "slide_idx", "left").withColumns({"src_w": F.lit(8), "src_h": F.lit(8), "out_w": F.lit(8), "out_h": F.lit(16)})
+    return resample.compare_pictures(sized)
 
 
 @query("select page_id, cast(case when page_id % 3 = 2 then 1280 else page_id % 2000 + 1 end as int) as w, cast(case when page_id % 3 = 2 then 720 else page_id % 900 + 1 end as int) as h from pages")
