@@ -204,17 +204,19 @@ def drawn(pdf, shrink: int = 1):
 
 
 def slide_parts(spark, sf_dir):
-    return boxes(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
+    """The boxes of each slide; rows are short, but the work on each is long, so they aren't put together in few tasks."""
+    parts = boxes(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
+    return parts.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slide_idx")
 
 
 @query()
 def decompose_pictures(spark, sf_dir):
-    """Rectangles and art regions of pictures of whole size drawn from boxes; tests hold it against a plain flood fill."""
+    """Rectangles and art regions of pictures of half size drawn from boxes; tests hold it against a plain flood fill."""
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            for picture in drawn(pdf):  # drawn and taken apart in one task: pictures aren't sent
+            for picture in drawn(pdf, 2):  # drawn and taken apart in one task: pictures aren't sent
                 yield pd.DataFrame(px.part_rows(picture, "slide_idx"), columns=["slide_idx", *[c.split()[0] for c in px.PARTS.split(", ")]])
 
     return slide_parts(spark, sf_dir).mapInPandas(run, f"slide_idx long, {px.PARTS}")
