@@ -51,3 +51,33 @@ def test_odd_vectors(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in rows] == [(0, 1, 7), (0, 2, 8), (0, 3, 9), (0, 4, 50), (50, 1, 8), (50, 2, 9), (50, 3, 0), (50, 4, 7)]
     assert abs(rows[1].score - 0.5**0.5) < 1e-12
     assert hnsw.search(df.where("false"), df.where("false")).count() == 0
+
+
+def test_graphs_grow_by_insertion():
+    """Links point to nodes of the level, not to the node itself, in bounded number; one build is like another; every node is found from the entries."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    v = r.normal(size=(1500, 12))
+    t = pa.table({"id": np.arange(1500), "v": pa.array(v.tolist()), "shard": np.zeros(1500, np.int32)})
+    row = hnsw.build(t).to_pylist()[0]
+    assert row == hnsw.build(t).to_pylist()[0]
+    shard = hnsw.Shard(row["dim"], row["ids"], row["starts"], row["vectors"], row["nodes"], row["links"])
+    assert len(shard.nodes) > 1
+    for k, (nodes, links) in enumerate(zip(shard.nodes, shard.links)):
+        assert links.shape == (len(nodes), hnsw.LINKS * (2 if k == 0 else 1)) and links.max() < len(nodes)
+        assert not (links == np.arange(len(nodes))[:, None]).any()
+        assert all(len(set(x[x >= 0])) == (x >= 0).sum() > 0 for x in links)
+    found = list(shard.search(np.full(1500, -1), v, 1, hnsw.BEAM))
+    assert np.mean([best[0] == i for i, (_, best, _) in enumerate(found)]) > 0.99
+
+
+def test_small_graphs():
+    import pyarrow as pa
+
+    for n in (1, 2, 3, 33, 40):
+        v = np.random.default_rng(n).normal(size=(n, 4))
+        row = hnsw.build(pa.table({"id": np.arange(n) * 7919, "v": pa.array(v.tolist()), "shard": np.zeros(n, np.int32)})).to_pylist()[0]
+        shard = hnsw.Shard(row["dim"], row["ids"], row["starts"], row["vectors"], row["nodes"], row["links"])
+        for i, (_, best, _) in enumerate(shard.search(np.full(n, -1), v, min(5, n), hnsw.BEAM)):
+            assert best[0] == shard.ids[shard.starts[np.flatnonzero((shard.v == v[i]).all(axis=1))[0]]] and len(best) == min(5, n)

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: one navigable small-world graph a shard, results merged.
 
 Rows are dealt to shards of bounded size by id hash. A shard's graph is hierarchical: each
-level holds a sixteenth of the level below, and its links, kept as one flat neighbour array
-a level, are chosen so that they point in different directions. Queries go through every
+level holds a sixteenth of the level below. Nodes are inserted: each searches the graph so far for
+candidates, and its links, kept as one flat neighbour array a level, are chosen so that they point
+in different directions. Queries go through every
 shard in blocks, descend the levels and explore the lowest with a beam; the shards'
 answers are ranked together by exact cosine. Equal vectors of a shard are one node, so a
 very common vector costs no more than a rare one.
@@ -21,8 +22,8 @@ from vellum.llm.common import cut, table
 SHARD_ROWS, BLOCK_QUERIES, PART_BLOCKS = 4096, 512, 16
 #: Links chosen for a node (twice as many on the lowest level, with those that point back), candidates they are chosen from, beam width.
 LINKS, CANDIDATES, BEAM = 16, 48, 96
-#: Nodes expanded in one step of the beam search.
-STEP = 4
+#: Nodes expanded in one step of the beam search; entries of a search; nodes linked at once at first, and inserted together at most.
+STEP, ENTRIES, SEED, BATCH = 4, 16, 32, 256
 
 
 def levels_of(ids: np.ndarray) -> np.ndarray:
@@ -33,39 +34,74 @@ def levels_of(ids: np.ndarray) -> np.ndarray:
     return np.floor(-np.log(np.maximum(u, 1e-300)) / np.log(LINKS)).astype(int)
 
 
-def choose_links(x: np.ndarray, most: int) -> np.ndarray:
-    """Neighbours (n, most), -1 where there is none, of unit vectors x among themselves."""
+def choose(x: np.ndarray, own: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` neighbours (-1 where there is none) of the nodes ``own`` among their candidates ``near`` (-1 for none).
+
+    Candidates are taken from the nearest on. One that is closer to a taken one than to the node adds no direction
+    and is passed over; where room is left, the nearest of those fill it.
+    """
+    sims = np.where(near >= 0, np.einsum("bid,bd->bi", x[near], x[own]), -np.inf)
+    order = np.lexsort((near, -sims), axis=1)
+    near, sims = np.take_along_axis(near, order, 1), np.take_along_axis(sims, order, 1)
+    there = near >= 0
+    among = np.einsum("bid,bjd->bij", x[near], x[near], optimize=True)
+    taken = np.zeros(near.shape, bool)
+    for j in range(near.shape[1]):
+        hidden = (taken[:, :j] & (among[:, j, :j] > sims[:, j : j + 1])).any(axis=1)
+        taken[:, j] = there[:, j] & ~hidden & (taken.sum(axis=1) < most)
+    first = np.argsort(np.where(taken, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :most]
+    out = np.full((len(own), most), -1, np.int32)
+    out[:, : first.shape[1]] = np.take_along_axis(near, first, 1)
+    return out
+
+
+def insert_all(x: np.ndarray, most: int, entries_of) -> np.ndarray:
+    """The neighbour array (n, most) of a level, by inserting its nodes in their order, in batches that double with the graph.
+
+    A batch searches the graph so far, from ``entries_of(nodes, size)``, for its candidates; those of one batch are candidates
+    for each other too, as if they had come one after the other. Chosen links are added in both directions, and a node with
+    too many chooses anew among all it has.
+    """
     n = len(x)
-    wide = min(CANDIDATES, n - 1)
-    half = np.full((n, LINKS), -1, np.int32)
-    strength = np.full((n, LINKS), -np.inf, np.float32)
-    for a in range(0, n, 512):
-        sims = x[a : a + 512] @ x.T
-        rows = np.arange(len(sims))
-        sims[rows, rows + a] = -np.inf
-        near = np.argpartition(-sims, wide - 1, axis=1)[:, :wide] if wide < n else np.argsort(-sims, axis=1)[:, :wide]
-        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
-        to = np.take_along_axis(sims, near, 1)
-        among = np.einsum("bid,bjd->bij", x[near], x[near], optimize=True)
-        taken = np.zeros(near.shape, bool)
-        for j in range(wide):  # a candidate closer to a chosen one than to the node adds no direction
-            hidden = (taken[:, :j] & (among[:, j, :j] > to[:, j : j + 1])).any(axis=1)
-            taken[:, j] = ~hidden & (taken.sum(axis=1) < LINKS)
-        order = np.argsort(~taken, axis=1, kind="stable")[:, :LINKS]  # then the nearest of the rest
-        half[a : a + 512, : order.shape[1]] = np.take_along_axis(near, order, 1)
-        strength[a : a + 512, : order.shape[1]] = np.take_along_axis(to, order, 1)
-    if most == LINKS:
-        return half
-    out = np.full((n, most), -1, np.int32)
-    out[:, :LINKS] = half
-    source, place = np.nonzero(half >= 0)
-    target = half[source, place]
-    order = np.lexsort((source, -strength[source, place], target))
+    links = np.full((n, most), -1, np.int32)
+    done = 0
+    while done < n:
+        new = np.arange(done, min(n, done + max(1, min(done, BATCH)) if done else min(n, SEED)))
+        within = x[new] @ x[new].T
+        np.fill_diagonal(within, -np.inf)
+        mates = new[np.argsort(-within, axis=1, kind="stable")[:, : min(CANDIDATES, max(0, len(new) - 1))]]
+        if done:
+            found, _ = beam_search(x[:done], links[:done], x[new], entries_of(new, done), CANDIDATES)
+            mates = np.concatenate([found, mates], axis=1)
+        links[new, :LINKS] = choose(x, new, mates, LINKS)  # the rest is room for those that choose it
+        _link_back(x, links, new)
+        done = int(new[-1]) + 1
+    return links
+
+
+def _link_back(x: np.ndarray, links: np.ndarray, new: np.ndarray) -> None:
+    """Make the links of new nodes known to those they point to."""
+    most = links.shape[1]
+    row, place = np.nonzero(links[new] >= 0)
+    source, target = new[row], links[new[row], place]
+    known = (links[target] == source[:, None]).any(axis=1)
+    source, target = source[~known], target[~known]
+    order = np.lexsort((source, target))
     source, target = source[order], target[order]
-    rank = np.arange(len(target)) - np.searchsorted(target, target)
-    fits = rank < most - LINKS
-    out[target[fits], LINKS + rank[fits]] = source[fits]
-    return out
+    changed, first, count = np.unique(target, return_index=True, return_counts=True)
+    wide = int(count.max(initial=0))
+    rank = np.arange(len(target)) - np.repeat(first, count)
+    more = np.full((len(changed), wide), -1, np.int64)
+    more[np.repeat(np.arange(len(changed)), count), rank] = source
+    for a in range(0, len(changed), 256):
+        own = changed[a : a + 256]
+        every = np.concatenate([links[own], more[a : a + 256]], axis=1)
+        every = np.take_along_axis(every, np.argsort(every < 0, axis=1, kind="stable"), 1)
+        every = every[:, : max(most, int((every >= 0).sum(axis=1).max()))]
+        full = (every >= 0).sum(axis=1) > most
+        links[own[~full]] = every[~full, :most]
+        if full.any():
+            links[own[full]] = choose(x, own[full], every[full], most)
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +171,27 @@ def build(t: pa.Table) -> pa.Table:
     v, ids, starts = distinct_rows(t.column("id").to_numpy(), vectors_of(t.column("v")))
     x = unit(v)
     level = levels_of(ids[starts[:-1]])
-    nodes, links = [], []
-    for k in range(int(level.max()) + 1):
-        own = np.flatnonzero(level >= k).astype(np.int32)
-        near = choose_links(x[own], 2 * LINKS if k == 0 else LINKS) if len(own) > 1 else np.full((1, LINKS), -1, np.int32)
-        nodes.append(own.tobytes())
-        links.append(near.tobytes())
+    top = min(int(level.max()), int(np.sort(level)[-min(len(level), 2)]))  # a level of one node has no links
+    nodes: list[np.ndarray] = [np.flatnonzero(level >= k).astype(np.int32) for k in range(top + 1)]
+    links: list[np.ndarray] = [np.empty(0)] * (top + 1)
+    for k in range(top, -1, -1):
+        # nodes of higher levels come first: the level above then leads to nodes that are in the graph already
+        order = nodes[k][np.argsort(-level[nodes[k]], kind="stable")]
+        place = np.full(len(x), -1)
+        place[order] = np.arange(len(order))
+
+        def entries_of(new: np.ndarray, size: int, k=k, order=order, place=place) -> np.ndarray:
+            if k == top or size < np.count_nonzero(level[nodes[k]] > k):
+                return np.broadcast_to(np.arange(min(size, ENTRIES)), (len(new), min(size, ENTRIES)))
+            above = nodes[k + 1]
+            start = np.broadcast_to(np.arange(min(len(above), ENTRIES)), (len(new), min(len(above), ENTRIES)))
+            found, _ = beam_search(x[above], links[k + 1], x[order[new]], start, 2 * ENTRIES)
+            return np.where(found[:, :ENTRIES] >= 0, place[above[found[:, :ENTRIES]]], -1)
+
+        in_order = insert_all(x[order], 2 * LINKS if k == 0 else LINKS, entries_of)
+        by_node = np.where(in_order >= 0, np.searchsorted(nodes[k], order[in_order]), -1).astype(np.int32)
+        links[k] = by_node[place[nodes[k]]]
+    nodes, links = [n.tobytes() for n in nodes], [near.tobytes() for near in links]
     columns = {"dim": [v.shape[1]], "shard": [t.column("shard")[0].as_py()], "ids": [ids.tobytes()], "starts": [starts.tobytes()], "vectors": [v.tobytes()], "nodes": [nodes], "links": [links]}
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns.values(), kinds)], names=list(columns))
