@@ -233,3 +233,25 @@ def test_large_weights_do_not_overflow():
 def test_empty_table(none, odd):
     assert lm_scoring.score_corpus(none).count() == 0
     assert lm_scoring.score_corpus(odd).count() == odd.count()
+
+
+def test_dense_texts(monkeypatch):
+    """Permuted notices in which real ones stand: the bound skips places without changing a finding, and time stays linear."""
+    import random
+    import time
+
+    r = random.Random(7)
+    words = {n: licenses.WORD.findall(t) for n, t in licenses.TEMPLATES.items()}
+
+    def permuted(name, n):
+        return " ".join(" ".join(r.sample(words[name], len(words[name]))) for _ in range(n))
+
+    text = f"{permuted('gpl-3.0', 4)}\n{licenses.TEMPLATES['gpl-3.0']}\n{permuted('mit', 2)} {licenses.TEMPLATES['mit'].replace('merge, ', '')} {permuted('isc', 2)}"
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    found = scanner.scan(text)
+    assert {(f[0], f[4]) for f in found} >= {("gpl-3.0", 0), ("mit", 1)}
+    monkeypatch.setattr(licenses.Scanner, "hopeless", lambda *_: False)
+    assert scanner.scan(text) == found
+    monkeypatch.undo()
+    began = time.time()
+    assert scanner.scan(permuted("gpl-3.0", 2200)) == [] and time.time() - began < 60  # 1 MB

@@ -48,6 +48,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.words = {name: [w.lower() for w in WORD.findall(text)] for name, text in templates.items()}
         self.counts = {name: Counter(words) for name, words in self.words.items()}
+        self.masks = {name: ({w: sum(1 << i for i, x in enumerate(words) if x == w) for w in words}, (1 << len(words)) - 1) for name, words in self.words.items()}
         self.rarest = {name: sorted(c, key=lambda w: (-len(w), w)) for name, c in self.counts.items()}
         self.plain = zstandard.ZstdCompressor(compression_params=PARAMETERS)
         self.given = {name: zstandard.ZstdCompressor(compression_params=PARAMETERS, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in templates.items()}
@@ -84,6 +85,20 @@ class Scanner:
                 found += np.minimum(np.searchsorted(where[w], at + self.length(name)) - np.searchsorted(where[w], at), n)
         return at[len(wanted) - found <= MISSING * len(wanted)]
 
+    def hopeless(self, name: str, words: list[str], at: int) -> bool:
+        """Whether no wording that starts at or after ``at`` within a block's length can be confirmed.
+
+        The longest common subsequence with all words in reach bounds what can match. It is found with the
+        template's words as bits of one number, a few operations a word.
+        """
+        masks, all_ = self.masks[name]
+        open_ = all_
+        for w in words[at : at + 2 * self.length(name)]:
+            if hit := masks.get(w):
+                both = open_ & hit
+                open_ = (open_ + both | open_ - both) & all_
+        return open_.bit_count() > MISSING * len(self.words[name])
+
     def differences(self, name: str, words: list[str], free: list[bool], at: int) -> tuple[int, int, int, int] | None:
         """(first word, end, missing, extra) of the wording that starts at or after ``at``, among free words, if it is confirmed."""
         wanted = self.words[name]
@@ -128,13 +143,19 @@ class Scanner:
             data = text[spans[at][0] : spans[end - 1][1]].encode("utf-8", "surrogatepass")
             plain = len(self.plain.compress(data))
             ranked += [(len(self.given[n].compress(data)) - plain, -len(self.words[n]), at, n) for n in of]
-        free, out = [True] * len(words), []
+        free, out, judged = [True] * len(words), [], {}
+
+        def may_start(name: str, at: int) -> bool:
+            if (name, at) not in judged:
+                judged[name, at] = not self.hopeless(name, words, at)
+            return judged[name, at]
+
         for less, _, at, name in sorted(ranked):
             if not free[at]:
                 continue
             a, z = np.searchsorted(starts[name], [at - self.length(name), at + 1])
             # blocks of one wording overlap and save about as much; the least differences tell where it starts
-            found = [f for x in starts[name][a:z].tolist() if free[x] and (f := self.differences(name, words, free, x)) and f[1] > at]
+            found = [f for x in starts[name][a:z].tolist() if free[x] and may_start(name, x) and (f := self.differences(name, words, free, x)) and f[1] > at]
             if found:
                 i, j, missing, extra = min(found, key=lambda f: (f[2] + f[3], f[0]))
                 free[i:j] = [False] * (j - i)
