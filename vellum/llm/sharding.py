@@ -24,6 +24,8 @@ COORDINATE, TIE = 36, 48
 TOLERANCE = 0.001
 #: A group of equal texts heavier than this share of the target bytes, and than any single row, is cut into parts.
 GROUP = 0.04
+#: Rows of a table of nodes up to which it is broadcast (some 100 bytes each).
+BROADCAST_NODES = 4096
 #: Points of a bin that are put in order at once instead of being refined; rows numbered in one task.
 BIN_POINTS, ROWS_NUMBERED = 4096, 20_000
 
@@ -70,9 +72,10 @@ def points(docs: DataFrame, shards: int | None, target_bytes: int | None, id_col
 
 
 def _table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
-    """A small table of integers, doubles and strings: a row for each node of a level."""
+    """A table of integers, doubles and strings with a row for each node of a level; broadcast while that is few, when a node may hold a large part of the rows."""
     value = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else f"{x}L"
-    return F.broadcast(spark.sql(f"select * from values {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)} as t({columns})"))
+    out = spark.sql(f"select * from values {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)} as t({columns})")
+    return F.broadcast(out) if len(rows) <= BROADCAST_NODES else out
 
 
 def _coordinate() -> Column:
