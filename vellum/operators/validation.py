@@ -132,9 +132,9 @@ def needs_fix(flagged: Column, needs_review: Column, image_slide: Column, failed
     return (F.coalesce(flagged, F.lit(False)) | needs_review) & ~image_slide & ~failed
 
 
-def second_check(layer: DataFrame, diffs: DataFrame, slide: str = "slide_idx") -> DataFrame:
+def second_check(layer: DataFrame, diffs: DataFrame, slide: str = "slide_idx", override: float | None = None) -> DataFrame:
     """Reports of slides done again as pictures with a text layer, after their own comparison: coverage, text_count, issues."""
-    again = image_report(layer, slide).join(flag_drift(diffs.withColumn("kind", F.lit("image"))), slide)
+    again = image_report(layer, slide).join(flag_drift(diffs.withColumn("kind", F.lit("image")), override=override), slide)
     issues = F.when(F.col("flagged"), F.array(drift_issue(F.col("diff_pct"), F.col("tolerance"), F.col("worst_region")))).otherwise(F.array().cast("array<string>"))
     return again.withColumn("issues", issues).withColumn("needs_review", F.col("flagged")).drop("kind", "worst_region", "invisible")
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from vellum.convert import Job, Options, convert
 from vellum.functions.text import pad_left
 from vellum.operators import inpaint, mapping
 from vellum.operators import pixels as px
 from vellum.operators import resample, segments, validation
 from vellum.plans.fixtures import BOXES, PIXELS, WORDS, boxes, pixels, table, words
+from vellum.plans.layout_queries import ITEMS, text_items
 from vellum.plans.registry import query
 
 SEGS = """flags as (select *, case when x0 - max(x1) over (partition by line_id order by word_idx rows between unbounded preceding and 1 preceding) > 3300 then 1 else 0 end as f from words),
@@ -392,3 +396,49 @@ def review_filter(spark, sf_dir):
 def failure_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_orderkey", "slide_idx")
     return validation.failure_rows(o, F.col("o_orderpriority")).withColumn("issues", F.array_join("issues", "; "))
+
+
+MODES = {"plain": Options(), "fast": Options(fast=True), "overlay": Options(overlay_only=True), "fix": Options(auto_fix=True), "fix_3": Options(auto_fix=True, diff_threshold=3.0)}
+
+
+def job_tables(spark, sf_dir) -> Job:
+    """A job: every ninth slide is a picture, every other of these decomposed; every thirteenth failed."""
+    k = F.col("slide_idx")
+    b = boxes(spark, sf_dir)
+    chars = {"native_chars": F.when(F.col("strategy") == "native-text", F.col("size")).otherwise(0), "source_chars": F.when(F.col("elem_idx") % 5 == 0, F.col("size") * 2).otherwise(0)}
+    slides = b.select("slide_idx").distinct()
+    region = F.array(*[F.lit(v) for v in (0, 0, 213, 120)])
+    html = b.where(k % 9 != 0)
+    return Job(
+        elements=html.withColumns(chars),
+        texts=html.where("strategy = 'native-text'").withColumns({"run_idx": F.lit(0), "text": F.concat(F.lit("t"), F.col("l_partkey").cast("string"))}),
+        pictures=slides.where(k % 9 == 0).withColumns({"width": F.lit(1600), "height": F.lit(900), "decomposed": k % 2 == 0}),
+        items=text_items(spark, sf_dir).where(k % 9 == 0).drop("width", "height"),
+        parts=b.where(k % 9 == 0).where("strategy <> 'native-text'").withColumns({"kind": F.when(F.col("strategy") == "image", "art").otherwise("rect"), "radius": F.lit(4.0)}),
+        embedded=text_items(spark, sf_dir).where("size > 24").select("slide_idx", "item_idx"),
+        failures=slides.where(k % 13 == 0).withColumn("message", F.lit("no page")),
+        drift=slides.select("slide_idx", F.when(k % 17 != 0, k % 1000 / 50.0).alias("diff_pct"), F.when(k % 17 != 0, region).alias("worst_region")),
+        drift_again=slides.select("slide_idx", (k % 500 / 100.0).alias("diff_pct"), region.alias("worst_region")),
+    )
+
+
+JOB = f"""{CHECKS}, {ITEMS[len(BOXES) + 2 :]}, modes(mode, fast, overlay, fix, diff) as (values ('plain', false, false, false, null), ('fast', true, false, false, null), ('overlay', false, true, false, null), ('fix', false, false, true, null), ('fix_3', false, false, true, 3.0)),
+layer as (select slide_idx, bool_or(case when slide_idx % 2 = 0 then size <= 24 else bg is not null end and (conf is null or conf >= 65)) as seen from items where trim(text) <> '' group by 1),
+first as (select mode, fast, fix, diff, s.slide_idx, s.slide_idx % 13 = 0 as failed, s.slide_idx % 9 = 0 and s.slide_idx % 13 <> 0 as image, case when s.slide_idx % 9 = 0 and s.slide_idx % 13 <> 0 then case when coalesce(l.seen, false) and not overlay then 'recon' else 'image' end else 'html' end as kind,
+  case when s.slide_idx % 13 = 0 then 0 when s.slide_idx % 9 = 0 then 100 else c.coverage_pct end as coverage_pct, case when s.slide_idx % 13 = 0 then ['conversion failed: no page'] when s.slide_idx % 9 = 0 then [] else c.issues end as issues
+  from (select distinct slide_idx from boxes) s join modes on true left join checks c using (slide_idx) left join layer l using (slide_idx)),
+met as (select *, not fast and not failed as met, case when not fast and not failed and slide_idx % 17 <> 0 then slide_idx % 1000 / 50.0 end as diff_pct, coalesce(diff, case kind when 'image' then 2.0 when 'recon' then 12.0 else 8.0 end) as tol from first),
+flagged as (select *, case when met then diff_pct is null or diff_pct > tol end as flagged from met),
+said as (select *, case when not met then len(issues) when flagged then len(issues) + 1 else len(list_filter(issues, lambda i: not regexp_matches(i, 'text collision|clipped/half-cut'))) end as n from flagged),
+picked as (select *, fix and (coalesce(flagged, false) or n > 0) and not image and not failed as redo, slide_idx % 500 / 100.0 as diff2 from said)"""
+
+
+@query(
+    f"""with {JOB} select mode, slide_idx, case when redo then 'image' else kind end as kind, cast(case when redo then 100 else coverage_pct end as int) as coverage_pct, cast(case when redo then cast(diff2 > coalesce(diff, 2.0) as int) else n end as int) as n_issues,
+    case when redo then diff2 > coalesce(diff, 2.0) else n > 0 end as needs_review, failed, redo as auto_fixed, case when redo then diff2 else diff_pct end as diff_pct, case when redo then coalesce(diff, 2.0) when met then tol end as tolerance, case when redo then diff2 > coalesce(diff, 2.0) else flagged end as flagged from picked"""
+)
+def convert_job(spark, sf_dir):
+    """A whole job with each set of options."""
+    job = job_tables(spark, sf_dir)
+    out = [convert(job, o).select(F.lit(m).alias("mode"), "slide_idx", "kind", "coverage_pct", F.size("issues").alias("n_issues"), "needs_review", "failed", "auto_fixed", "diff_pct", "tolerance", "flagged") for m, o in MODES.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), out)
