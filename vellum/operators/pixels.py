@@ -306,3 +306,16 @@ def decompose(pictures: DataFrame, slide: str = "slide_idx") -> DataFrame:
             yield pd.DataFrame(part_rows(pdf, slide), columns=[c.split()[0] for c in schema.split(", ")])
 
     return pictures.select(slide, "width", "height", "pixels", "bg", "text").mapInPandas(run, schema)
+
+
+def mask_regions(masks: DataFrame, slide: str = "slide_idx", closing: int = 7) -> DataFrame:
+    """Regions of masks (slide, width, height, mask: flat bytes, not 0 inside) after closing: region_idx, area and hull."""
+    names = ["region_idx", "area", "x", "y", "w", "h"]
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                found = regions(closed(np.frombuffer(row["mask"], np.uint8).reshape(row["height"], row["width"]) > 0, closing))
+                yield pd.DataFrame({slide: row[slide], "region_idx": np.arange(len(found.area)), **{k: getattr(found, k) for k in names[1:]}})
+
+    return masks.select(slide, "width", "height", "mask").mapInPandas(run, f"{slide} long, " + ", ".join(f"{k} int" for k in names))

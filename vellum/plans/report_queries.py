@@ -226,6 +226,22 @@ def decompose_pictures(spark, sf_dir):
     return slide_parts(spark, sf_dir).mapInPandas(run, f"slide_idx long, {px.PARTS}")
 
 
+@query(
+    f"""with recursive {PIXELS}, m as (select slide_idx, px, py, pix, r > 135 as inside from pixels), d as (values (-1), (0), (1)), around as (select a.col0 as dx, b.col0 as dy from d a, d b),
+    grown as (select m.slide_idx, m.px, m.py, m.pix, bool_or(n.inside) as inside from m join around on true join m n on n.slide_idx = m.slide_idx and n.px = m.px + dx and n.py = m.py + dy group by all),
+    closed as (select g.slide_idx, g.px, g.py, g.pix from grown g join around on true join grown n on n.slide_idx = g.slide_idx and n.px = g.px + dx and n.py = g.py + dy group by all having bool_and(n.inside)),
+    reach as (select slide_idx, px, py, pix as root from closed union select c.slide_idx, c.px, c.py, r.root from reach r join closed c on c.slide_idx = r.slide_idx and abs(c.px - r.px) <= 1 and abs(c.py - r.py) <= 1),
+    parts as (select slide_idx, px, py, min(root) as root from reach group by all)
+    select slide_idx, cast(row_number() over (partition by slide_idx order by root) - 1 as int) as region_idx, count(*) as area, min(px) as x, min(py) as y, max(px) - min(px) + 1 as w, max(py) - min(py) + 1 as h from parts group by slide_idx, root"""
+)
+def picture_regions(spark, sf_dir):
+    """Bright regions of each vector's picture, after closing by a square of three."""
+    lit = F.when(F.col("r") > 135, "01").otherwise("00").alias("v")
+    rows = pixels(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("pix", lit))).alias("p"))
+    masks = rows.select("slide_idx", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(F.transform("p", lambda c: c["v"]), "")).alias("mask"))
+    return px.mask_regions(masks, closing=3)
+
+
 @query()
 def picture_crops(spark, sf_dir):
     """Crops of artwork and titles, with other text wiped out, of pictures of half size: boxes and checksums; tests fill pixel by pixel."""
