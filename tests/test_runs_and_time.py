@@ -163,3 +163,13 @@ def test_merged_summaries_equal_recomputed_ones(spark, tmp_path):
         assert abs(m["distinct"] - exact[k].users) < 0.05 * exact[k].users
         low = some.where(F.lit(True) if k is None else F.col("kind") == k).where(F.col("v") <= m.quantiles[0]).count()
         assert abs(low / m.n - 0.5) < 0.035
+
+
+def test_folders_of_an_application(spark, tmp_path):
+    from vellum.session import listed, remove, scratch, shared_folder
+
+    assert scratch(spark).startswith(shared_folder(spark)) and spark.sparkContext.applicationId in scratch(spark)
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/x.txt").write_text("12345")
+    assert sorted((f.name, f.is_folder, f.is_folder or f.size) for f in listed(spark, str(tmp_path / "a"))) == [("b", True, True), ("x.txt", False, 5)]
+    assert remove(spark, str(tmp_path / "a")) and not remove(spark, str(tmp_path / "a")) and listed(spark, str(tmp_path / "a")) == []
