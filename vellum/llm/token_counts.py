@@ -20,7 +20,9 @@ from vellum.llm.common import map_rows, table
 MARK = "▁"
 UNIT = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words and pairs remembered by a Python worker; bounds memory, without effect on results.
-WORDS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 200_000, 64, 3_000_000
+WORDS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 400_000, 64, 3_000_000
+#: Letters of a stem, stems remembered, letters at the end of a piece by which its length is looked up.
+STEM, STEMS_KEPT, TAIL = 5, 200_000, 3
 LIMIT = 4096
 
 
@@ -38,9 +40,11 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         if any(MARK in p.lstrip(MARK) for p in self.vocab) or "\n" in self.vocab:
             raise ValueError("pieces must not run over word marks or line ends")
-        self.reach: dict[str, int] = {}  # the longest piece that ends in this letter
+        self.reach: dict[str, int] = {}  # the longest piece that ends in these letters
         for p in self.vocab:
-            self.reach[p[-1]] = max(len(p), self.reach.get(p[-1], 1))
+            if len(p) > TAIL:
+                self.reach[p[-TAIL:]] = max(len(p), self.reach.get(p[-TAIL:], TAIL))
+        self.stems: dict[str, tuple[list[int], list[int]]] = {}
         self.pairs: dict[int, bool] = {}
         self.units = Remembered(WORDS_KEPT)
 
@@ -68,12 +72,29 @@ class PrefixCounter:
             known = self.pairs[code] = self.merged(list("".join(parts))) == parts
         return known
 
+    def stem(self, letters: str) -> tuple[list[int], list[int]]:
+        """The last pieces and counts of all prefixes of the letters many units begin with, remembered."""
+        if (known := self.stems.get(letters)) is None:
+            if len(self.stems) > STEMS_KEPT:
+                self.stems = {}
+            known = self.stems[letters] = self.extended(letters, [-1], [0])
+        return known
+
     def prefixes(self, unit: str) -> tuple[int, ...]:
-        """Token counts of unit[:1], unit[:2], ... unit."""
-        last, counts = [-1], [0]
+        """Token counts of unit[:1], unit[:2], ... unit. What a prefix holds doesn't depend on what follows, so units share their stems."""
+        if len(unit) <= STEM:
+            last, counts = [-1], [0]
+        else:
+            last, counts = self.stem(unit[:STEM])
+            last, counts = last.copy(), counts.copy()
+        return tuple(self.extended(unit, last, counts)[1][1:])
+
+    def extended(self, unit: str, last: list[int], counts: list[int]) -> tuple[list[int], list[int]]:
+        """Go on from the prefixes that are known to those of the whole unit."""
         vocab, reach, pairs = self.vocab.get, self.reach.get, self.pairs.get
-        for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - reach(unit[end - 1], 1)), end):
+        for end in range(len(last), len(unit) + 1):
+            far = end - reach(unit[end - TAIL : end] if end > TAIL else "", TAIL)
+            for start in range(far if far > 0 else 0, end):
                 t = vocab(unit[start:end])
                 if t is not None:
                     before = last[start]
@@ -88,7 +109,7 @@ class PrefixCounter:
             else:  # a letter outside the vocabulary: its bytes, compatible with everything
                 last.append(-1)
                 counts.append(counts[end - 1] + len(unit[end - 1].encode("utf-8", "surrogatepass")))
-        return tuple(counts[1:])
+        return last, counts
 
     def units_of(self, text: str) -> list[list[str]]:
         """The units of each line: marks and the letters that follow them. Line ends stand between lines."""
