@@ -40,6 +40,7 @@ class Memo:
         out.close()
         for number, old in self._pointers()[: -self.keep]:
             remove(self.spark, f"{self.folder}/{old}")
+            remove(self.spark, f"{self.folder}/{old}-fresh")
             remove(self.spark, f"{self.folder}/pointers/{number:010d}")
 
     def valid(self, present: DataFrame | None) -> DataFrame | None:
@@ -64,7 +65,7 @@ class Memo:
         valid, entries = self.valid(present), self.current()
         misses = asked if valid is None else asked.alias("a").join(valid.alias("v"), same("a", "v"), "left_anti")
         version = f"version-{uuid.uuid4().hex}"
-        fresh_at = f"{self.folder}/fresh-{uuid.uuid4().hex}"
+        fresh_at = f"{self.folder}/{version}-fresh"  # goes with its version
         compute(misses).write.parquet(fresh_at)
         fresh = self.spark.read.parquet(fresh_at)
         kept = fresh.where(F.size(self.artefacts) > 0)
