@@ -67,11 +67,11 @@ def test_rectangles_found():
 
 
 def test_drawn_pictures_are_not_shrunk_further(spark, sf):
-    """Pictures are half a slide in size, so boxes of 40 slide pixels can be rectangles of their own."""
+    """Pictures are a quarter of a slide in size, so boxes of 80 slide pixels can be rectangles of their own."""
     from vellum.plans.queries import QUERIES
 
     rects = QUERIES["decompose_pictures"](spark, sf).where("kind = 'rect'").collect()
-    assert any(r.x + r.w > 320 for r in rects) and any(r.y + r.h > 180 for r in rects)
+    assert any(r.x + r.w > 160 for r in rects) and any(r.y + r.h > 90 for r in rects)
 
 
 def test_inputs_of_folders_and_files(spark, tmp_path):

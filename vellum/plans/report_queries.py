@@ -215,12 +215,12 @@ def slide_parts(spark, sf_dir):
 
 @query()
 def decompose_pictures(spark, sf_dir):
-    """Rectangles and art regions of pictures of half size drawn from boxes; tests hold it against a plain flood fill."""
+    """Rectangles and art regions of pictures of 320 x 180 drawn from boxes; tests hold it against a plain flood fill."""
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            for picture in drawn(pdf, 2):  # drawn and taken apart in one task: pictures aren't sent
+            for picture in drawn(pdf, 4):  # drawn and taken apart in one task: pictures aren't sent
                 yield pd.DataFrame(px.part_rows(picture, "slide_idx"), columns=["slide_idx", *[c.split()[0] for c in px.PARTS.split(", ")]])
 
     return slide_parts(spark, sf_dir).mapInPandas(run, f"slide_idx long, {px.PARTS}")
@@ -244,14 +244,14 @@ def picture_regions(spark, sf_dir):
 
 @query()
 def picture_crops(spark, sf_dir):
-    """Crops of artwork and titles, with other text wiped out, of pictures of half size: boxes and checksums; tests fill pixel by pixel."""
+    """Crops of artwork and titles, with other text wiped out, of pictures of 320 x 180: boxes and checksums; tests fill pixel by pixel."""
     def run(batches):
         import zlib
 
         import pandas as pd
 
         for pdf in batches:
-            for picture in drawn(pdf, 2):
+            for picture in drawn(pdf, 4):
                 rows = [c | {"crc": zlib.crc32(c.pop("pixels"))} for c in inpaint.crop_rows(picture, "slide_idx")]
                 yield pd.DataFrame(rows, columns=["slide_idx", "crop_idx", "kind", "x", "y", "w", "h", "crc"])
 
