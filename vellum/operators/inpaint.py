@@ -83,10 +83,10 @@ def crops(rgb: np.ndarray, text: np.ndarray, art: list[dict], texts: list[dict])
     return [{"crop_idx": i} | c for i, c in enumerate(cut)]
 
 
-def crop_rows(pdf: pd.DataFrame, slide: str) -> list[dict]:
-    """Crops of a batch of pictures, by ``crops``, of the art regions that ``find_rects`` finds."""
+def crop_rows(pictures: list[dict], slide: str) -> list[dict]:
+    """Crops of some pictures, by ``crops``, of the art regions that ``find_rects`` finds."""
     out = []
-    for row in pdf.to_dict("records"):
+    for row in pictures:
         shape = (row["height"], row["width"])
         rgb = np.frombuffer(row["pixels"], np.uint8).reshape(*shape, 3)
         text = np.frombuffer(row["text"], np.uint8).reshape(shape) > 0
@@ -101,6 +101,6 @@ def crop_pictures(pictures: DataFrame, slide: str = "slide_idx") -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame(crop_rows(pdf, slide), columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame(crop_rows(pdf.to_dict("records"), slide), columns=[c.split()[0] for c in schema.split(", ")])
 
     return pictures.select(slide, "width", "height", "pixels", "bg", "text", "texts").mapInPandas(run, schema)

@@ -286,10 +286,10 @@ def find_rects(rgb: np.ndarray, bg: np.ndarray, text: np.ndarray) -> tuple[list[
 PARTS = "part_idx int, kind string, x int, y int, w int, h int, area int, color string, radius int"
 
 
-def part_rows(pdf: pd.DataFrame, slide: str) -> list[dict]:
-    """Parts of a batch of pictures."""
+def part_rows(pictures: list[dict], slide: str) -> list[dict]:
+    """Parts of some pictures."""
     out = []
-    for row in pdf.to_dict("records"):
+    for row in pictures:
         shape = (row["height"], row["width"])
         rgb = np.frombuffer(row["pixels"], np.uint8).reshape(*shape, 3)
         rects, art = find_rects(rgb, np.array(row["bg"], np.int16), np.frombuffer(row["text"], np.uint8).reshape(shape) > 0)
@@ -303,7 +303,7 @@ def decompose(pictures: DataFrame, slide: str = "slide_idx") -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame(part_rows(pdf, slide), columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame(part_rows(pdf.to_dict("records"), slide), columns=[c.split()[0] for c in schema.split(", ")])
 
     return pictures.select(slide, "width", "height", "pixels", "bg", "text").mapInPandas(run, schema)
 

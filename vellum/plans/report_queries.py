@@ -186,8 +186,6 @@ def embedded_text(spark, sf_dir):
 
 def drawn(pdf, shrink: int = 1):
     """Pictures of slides from their boxes, one batch at a time: a row a slide, as the operators on pictures take them."""
-    import pandas as pd
-
     for slide, parts in zip(pdf["slide_idx"], pdf["parts"]):
         bg = [240, 240, 240] if slide % 2 else [225, 232, 240]
         rgb = np.full((720 // shrink, 1280 // shrink, 3), bg, np.uint8)
@@ -204,7 +202,7 @@ def drawn(pdf, shrink: int = 1):
                 x, y, w, h = area[1].start, area[0].start, area[1].stop - area[1].start, line[0].stop - line[0].start
                 role = "title" if h >= 0.045 * rgb.shape[0] else "baked" if p["size"] % 2 else "wiped"
                 texts.append({"x": x, "y": y, "w": w, "h": h, "role": role})
-        yield pd.DataFrame([(slide, rgb.shape[1], rgb.shape[0], rgb.tobytes(), bg, text.tobytes(), texts)], columns=["slide_idx", "width", "height", "pixels", "bg", "text", "texts"])
+        yield {"slide_idx": slide, "width": rgb.shape[1], "height": rgb.shape[0], "pixels": rgb.tobytes(), "bg": bg, "text": text.tobytes(), "texts": texts}
 
 
 def slide_parts(spark, sf_dir):
@@ -215,13 +213,14 @@ def slide_parts(spark, sf_dir):
 
 @query()
 def decompose_pictures(spark, sf_dir):
-    """Rectangles and art regions of pictures of 320 x 180 drawn from boxes; tests hold it against a plain flood fill."""
+    """Rectangles and art regions of pictures of 160 x 90 drawn from boxes; tests hold it against a plain flood fill."""
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            for picture in drawn(pdf, 4):  # drawn and taken apart in one task: pictures aren't sent
-                yield pd.DataFrame(px.part_rows(picture, "slide_idx"), columns=["slide_idx", *[c.split()[0] for c in px.PARTS.split(", ")]])
+            # drawn and taken apart one by one in one task: pictures aren't sent
+            rows = [r for picture in drawn(pdf, 8) for r in px.part_rows([picture], "slide_idx")]
+            yield pd.DataFrame(rows, columns=["slide_idx", *[c.split()[0] for c in px.PARTS.split(", ")]])
 
     return slide_parts(spark, sf_dir).mapInPandas(run, f"slide_idx long, {px.PARTS}")
 
@@ -244,16 +243,15 @@ def picture_regions(spark, sf_dir):
 
 @query()
 def picture_crops(spark, sf_dir):
-    """Crops of artwork and titles, with other text wiped out, of pictures of 320 x 180: boxes and checksums; tests fill pixel by pixel."""
+    """Crops of artwork and titles, with other text wiped out, of pictures of 160 x 90: boxes and checksums; tests fill pixel by pixel."""
     def run(batches):
         import zlib
 
         import pandas as pd
 
         for pdf in batches:
-            for picture in drawn(pdf, 4):
-                rows = [c | {"crc": zlib.crc32(c.pop("pixels"))} for c in inpaint.crop_rows(picture, "slide_idx")]
-                yield pd.DataFrame(rows, columns=["slide_idx", "crop_idx", "kind", "x", "y", "w", "h", "crc"])
+            rows = [c | {"crc": zlib.crc32(c.pop("pixels"))} for picture in drawn(pdf, 8) for c in inpaint.crop_rows([picture], "slide_idx")]
+            yield pd.DataFrame(rows, columns=["slide_idx", "crop_idx", "kind", "x", "y", "w", "h", "crc"])
 
     return slide_parts(spark, sf_dir).mapInPandas(run, "slide_idx long, crop_idx int, kind string, x int, y int, w int, h int, crc long")
 
