@@ -87,15 +87,20 @@ def test_odd_documents(odd, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
-def brute_score(text, frequent, net):
-    classes = lm_scoring.Classes(frequent)
-    c = [0, 0, *classes(text).tolist(), 0, 0]
+def brute_score(text, known, net):
+    codes = [0, 0, *lm_scoring.Classes(known)(text).tolist(), 0, 0]
+    ending = [(k - lm_scoring.CLASSES) // lm_scoring.MEMBERS for k in codes]
+    c = [k if k < lm_scoring.CLASSES else 1 + lm_scoring.FREQUENT + e for k, e in zip(codes, ending)]
     total = 0.0
     for i in range(2, len(c) - 2):
         h = sum(net["embed"][j * lm_scoring.CLASSES + c[i + d]].astype(float) for j, d in enumerate((-2, -1, 1, 2)))
         h = np.append(np.tanh(h), 1.0)
         group, place = divmod(c[i], lm_scoring.WIDE)
-        for z, at in ((h @ net["top"].astype(float), group), (h @ net["inner"][group].astype(float), place)):
+        levels = [(net["top"], group), (net["inner"][group], place)]
+        if codes[i] >= lm_scoring.CLASSES:
+            levels.append((net["last"][ending[i]], (codes[i] - lm_scoring.CLASSES) % lm_scoring.MEMBERS))
+        for weights, at in levels:
+            z = h @ weights.astype(float)
             total += z[at] - math.log(np.exp(z).sum())
     return total
 
@@ -127,13 +132,15 @@ def test_scores_match_a_plain_sum_and_training_helps(docs, odd):
 def test_gradient():
     """The gradient of every level against finite differences."""
     r = np.random.default_rng(3)
-    net = {k: v.astype(np.float64) for k, v in lm_scoring.start(r.integers(1, 100, lm_scoring.CLASSES)).items()}
-    codes = r.integers(1, lm_scoring.CLASSES, 50).astype(np.int32)
+    net = {k: v.astype(np.float64) for k, v in lm_scoring.start(r.integers(1, 100, lm_scoring.CODES)).items()}
+    codes = r.choice(np.r_[1 : 1 + lm_scoring.FREQUENT, lm_scoring.CLASSES : lm_scoring.CODES], 50).astype(np.int32)
+    codes[:25] = r.integers(1, 1 + lm_scoring.FREQUENT, 25)
     around = lm_scoring.windows(codes)
     given = lm_scoring.gradient(net, around, codes)
     loss = lambda: -lm_scoring.log_probabilities(net, around, codes).mean()
     group = codes[7] // lm_scoring.WIDE
-    for name, at in (("embed", (around[7, 2], 5)), ("top", (3, 2)), ("top", (lm_scoring.HIDDEN, group)), ("inner", (group, 4, codes[7] % lm_scoring.WIDE))):
+    ending, member = divmod(codes[30] - lm_scoring.CLASSES, lm_scoring.MEMBERS)
+    for name, at in (("last", (ending, 4, member)), ("last", (ending, lm_scoring.HIDDEN, member)), ("embed", (around[7, 2], 5)), ("top", (3, 2)), ("top", (lm_scoring.HIDDEN, group)), ("inner", (group, 4, codes[7] % lm_scoring.WIDE))):
         step = np.zeros_like(net[name])
         step[at] = 1e-2
         net[name] += step
@@ -190,9 +197,10 @@ def test_words_count_within_their_class(spark, docs, odd):
         return total
 
     scored = lambda df, *more: lm_scoring.score(coded(df, words)[0], net, "doc_id", *more).collect()
-    single = {w[-2:]: w for w, n in counts.items() if n == 1 and w not in frequent}
-    common = max((n, w) for w, n in counts.items() if w not in frequent and n > 2 and w[-2:] in single)[1]
-    texts = [(1, f"{frequent[0]} {common}"), (2, f"{frequent[0]} {single[common[-2:]]}")]
+    code = lambda w: int(classes(w)[0])
+    single = {code(w): w for w, n in counts.items() if n == 1 and w not in frequent}
+    common = max((n, w) for w, n in counts.items() if w not in frequent and n > 1 and code(w) in single)[1]
+    texts = [(1, f"{next(iter(frequent))} {common}"), (2, f"{next(iter(frequent))} {single[code(common)]}")]
     got = {r.doc_id: r.log_prob for r in scored(spark.createDataFrame(texts, "doc_id long, text string"), words, totals, different)}
     assert got[1] > got[2]
     for df in (docs.limit(60), odd):
@@ -224,9 +232,9 @@ def test_many_batches(docs, monkeypatch):
 
 
 def test_large_weights_do_not_overflow():
-    net = lm_scoring.start(np.ones(lm_scoring.CLASSES))
-    net["top"], net["inner"] = net["top"] * 2000, net["inner"] * 2000
-    around, target = np.ones((5, 4), int), np.arange(5)
+    net = lm_scoring.start(np.ones(lm_scoring.CODES))
+    net["top"], net["inner"], net["last"] = net["top"] * 2000, net["inner"] * 2000, net["last"] * 2000
+    around, target = np.ones((5, 4), int), np.array([0, 1, 2, lm_scoring.CLASSES, lm_scoring.CODES - 1])
     assert np.isfinite(lm_scoring.log_probabilities(net, around, target)).all()
 
 

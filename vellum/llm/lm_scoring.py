@@ -1,11 +1,12 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
 Every word is predicted from the words around it on both sides, itself masked, through a softmax
-of three levels: a group of classes, a class of the group, and the word in its class. The most
-frequent words have a class each, the others share classes by their ending. The network gives
-the first two levels: the embeddings of the neighbours' classes, by place, add up to a hidden
-layer, and a softmax follows at each level. The last level comes from the counts of all words of
-the corpus, less those of the document itself, so a document never vouches for its own words.
+of three levels: a group of classes, a class of the group, and a member of the class. The most
+frequent words have a class each, the others share classes by their ending. A shared class has
+members: one for each of its most frequent words, and others that its remaining words share by a
+hash. The embeddings of the neighbours' classes, by place, add up to a hidden layer, and a softmax
+follows at each level, so every level depends on both sides. Words that share a member have their
+counts in all other documents as a last level; a document never vouches for its own words.
 A document's score is the sum of the log-probabilities of its words.
 
 Every word of every document is a training target once. Pieces of documents are dealt to blocks
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, map_rows, small_batches, table, written
@@ -36,6 +37,12 @@ CLASSES = 1 + FREQUENT + ENDINGS
 #: Groups of consecutive classes, and classes of a group.
 GROUPS = 20
 WIDE = -(-CLASSES // GROUPS)
+#: Members of a shared class: the first are words of their own, the others are shared by a hash.
+MEMBERS, OWN = 32, 24
+#: Codes of words. Below CLASSES a code is a class of one word; from there on MEMBERS codes follow for each ending.
+CODES = CLASSES + ENDINGS * MEMBERS
+CLASS_OF = np.concatenate([np.arange(CLASSES), np.repeat(1 + FREQUENT + np.arange(ENDINGS), MEMBERS)]).astype(np.int32)
+SHARED = (np.arange(CODES) >= CLASSES) & ((np.arange(CODES) - CLASSES) % MEMBERS >= OWN)
 #: Rounds of averaging; step size; windows in a step; words of a block, which one copy trains on.
 ROUNDS, RATE, WINDOWS, BLOCK_WORDS = 2, 0.1, 4096, 1 << 20
 #: Words of a piece of a document; windows mixed before they are dealt to steps.
@@ -98,36 +105,45 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 class Classes:
-    """The class of each word; class 0 stands for what lies beyond a document's ends."""
+    """The code of each word, given those of the words that have one of their own; code 0 stands for what lies beyond a document's ends."""
 
-    def __init__(self, frequent: list[str]):
-        self.known = {w: i + 1 for i, w in enumerate(frequent)}
+    def __init__(self, known: dict[str, int]):
+        self.known = known
 
     def __call__(self, text: str) -> np.ndarray:
         return self.of(text.lower().split())
 
     def of(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        return np.array([known.get(w) or 1 + FREQUENT + zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % ENDINGS for w in words], np.int32)
+        known, crc = self.known, zlib.crc32
+
+        def shared(w: str) -> int:
+            return CLASSES + crc(w[-2:].encode("utf-8", "surrogatepass")) % ENDINGS * MEMBERS + OWN + crc(w.encode("utf-8", "surrogatepass")) % (MEMBERS - OWN)
+
+        return np.array([known.get(w) or shared(w) for w in words], np.int32)
 
 
 def start(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The untrained network: small random weights, and the corpus' frequencies of groups and classes as biases.
+    """The untrained network: small random weights, and the corpus' frequencies of each level as biases.
 
-    ``top`` has a column for each group, ``inner`` for each group one for each of its classes;
-    the last row of both is the bias.
+    counts: occurrences of each code. ``top`` has a column for each group, ``inner`` for each group
+    one for each of its classes, ``last`` for each ending one for each member; the last row of each
+    is the bias.
     """
     r = np.random.default_rng(SEED)
     full = np.zeros(GROUPS * WIDE)
-    full[:CLASSES] = counts + 1.0
+    full[:CLASSES] = np.bincount(CLASS_OF, counts, CLASSES) + 1.0
     each = full.reshape(GROUPS, WIDE)
     top = np.concatenate([r.normal(0, 0.1, (HIDDEN, GROUPS)), np.log(each.sum(axis=1) / full.sum())[None]])
     bias = np.log(np.maximum(each / each.sum(axis=1, keepdims=True), 1e-13))
     inner = np.concatenate([r.normal(0, 0.1, (GROUPS, HIDDEN, WIDE)), bias[:, None]], axis=1)
-    return {"embed": r.normal(0, 0.3, (2 * SIDE * CLASSES, HIDDEN)).astype(np.float32), "top": top.astype(np.float32), "inner": inner.astype(np.float32)}
+    embed = r.normal(0, 0.3, (2 * SIDE * CLASSES, HIDDEN))
+    members = counts[CLASSES:].reshape(ENDINGS, MEMBERS) + 1.0
+    bias = np.log(members / members.sum(axis=1, keepdims=True))
+    last = np.concatenate([r.normal(0, 0.1, (ENDINGS, HIDDEN, MEMBERS)), bias[:, None]], axis=1)
+    return {k: v.astype(np.float32) for k, v in (("embed", embed), ("top", top), ("inner", inner), ("last", last))}
 
 
-SHAPES = {"embed": (2 * SIDE * CLASSES, HIDDEN), "top": (HIDDEN + 1, GROUPS), "inner": (GROUPS, HIDDEN + 1, WIDE)}
+SHAPES = {"embed": (2 * SIDE * CLASSES, HIDDEN), "top": (HIDDEN + 1, GROUPS), "inner": (GROUPS, HIDDEN + 1, WIDE), "last": (ENDINGS, HIDDEN + 1, MEMBERS)}
 
 
 def flat(net: dict) -> np.ndarray:
@@ -140,8 +156,8 @@ def from_flat(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def around_each(wide: np.ndarray) -> np.ndarray:
-    """The rows of ``embed`` for the neighbours of each word of a piece that has SIDE classes more at both ends."""
-    n = len(wide) - 2 * SIDE
+    """The rows of ``embed`` for the neighbours of each word of a piece that has SIDE codes more at both ends."""
+    wide, n = CLASS_OF[wide], len(wide) - 2 * SIDE
     return np.stack([wide[j : j + n] for j in range(2 * SIDE + 1) if j != SIDE], axis=1) + np.arange(2 * SIDE, dtype=np.int32) * CLASSES
 
 
@@ -160,12 +176,32 @@ def hidden(net: dict, around: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """An order by class, the groups in it, and (group, start, stop) of those that occur."""
-    order = np.argsort(target.astype(np.int16), kind="stable")  # numpy sorts short integers by radix
-    group = target[order] // WIDE
-    edges = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
-    return order, group, [(k, i, j) for k, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+class Levels:
+    """Rows in order of their codes, with the stretches that meet the same weights at each level."""
+
+    def __init__(self, target: np.ndarray):
+        self.order = np.argsort(target.astype(np.int16), kind="stable")  # numpy sorts short integers by radix
+        codes = target[self.order]
+        classes = CLASS_OF[codes]
+        self.group, self.place = classes // WIDE, classes % WIDE
+        self.groups = self.runs(self.group, np.arange(GROUPS + 1))
+        self.rest = int(np.searchsorted(codes, CLASSES))  # words of shared classes come last
+        self.member = (codes[self.rest :] - CLASSES) % MEMBERS
+        self.endings = self.runs(codes[self.rest :], CLASSES + MEMBERS * np.arange(ENDINGS + 1))
+
+    @staticmethod
+    def runs(values: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int]]:
+        """(k, start, stop) of the values from the k-th edge on, where there are any."""
+        at = np.searchsorted(values, edges).tolist()
+        return [(k, i, j) for k, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+
+
+def logits(h: np.ndarray, weights: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Each row times the weights of its run."""
+    out = np.empty((len(h), weights.shape[2]), h.dtype)
+    for k, i, j in runs:
+        np.matmul(h[i:j], weights[k], out=out[i:j])
+    return out
 
 
 def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -176,14 +212,14 @@ def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def log_probabilities(net: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log p(class | neighbours) for each row: that of its group and that of the class in the group."""
-    order, group, runs = by_group(target)
-    h, classes = hidden(net, around[order]), target[order]
-    logs = log_softmax_at(h @ net["top"], group)
-    for k, i, j in runs:
-        logs[i:j] += log_softmax_at(h[i:j] @ net["inner"][k], classes[i:j] - k * WIDE)
+    """log p(code | neighbours) for each row: that of its group, of the class in the group, and of the member in a shared class."""
+    by = Levels(target)
+    h = hidden(net, around[by.order])
+    logs = log_softmax_at(h @ net["top"], by.group)
+    logs += log_softmax_at(logits(h, net["inner"], by.groups), by.place)
+    logs[by.rest :] += log_softmax_at(logits(h[by.rest :], net["last"], by.endings), by.member)
     out = np.empty(len(target))
-    out[order] = logs
+    out[by.order] = logs
     return out
 
 
@@ -199,16 +235,18 @@ def softmax_error(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 def gradient(net: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     """The gradient of the mean negative log-likelihood."""
-    n = len(target)
-    order, group, runs = by_group(target)
-    x, classes = around[order], target[order]
+    n, by = len(target), Levels(target)
+    x = around[by.order]
     h = hidden(net, x)
-    error = softmax_error(h @ net["top"], group, n)
-    back, top, inner = error @ net["top"][:HIDDEN].T, h.T @ error, np.zeros_like(net["inner"])
-    for k, i, j in runs:
-        error = softmax_error(h[i:j] @ net["inner"][k], classes[i:j] - k * WIDE, n)
-        back[i:j] += error @ net["inner"][k, :HIDDEN].T
-        inner[k] = h[i:j].T @ error
+    error = softmax_error(h @ net["top"], by.group, n)
+    out = {"top": h.T @ error, "inner": np.zeros_like(net["inner"]), "last": np.zeros_like(net["last"])}
+    back = error @ net["top"][:HIDDEN].T
+    for level, first, runs, at in (("inner", 0, by.groups, by.place), ("last", by.rest, by.endings, by.member)):
+        mine, below, weights, change = h[first:], back[first:], net[level], out[level]
+        error = softmax_error(logits(mine, weights, runs), at, n)
+        for k, i, j in runs:
+            below[i:j] += error[i:j] @ weights[k, :HIDDEN].T
+            np.matmul(mine[i:j].T, error[i:j], out=change[k])
     back *= 1 - h[:, :HIDDEN] ** 2
     columns = back.T.astype(np.float64)  # a count for each side and hidden unit is the fastest sum by row
     embed = np.empty_like(net["embed"])
@@ -216,7 +254,7 @@ def gradient(net: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.
         rows = x[:, j] - j * CLASSES
         for k in range(HIDDEN):
             embed[j * CLASSES : (j + 1) * CLASSES, k] = np.bincount(rows, columns[k], CLASSES)
-    return {"embed": embed, "top": top, "inner": inner}
+    return {"embed": embed, **out}
 
 
 def train(net: dict, squares: dict, around: np.ndarray, target: np.ndarray) -> None:
@@ -249,16 +287,16 @@ class Copy:
             self.xs, self.ys, self.waiting, self.seen = [], [], 0, self.seen + self.waiting
 
 
-#: Rows of ``encoded``: kind 0 a document, 1 a piece of its classes, 2 a word of a shared class.
+#: Rows of ``encoded``: kind 0 a document, 1 a piece of its codes, 2 a word that shares its code.
 ENCODED = "kind int, batch long, doc int, id {}, n_words long, key long, part int, codes binary, word string, code int, docs binary"
 
 
-def encoded(docs: DataFrame, frequent: list[str], id_col: str, text_col: str) -> DataFrame:
+def encoded(docs: DataFrame, known: dict[str, int], id_col: str, text_col: str) -> DataFrame:
     """Documents as numbers. A batch is some thousands of documents of one task, numbered within it.
 
     kind 0: batch, doc, id, n_words of a document. kind 1: key (content hash), part, codes: the
-    document's classes in pieces, with SIDE classes more at both ends. kind 2: each
-    different word of a batch that shares its class, with its class and its occurrences as
+    document's codes in pieces, with SIDE codes more at both ends. kind 2: each
+    different word of a batch that shares its code, with the code and its occurrences as
     packed document numbers, ascending.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -268,7 +306,7 @@ def encoded(docs: DataFrame, frequent: list[str], id_col: str, text_col: str) ->
     types = to_arrow_schema(StructType.fromDDL(ENCODED.format(kind)))
 
     def run(batches):
-        classes, seen, numbers = Classes(frequent), Vocabulary(), itertools.count()
+        classes, seen, numbers = Classes(known), Vocabulary(), itertools.count()
         ids: list = []
         keys: list = []
 
@@ -288,8 +326,8 @@ def encoded(docs: DataFrame, frequent: list[str], id_col: str, text_col: str) ->
                 if some and (len(some) >= 1024 or i + 1 == n):
                     yield rows(len(some), kind=[1] * len(some), batch=[batch] * len(some), **dict(zip(("doc", "key", "part", "codes"), zip(*some))))
                     some = []
-            shared = np.flatnonzero(of > FREQUENT)
-            rare = np.flatnonzero(of[codes] > FREQUENT)
+            shared = np.flatnonzero(SHARED[of])
+            rare = np.flatnonzero(SHARED[of][codes])
             order = rare[np.argsort(codes[rare], kind="stable")]
             raw = np.repeat(np.arange(n, dtype=np.uint16), sizes)[order].tobytes()
             stops = (2 * np.cumsum(np.bincount(codes[rare], minlength=len(words))[shared])).tolist()
@@ -354,24 +392,32 @@ def train_round(dealt: DataFrame, net: dict) -> dict:
     return from_flat(np.concatenate([np.frombuffer(bytes(r["values"])) for r in rows]) / rows[0]["seen"]) if rows else net
 
 
-def class_totals(words: DataFrame, frequent: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences and different words of each class, from (word, n)."""
+def class_totals(words: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and different words of each code, from (word, n)."""
 
-    def class_of(batch: pa.RecordBatch):
-        codes = Classes(frequent).of(batch.column(0).to_pylist())
-        ends, kinds = np.bincount(codes, batch.column(1).to_numpy(), CLASSES), np.bincount(codes, minlength=CLASSES)
+    def code_of(batch: pa.RecordBatch):
+        codes = Classes(known).of(batch.column(0).to_pylist())
+        ends, kinds = np.bincount(codes, batch.column(1).to_numpy(), CODES), np.bincount(codes, minlength=CODES)
         yield {"code": np.flatnonzero(kinds), "n": ends[kinds > 0].astype(np.int64), "kinds": kinds[kinds > 0]}
 
-    counts, different = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in map_rows(words, ["word", "n"], class_of, "code int, n long, kinds long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
+    counts, different = np.zeros(CODES), np.zeros(CODES)
+    for r in map_rows(words, ["word", "n"], code_of, "code int, n long, kinds long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
         counts[r["code"]], different[r["code"]] = r["n"], r["kinds"]
     return counts, different
 
 
-def vocabulary(words: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The frequent words, and occurrences and different words of each class. The driver holds FREQUENT words and class counts."""
-    frequent = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    return frequent, *class_totals(words, frequent)
+def vocabulary(words: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Codes of the words that have one of their own, and occurrences and different words of each code.
+
+    These are the FREQUENT most frequent words, and of the others the OWN most frequent of each
+    ending; tasks keep no more than OWN words an ending, so the driver holds FREQUENT + ENDINGS * OWN words.
+    """
+    known = {r["word"]: 1 + i for i, r in enumerate(words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect())}
+    place = F.row_number().over(Window.partitionBy("ending").orderBy(F.desc("n"), "word"))
+    others = words.where(~F.col("word").isin(list(known))).withColumn("ending", F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(ENDINGS)))
+    for r in others.withColumn("place", place).where(F.col("place") <= OWN).orderBy("ending", "place").collect():
+        known[r["word"]] = CLASSES + r["ending"] * MEMBERS + r["place"] - 1
+    return known, *class_totals(words, known)
 
 
 def fit(coded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, block_words: int = BLOCK_WORDS) -> dict:
@@ -391,9 +437,9 @@ def score(coded: DataFrame, net: dict, id_col: str = "doc_id", words: DataFrame
     """Score every whole text of ``encoded``.
 
     Returns id, n_words, log_prob and mean_log_prob (null for texts that are null or without
-    words, whose sum is 0). With ``words``, the counts (word, n) of the corpus, and the totals by class,
-    log_prob sums log p(word's class | both sides) + log p(word | class) over the words, the latter from the
-    counts less those of the document itself; without, the former only. Repeated rows give repeated
+    words, whose sum is 0). With ``words``, the counts (word, n) of the corpus, and the totals by code,
+    log_prob sums log p(word's code | both sides) + log p(word | code) over the words, the latter from the
+    counts less those of the document itself, and 0 for a word with a code of its own; without, the former only. Repeated rows give repeated
     rows; an empty table gives an empty one.
     """
     given = flat(net)
@@ -410,8 +456,8 @@ def score(coded: DataFrame, net: dict, id_col: str = "doc_id", words: DataFrame
             at = stop
 
     kind = dict(coded.dtypes)["id"]
-    by_class = map_rows(coded.where("kind = 1"), ["batch", "doc", "codes"], work, "batch long, doc int, log_prob double", lambda: from_flat(given))
-    rows = coded.where("kind = 0").select("batch", "doc", "id", "n_words").unionByName(by_class, allowMissingColumns=True)
+    by_code = map_rows(coded.where("kind = 1"), ["batch", "doc", "codes"], work, "batch long, doc int, log_prob double", lambda: from_flat(given))
+    rows = coded.where("kind = 0").select("batch", "doc", "id", "n_words").unionByName(by_code, allowMissingColumns=True)
     with_words = words is not None
     if with_words:
         # a word of one document alone counts 0 elsewhere, as an unknown one does, so its count isn't sent
@@ -434,9 +480,9 @@ def score(coded: DataFrame, net: dict, id_col: str = "doc_id", words: DataFrame
 
 
 def within(n: np.ndarray, code: np.ndarray, docs: list[bytes], counts: np.ndarray, different: np.ndarray) -> np.ndarray:
-    """For each of TOGETHER documents, the sum of log p(word | class) over its words that share a class.
+    """For each of TOGETHER documents, the sum of log p(word | code) over its words that share a code.
 
-    n, code, docs: corpus count, class and occurrences (packed document numbers, ascending) of
+    n, code, docs: corpus count, code and occurrences (packed document numbers, ascending) of
     each different word. Counts leave out the document itself.
     """
     each = np.array([len(d) // 2 for d in docs], np.int64)
@@ -445,10 +491,10 @@ def within(n: np.ndarray, code: np.ndarray, docs: list[bytes], counts: np.ndarra
     first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
     own = np.diff(first, append=len(doc))
     word, doc = word[first], doc[first]
-    there, place = np.unique(doc * CLASSES + code[word], return_inverse=True)
-    in_class = np.bincount(place, own, len(there))[place]
+    there, place = np.unique(doc * CODES + code[word], return_inverse=True)
+    in_code = np.bincount(place, own, len(there))[place]
     rest = np.maximum(n[word] - own, 0) + SMOOTH
-    total = np.maximum(counts[code[word]] - in_class, 0) + SMOOTH * (different[code[word]] + 1)
+    total = np.maximum(counts[code[word]] - in_code, 0) + SMOOTH * (different[code[word]] + 1)
     return np.bincount(doc, own * (np.log(rest) - np.log(total)), TOGETHER)
 
 
@@ -458,8 +504,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are never read. Documents are encoded once, into a table in the shared folder.
     """
     words = cut(count_words(docs, text_col))
-    frequent, counts, different = vocabulary(words)
-    coded = written(encoded(docs, frequent, id_col, text_col), "encoded")
+    known, counts, different = vocabulary(words)
+    coded = written(encoded(docs, known, id_col, text_col), "encoded")
     return score(coded, fit(coded, counts, rounds, block_words), id_col, words, counts, different)
 
 
