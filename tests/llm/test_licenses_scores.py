@@ -163,7 +163,7 @@ def test_training_against_a_plain_loop(docs):
         for b in sorted({r.block for r in rows if r.block % 2 == turn}):
             copy = lm_scoring.Copy(lm_scoring.flat(net), b)
             for r in sorted((r for r in rows if r.block == b), key=lambda r: (r.key, r.part)):
-                copy.add(np.frombuffer(bytes(r.codes), np.int16).astype(np.int32))
+                copy.add(bytes(r.codes))
             copy.step()
             total, seen = total + lm_scoring.flat(copy.net) * copy.seen, seen + copy.seen
         net = lm_scoring.from_flat(total / seen)
@@ -263,3 +263,39 @@ def test_dense_texts(monkeypatch):
     monkeypatch.undo()
     began = time.time()
     assert scanner.scan(permuted("gpl-3.0", 2200)) == [] and time.time() - began < 60  # 1 MB
+
+
+def test_windows_of_joined_pieces():
+    """Words of pieces that are looked at together have the neighbours that they have alone."""
+    r = np.random.default_rng(5)
+    pieces = [r.integers(0, lm_scoring.CODES, n + 2 * lm_scoring.SIDE).astype(np.int16) for n in (1, 7, 1, 1, 300, 2)]
+    around, target, sizes = lm_scoring.joined([p.tobytes() for p in pieces])
+    assert sizes.tolist() == [1, 7, 1, 1, 300, 2]
+    assert (around == np.concatenate([lm_scoring.around_each(p) for p in pieces])).all()
+    assert (target == np.concatenate([p[lm_scoring.SIDE : -lm_scoring.SIDE] for p in pieces])).all()
+
+
+def test_members_of_a_shared_class_depend_on_both_sides(spark):
+    """Words of one ending, some between left words and some between right ones: which member of the class it is follows from the neighbours."""
+    r = random.Random(7)
+    filler = [f"f{i}" for i in range(lm_scoring.FREQUENT)]
+    words = {side: [f"{side}{i}xx" for i in range(20)] for side in ("l", "r")}
+    texts = [" ".join(r.sample(filler, len(filler))) for _ in range(120)]
+    for _ in range(100):
+        for side, own in words.items():
+            texts += [f"f{2 if side == 'l' else 3} f0 {w} f1 f{4 if side == 'l' else 5}" for w in own]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own, _, known, counts, _ = coded(df)
+    classes, net = lm_scoring.Classes(known), lm_scoring.fit(own, counts)
+    codes = {side: classes(" ".join(of)) for side, of in words.items()}
+    ending = {int(k - lm_scoring.CLASSES) // lm_scoring.MEMBERS for of in codes.values() for k in of}
+    assert len(ending) == 1 and sum(w in known for of in words.values() for w in of) == lm_scoring.OWN
+
+    def members(text):
+        z = lm_scoring.hidden(net, lm_scoring.windows(classes(text)))[2] @ net["last"][min(ending)]
+        return z - math.log(np.exp(z).sum())
+
+    left, right = members("f2 f0 l0xx f1 f4"), members("f3 f0 l0xx f1 f5")
+    alone = {side: [int(k - lm_scoring.CLASSES) % lm_scoring.MEMBERS for k, w in zip(codes[side], of) if w in known] for side, of in words.items()}
+    assert alone["l"] and alone["r"]
+    assert (left - right)[alone["l"]].mean() > 0.5 and (right - left)[alone["r"]].mean() > 0.5

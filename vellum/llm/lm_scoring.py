@@ -50,6 +50,8 @@ PIECE, MIXED = 4096, 1 << 16
 #: Windows scored at once; documents, whose numbers have 16 bits, and words that are looked up together: memory bounds, without effect on results.
 BLOCK, TOGETHER, WORDS_TOGETHER = 1 << 15, 8192, 1 << 22
 EDGE, SEED = 0, 11
+#: Logits whose exponentials, and sums of them, single precision holds. The bias of a class that isn't there is -30.
+SAFE = 60
 #: Added to the count of every word of a class, and of one unseen word.
 SMOOTH = 0.5
 #: Values of the network in a row on their way to the average.
@@ -104,22 +106,26 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class FirstShared(dict):
+    """The first shared code of an ending; each ending is hashed once."""
+
+    def __missing__(self, ending: str) -> int:
+        self[ending] = CLASSES + zlib.crc32(ending.encode("utf-8", "surrogatepass")) % ENDINGS * MEMBERS + OWN
+        return self[ending]
+
+
 class Classes:
     """The code of each word, given those of the words that have one of their own; code 0 stands for what lies beyond a document's ends."""
 
     def __init__(self, known: dict[str, int]):
-        self.known = known
+        self.known, self.first = known, FirstShared()
 
     def __call__(self, text: str) -> np.ndarray:
         return self.of(text.lower().split())
 
     def of(self, words: list[str]) -> np.ndarray:
-        known, crc = self.known, zlib.crc32
-
-        def shared(w: str) -> int:
-            return CLASSES + crc(w[-2:].encode("utf-8", "surrogatepass")) % ENDINGS * MEMBERS + OWN + crc(w.encode("utf-8", "surrogatepass")) % (MEMBERS - OWN)
-
-        return np.array([known.get(w) or shared(w) for w in words], np.int32)
+        known, first, crc = self.known, self.first, zlib.crc32
+        return np.array([known.get(w) or first[w[-2:]] + crc(w.encode("utf-8", "surrogatepass")) % (MEMBERS - OWN) for w in words], np.int32)
 
 
 def start(counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -161,6 +167,15 @@ def around_each(wide: np.ndarray) -> np.ndarray:
     return np.stack([wide[j : j + n] for j in range(2 * SIDE + 1) if j != SIDE], axis=1) + np.arange(2 * SIDE, dtype=np.int32) * CLASSES
 
 
+def joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours and codes of the words of all pieces, packed with SIDE codes more at both ends, and how many words each has."""
+    sizes = np.array([len(p) // 2 for p in pieces])
+    codes = np.frombuffer(b"".join(pieces), np.int16).astype(np.int32)
+    inside = np.ones(len(codes) - 2 * SIDE, bool)
+    inside[(np.cumsum(sizes)[:-1, None] + np.arange(-2 * SIDE, 0)).ravel()] = False  # windows over the edge of two pieces
+    return around_each(codes)[inside], codes[SIDE : len(codes) - SIDE][inside], sizes - 2 * SIDE
+
+
 def windows(codes: np.ndarray) -> np.ndarray:
     """The neighbours of each word of a whole document."""
     return around_each(np.pad(codes, SIDE, constant_values=EDGE))
@@ -169,9 +184,9 @@ def windows(codes: np.ndarray) -> np.ndarray:
 def hidden(net: dict, around: np.ndarray) -> np.ndarray:
     """The hidden layer, with a last column of ones."""
     out = np.ones((len(around), HIDDEN + 1), np.float32)
-    total = net["embed"][around[:, 0]]
+    total = net["embed"].take(around[:, 0], axis=0)
     for j in range(1, 2 * SIDE):
-        total += net["embed"][around[:, j]]
+        total += net["embed"].take(around[:, j], axis=0)
     np.tanh(total, out=out[:, :HIDDEN])
     return out
 
@@ -204,11 +219,20 @@ def logits(h: np.ndarray, weights: np.ndarray, runs: list[tuple[int, int, int]])
     return out
 
 
+def exponentials(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place and the sums of its rows; rows are shifted by their largest entry first where any could overflow or vanish."""
+    if z.size and max(-z.min(), z.max()) > SAFE:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
 def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log softmax(z)[row, at[row]]; z is used up."""
-    z -= z.max(axis=1, keepdims=True)
+    if z.size and max(-z.min(), z.max()) > SAFE:
+        z -= z.max(axis=1, keepdims=True)
     picked = z[np.arange(len(z)), at].astype(np.float64)
-    return picked - np.log(np.exp(z, out=z).sum(axis=1).astype(np.float64))
+    return picked - np.log(exponentials(z).astype(np.float64))
 
 
 def log_probabilities(net: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -225,11 +249,9 @@ def log_probabilities(net: dict, around: np.ndarray, target: np.ndarray) -> np.n
 
 def softmax_error(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Gradient by the logits of the mean negative log-likelihood over n rows."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), at] -= 1
-    z /= n
+    sums = exponentials(z)
+    z *= (1 / (sums * n))[:, None]
+    z[np.arange(len(z)), at] -= 1 / n
     return z
 
 
@@ -242,18 +264,16 @@ def gradient(net: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.
     out = {"top": h.T @ error, "inner": np.zeros_like(net["inner"]), "last": np.zeros_like(net["last"])}
     back = error @ net["top"][:HIDDEN].T
     for level, first, runs, at in (("inner", 0, by.groups, by.place), ("last", by.rest, by.endings, by.member)):
-        mine, below, weights, change = h[first:], back[first:], net[level], out[level]
-        error = softmax_error(logits(mine, weights, runs), at, n)
+        mine, weights, change = h[first:], net[level], out[level]
+        error, below = softmax_error(logits(mine, weights, runs), at, n), np.empty_like(back[first:])
         for k, i, j in runs:
-            below[i:j] += error[i:j] @ weights[k, :HIDDEN].T
+            np.matmul(error[i:j], weights[k, :HIDDEN].T, out=below[i:j])
             np.matmul(mine[i:j].T, error[i:j], out=change[k])
+        back[first:] += below
     back *= 1 - h[:, :HIDDEN] ** 2
-    columns = back.T.astype(np.float64)  # a count for each side and hidden unit is the fastest sum by row
-    embed = np.empty_like(net["embed"])
-    for j in range(2 * SIDE):
-        rows = x[:, j] - j * CLASSES
-        for k in range(HIDDEN):
-            embed[j * CLASSES : (j + 1) * CLASSES, k] = np.bincount(rows, columns[k], CLASSES)
+    rows, embed = x.T.ravel().astype(np.intp), np.empty_like(net["embed"])
+    for k, column in enumerate(back.T):  # a count for each hidden unit is the fastest sum by row
+        embed[:, k] = np.bincount(rows, np.tile(column, 2 * SIDE), len(embed))
     return {"embed": embed, **out}
 
 
@@ -271,20 +291,20 @@ class Copy:
     def __init__(self, given: np.ndarray, block: int):
         self.net, self.mix = from_flat(given), np.random.default_rng([SEED, block])
         self.squares = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
-        self.xs, self.ys, self.waiting, self.seen = [], [], 0, 0
+        self.pieces, self.waiting, self.seen = [], 0, 0
 
-    def add(self, piece: np.ndarray) -> None:
-        self.xs.append(around_each(piece))
-        self.ys.append(piece[SIDE : len(piece) - SIDE])
-        self.waiting += len(self.ys[-1])
+    def add(self, piece: bytes) -> None:
+        self.pieces.append(piece)
+        self.waiting += len(piece) // 2 - 2 * SIDE
         if self.waiting >= MIXED:
             self.step()
 
     def step(self) -> None:
         if self.waiting:
             order = self.mix.permutation(self.waiting)  # neighbouring words of a document go to different steps
-            train(self.net, self.squares, np.concatenate(self.xs)[order], np.concatenate(self.ys)[order])
-            self.xs, self.ys, self.waiting, self.seen = [], [], 0, self.seen + self.waiting
+            around, target, _ = joined(self.pieces)
+            train(self.net, self.squares, around[order], target[order])
+            self.pieces, self.waiting, self.seen = [], 0, self.seen + self.waiting
 
 
 #: Rows of ``encoded``: kind 0 a document, 1 a piece of its codes, 2 a word that shares its code.
@@ -311,7 +331,8 @@ def encoded(docs: DataFrame, known: dict[str, int], id_col: str, text_col: str)
         keys: list = []
 
         def rows(n, **columns):
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in types], schema=types)
+            made = (columns.get(f.name) for f in types)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made, types)], schema=types)
 
         def done():
             batch = TaskContext.get().partitionId() << 32 | next(numbers)
@@ -329,13 +350,14 @@ def encoded(docs: DataFrame, known: dict[str, int], id_col: str, text_col: str)
             shared = np.flatnonzero(SHARED[of])
             rare = np.flatnonzero(SHARED[of][codes])
             order = rare[np.argsort(codes[rare], kind="stable")]
-            raw = np.repeat(np.arange(n, dtype=np.uint16), sizes)[order].tobytes()
-            stops = (2 * np.cumsum(np.bincount(codes[rare], minlength=len(words))[shared])).tolist()
-            starts = [0, *stops]
+            raw = np.repeat(np.arange(n, dtype=np.uint16), sizes)[order]
+            stops = 2 * np.cumsum(np.bincount(codes[rare], minlength=len(words))[shared])
+            offsets = np.concatenate([[0], stops]).astype(np.int32)
+            where = pa.Array.from_buffers(pa.binary(), len(shared), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            each, code = pa.array(words, pa.string()).take(pa.array(shared)), pa.array(of[shared])
             for x in range(0, len(shared), 50_000):
-                part = shared[x : x + 50_000].tolist()
-                m = len(part)
-                yield rows(m, kind=[2] * m, batch=[batch] * m, word=[words[j] for j in part], code=of[part], docs=[raw[a:z] for a, z in zip(starts[x : x + m], stops[x : x + m])])
+                m = min(50_000, len(shared) - x)
+                yield rows(m, kind=[2] * m, batch=[batch] * m, word=each.slice(x, m), code=code.slice(x, m), docs=where.slice(x, m))
 
         for batch in batches:
             for i, key, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
@@ -371,7 +393,7 @@ def train_round(dealt: DataFrame, net: dict) -> dict:
                         values, n = done()
                         total, seen = total + values, seen + n
                     block, copy = b, Copy(given, b)
-                copy.add(np.frombuffer(codes, np.int16).astype(np.int32))
+                copy.add(codes)
         if copy:
             values, n = done()
             total, seen = total + values, seen + n
@@ -450,8 +472,8 @@ def score(coded: DataFrame, net: dict, id_col: str = "doc_id", words: DataFrame
         sizes = pc.binary_length(codes).to_numpy() // 2 - 2 * SIDE
         while at < batch.num_rows:
             stop = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK, "right")))
-            wide = [np.frombuffer(c, np.int16).astype(np.int32) for c in codes.slice(at, stop - at).to_pylist()]
-            logs = log_probabilities(own, np.concatenate([around_each(w) for w in wide]), np.concatenate([w[SIDE : len(w) - SIDE] for w in wide]))
+            around, target, _ = joined(codes.slice(at, stop - at).to_pylist())
+            logs = log_probabilities(own, around, target)
             yield {"batch": batch.column(0).slice(at, stop - at), "doc": batch.column(1).slice(at, stop - at), "log_prob": np.add.reduceat(logs, np.cumsum([0, *sizes[at : stop - 1]]))}
             at = stop
 
