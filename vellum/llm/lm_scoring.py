@@ -271,9 +271,10 @@ def gradient(net: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.
             np.matmul(mine[i:j].T, error[i:j], out=change[k])
         back[first:] += below
     back *= 1 - h[:, :HIDDEN] ** 2
-    rows, embed = x.T.ravel().astype(np.intp), np.empty_like(net["embed"])
-    for k, column in enumerate(back.T):  # a count for each hidden unit is the fastest sum by row
-        embed[:, k] = np.bincount(rows, np.tile(column, 2 * SIDE), len(embed))
+    rows, embed, columns = x.T.ravel().astype(np.intp), np.empty_like(net["embed"]), np.empty((HIDDEN, 2 * SIDE, n))
+    columns[:] = back.T[:, None]
+    for k in range(HIDDEN):  # a count for each hidden unit is the fastest sum by row
+        embed[:, k] = np.bincount(rows, columns[k].ravel(), len(embed))
     return {"embed": embed, **out}
 
 
@@ -349,7 +350,8 @@ def encoded(docs: DataFrame, known: dict[str, int], id_col: str, text_col: str)
                     some = []
             shared = np.flatnonzero(SHARED[of])
             rare = np.flatnonzero(SHARED[of][codes])
-            order = rare[np.argsort(codes[rare], kind="stable")]
+            order = rare[np.argsort((codes[rare] & 0xFFFF).astype(np.uint16), kind="stable")]  # numpy sorts short integers by radix
+            order = order[np.argsort((codes[order] >> 16).astype(np.uint16), kind="stable")]
             raw = np.repeat(np.arange(n, dtype=np.uint16), sizes)[order]
             stops = 2 * np.cumsum(np.bincount(codes[rare], minlength=len(words))[shared])
             offsets = np.concatenate([[0], stops]).astype(np.int32)
@@ -493,7 +495,7 @@ def score(coded: DataFrame, net: dict, id_col: str = "doc_id", words: DataFrame
         sums = np.bincount(pieces["doc"].to_numpy(), pieces["log_prob"].to_numpy(), TOGETHER)
         if with_words:
             found = t.filter(pc.is_valid(t["docs"]))
-            sums = sums + within(found["n"].fill_null(0).to_numpy(), found["code"].to_numpy(), found["docs"].to_pylist(), counts, different)
+            sums = sums + within(found["n"].fill_null(0).to_numpy(), found["code"].to_numpy(), found["docs"], counts, different)
         own, sizes = sums[base["doc"].to_numpy()], base["n_words"].to_numpy()
         means = pa.array([x / n if n else None for x, n in zip(own.tolist(), sizes.tolist())], pa.float64())
         return pa.table({id_col: base["id"], "n_words": base["n_words"], "log_prob": own, "mean_log_prob": means})
@@ -501,20 +503,29 @@ def score(coded: DataFrame, net: dict, id_col: str = "doc_id", words: DataFrame
     return rows.groupBy("batch").applyInArrow(add_up, f"{id_col} {kind}, n_words long, log_prob double, mean_log_prob double")
 
 
-def within(n: np.ndarray, code: np.ndarray, docs: list[bytes], counts: np.ndarray, different: np.ndarray) -> np.ndarray:
+def packed(values: pa.Array) -> memoryview:
+    """All values of an array of bytes, one after another."""
+    if not len(values):
+        return memoryview(b"")
+    wide = pa.types.is_large_binary(values.type)
+    ends = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1]
+    return memoryview(values.buffers()[2])[ends[0] : ends[-1]]
+
+
+def within(n: np.ndarray, code: np.ndarray, docs: pa.ChunkedArray, counts: np.ndarray, different: np.ndarray) -> np.ndarray:
     """For each of TOGETHER documents, the sum of log p(word | code) over its words that share a code.
 
     n, code, docs: corpus count, code and occurrences (packed document numbers, ascending) of
     each different word. Counts leave out the document itself.
     """
-    each = np.array([len(d) // 2 for d in docs], np.int64)
-    doc = np.frombuffer(b"".join(docs), np.uint16).astype(np.int64)
+    each = pc.binary_length(docs).to_numpy() // 2
+    doc = np.frombuffer(b"".join(map(packed, docs.chunks)), np.uint16).astype(np.int64)
     word = np.repeat(np.arange(len(docs)), each)
     first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
     own = np.diff(first, append=len(doc))
     word, doc = word[first], doc[first]
-    there, place = np.unique(doc * CODES + code[word], return_inverse=True)
-    in_code = np.bincount(place, own, len(there))[place]
+    cell = doc * SHARED.sum() + (np.cumsum(SHARED) - 1)[code[word]]
+    in_code = np.bincount(cell, own)[cell]
     rest = np.maximum(n[word] - own, 0) + SMOOTH
     total = np.maximum(counts[code[word]] - in_code, 0) + SMOOTH * (different[code[word]] + 1)
     return np.bincount(doc, own * (np.log(rest) - np.log(total)), TOGETHER)
