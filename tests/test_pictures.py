@@ -193,3 +193,27 @@ def test_registered_picture_queries(spark, sf):
     assert len(drift) == n and all(r.missing == (r.slide_idx % 10 == 9 or r.slide_idx == n - 1) for r in drift)
     crops = QUERIES["picture_crops"](spark, sf)
     assert crops.groupBy("slide_idx", "crop_idx").count().where("count > 1").count() == 0 and crops.where("kind = 'title'").count() > 0
+
+
+def test_ring_spread_at_its_limit(spark):
+    """Rings whose exact spread is the limit are judged as DuckDB judges them: its roundings decide."""
+    import duckdb
+    from fractions import Fraction
+
+    def exact(v, q):
+        at = (len(v) - 1) * q
+        return v[math.floor(at)] + (v[math.ceil(at)] - v[math.floor(at)]) * (at - math.floor(at))
+
+    r, rings = np.random.default_rng(7), []
+    while len(rings) < 400:
+        v = sorted(r.integers(100, 100 + r.integers(40, 70), r.integers(1, 9)).tolist())
+        if len(rings) % 4 == 3 or exact(v, Fraction(9, 10)) - exact(v, Fraction(1, 10)) == 40:
+            rings.append(v)
+    con = duckdb.connect()
+    con.execute("create table ring (k int, r int)")
+    con.executemany("insert into ring values (?, ?)", [(k, v) for k, ring in enumerate(rings) for v in ring])
+    want = con.execute("select k, quantile_cont(r, 0.9) - quantile_cont(r, 0.1) as s, s <= 40 from ring group by 1 order by 1").fetchall()
+    df = spark.createDataFrame([(k, v, v, v) for k, ring in enumerate(rings) for v in ring], "k int, r int, g int, b int")
+    got = pixels.ring_colour(df, ["k"]).orderBy("k").collect()
+    assert [(row.k, row.spread, row.bg is not None) for row in got] == want
+    assert {row.bg is None for row in got} == {True, False}

@@ -25,11 +25,39 @@ def ring_points(boxes: DataFrame, width: Column, height: Column, away: int = 3)
     return boxes.select("*", F.explode(F.array(*points)).alias("p")).select("*", "p.px", "p.py").drop("p").where((F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") < width) & (F.col("py") < height))
 
 
+def _halves(c: Column) -> tuple[Column, Column]:
+    """A double as the sum of two whose products with other such halves are exact."""
+    high = c * 134217729.0 - (c * 134217729.0 - c)
+    return high, c - high
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once, for channel values as a or b: the errors of product and sum are exact doubles and added back."""
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    p = a * b
+    lost = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = p + c
+    z = s - p
+    return s + ((p - (s - z)) + (c - z) + lost)
+
+
+def quantile(ordered: Column, q: float) -> Column:
+    """The quantile of an ordered array of doubles between its two nearest values, lo (1 - d) + hi d with product and sum rounded once.
+
+    A limit on it is as sharp as these roundings: DuckDB's quantile_cont takes the same ones, ``percentile`` others.
+    """
+    at = (F.size(ordered) - 1) * F.lit(q)
+    d = at - F.floor(at)
+    lo, hi = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return fused(lo, 1.0 - d, hi * d)
+
+
 def ring_colour(samples: DataFrame, keys: list[str], spread: float = 40) -> DataFrame:
     """Median colour of each ring, and bg: its hex, or null if the channels' 10-90 % range exceeds ``spread``."""
     med = {c: F.median(c).alias(f"med_{c}") for c in CHANNELS}
-    wide = F.greatest(*[F.percentile(c, 0.9) - F.percentile(c, 0.1) for c in CHANNELS])
-    out = samples.groupBy(*keys).agg(*med.values(), wide.alias("spread"))
+    ordered = [F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(f"_{c}") for c in CHANNELS]
+    wide = F.greatest(*[quantile(F.col(f"_{c}"), 0.9) - quantile(F.col(f"_{c}"), 0.1) for c in CHANNELS])
+    out = samples.groupBy(*keys).agg(*med.values(), *ordered).withColumn("spread", wide).drop(*[f"_{c}" for c in CHANNELS])
     colour = F.concat(*[hex2(F.floor(f"med_{c}")) for c in CHANNELS])
     return out.withColumn("bg", F.when(F.col("spread") <= spread, colour))
 
