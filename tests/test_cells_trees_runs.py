@@ -124,3 +124,11 @@ def test_runs_keep_single_blanks(spark):
     df = spark.createDataFrame([(*r, 400, "normal") for r in rows], "k int, run_idx int, text string, tag string, weight int, style string")
     got = {r.k: [(x.text, x.br, x["sub"], x["sup"]) for x in r.runs] for r in tree.text_runs(df, ["k"]).collect()}
     assert got == {1: [("a b", False, False, False), (" x ", False, True, False), ("2", False, False, True), ("\n", True, False, True), ("tail ", False, False, False)], 2: [("first", False, False, False)]}
+
+
+def test_roots_are_not_broadcast(spark, sf):
+    """A row a slide on both sides: no side goes through the driver."""
+    from vellum.plans.queries import QUERIES
+
+    plan = QUERIES["visible_roots"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
