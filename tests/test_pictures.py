@@ -217,3 +217,35 @@ def test_ring_spread_at_its_limit(spark):
     got = pixels.ring_colour(df, ["k"]).orderBy("k").collect()
     assert [(row.k, row.spread, row.bg is not None) for row in got] == want
     assert {row.bg is None for row in got} == {True, False}
+
+
+def test_pictures_together_are_as_alone(spark):
+    """Pictures of several sizes, looked at in stacks, give what each gives alone, and a stack takes one look at all of them."""
+    r, rows = np.random.default_rng(9), []
+    for i in range(24):
+        h, w = ((60, 80), (60, 80), (45, 64))[i // 8]
+        rgb = np.full((h, w, 3), 240, np.uint8)
+        for _ in range(i % 7):
+            y, x = r.integers(0, h - 8), r.integers(0, w - 8)
+            rgb[y : y + r.integers(5, 40), x : x + r.integers(5, 60)] = r.integers(0, 200, 3)
+        rows.append({"slide_idx": i, "height": h, "width": w, "pixels": rgb.tobytes(), "bg": [240] * 3, "text": (r.random((h, w)) < 0.02).astype(np.uint8).tobytes(), "texts": []})
+    alone = [p for row in rows for p in pixels.part_rows([row], "slide_idx")]
+    looks, find = [], pixels.find_rects_of
+    try:
+        pixels.find_rects_of = lambda rgb, *a: looks.append(len(rgb)) or find(rgb, *a)
+        assert pixels.part_rows(rows, "slide_idx") == alone and len(alone) > 24
+    finally:
+        pixels.find_rects_of = find
+    assert looks == [16, 8]
+
+
+def test_pictures_are_dealt_to_all_tasks(spark, sf):
+    """Short rows with long work aren't put together in few tasks."""
+    from vellum.plans.report_queries import slide_parts
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")  # as many as pictures are dealt to
+    try:
+        assert slide_parts(spark, sf).rdd.getNumPartitions() == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

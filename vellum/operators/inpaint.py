@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators.pixels import find_rects
+from vellum.operators.pixels import find_rects_in
 
 RADIUS = 3
 #: Pixels around artwork that its crop takes along, and around a text's box that are wiped with it.
@@ -83,16 +85,10 @@ def crops(rgb: np.ndarray, text: np.ndarray, art: list[dict], texts: list[dict])
     return [{"crop_idx": i} | c for i, c in enumerate(cut)]
 
 
-def crop_rows(pictures: list[dict], slide: str) -> list[dict]:
-    """Crops of some pictures, by ``crops``, of the art regions that ``find_rects`` finds."""
-    out = []
-    for row in pictures:
-        shape = (row["height"], row["width"])
-        rgb = np.frombuffer(row["pixels"], np.uint8).reshape(*shape, 3)
-        text = np.frombuffer(row["text"], np.uint8).reshape(shape) > 0
-        art = find_rects(rgb, np.array(row["bg"], np.int16), text)[1]
-        out += [{slide: row[slide]} | c for c in crops(rgb, text, art, list(row["texts"]))]
-    return out
+def crop_rows(pictures: Iterable[dict], slide: str) -> Iterator[dict]:
+    """Crops of some pictures, by ``crops``, of the art regions found in them."""
+    for row, rgb, text, _, art in find_rects_in(pictures):
+        yield from ({slide: row[slide]} | c for c in crops(rgb, text, art, list(row["texts"])))
 
 
 def crop_pictures(pictures: DataFrame, slide: str = "slide_idx") -> DataFrame:

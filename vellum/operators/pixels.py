@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,18 +167,20 @@ def embedded_text(texts: DataFrame, parts: DataFrame, slide: str, item: str, wid
 
 
 def closed(mask: np.ndarray, size: int = 7) -> np.ndarray:
-    """Morphological closing by a square."""
+    """Morphological closing by a square, of one mask or of each in a stack."""
     return ~dilate(~dilate(mask, size), size, False)
 
 
 def dilate(mask: np.ndarray, size: int, border: bool = False) -> np.ndarray:
-    """True where any pixel of the square around is; beyond the picture counts as ``border``."""
-    out = np.pad(mask, size // 2, constant_values=border)
+    """True where any pixel of the square around is; beyond the picture counts as ``border``. The last two axes are a picture's."""
+    half = size // 2
+    out = np.full((*mask.shape[:-2], mask.shape[-2] + 2 * half, mask.shape[-1] + 2 * half), border)
+    out[..., half : half + mask.shape[-2], half : half + mask.shape[-1]] = mask
     for axis in (0, 1):
         reach = 1  # doubles: a window of 7 takes three steps
         while reach < size:
             step = min(reach, size - reach)
-            ahead, behind = (slice(step, None), slice(None, -step)) if axis == 0 else ((slice(None), slice(step, None)), (slice(None), slice(None, -step)))
+            ahead, behind = ((..., slice(step, None), slice(None)), (..., slice(None, -step), slice(None))) if axis == 0 else ((..., slice(step, None)), (..., slice(None, -step)))
             out = out[ahead] | out[behind]
             reach += step
     return out
@@ -210,32 +214,61 @@ class Regions:
         return self.labels[self.y[i] : self.y[i] + self.h[i], self.x[i] : self.x[i] + self.w[i]] == i + 1
 
 
-def regions(mask: np.ndarray) -> Regions:
-    """Components by runs: each row's runs are linked with those they touch in the row above, corners included; all of it in arrays, in linear space."""
-    h, w = mask.shape
-    edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, start = np.nonzero(edges == 1)
-    stop = np.nonzero(edges == -1)[1]
-    n, wide = len(row), w + 2
+@dataclass
+class Runs:
+    """The 8-connected components of each mask of a stack by their rows' runs, numbered from 0 in reading order, mask after mask."""
+
+    row: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    number: np.ndarray  # of the component a run belongs to
+    mask: np.ndarray  # of components: the place of its mask in the stack, and its figures
+    area: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    h: np.ndarray
+
+
+def runs_of(masks: np.ndarray) -> Runs:
+    """Each row's runs are linked with those they touch in the row above, corners included; all of it in arrays, in linear space."""
+    k, h, w = masks.shape
+    wide = w + 2
+    apart = np.zeros((k, h + 1, wide), bool)  # a free row after each mask and a free column on each side keep masks and rows apart
+    apart[:, :h, 1:-1] = masks
+    flat = apart.reshape(-1)
+    edges = np.flatnonzero(flat[1:] != flat[:-1])
+    row, start = np.divmod(edges[::2], wide)
+    stop = edges[1::2] - row * wide
+    n = len(row)
     # runs of the row above that end at or after this one's start, and start at or before its end
-    first = np.searchsorted(row * wide + stop, (row - 1) * wide + start)
-    beyond = np.searchsorted(row * wide + start, (row - 1) * wide + stop, side="right")
+    first = np.searchsorted(edges[1::2], edges[::2] - wide)
+    beyond = np.searchsorted(edges[::2], edges[1::2] - wide, side="right")
     count = np.maximum(beyond - first, 0)
     here = np.repeat(np.arange(n), count)
     above = np.arange(len(here)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
     roots = join_labels(n, here, above)
     known, number = np.unique(roots, return_inverse=True) if n else (roots, roots)
-    lengths, k = stop - start, len(known)
+    parts = len(known)
+    low = lambda v: _reduced(np.minimum, v, number, parts)
+    high = lambda v: _reduced(np.maximum, v, number, parts)
+    x, top = low(start), low(row)
+    return Runs(row, start, stop, number, top // (h + 1), np.bincount(number, stop - start, parts).astype(int), x, top % (h + 1), high(stop) - x, high(row) + 1 - top)
+
+
+def regions(mask: np.ndarray) -> Regions:
+    """The components of one mask with their labels."""
+    h, w = mask.shape
+    r = runs_of(mask[None])
+    lengths = r.stop - r.start
     out = np.zeros(h * w, np.int32)
-    out[np.repeat(row * w + start - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())] = np.repeat(number + 1, lengths)
-    low = lambda v: np.full(k, h + w).astype(int) if not n else _reduced(np.minimum, v, number, k)
-    high = lambda v: np.zeros(k, int) if not n else _reduced(np.maximum, v, number, k)
-    x, y = low(start), low(row)
-    return Regions(out.reshape(h, w), np.bincount(number, lengths, k).astype(int), x, y, high(stop) - x, high(row) + 1 - y)
+    out[np.repeat(r.row * w + r.start - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())] = np.repeat(r.number + 1, lengths)
+    return Regions(out.reshape(h, w), r.area, r.x, r.y, r.w, r.h)
 
 
 def _reduced(pick: np.ufunc, values: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
-    out = values[np.unique(number, return_index=True)[1]].copy()
+    out = np.empty(k, values.dtype)
+    out[number] = values  # any value of its own to begin with
     pick.at(out, number, values)
     return out
 
@@ -258,71 +291,128 @@ NEAR_BACKGROUND, NEAR_COLOUR, COLOURS = 60, 45, 14
 CORNER, CORNER_FILL, ROUND_RADIUS = 6, 0.35, 10
 
 
+#: Pixels of pictures of one size that are looked at together; a larger picture is alone.
+STACK = 1 << 18
+
+
+def colour_codes(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Quantised colours as numbers from 0 to 511."""
+    return (r >> 5 << 6) | (g >> 5 << 3) | b >> 5
+
+
+def ranked_colours(counts: np.ndarray, area: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each picture's counts by code the most frequent ones that cover enough of its area, ties by colour: pictures and colours."""
+    codes = np.argsort(-counts, axis=1, kind="stable")[:, :COLOURS]
+    most = np.take_along_axis(counts, codes, axis=1)
+    picture, place = np.nonzero((most > 0) & (most >= int(RECT_AREA * area)))
+    codes = codes[picture, place]
+    return picture, np.stack([codes >> 6, codes >> 3 & 7, codes & 7], axis=1) * 32 + 16
+
+
 def main_colours(pixels: np.ndarray, area: int) -> np.ndarray:
-    """The most frequent quantised colours of a list of pixels that cover enough of the picture's area, ties by colour."""
-    step = (pixels >> 5).astype(np.int32)
-    counts = np.bincount(step[:, 0] << 6 | step[:, 1] << 3 | step[:, 2], minlength=512)
-    codes = np.lexsort((np.arange(512), -counts))[:COLOURS]
-    codes = codes[(counts[codes] > 0) & (counts[codes] >= int(RECT_AREA * area))]
-    return np.stack([codes >> 6, codes >> 3 & 7, codes & 7], axis=1) * 32 + 16
+    """The ranked colours of a list of pixels of one picture."""
+    codes = colour_codes(*pixels.T.astype(np.int16))
+    return ranked_colours(np.bincount(codes, minlength=512)[None], area)[1]
+
+
+def window(masks: np.ndarray, room: int = 6) -> tuple[slice, slice]:
+    """The window around all pixels of a stack of masks, with as much room as closing reaches."""
+    out = []
+    for axis, size in ((2, masks.shape[1]), (1, masks.shape[2])):
+        there = np.flatnonzero(masks.any(axis=(0, axis)))
+        out.append(slice(max(0, int(there[0]) - room), min(size, int(there[-1]) + 1 + room)) if len(there) else slice(0, 0))
+    return out[0], out[1]
 
 
-def plain_rects(rgb: np.ndarray, ys: np.ndarray, xs: np.ndarray, text: np.ndarray) -> tuple[list[dict], tuple, np.ndarray]:
-    """The rectangles among the regions of some pixels, and the window and mask they cover. Text on a rectangle counts as part of it.
+def plain_rects(like: np.ndarray, picture: np.ndarray, text: np.ndarray, sums_of: list[np.ndarray], marks: np.ndarray) -> list[tuple[int, dict]]:
+    """The rectangles among the regions of a stack of masks, each with its picture's place; their runs' ends are added to ``marks``.
 
-    Only the window around the pixels is looked at, with as much room as closing reaches.
+    Text on a rectangle counts as part of it. ``sums_of`` are running sums of each channel over all pixels of the pictures.
     """
-    room = 6
-    at = tuple(slice(max(0, int(v.min()) - room), min(size, int(v.max()) + 1 + room)) for v, size in zip((ys, xs), text.shape))
-    like = np.zeros((at[0].stop - at[0].start, at[1].stop - at[1].start), bool)
-    like[ys - at[0].start, xs - at[1].start] = True
-    found, area, inner = regions(closed(like)), text.size, rgb[at]
-    hull = found.w * found.h
-    good = (found.area >= int(RECT_AREA * area)) & (found.w >= RECT_SIDES[0]) & (found.h >= RECT_SIDES[1]) & (hull <= WHOLE_AREA * area)
-    good &= (found.area + box_sums(text[at], found.x, found.y, found.w, found.h)) / np.maximum(hull, 1) >= RECT_FILL
-    rects = []
+    height, width = text.shape[1:]
+    area, at = height * width, window(like)
+    inner = like[:, at[0], at[1]]
+    found = runs_of(closed(inner))
+    x, y, w, h, of = found.x + at[1].start, found.y + at[0].start, found.w, found.h, picture[found.mask]
+    hull = w * h
+    good = (found.area >= int(RECT_AREA * area)) & (w >= RECT_SIDES[0]) & (h >= RECT_SIDES[1]) & (hull <= WHOLE_AREA * area)
     for i in np.flatnonzero(good):
-        inside = found.member(i)
-        open_corners = all(corner.mean() < CORNER_FILL for corner in (inside[:CORNER, :CORNER], inside[:CORNER, -CORNER:]))
-        x, y, w, h = (int(getattr(found, k)[i]) for k in "xywh")
-        colour = inner[y : y + h, x : x + w][inside].mean(axis=0).astype(int)
-        rects.append({"kind": "rect", "x": x + at[1].start, "y": y + at[0].start, "w": w, "h": h, "area": int(found.area[i]), "color": bytes(colour.tolist()).hex().upper(), "radius": ROUND_RADIUS if open_corners else 0})
-    return rects, at, np.concatenate([[False], good])[found.labels]
+        texts = np.count_nonzero(text[of[i], y[i] : y[i] + h[i], x[i] : x[i] + w[i]])
+        good[i] = (found.area[i] + texts) / hull[i] >= RECT_FILL
+    if not good.any():
+        return []
+    own = good[found.number]
+    number = found.number[own]
+    start, stop = found.start[own] + at[1].start, found.stop[own] + at[1].start
+    line = found.row[own] % (inner.shape[1] + 1) + at[0].start
+    sums = lambda v: np.bincount(number, v, len(good)).astype(int)  # noqa: E731  whole numbers, exact
+    p = of[number]
+    base = (p * height + line) * width
+    means = np.stack([sums(c[base + stop] - c[base + start]) / np.maximum(found.area, 1) for c in sums_of], axis=1).astype(int)
+    high = line < y[number] + CORNER  # rows of the upper corners
+    corner = lambda left: sums(np.where(high, np.maximum(np.minimum(stop, left[number] + CORNER) - np.maximum(start, left[number]), 0), 0))
+    open_corners = (corner(x) / CORNER**2 < CORNER_FILL) & (corner(x + w - CORNER) / CORNER**2 < CORNER_FILL)
+    np.add.at(marks, base + start, 1)
+    np.add.at(marks, base + stop, -1)
+    return [
+        (int(of[i]), {"kind": "rect", "x": int(x[i]), "y": int(y[i]), "w": int(w[i]), "h": int(h[i]), "area": int(found.area[i]), "color": bytes(means[i].tolist()).hex().upper(), "radius": ROUND_RADIUS if open_corners[i] else 0})
+        for i in np.flatnonzero(good)
+    ]
+
+
+def find_rects_of(rgb: np.ndarray, bg: np.ndarray, text: np.ndarray) -> list[tuple[list[dict], list[dict]]]:
+    """Plain rectangles (area descending) and art regions (at most 48, largest first) of each picture of a stack.
+
+    All pictures and all their colours are looked at together, as the cost of small pictures is in the calls.
+    """
+    k, height, width = text.shape
+    area = height * width
+    planes = np.moveaxis(rgb, -1, 0).astype(np.int16, order="C")
+    off = sum(np.abs(planes[c] - bg[:, c, None, None].astype(np.int16)) for c in range(3))
+    first = (off >= NEAR_BACKGROUND) & ~text
+    codes = np.where(first, colour_codes(*planes), 512).reshape(k, area)
+    picture, colours = ranked_colours(np.stack([np.bincount(c, minlength=513)[:512] for c in codes]), area)
+    sums_of = [np.zeros(first.size + 1, np.int64) for _ in planes]
+    for total, c in zip(sums_of, planes):
+        np.cumsum(c.ravel().astype(np.int64), out=total[1:])
+    marks, out = np.zeros(first.size + 1, np.int64), [([], []) for _ in range(k)]
+    step = max(1, STACK // area)
+    for i in range(0, len(picture), step):
+        some, colour = picture[i : i + step], colours[i : i + step].astype(np.int16)
+        near = sum(np.abs(planes[c][some] - colour[:, c, None, None]) for c in range(3)) < NEAR_COLOUR
+        for at, rect in plain_rects(near & first[some], some, text, sums_of, marks):
+            out[at][0].append(rect)
+    rest = first & (marks.cumsum()[:-1].reshape(first.shape) == 0)  # the running sum is how many rectangles' runs hold a pixel
+    found = runs_of(dilate(closed(rest), 3))
+    kept = np.flatnonzero((found.area >= ART_AREA) & (np.maximum(found.w, found.h) >= ART_SIDE))
+    for i in kept[np.lexsort([-c[kept] for c in (found.h, found.w, found.y, found.x, found.area)])]:
+        art = out[found.mask[i]][1]
+        if len(art) < ART_MOST:
+            art.append({"kind": "art", **{c: int(getattr(found, c)[i]) for c in ("x", "y", "w", "h", "area")}, "color": None, "radius": None})
+    return [(sorted(rects, key=lambda r: -r["area"]), art) for rects, art in out]
 
 
 def find_rects(rgb: np.ndarray, bg: np.ndarray, text: np.ndarray) -> tuple[list[dict], list[dict]]:
-    """Plain rectangles (area descending) and art regions (at most 48, largest first) of one picture."""
-    off = np.zeros(text.shape, np.int16)
-    for c in range(3):
-        off += np.abs(rgb[..., c].astype(np.int16) - np.int16(bg[c]))
-    rest = (off >= NEAR_BACKGROUND) & ~text
-    ys, xs = np.nonzero(rest)
-    pixels, rects = rgb[ys, xs].astype(np.int16), []
-    for colour in main_colours(pixels, text.size):
-        near = np.abs(pixels - colour.astype(np.int16)).sum(axis=1) < NEAR_COLOUR
-        if near.any():
-            some, at, mask = plain_rects(rgb, ys[near], xs[near], text)
-            rects += some
-            rest[at] &= ~mask
-    found = regions(dilate(closed(rest), 3))
-    kept = np.flatnonzero((found.area >= ART_AREA) & (np.maximum(found.w, found.h) >= ART_SIDE))
-    order = kept[np.lexsort([-c[kept] for c in (found.h, found.w, found.y, found.x, found.area)])][:ART_MOST]
-    art = [{"kind": "art", **{k: int(getattr(found, k)[i]) for k in ("x", "y", "w", "h", "area")}, "color": None, "radius": None} for i in order]
-    return sorted(rects, key=lambda r: -r["area"]), art
+    """``find_rects_of`` of one picture."""
+    return find_rects_of(rgb[None], bg[None], text[None])[0]
+
+
+def find_rects_in(pictures: Iterable[dict]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, list[dict], list[dict]]]:
+    """Rows of pictures with their pixels, text mask, rectangles and art, in order; neighbours of one size are looked at together."""
+    for shape, rows in itertools.groupby(pictures, key=lambda row: (int(row["height"]), int(row["width"]))):
+        while some := list(itertools.islice(rows, max(1, STACK // max(1, shape[0] * shape[1])))):
+            rgb = np.stack([np.frombuffer(row["pixels"], np.uint8).reshape(*shape, 3) for row in some])
+            text = np.stack([np.frombuffer(row["text"], np.uint8).reshape(shape) > 0 for row in some])
+            found = find_rects_of(rgb, np.array([list(row["bg"]) for row in some], np.int16), text)
+            yield from ((row, rgb[i], text[i], *found[i]) for i, row in enumerate(some))
 
 
 PARTS = "part_idx int, kind string, x int, y int, w int, h int, area int, color string, radius int"
 
 
-def part_rows(pictures: list[dict], slide: str) -> list[dict]:
+def part_rows(pictures: Iterable[dict], slide: str) -> list[dict]:
     """Parts of some pictures."""
-    out = []
-    for row in pictures:
-        shape = (row["height"], row["width"])
-        rgb = np.frombuffer(row["pixels"], np.uint8).reshape(*shape, 3)
-        rects, art = find_rects(rgb, np.array(row["bg"], np.int16), np.frombuffer(row["text"], np.uint8).reshape(shape) > 0)
-        out += [{slide: row[slide], "part_idx": i} | p for i, p in enumerate(rects + art)]
-    return out
+    return [{slide: row[slide], "part_idx": i} | p for row, _, _, rects, art in find_rects_in(pictures) for i, p in enumerate(rects + art)]
 
 
 def decompose(pictures: DataFrame, slide: str = "slide_idx") -> DataFrame:

@@ -208,7 +208,8 @@ def drawn(pdf, shrink: int = 1):
 def slide_parts(spark, sf_dir):
     """The boxes of each slide; rows are short, but the work on each is long, so they aren't put together in few tasks."""
     parts = boxes(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
-    return parts.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slide_idx")
+    # by another key than the groups': by the same one the plan would leave this out, and put short rows together
+    return parts.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("slide_idx"))
 
 
 @query()
@@ -218,9 +219,8 @@ def decompose_pictures(spark, sf_dir):
         import pandas as pd
 
         for pdf in batches:
-            # drawn and taken apart one by one in one task: pictures aren't sent
-            rows = [r for picture in drawn(pdf, 8) for r in px.part_rows([picture], "slide_idx")]
-            yield pd.DataFrame(rows, columns=["slide_idx", *[c.split()[0] for c in px.PARTS.split(", ")]])
+            # drawn and taken apart some at a time in one task: pictures aren't sent
+            yield pd.DataFrame(px.part_rows(drawn(pdf, 8), "slide_idx"), columns=["slide_idx", *[c.split()[0] for c in px.PARTS.split(", ")]])
 
     return slide_parts(spark, sf_dir).mapInPandas(run, f"slide_idx long, {px.PARTS}")
 
@@ -250,7 +250,7 @@ def picture_crops(spark, sf_dir):
         import pandas as pd
 
         for pdf in batches:
-            rows = [c | {"crc": zlib.crc32(c.pop("pixels"))} for picture in drawn(pdf, 8) for c in inpaint.crop_rows([picture], "slide_idx")]
+            rows = [c | {"crc": zlib.crc32(c.pop("pixels"))} for c in inpaint.crop_rows(drawn(pdf, 8), "slide_idx")]
             yield pd.DataFrame(rows, columns=["slide_idx", "crop_idx", "kind", "x", "y", "w", "h", "crc"])
 
     return slide_parts(spark, sf_dir).mapInPandas(run, "slide_idx long, crop_idx int, kind string, x int, y int, w int, h int, crc long")
