@@ -240,12 +240,22 @@ def test_pictures_together_are_as_alone(spark):
 
 
 def test_pictures_are_dealt_to_all_tasks(spark, sf):
-    """Short rows with long work aren't put together in few tasks."""
+    """Short rows with long work aren't put together in few tasks: the plan keeps the exchange that deals them."""
     from vellum.plans.report_queries import slide_parts
 
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "8")  # as many as pictures are dealt to
     try:
-        assert slide_parts(spark, sf).rdd.getNumPartitions() == 8
+        assert "REPARTITION_BY_NUM" in slide_parts(spark, sf)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_both_pictures_are_resized_at_once():
+    """A comparison resizes both pictures in one go, with what each alone gives."""
+    r = np.random.default_rng(3)
+    for h, w in ((8, 8), (16, 8), (400, 30), (360, 640)):
+        a, b = r.integers(0, 256, (2, h, w, 3)).astype(np.uint8)
+        both = resample.resize_planes(np.concatenate([a, b], axis=2).swapaxes(1, 2), *resample.FRAME)
+        alone = np.concatenate([resample.resize(v, *resample.FRAME) for v in (a, b)], axis=2).swapaxes(1, 2)
+        assert (both == alone).all()

@@ -205,11 +205,18 @@ def drawn(pdf, shrink: int = 1):
         yield {"slide_idx": slide, "width": rgb.shape[1], "height": rgb.shape[0], "pixels": rgb.tobytes(), "bg": bg, "text": text.tobytes(), "texts": texts}
 
 
+def dealt(spark, df):
+    """Short rows with long work on each, dealt to all tasks.
+
+    The key is another one than a join's or a group's: by the same one the plan would leave this out, and put rows together in few tasks.
+    """
+    return df.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("slide_idx"))
+
+
 def slide_parts(spark, sf_dir):
-    """The boxes of each slide; rows are short, but the work on each is long, so they aren't put together in few tasks."""
+    """The boxes of each slide."""
     parts = boxes(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
-    # by another key than the groups': by the same one the plan would leave this out, and put short rows together
-    return parts.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("slide_idx"))
+    return dealt(spark, parts)
 
 
 @query()
@@ -264,7 +271,7 @@ def picture_drift(spark, sf_dir):
     flat = p.select("slide_idx", F.unhex(hexes).alias("src"))
     after = flat.select((F.col("slide_idx") - 1).alias("slide_idx"), F.when(F.col("slide_idx") % 10 != 0, F.concat("src", "src")).alias("out"))
     sized = flat.join(after, "slide_idx", "left").withColumns({"src_w": F.lit(8), "src_h": F.lit(8), "out_w": F.lit(8), "out_h": F.lit(16)})
-    return resample.compare_pictures(sized)
+    return resample.compare_pictures(dealt(spark, sized))
 
 
 @query("select page_id, cast(case when page_id % 3 = 2 then 1280 else page_id % 2000 + 1 end as int) as w, cast(case when page_id % 3 = 2 then 720 else page_id % 900 + 1 end as int) as h from pages")
