@@ -57,3 +57,14 @@ def test_boxes_without_pixels_keep_their_background(spark):
 
 def test_coverage_without_text(spark, sf):
     assert {r.coverage_pct for r in validation.slide_checks(boxes(spark, sf)).select("coverage_pct").distinct().collect()} == {100}
+
+
+def test_boxes_are_dealt_once_by_bytes(spark, sf):
+    """Slides are dealt to tasks by the table's bytes, and page_text, whose tables all hang on slides, deals lines no second time."""
+    from vellum.plans.queries import QUERIES
+    from vellum.session import tasks_for
+
+    path = f"{sf}/lineitem.parquet"
+    assert tasks_for(spark, path, 1 << 10) > spark.sparkContext.defaultParallelism == tasks_for(spark, path, 1 << 40)
+    plan = QUERIES["page_text"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.session import tasks_for
+
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -13,8 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One order is a slide, its lines are elements."""
-    li = table(spark, sf_dir, "lineitem")
+    """One order is a slide, its lines are elements.
+
+    Lines are dealt by slide once, to as many tasks as the table's bytes ask for: what follows by slide stays
+    where it is, and a task's sorts don't grow with the table.
+    """
+    tasks = tasks_for(spark, f"{sf_dir}/lineitem.parquet")
+    li = table(spark, sf_dir, "lineitem").repartition(tasks, "l_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     return li.select(
         F.col("l_orderkey").alias("slide_idx"),

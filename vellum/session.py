@@ -71,6 +71,13 @@ def listed(spark: SparkSession, path: str) -> list[Listed]:
     return [Listed(f.getPath().getName(), f.isDirectory(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)]
 
 
+def tasks_for(spark: SparkSession, path: str, each: int = 2 << 20) -> int:
+    """How many tasks a table's stored bytes ask for, at ``each`` bytes a task; at least as many as run at once."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return max(spark.sparkContext.defaultParallelism, -(-size // each))
+
+
 def clean(spark: SparkSession) -> bool:
     """Remove all tables this application wrote to the shared folder. Call it when every result has been stored."""
     return remove(spark, scratch(spark))
