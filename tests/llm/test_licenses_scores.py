@@ -2,9 +2,11 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from vellum.llm import licenses, lm_scoring
 from vellum.llm.licenses import TEMPLATES
@@ -299,3 +301,52 @@ def test_members_of_a_shared_class_depend_on_both_sides(spark):
     alone = {side: [int(k - lm_scoring.CLASSES) % lm_scoring.MEMBERS for k, w in zip(codes[side], of) if w in known] for side, of in words.items()}
     assert alone["l"] and alone["r"]
     assert (left - right)[alone["l"]].mean() > 0.5 and (right - left)[alone["r"]].mean() > 0.5
+
+
+def numbered(texts, seen):
+    """The words of each text as ``Vocabulary`` numbers them."""
+    while len(texts):
+        texts = texts.slice(seen.add(texts))
+    words, numbers = seen.numbered()
+    words, edges = words.to_pylist(), np.cumsum([0, *seen.sizes])
+    assert len(set(words)) == len(words)
+    return [[words[k] for k in numbers[a:z]] for a, z in zip(edges, edges[1:])]
+
+
+def test_words_are_those_of_split(monkeypatch):
+    """All white space that there is, letters of all lengths, and ends of texts without white space."""
+    r = random.Random(3)
+    spaces = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if c.isspace()]
+    letters = [*"aBz.", *"\u00c9\u00e9\u03a3\u03c3\u0130\u1e9e\u212a\u00ad\u00b4\u200b\u2019\u2014\u1681\u3001\u0084\0", "\U0001f600", ""]
+    texts = ["".join(r.choice(letters if r.random() < 0.7 else spaces) for _ in range(r.randrange(30))) for _ in range(3000)] + [None, "", " ", "a", None]
+    split = [t.lower().split() if t else [] for t in texts]
+    for size in (1, 1000, 1 << 20):
+        monkeypatch.setattr(lm_scoring, "TOKENIZED", size)
+        for kind in (pa.string(), pa.large_string()):
+            assert numbered(pa.array(texts, kind), lm_scoring.Vocabulary()) == split
+            assert numbered(pa.array(texts, kind).slice(7, 50), lm_scoring.Vocabulary()) == split[7:57]
+    assert numbered(pa.array([], pa.string()), lm_scoring.Vocabulary()) == []
+
+
+def test_words_are_numbered_faster_than_by_a_dictionary():
+    """Least times of some runs, over words of which many are different."""
+    r = random.Random(5)
+    texts = [" ".join(f"Wort{r.randrange(300_000) if r.random() < 0.2 else r.randrange(3000)}" for _ in range(400)) for _ in range(2000)]
+
+    def plain():
+        number = {}
+        return [np.array([number.setdefault(w, len(number)) for w in t.lower().split()], np.int32) for t in texts]
+
+    def arrow():
+        seen, rest = lm_scoring.Vocabulary(), column
+        while len(rest):
+            rest = rest.slice(seen.add(rest))
+        return seen.numbered()
+
+    column, took = pa.array(texts), {plain: [], arrow: []}
+    for _ in range(4):
+        for way, times in took.items():
+            began = time.process_time()
+            way()
+            times.append(time.process_time() - began)
+    assert min(took[arrow]) < min(took[plain])

@@ -20,7 +20,6 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +47,9 @@ ROUNDS, RATE, WINDOWS, BLOCK_WORDS = 2, 0.1, 4096, 1 << 20
 #: Words of a piece of a document; windows mixed before they are dealt to steps.
 PIECE, MIXED = 4096, 1 << 16
 #: Windows scored at once; documents, whose numbers have 16 bits, and words that are looked up together: memory bounds, without effect on results.
-BLOCK, TOGETHER, WORDS_TOGETHER = 1 << 15, 8192, 1 << 22
+BLOCK, TOGETHER, WORDS_TOGETHER = 1 << 14, 8192, 1 << 22
+#: Bytes of text that are cut into words at once, and looked up together: also without effect on results.
+TOKENIZED, BYTES_TOGETHER = 1 << 20, 1 << 28
 EDGE, SEED = 0, 11
 #: Logits whose exponentials, and sums of them, single precision holds. The bias of a class that isn't there is -30.
 SAFE = 60
@@ -65,22 +66,79 @@ class Vocabulary:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict = defaultdict(itertools.count().__next__)
         self.sizes: list[int] = []
+        self.words: list[pa.Array] = []
         self.parts: list[np.ndarray] = []
-        self.total = 0
-
-    def add(self, text: str | None) -> None:
-        words = text.lower().split() if text else []
-        self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
-        self.sizes.append(len(words))
+        self.total = self.bytes = 0
+
+    def add(self, texts: pa.Array) -> int:
+        """Take the first of the texts, about TOKENIZED bytes of them but one at least, and return how many."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+        n = min(len(texts), TOGETHER - len(self.sizes), max(1, int(np.searchsorted(ends, TOKENIZED, "right"))))
+        words, sizes = words_of(texts.slice(0, n))
+        some, numbers = different_words(pa.chunked_array([words]))  # words recur nearby: few are left for all documents
+        self.words.append(some)
+        self.parts.append(numbers)
+        self.sizes += sizes.tolist()
         self.total += len(words)
+        self.bytes += int(ends[n - 1])
+        return n
 
     def full(self) -> bool:
-        return len(self.sizes) >= TOGETHER or self.total >= WORDS_TOGETHER
-
-    def codes(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int32), *self.parts])
+        return len(self.sizes) >= TOGETHER or self.total >= WORDS_TOGETHER or self.bytes >= BYTES_TOGETHER
+
+    def numbered(self) -> tuple[pa.Array, np.ndarray]:
+        """The different words, and the number of each word of the documents."""
+        words, numbers = different_words(pa.chunked_array(self.words, pa.binary()))
+        words = words.cast(pa.string())
+        wide = pc.not_equal(pc.binary_length(words), pc.utf8_length(words))
+        lower = pa.array([w.lower() for w in words.filter(wide).to_numpy(zero_copy_only=False)], pa.string())
+        words, merged = different_words(pa.chunked_array([pc.replace_with_mask(words, wide, lower)]))
+        numbers = merged[numbers]
+        firsts = np.cumsum([0, *map(len, self.words)]).tolist()
+        return words, np.concatenate([np.zeros(0, np.int32), *(numbers[a:z].take(p) for a, z, p in zip(firsts, firsts[1:], self.parts))])
+
+
+def different_words(words: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The different values in order of first use, and the number of each value."""
+    if not len(words):
+        return pa.array([], words.type), np.zeros(0, np.int32)
+    found = words.dictionary_encode()  # all chunks share one dictionary
+    return found.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in found.chunks])
+
+
+#: White space as ``str.split`` has it, in UTF-8: single bytes, and longer ones by their length.
+SPACES = bytes(c for c in range(128) if chr(c).isspace())
+LONG_SPACES = {n: np.array([int.from_bytes(b) for b in (chr(c).encode() for c in range(128, 0x3001) if chr(c).isspace()) if len(b) == n]) for n in (2, 3)}
+#: 1 for bytes of words; 2 and 3 for bytes that may begin a longer white space.
+INSIDE = bytes(int(c not in SPACES) for c in range(256))
+LEADS = {n: np.unique(v >> 8 * (n - 1)) for n, v in LONG_SPACES.items()}
+LEAD = bytes(next((n for n, v in LEADS.items() if c in v), 0) for c in range(256))
+LOWER = bytes(range(256)).lower()
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (null: none) as ``str.split`` finds them, A-Z in lower case, and how many each text has."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    edges = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
+    raw = bytes(packed(texts))
+    leads = np.frombuffer(raw.translate(LEAD), np.uint8)
+    if len(at := np.flatnonzero(leads)):
+        data = np.frombuffer(raw, np.uint8).copy()
+        for n, spaces in LONG_SPACES.items():
+            first = at[leads[at] == n]
+            places = first[:, None] + np.arange(n)
+            data[places[np.isin(data[places].astype(int) @ (256 ** np.arange(n)[::-1]), spaces)]] = SPACES[0]
+        raw = data.tobytes()
+    inside = np.frombuffer(b"\0" + raw.translate(INSIDE) + b"\0", bool)
+    within = inside[1:] & inside[:-1]  # at each place, and at the end: a word goes on
+    within[edges] = False
+    starts = np.flatnonzero(inside[1:] & ~within)
+    stops = np.flatnonzero(inside[:-1] & ~within)
+    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw.translate(LOWER, SPACES))])
+    return words, np.diff(np.searchsorted(starts, edges))
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -91,41 +149,42 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
         seen = Vocabulary()
 
         def counted():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.number), pa.string()), pa.array(np.bincount(seen.codes(), minlength=len(seen.number)))], schema=schema)
+            words, numbers = seen.numbered()
+            return pa.RecordBatch.from_arrays([words, pa.array(np.bincount(numbers, minlength=len(words)))], schema=schema)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.add(text)
+            texts = batch.column(0)
+            while len(texts):
+                texts = texts.slice(seen.add(texts))
                 if seen.full():
                     yield counted()
                     seen.clear()
-        if seen.number:
+        if seen.sizes:
             yield counted()
 
     small_batches(docs.sparkSession)
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class FirstShared(dict):
-    """The first shared code of an ending; each ending is hashed once."""
-
-    def __missing__(self, ending: str) -> int:
-        self[ending] = CLASSES + zlib.crc32(ending.encode("utf-8", "surrogatepass")) % ENDINGS * MEMBERS + OWN
-        return self[ending]
+def checksums(words: pa.Array) -> np.ndarray:
+    """crc32 of each word in UTF-8."""
+    return np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(words))
 
 
 class Classes:
     """The code of each word, given those of the words that have one of their own; code 0 stands for what lies beyond a document's ends."""
 
     def __init__(self, known: dict[str, int]):
-        self.known, self.first = known, FirstShared()
+        self.words, self.codes = pa.array(list(known), pa.string()), np.array([*known.values(), 0])
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.of(text.lower().split())
+        return self.of(pa.array(text.lower().split(), pa.string()))
 
-    def of(self, words: list[str]) -> np.ndarray:
-        known, first, crc = self.known, self.first, zlib.crc32
-        return np.array([known.get(w) or first[w[-2:]] + crc(w.encode("utf-8", "surrogatepass")) % (MEMBERS - OWN) for w in words], np.int32)
+    def of(self, words: pa.Array) -> np.ndarray:
+        endings, ending = different_words(pa.chunked_array([pc.utf8_slice_codeunits(words, -2)]))
+        shared = (CLASSES + checksums(endings) % ENDINGS * MEMBERS + OWN)[ending] + checksums(words) % (MEMBERS - OWN)
+        at = pc.index_in(words, self.words).fill_null(-1).to_numpy()
+        return np.where(at < 0, shared, self.codes[at]).astype(np.int32)
 
 
 def start(counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -183,11 +242,16 @@ def windows(codes: np.ndarray) -> np.ndarray:
 
 def hidden(net: dict, around: np.ndarray) -> np.ndarray:
     """The hidden layer, with a last column of ones."""
-    out = np.ones((len(around), HIDDEN + 1), np.float32)
+    out = np.ones((len(around), HIDDEN + 1), net["embed"].dtype)
     total = net["embed"].take(around[:, 0], axis=0)
     for j in range(1, 2 * SIDE):
         total += net["embed"].take(around[:, j], axis=0)
-    np.tanh(total, out=out[:, :HIDDEN])
+    total *= -2  # tanh by the exponential, which numpy has faster
+    with np.errstate(over="ignore"):
+        np.exp(total, out=total)
+    total += 1
+    np.divide(2, total, out=total)
+    np.subtract(total, 1, out=out[:, :HIDDEN])
     return out
 
 
@@ -215,7 +279,7 @@ def logits(h: np.ndarray, weights: np.ndarray, runs: list[tuple[int, int, int]])
     """Each row times the weights of its run."""
     out = np.empty((len(h), weights.shape[2]), h.dtype)
     for k, i, j in runs:
-        np.matmul(h[i:j], weights[k], out=out[i:j])
+        np.dot(h[i:j], weights[k], out=out[i:j])
     return out
 
 
@@ -267,14 +331,16 @@ def gradient(net: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.
         mine, weights, change = h[first:], net[level], out[level]
         error, below = softmax_error(logits(mine, weights, runs), at, n), np.empty_like(back[first:])
         for k, i, j in runs:
-            np.matmul(error[i:j], weights[k, :HIDDEN].T, out=below[i:j])
-            np.matmul(mine[i:j].T, error[i:j], out=change[k])
+            np.dot(error[i:j], weights[k, :HIDDEN].T, out=below[i:j])
+            np.dot(mine[i:j].T, error[i:j], out=change[k])
         back[first:] += below
     back *= 1 - h[:, :HIDDEN] ** 2
-    rows, embed, columns = x.T.ravel().astype(np.intp), np.empty_like(net["embed"]), np.empty((HIDDEN, 2 * SIDE, n))
-    columns[:] = back.T[:, None]
-    for k in range(HIDDEN):  # a count for each hidden unit is the fastest sum by row
-        embed[:, k] = np.bincount(rows, columns[k].ravel(), len(embed))
+    # two hidden units are added up as one complex number, by place and row
+    pairs, embed = np.ascontiguousarray(back.view(np.result_type(back, 1j)).T), np.zeros((HIDDEN // 2, len(net["embed"])), np.result_type(back, 1j))
+    for rows in x.T.astype(np.intp):
+        for own, change in zip(pairs, embed):
+            np.add.at(change, rows, own)
+    embed = np.ascontiguousarray(embed.T).view(back.dtype)
     return {"embed": embed, **out}
 
 
@@ -337,14 +403,17 @@ def encoded(docs: DataFrame, known: dict[str, int], id_col: str, text_col: str)
 
         def done():
             batch = TaskContext.get().partitionId() << 32 | next(numbers)
-            words, codes, sizes, n = list(seen.number), seen.codes(), np.array(seen.sizes), len(ids)
+            words, codes = seen.numbered()
+            sizes, n = np.array(seen.sizes), len(ids)
             of = classes.of(words)
             yield rows(n, kind=[0] * n, batch=[batch] * n, doc=np.arange(n, dtype=np.int32), id=ids, n_words=sizes)
-            edges = np.cumsum([0, *sizes]).tolist()
+            edges = np.cumsum([0, *sizes])
+            coded = np.full(len(codes) + 2 * SIDE * n, EDGE, np.int16)  # every document with its ends
+            coded[np.arange(len(codes)) + np.repeat(SIDE + 2 * SIDE * np.arange(n), sizes)] = of.astype(np.int16)[codes]
+            starts = (edges + 2 * SIDE * np.arange(n + 1)).tolist()
             some = []
-            for i, (a, z) in enumerate(zip(edges, edges[1:])):
-                wide = np.pad(of[codes[a:z]], SIDE, constant_values=EDGE).astype(np.int16)
-                some += [(i, keys[i], x // PIECE, wide[x : x + PIECE + 2 * SIDE].tobytes()) for x in range(0, z - a, PIECE)]
+            for i, (a, z) in enumerate(zip(starts, starts[1:])):
+                some += [(i, keys[i], x // PIECE, coded[a + x : min(a + x + PIECE + 2 * SIDE, z)].tobytes()) for x in range(0, z - a - 2 * SIDE, PIECE)]
                 if some and (len(some) >= 1024 or i + 1 == n):
                     yield rows(len(some), kind=[1] * len(some), batch=[batch] * len(some), **dict(zip(("doc", "key", "part", "codes"), zip(*some))))
                     some = []
@@ -356,16 +425,17 @@ def encoded(docs: DataFrame, known: dict[str, int], id_col: str, text_col: str)
             stops = 2 * np.cumsum(np.bincount(codes[rare], minlength=len(words))[shared])
             offsets = np.concatenate([[0], stops]).astype(np.int32)
             where = pa.Array.from_buffers(pa.binary(), len(shared), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-            each, code = pa.array(words, pa.string()).take(pa.array(shared)), pa.array(of[shared])
+            each, code = words.take(pa.array(shared)), pa.array(of[shared])
             for x in range(0, len(shared), 50_000):
                 m = min(50_000, len(shared) - x)
                 yield rows(m, kind=[2] * m, batch=[batch] * m, word=each.slice(x, m), code=code.slice(x, m), docs=where.slice(x, m))
 
         for batch in batches:
-            for i, key, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                ids.append(i)
-                keys.append(key)
-                seen.add(text)
+            while batch.num_rows:
+                n = seen.add(batch.column(2))
+                ids += batch.column(0).slice(0, n).to_pylist()
+                keys += batch.column(1).slice(0, n).to_pylist()
+                batch = batch.slice(n)
                 if seen.full():
                     yield from done()
                     seen.clear()
@@ -420,7 +490,7 @@ def class_totals(words: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, n
     """Occurrences and different words of each code, from (word, n)."""
 
     def code_of(batch: pa.RecordBatch):
-        codes = Classes(known).of(batch.column(0).to_pylist())
+        codes = Classes(known).of(batch.column(0).cast(pa.string()))
         ends, kinds = np.bincount(codes, batch.column(1).to_numpy(), CODES), np.bincount(codes, minlength=CODES)
         yield {"code": np.flatnonzero(kinds), "n": ends[kinds > 0].astype(np.int64), "kinds": kinds[kinds > 0]}
 
@@ -504,10 +574,10 @@ def score(coded: DataFrame, net: dict, id_col: str = "doc_id", words: DataFrame
 
 
 def packed(values: pa.Array) -> memoryview:
-    """All values of an array of bytes, one after another."""
+    """All values of an array of bytes or texts, one after another."""
     if not len(values):
         return memoryview(b"")
-    wide = pa.types.is_large_binary(values.type)
+    wide = pa.types.is_large_binary(values.type) or pa.types.is_large_string(values.type)
     ends = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1]
     return memoryview(values.buffers()[2])[ends[0] : ends[-1]]
 
