@@ -259,3 +259,63 @@ def test_both_pictures_are_resized_at_once():
         both = resample.resize_planes(np.concatenate([a, b], axis=2).swapaxes(1, 2), *resample.FRAME)
         alone = np.concatenate([resample.resize(v, *resample.FRAME) for v in (a, b)], axis=2).swapaxes(1, 2)
         assert (both == alone).all()
+
+
+def flat_pictures(r, n, height, width):
+    """Pictures of few rectangles, close to each other and to the edges, with lines of text, as arrays of a stack."""
+    rgb, text = np.full((n, height, width, 3), 240, np.uint8), np.zeros((n, height, width), bool)
+    for k in range(n):
+        for _ in range(k % 9):
+            y, x = r.integers(-8, height), r.integers(-8, width)
+            at = k, slice(max(0, y), max(0, y + r.integers(1, 40))), slice(max(0, x), max(0, x + r.integers(1, 60)))
+            rgb[at] = ((60, 60, 60), (200, 40, 40), (205, 44, 40), (40, 40, 160))[r.integers(4)]
+            if r.random() < 0.2:
+                text[at] = True
+    return rgb, np.array([[240] * 3] * n, np.int16), text
+
+
+@pytest.mark.parametrize("shape", [(60, 80), (45, 61), (7, 90), (50, 1)])
+def test_cells_give_what_pixels_give(shape, monkeypatch):
+    """Rows and columns that are alike become one cell: closing, growing and all figures are those of pixels."""
+    stack = flat_pictures(np.random.default_rng(shape[1]), 120, *shape)
+    rows, columns = pixels.cell_starts(stack[0], stack[2])
+    assert (rows.sum(axis=1) * columns.sum(axis=1) < shape[0] * shape[1]).any()
+    got = pixels.find_rects_of(*stack)
+    monkeypatch.setattr(pixels, "FEW", 0)
+    assert pixels.find_rects_of(*stack) == got and (shape[1] == 1 or sum(len(p) for both in got for p in both) > 20)
+
+
+def test_flat_pictures_cost_their_cells(monkeypatch):
+    """The masks that are looked through in flat pictures hold less than a tenth of what whole pictures hold."""
+    stack = flat_pictures(np.random.default_rng(1), 90, 90, 160)
+    looked, find = [], pixels.runs_of
+    monkeypatch.setattr(pixels, "runs_of", lambda masks: looked.append(masks.size) or find(masks))
+    assert any(rects for rects, _ in pixels.find_rects_of(*stack)) and sum(looked) < stack[2].size / 2
+    whole, looked[:] = sum(looked), []
+    monkeypatch.setattr(pixels, "FEW", 0)
+    pixels.find_rects_of(*stack)
+    assert whole * 10 < sum(looked)
+
+
+def test_inpaint_stays_near_its_mask():
+    """A small mask in a large picture is filled as in its surroundings alone, in little memory."""
+    import tracemalloc
+
+    r = np.random.default_rng(12)
+    rgb, mask = r.integers(0, 256, (900, 1600, 3)).astype(np.uint8), np.zeros((900, 1600), bool)
+    mask[400:410, 700:760] = True
+    tracemalloc.start()
+    got = inpaint.inpaint(rgb, mask)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = slice(380, 430), slice(680, 780)
+    assert (got[near] == inpaint.inpaint(rgb[near], mask[near])).all() and (got[~mask] == rgb[~mask]).all() and peak < 5 * rgb.nbytes
+
+
+def test_pictures_are_sent_once(spark, sf):
+    """Boxes are dealt by slide in one exchange; the pictures' rows follow without another."""
+    from vellum.plans.queries import QUERIES
+
+    for name in ("decompose_pictures", "picture_crops"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan

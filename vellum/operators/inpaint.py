@@ -14,6 +14,8 @@ from vellum.operators.pixels import find_rects_in
 RADIUS = 3
 #: Pixels around artwork that its crop takes along, and around a text's box that are wiped with it.
 AROUND = 2
+#: Pixels that are filled together.
+BLOCK = 1 << 14
 
 
 def disc(radius: int) -> list[tuple[int, int]]:
@@ -29,30 +31,37 @@ def inpaint(rgb: np.ndarray, mask: np.ndarray, radius: int = RADIUS) -> np.ndarr
     filled pixels within the radius; a weight falls with the squared distance and with the number of rings between the two.
     A ring only looks at rings before it, so the order in it doesn't matter. A mask over the whole picture changes nothing.
     """
+    out = rgb.copy()
+    at = tuple(slice(max(0, int(v.min()) - radius), int(v.max()) + 1 + radius) for v in np.nonzero(mask)) if mask.any() else (slice(0, 0), slice(0, 0))
+    mask = mask[at]  # no pixel further off than the radius plays a part
     h, w = mask.shape
     pad = radius
-    values = np.pad(rgb.astype(np.float64), ((pad, pad), (pad, pad), (0, 0)))
-    ring = np.pad(np.where(mask, -1, 0), pad, constant_values=-1)  # -1: not filled, or outside
-    open_ = np.pad(mask, pad)
-    offsets = [(dy, dx, 1.0 / (dy * dy + dx * dx)) for dy, dx in disc(radius)]
-    ys, xs = np.nonzero(open_)
+    values = np.pad(rgb[at].astype(np.float64), ((pad, pad), (pad, pad), (0, 0))).reshape(-1, 3)
+    ring = np.pad(np.where(mask, -1, 0), pad, constant_values=-1).ravel()  # -1: not filled, or outside
+    wide = w + 2 * pad
+    offsets = np.array([dy * wide + dx for dy, dx in disc(radius)])[:, None]
+    shares = np.array([1.0 / (dy * dy + dx * dx) for dy, dx in disc(radius)])[:, None]
+    sides = np.array([-wide, wide, -1, 1])[:, None]
+    left = np.flatnonzero(np.pad(mask, pad))
     for number in range(1, h * w + 1):
-        near = np.zeros(len(ys), bool)
-        for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-            near |= ring[ys + dy, xs + dx] >= 0
+        near = (ring[left + sides] >= 0).any(axis=0)
         if not near.any():
             break
-        y, x = ys[near], xs[near]
-        total, weight = np.zeros((len(y), 3)), np.zeros(len(y))
-        for dy, dx, share in offsets:
-            there = ring[y + dy, x + dx]
-            own = np.where(there >= 0, share / (1 + number - there), 0.0)
-            total += own[:, None] * values[y + dy, x + dx]
-            weight += own
-        values[y, x] = np.floor(total / weight[:, None] + 0.5)
-        ring[y, x] = number
-        ys, xs = ys[~near], xs[~near]
-    return values[pad : pad + h, pad : pad + w].astype(np.uint8)
+        front = left[near]
+        for i in range(0, len(front), BLOCK):
+            here = front[i : i + BLOCK]
+            there = ring[here + offsets]
+            own = np.where(there >= 0, shares / (1 + number - there), 0.0)
+            parts = own[:, :, None] * values[here + offsets]
+            total, weight = np.zeros((len(here), 3)), np.zeros(len(here))
+            for part, some in zip(parts, own):  # in the order of the offsets, so that sums round alike
+                total += part
+                weight += some
+            values[here] = np.floor(total / weight[:, None] + 0.5)
+        ring[front] = number
+        left = left[~near]
+    out[at] = values.reshape(h + 2 * pad, wide, 3)[pad : pad + h, pad : pad + w].astype(np.uint8)
+    return out
 
 
 def text_roles(texts: DataFrame, inside: DataFrame, slide: str, item: str, height: float) -> DataFrame:
@@ -81,7 +90,8 @@ def crops(rgb: np.ndarray, text: np.ndarray, art: list[dict], texts: list[dict])
             wipe[y0:y1, x0:x1] = False
     clean = inpaint(rgb, wipe) if wipe.any() else rgb
     boxes = [("art", around(a, width, height)) for a in art] + [("title", around(t, width, height)) for t in texts if t["role"] == "title"]
-    cut = [{"kind": k, "x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0, "pixels": clean[y0:y1, x0:x1].tobytes()} for k, (x0, y0, x1, y1) in boxes if k == "art" or min(x1 - x0, y1 - y0) >= 2]
+    lines = clean.reshape(height, -1)  # whole stretches of bytes are copied
+    cut = [{"kind": k, "x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0, "pixels": np.ascontiguousarray(lines[y0:y1, 3 * x0 : 3 * x1]).tobytes()} for k, (x0, y0, x1, y1) in boxes if k == "art" or min(x1 - x0, y1 - y0) >= 2]
     return [{"crop_idx": i} | c for i, c in enumerate(cut)]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -284,6 +285,8 @@ def box_sums(mask: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: n
     return total[y + h, x + w] - total[y, x + w] - total[y + h, x] + total[y, x]
 
 
+#: The side of the square by which masks are closed.
+CLOSING = 7
 # Which components of a picture are plain rectangles and which are artwork.
 RECT_SIDES, RECT_FILL, RECT_AREA, WHOLE_AREA = (20, 12), 0.72, 0.002, 0.93
 ART_AREA, ART_SIDE, ART_MOST = 140, 12, 48
@@ -292,7 +295,9 @@ CORNER, CORNER_FILL, ROUND_RADIUS = 6, 0.35, 10
 
 
 #: Pixels of pictures of one size that are looked at together; a larger picture is alone.
-STACK = 1 << 18
+STACK = 1 << 22
+#: Cells of masks that are closed together, and rows or columns of cells up to which a picture is taken as cells.
+CELLS, FEW = 1 << 17, 64
 
 
 def colour_codes(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -300,19 +305,21 @@ def colour_codes(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (r >> 5 << 6) | (g >> 5 << 3) | b >> 5
 
 
-def ranked_colours(counts: np.ndarray, area: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each picture's counts by code the most frequent ones that cover enough of its area, ties by colour: pictures and colours."""
-    codes = np.argsort(-counts, axis=1, kind="stable")[:, :COLOURS]
-    most = np.take_along_axis(counts, codes, axis=1)
-    picture, place = np.nonzero((most > 0) & (most >= int(RECT_AREA * area)))
-    codes = codes[picture, place]
-    return picture, np.stack([codes >> 6, codes >> 3 & 7, codes & 7], axis=1) * 32 + 16
+def ranked_colours(picture: np.ndarray, codes: np.ndarray, sizes: np.ndarray, area: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each picture's codes the most frequent ones that cover enough of its area, ties by colour: pictures and colours."""
+    keys, at = np.unique(picture * 512 + codes, return_inverse=True)
+    n = np.bincount(at, sizes, len(keys)).astype(int)
+    order = np.lexsort([keys, -n, keys >> 9])
+    keys, n = keys[order], n[order]
+    place = np.arange(len(keys)) - np.searchsorted(keys >> 9, keys >> 9)
+    keys = keys[(place < COLOURS) & (n >= int(RECT_AREA * area))]
+    return keys >> 9, np.stack([keys >> 6 & 7, keys >> 3 & 7, keys & 7], axis=1) * 32 + 16
 
 
 def main_colours(pixels: np.ndarray, area: int) -> np.ndarray:
     """The ranked colours of a list of pixels of one picture."""
-    codes = colour_codes(*pixels.T.astype(np.int16))
-    return ranked_colours(np.bincount(codes, minlength=512)[None], area)[1]
+    codes = colour_codes(*pixels.T.astype(np.int64))
+    return ranked_colours(np.zeros_like(codes), codes, np.ones_like(codes), area)[1]
 
 
 def window(masks: np.ndarray, room: int = 6) -> tuple[slice, slice]:
@@ -324,72 +331,206 @@ def window(masks: np.ndarray, room: int = 6) -> tuple[slice, slice]:
     return out[0], out[1]
 
 
-def plain_rects(like: np.ndarray, picture: np.ndarray, text: np.ndarray, sums_of: list[np.ndarray], marks: np.ndarray) -> list[tuple[int, dict]]:
-    """The rectangles among the regions of a stack of masks, each with its picture's place; their runs' ends are added to ``marks``.
+def first_of_equal(lines: np.ndarray) -> np.ndarray:
+    """Whether each line of each picture (pictures, lines, bytes) differs from the line before it; the first one does."""
+    if lines.shape[2] % 8 == 0:
+        lines = lines.view(np.uint64)
+    out = np.ones(lines.shape[:2], bool)
+    out[:, 1:] = (lines[:, 1:] != lines[:, :-1]).any(axis=2)
+    return out
+
+
+def edges_of(starts: np.ndarray) -> np.ndarray:
+    """Places of each row's marks and the row's length, which is repeated to fill the table."""
+    k, n = starts.shape
+    picture, place = np.nonzero(starts)
+    counts = starts.sum(axis=1)
+    out = np.full((k, counts.max() + 1), n)
+    out[picture, np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)] = place
+    return out
+
+
+def cell_starts(rgb: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each picture that aren't like those before them: where its cells begin. A picture of many cells is taken by pixels."""
+    k, height, width = text.shape
+    flat = rgb.reshape(k, height, width * 3)
+    rows = first_of_equal(flat) | first_of_equal(text.view(np.uint8))
+    picture, at = np.nonzero(rows)
+    begins = np.searchsorted(picture, np.arange(k))
+    lines, marks = flat[picture, at], text[picture, at]
+    columns = np.ones((k, width), bool)
+    if width > 1:
+        other = np.logical_or.reduceat(lines[:, 3:] != lines[:, :-3], begins, axis=0).reshape(k, width - 1, 3)
+        columns[:, 1:] = other[..., 0] | other[..., 1] | other[..., 2] | np.logical_or.reduceat(marks[:, 1:] != marks[:, :-1], begins, axis=0)
+    many = (rows.sum(axis=1) > FEW) | (columns.sum(axis=1) > FEW)
+    rows[many] = columns[many] = True
+    return rows, columns
 
-    Text on a rectangle counts as part of it. ``sums_of`` are running sums of each channel over all pixels of the pictures.
+
+@dataclass
+class Grid:
+    """Pictures as cells without a change inside, all of as many rows and columns: those that a picture lacks are empty and come last.
+
+    What closing leaves open is a union of squares, which can be moved until they meet an edge of the mask: a closed mask has no
+    edges of its own, and its cells are those of the mask.
+    """
+
+    x: np.ndarray  # edges of columns, and of rows, a row a picture
+    y: np.ndarray
+    pixels: bool  # every cell is a pixel
+
+    @functools.cached_property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.y)[:, :, None] * np.diff(self.x)[:, None, :]
+
+    @functools.cached_property
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        return stretches(self.x, CLOSING), stretches(self.y, CLOSING)
+
+    def closed(self, masks: np.ndarray, picture: np.ndarray) -> np.ndarray:
+        """Closing by a square of pixels, of masks of some pictures."""
+        out = np.zeros(masks.shape, bool)
+        if self.pixels:
+            at = window(masks)
+            out[:, at[0], at[1]] = closed(masks[:, at[0], at[1]], CLOSING)
+            return out
+        of_x, of_y = (v[picture] for v in self.stretches)
+        inside = np.zeros((len(masks), masks.shape[1] + 2, masks.shape[2] + 2), np.float32)
+        inside[:, 1:-1, 1:-1] = masks
+        free = (of_y.swapaxes(1, 2) @ ((inside @ of_x) > 0).astype(np.float32)) == 0  # by stretches of rows and columns: squares fit into them
+        left = (of_y[:, 1:-1] @ free.astype(np.float32)) > 0
+        left = (left.astype(np.float32) @ of_x[:, 1:-1].swapaxes(1, 2)) > 0
+        return ~left & (self.sizes[picture] > 0)
+
+    def grown(self, masks: np.ndarray, picture: np.ndarray) -> tuple[Grid, np.ndarray]:
+        """Masks of some pictures, grown by one pixel on all sides, with their own cells."""
+        if self.pixels:
+            return Grid(self.x[picture], self.y[picture], True), dilate(masks, 3)
+        new, touched = [], []
+        for edges in (self.x[picture], self.y[picture]):
+            end = edges[:, -1:]
+            cuts = np.sort(np.clip(np.concatenate([edges - 1, edges + 1], axis=1), 0, end), axis=1)
+            cuts[:, 1:][cuts[:, 1:] == cuts[:, :-1]] = end[0, 0]  # equal ones go last
+            cuts = np.concatenate([cuts, end], axis=1)
+            cuts.sort(axis=1)
+            new.append(cuts)
+            a, b, low, high = edges[:, :-1, None], edges[:, 1:, None], cuts[:, None, :-1], cuts[:, None, 1:]
+            touched.append(((a < high + 1) & (b > low - 1) & (low < high)).astype(np.float32))
+        return Grid(new[0], new[1], False), (touched[1].swapaxes(1, 2) @ (masks @ touched[0])) > 0
+
+
+def stretches(edges: np.ndarray, size: int) -> np.ndarray:
+    """Which cells (pictures, cells, stretches; 1 or 0) are in each of the least stretches of cells that are ``size`` wide at least.
+
+    They begin or end with any cell. Around a picture are cells of half the size. What is in no stretch is in no column of the table.
+    """
+    half = size // 2
+    e = np.concatenate([edges[:, :1] - half, edges, edges[:, -1:] + half], axis=1)
+    low, high, n = e[:, :-1], e[:, 1:], e.shape[1] - 1
+    wide = high[:, None, :] - low[:, :, None] >= size  # from a cell to another one
+    one = np.arange(n)
+    to = np.where(wide.any(axis=2), wide.argmax(axis=2), -1)  # the first that is far enough
+    since = np.where(wide.any(axis=1), n - 1 - wide[:, ::-1].argmax(axis=1), n)  # the last that is
+    begin = np.concatenate([np.broadcast_to(one, to.shape), since], axis=1)
+    end = np.concatenate([to, np.broadcast_to(one, to.shape)], axis=1)
+    own = np.concatenate([to >= 0, (since < n) & (np.take_along_axis(to, np.minimum(since, n - 1), axis=1) != one)], axis=1)  # those that are there, once
+    order = np.argsort(~own, axis=1, kind="stable")[:, : own.sum(axis=1).max()]
+    begin, end, own = (np.take_along_axis(v, order, axis=1)[:, None, :] for v in (begin, end, own))
+    return ((one[:, None] >= begin) & (one[:, None] <= end) & own).astype(np.float32)
+
+
+def rects_of_masks(filled: np.ndarray, picture: np.ndarray, grid: Grid, text: np.ndarray, sums: np.ndarray, cover: np.ndarray) -> list[tuple[int, dict]]:
+    """The rectangles among the regions of a stack of closed masks, each with its picture's place; ``cover`` marks where their cells' runs begin and end.
+
+    Text on a rectangle counts as part of it: ``text`` are running sums of its pixels by rows and columns of cells. ``sums`` are those of each channel by columns.
     """
-    height, width = text.shape[1:]
-    area, at = height * width, window(like)
-    inner = like[:, at[0], at[1]]
-    found = runs_of(closed(inner))
-    x, y, w, h, of = found.x + at[1].start, found.y + at[0].start, found.w, found.h, picture[found.mask]
-    hull = w * h
-    good = (found.area >= int(RECT_AREA * area)) & (w >= RECT_SIDES[0]) & (h >= RECT_SIDES[1]) & (hull <= WHOLE_AREA * area)
-    for i in np.flatnonzero(good):
-        texts = np.count_nonzero(text[of[i], y[i] : y[i] + h[i], x[i] : x[i] + w[i]])
-        good[i] = (found.area[i] + texts) / hull[i] >= RECT_FILL
+    found = runs_of(filled)
+    height, width = grid.y[0, -1], grid.x[0, -1]
+    area, of = height * width, picture[found.mask]
+    x, y = grid.x[of, found.x], grid.y[of, found.y]
+    w, h = grid.x[of, found.x + found.w] - x, grid.y[of, found.y + found.h] - y
+    number, line, run_of = found.number, found.row % (filled.shape[1] + 1), of[found.number]
+    left, right, upper, lower = grid.x[run_of, found.start], grid.x[run_of, found.stop], grid.y[run_of, line], grid.y[run_of, line + 1]
+    total = lambda v: np.bincount(number, v, len(of)).astype(int)  # noqa: E731  whole numbers, exact
+    own, hull = total((right - left) * (lower - upper)), w * h
+    y1, x1 = found.y + found.h, found.x + found.w
+    texts = text[of, y1, x1] - text[of, found.y, x1] - text[of, y1, found.x] + text[of, found.y, found.x]
+    good = (own >= int(RECT_AREA * area)) & (w >= RECT_SIDES[0]) & (h >= RECT_SIDES[1]) & (hull <= WHOLE_AREA * area) & ((own + texts) / hull >= RECT_FILL)
     if not good.any():
         return []
-    own = good[found.number]
-    number = found.number[own]
-    start, stop = found.start[own] + at[1].start, found.stop[own] + at[1].start
-    line = found.row[own] % (inner.shape[1] + 1) + at[0].start
-    sums = lambda v: np.bincount(number, v, len(good)).astype(int)  # noqa: E731  whole numbers, exact
-    p = of[number]
-    base = (p * height + line) * width
-    means = np.stack([sums(c[base + stop] - c[base + start]) / np.maximum(found.area, 1) for c in sums_of], axis=1).astype(int)
-    high = line < y[number] + CORNER  # rows of the upper corners
-    corner = lambda left: sums(np.where(high, np.maximum(np.minimum(stop, left[number] + CORNER) - np.maximum(start, left[number]), 0), 0))
+    means = np.stack([total(c[run_of, line, found.stop] - c[run_of, line, found.start]) / own for c in sums], axis=1).astype(int)
+    high = np.maximum(np.minimum(lower, y[number] + CORNER) - upper, 0)  # rows of the upper corners
+    corner = lambda at: total(high * np.maximum(np.minimum(right, at[number] + CORNER) - np.maximum(left, at[number]), 0))
     open_corners = (corner(x) / CORNER**2 < CORNER_FILL) & (corner(x + w - CORNER) / CORNER**2 < CORNER_FILL)
-    np.add.at(marks, base + start, 1)
-    np.add.at(marks, base + stop, -1)
-    return [
-        (int(of[i]), {"kind": "rect", "x": int(x[i]), "y": int(y[i]), "w": int(w[i]), "h": int(h[i]), "area": int(found.area[i]), "color": bytes(means[i].tolist()).hex().upper(), "radius": ROUND_RADIUS if open_corners[i] else 0})
-        for i in np.flatnonzero(good)
-    ]
-
+    kept = good[number]
+    np.add.at(cover, (run_of[kept], line[kept], found.start[kept]), 1)
+    np.add.at(cover, (run_of[kept], line[kept], found.stop[kept]), -1)
+    at = np.flatnonzero(good)
+    rows = zip(*(v[at].tolist() for v in (of, x, y, w, h, own, open_corners)), means[at].tolist())
+    return [(of, {"kind": "rect", "x": x, "y": y, "w": w, "h": h, "area": area, "color": bytes(mean).hex().upper(), "radius": ROUND_RADIUS if rounded else 0}) for of, x, y, w, h, area, rounded, mean in rows]
 
-def find_rects_of(rgb: np.ndarray, bg: np.ndarray, text: np.ndarray) -> list[tuple[list[dict], list[dict]]]:
-    """Plain rectangles (area descending) and art regions (at most 48, largest first) of each picture of a stack.
 
-    All pictures and all their colours are looked at together, as the cost of small pictures is in the calls.
-    """
-    k, height, width = text.shape
-    area = height * width
-    planes = np.moveaxis(rgb, -1, 0).astype(np.int16, order="C")
+def find_rects_in_cells(grid: Grid, planes: np.ndarray, bg: np.ndarray, text: np.ndarray) -> list[tuple[list[dict], list[dict]]]:
+    """``find_rects_of`` of pictures as cells: a plane of cells (pictures, rows, columns) a channel."""
+    sizes, area, out = grid.sizes, int(grid.y[0, -1] * grid.x[0, -1]), [([], []) for _ in bg]
     off = sum(np.abs(planes[c] - bg[:, c, None, None].astype(np.int16)) for c in range(3))
-    first = (off >= NEAR_BACKGROUND) & ~text
-    codes = np.where(first, colour_codes(*planes), 512).reshape(k, area)
-    picture, colours = ranked_colours(np.stack([np.bincount(c, minlength=513)[:512] for c in codes]), area)
-    sums_of = [np.zeros(first.size + 1, np.int64) for _ in planes]
-    for total, c in zip(sums_of, planes):
-        np.cumsum(c.ravel().astype(np.int64), out=total[1:])
-    marks, out = np.zeros(first.size + 1, np.int64), [([], []) for _ in range(k)]
-    step = max(1, STACK // area)
+    first = (off >= NEAR_BACKGROUND) & ~text & (sizes > 0)
+    at = np.nonzero(first)
+    picture, colours = ranked_colours(at[0], colour_codes(*(p[at] for p in planes)).astype(np.int64), sizes[at], area)
+    ahead = lambda v, *axes: np.pad(v, [(0, 0), *((int(a in axes), 0) for a in (1, 2))])
+    texts = ahead((text * sizes).cumsum(axis=1).cumsum(axis=2), 1, 2)
+    sums = [ahead((p * sizes).cumsum(axis=2), 2) for p in planes]
+    cover = np.zeros(sums[0].shape, np.int32)
+    step = max(1, CELLS // first[0].size)
     for i in range(0, len(picture), step):
         some, colour = picture[i : i + step], colours[i : i + step].astype(np.int16)
         near = sum(np.abs(planes[c][some] - colour[:, c, None, None]) for c in range(3)) < NEAR_COLOUR
-        for at, rect in plain_rects(near & first[some], some, text, sums_of, marks):
-            out[at][0].append(rect)
-    rest = first & (marks.cumsum()[:-1].reshape(first.shape) == 0)  # the running sum is how many rectangles' runs hold a pixel
-    found = runs_of(dilate(closed(rest), 3))
-    kept = np.flatnonzero((found.area >= ART_AREA) & (np.maximum(found.w, found.h) >= ART_SIDE))
-    for i in kept[np.lexsort([-c[kept] for c in (found.h, found.w, found.y, found.x, found.area)])]:
-        art = out[found.mask[i]][1]
+        for k, rect in rects_of_masks(grid.closed(near & first[some], some), some, grid, texts, sums, cover):
+            out[k][0].append(rect)
+    rest = first & (cover.cumsum(axis=2)[:, :, :-1] == 0)  # the running sum is how many rectangles' runs hold a cell
+    some = np.flatnonzero(rest.any(axis=(1, 2)))
+    out = [(sorted(rects, key=lambda r: -r["area"]), art) for rects, art in out]
+    if not len(some):
+        return out
+    cells, grown = grid.grown(grid.closed(rest[some], some), some)
+    found = runs_of(grown)
+    x, y = cells.x[found.mask, found.x], cells.y[found.mask, found.y]
+    w, h = cells.x[found.mask, found.x + found.w] - x, cells.y[found.mask, found.y + found.h] - y
+    line, run_of = found.row % (grown.shape[1] + 1), found.mask[found.number]
+    own = np.bincount(found.number, (cells.x[run_of, found.stop] - cells.x[run_of, found.start]) * (cells.y[run_of, line + 1] - cells.y[run_of, line]), len(x)).astype(int)
+    kept = np.flatnonzero((own >= ART_AREA) & (np.maximum(w, h) >= ART_SIDE))
+    kept = kept[np.lexsort([-c[kept] for c in (h, w, y, x, own)])]
+    for k, *figures in zip(*(v[kept].tolist() for v in (some[found.mask], x, y, w, h, own))):
+        art = out[k][1]
         if len(art) < ART_MOST:
-            art.append({"kind": "art", **{c: int(getattr(found, c)[i]) for c in ("x", "y", "w", "h", "area")}, "color": None, "radius": None})
-    return [(sorted(rects, key=lambda r: -r["area"]), art) for rects, art in out]
+            art.append({"kind": "art", **dict(zip(("x", "y", "w", "h", "area"), figures)), "color": None, "radius": None})
+    return out
+
+
+def find_rects_of(rgb: np.ndarray, bg: np.ndarray, text: np.ndarray) -> list[tuple[list[dict], list[dict]]]:
+    """Plain rectangles (area descending) and art regions (at most 48, largest first) of each picture of a stack.
+
+    Slides are flat: neighbouring rows and columns that are alike become one cell, and all pictures of about as many cells and all
+    their colours are looked at together, as the cost of small pictures is in the calls.
+    """
+    rows, columns = cell_starts(rgb, text)
+    cells = rows.sum(axis=1) * columns.sum(axis=1)
+    kind = np.where(cells == text[0].size, -1, np.frexp(cells)[1] // 2)
+    out = [([], [])] * len(text)
+    for one in np.unique(kind):
+        some = np.flatnonzero(kind == one)
+        if one < 0:  # by pixels, in small stacks
+            parts = np.split(some, range(max(1, (CELLS << 1) // text[0].size), len(some), max(1, (CELLS << 1) // text[0].size)))
+        else:
+            parts = [some]
+        for part in parts:
+            grid = Grid(edges_of(columns[part]), edges_of(rows[part]), bool(one < 0))
+            y, x = np.minimum(grid.y[:, :-1, None], text.shape[1] - 1), np.minimum(grid.x[:, None, :-1], text.shape[2] - 1)
+            at = part[:, None, None], y, x
+            found = find_rects_in_cells(grid, np.moveaxis(rgb[at], -1, 0).astype(np.int16, order="C"), bg[part], text[at])
+            for k, f in zip(part, found):
+                out[k] = f
+    return out
 
 
 def find_rects(rgb: np.ndarray, bg: np.ndarray, text: np.ndarray) -> tuple[list[dict], list[dict]]:

@@ -14,13 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boxes(spark: SparkSession, sf_dir: str, each: int = 2 << 20) -> DataFrame:
     """One order is a slide, its lines are elements.
 
-    Lines are dealt by slide once, to as many tasks as the table's bytes ask for: what follows by slide stays
+    Lines are dealt by slide once, to as many tasks as the table's bytes ask for, at ``each`` a task: what follows by slide stays
     where it is, and a task's sorts don't grow with the table.
     """
-    tasks = tasks_for(spark, f"{sf_dir}/lineitem.parquet")
+    tasks = tasks_for(spark, f"{sf_dir}/lineitem.parquet", each)
     li = table(spark, sf_dir, "lineitem").repartition(tasks, "l_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     return li.select(

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from vellum.convert import Job, Options, convert
 from vellum.functions.text import pad_left
@@ -184,25 +188,42 @@ def embedded_text(spark, sf_dir):
     return px.embedded_text(texts, b.where("strategy = 'image'"), "slide_idx", "item_idx", F.lit(1280), F.lit(720))
 
 
-def drawn(pdf, shrink: int = 1):
-    """Pictures of slides from their boxes, one batch at a time: a row a slide, as the operators on pictures take them."""
-    for slide, parts in zip(pdf["slide_idx"], pdf["parts"]):
-        bg = [240, 240, 240] if slide % 2 else [225, 232, 240]
-        rgb = np.full((720 // shrink, 1280 // shrink, 3), bg, np.uint8)
-        text = np.zeros(rgb.shape[:2], np.uint8)
+def drawn(slides, shrink: int = 1):
+    """Pictures of slides (slide, boxes: x, y, w, h, size), one at a time: a row a slide, as the operators on pictures take them."""
+    height, width = 720 // shrink, 1280 // shrink
+    grounds = [[225, 232, 240], [240, 240, 240]]
+    blank = [np.full((height, width, 3), bg, np.uint8).reshape(height, -1) for bg in grounds]
+    for slide, parts in slides:
+        lines = blank[slide % 2].copy()
+        text = np.zeros((height, width), np.uint8)
         texts = []
-        for p in parts:
-            area = slice(p["y"] // shrink, (p["y"] + p["h"]) // shrink), slice(p["x"] // shrink, (p["x"] + p["w"]) // shrink)
-            if p["size"] % 3:
-                rgb[area] = (p["size"] * 7 % 200, p["x"] % 200, p["y"] % 200)
+
+        def paint(y0, y1, x0, x1, colour):
+            lines[y0:y1, 3 * x0 : 3 * x1] = np.frombuffer(bytes(colour) * (min(x1, width) - x0), np.uint8)
+
+        for x, y, w, h, size in parts:
+            y0, y1, x0, x1 = y // shrink, (y + h) // shrink, x // shrink, (x + w) // shrink
+            if size % 3:
+                paint(y0, y1, x0, x1, (size * 7 % 200, x % 200, y % 200))
             else:  # a line of text over what is there: its upper half in dark letters
-                line = slice(area[0].start, (area[0].start + area[0].stop + 1) // 2), area[1]
-                rgb[line] = (20, 20, 20)
-                text[line] = 1
-                x, y, w, h = area[1].start, area[0].start, area[1].stop - area[1].start, line[0].stop - line[0].start
-                role = "title" if h >= 0.045 * rgb.shape[0] else "baked" if p["size"] % 2 else "wiped"
-                texts.append({"x": x, "y": y, "w": w, "h": h, "role": role})
-        yield {"slide_idx": slide, "width": rgb.shape[1], "height": rgb.shape[0], "pixels": rgb.tobytes(), "bg": bg, "text": text.tobytes(), "texts": texts}
+                half = (y0 + y1 + 1) // 2
+                paint(y0, half, x0, x1, (20, 20, 20))
+                text[y0:half, x0:x1] = 1
+                role = "title" if half - y0 >= 0.045 * height else "baked" if size % 2 else "wiped"
+                texts.append({"x": x0, "y": y0, "w": x1 - x0, "h": half - y0, "role": role})
+        yield {"slide_idx": slide, "width": width, "height": height, "pixels": lines, "bg": grounds[slide % 2], "text": text, "texts": texts}
+
+
+def boxes_of(batch):
+    """Slides of an Arrow batch of ``slide_parts`` with their boxes as tuples of plain numbers."""
+    parts = batch.column("parts")
+    fields = parts.flatten().flatten()  # one column a field, of all slides
+    names = [f.name for f in parts.type.value_type]
+    rows = list(zip(*(fields[names.index(c)].to_pylist() for c in ("x", "y", "w", "h", "size"))))
+    at = 0
+    for slide, n in zip(batch.column("slide_idx").to_pylist(), parts.value_lengths().to_pylist()):
+        yield slide, rows[at : at + n]
+        at += n
 
 
 def dealt(spark, df):
@@ -214,22 +235,26 @@ def dealt(spark, df):
 
 
 def slide_parts(spark, sf_dir):
-    """The boxes of each slide."""
-    parts = boxes(spark, sf_dir).groupBy("slide_idx").agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
-    return dealt(spark, parts)
+    """The boxes of each slide, dealt by slide to tasks of a few seconds. The boxes' own exchange does it, in a number of tasks that isn't cut down."""
+    parts = boxes(spark, sf_dir, 1 << 20).groupBy("slide_idx")
+    return parts.agg(F.array_sort(F.collect_list(F.struct("elem_idx", "x", "y", "w", "h", "size"))).alias("parts"))
 
 
-@query()
-def decompose_pictures(spark, sf_dir):
-    """Rectangles and art regions of pictures of 160 x 90 drawn from boxes; tests hold it against a plain flood fill."""
+def drawn_rows(spark, sf_dir, rows_of, schema):
+    """Rows of each slide's picture of 160 x 90. Pictures are drawn and looked at in one task, some at a time: they aren't sent."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
     def run(batches):
-        import pandas as pd
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist(list(rows_of(drawn(boxes_of(batch), 8))), out)
 
-        for pdf in batches:
-            # drawn and taken apart some at a time in one task: pictures aren't sent
-            yield pd.DataFrame(px.part_rows(drawn(pdf, 8), "slide_idx"), columns=["slide_idx", *[c.split()[0] for c in px.PARTS.split(", ")]])
+    return slide_parts(spark, sf_dir).mapInArrow(run, schema)
 
-    return slide_parts(spark, sf_dir).mapInPandas(run, f"slide_idx long, {px.PARTS}")
+
+@query()
+def decompose_pictures(spark, sf_dir):
+    """Rectangles and art regions of pictures of 160 x 90 drawn from boxes; tests hold it against a plain flood fill."""
+    return drawn_rows(spark, sf_dir, lambda pictures: px.part_rows(pictures, "slide_idx"), f"slide_idx long, {px.PARTS}")
 
 
 @query(
@@ -251,16 +276,10 @@ def picture_regions(spark, sf_dir):
 @query()
 def picture_crops(spark, sf_dir):
     """Crops of artwork and titles, with other text wiped out, of pictures of 160 x 90: boxes and checksums; tests fill pixel by pixel."""
-    def run(batches):
-        import zlib
-
-        import pandas as pd
-
-        for pdf in batches:
-            rows = [c | {"crc": zlib.crc32(c.pop("pixels"))} for c in inpaint.crop_rows(drawn(pdf, 8), "slide_idx")]
-            yield pd.DataFrame(rows, columns=["slide_idx", "crop_idx", "kind", "x", "y", "w", "h", "crc"])
+    def rows(pictures):
+        return (c | {"crc": zlib.crc32(c.pop("pixels"))} for c in inpaint.crop_rows(pictures, "slide_idx"))
 
-    return slide_parts(spark, sf_dir).mapInPandas(run, "slide_idx long, crop_idx int, kind string, x int, y int, w int, h int, crc long")
+    return drawn_rows(spark, sf_dir, rows, "slide_idx long, crop_idx int, kind string, x int, y int, w int, h int, crc long")
 
 
 @query()
