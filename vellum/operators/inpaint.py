@@ -32,17 +32,20 @@ def inpaint(rgb: np.ndarray, mask: np.ndarray, radius: int = RADIUS) -> np.ndarr
     A ring only looks at rings before it, so the order in it doesn't matter. A mask over the whole picture changes nothing.
     """
     out = rgb.copy()
-    at = tuple(slice(max(0, int(v.min()) - radius), int(v.max()) + 1 + radius) for v in np.nonzero(mask)) if mask.any() else (slice(0, 0), slice(0, 0))
+    if not mask.any():
+        return out
+    at = tuple(slice(max(0, int(v.min()) - radius), int(v.max()) + 1 + radius) for v in np.nonzero(mask))
     mask = mask[at]  # no pixel further off than the radius plays a part
     h, w = mask.shape
-    pad = radius
-    values = np.pad(rgb[at].astype(np.float64), ((pad, pad), (pad, pad), (0, 0))).reshape(-1, 3)
-    ring = np.pad(np.where(mask, -1, 0), pad, constant_values=-1).ravel()  # -1: not filled, or outside
-    wide = w + 2 * pad
+    wide, inner = w + 2 * radius, (slice(radius, radius + h), slice(radius, radius + w))
+    values, ring, open_ = np.zeros((h + 2 * radius, wide, 3)), np.full((h + 2 * radius, wide), -1), np.zeros((h + 2 * radius, wide), bool)
+    values[inner], open_[inner] = rgb[at], mask
+    ring[inner] = np.where(mask, -1, 0)  # -1: not filled, or outside
+    values, ring = values.reshape(-1, 3), ring.ravel()
     offsets = np.array([dy * wide + dx for dy, dx in disc(radius)])[:, None]
     shares = np.array([1.0 / (dy * dy + dx * dx) for dy, dx in disc(radius)])[:, None]
     sides = np.array([-wide, wide, -1, 1])[:, None]
-    left = np.flatnonzero(np.pad(mask, pad))
+    left = np.flatnonzero(open_)
     for number in range(1, h * w + 1):
         near = (ring[left + sides] >= 0).any(axis=0)
         if not near.any():
@@ -60,7 +63,7 @@ def inpaint(rgb: np.ndarray, mask: np.ndarray, radius: int = RADIUS) -> np.ndarr
             values[here] = np.floor(total / weight[:, None] + 0.5)
         ring[front] = number
         left = left[~near]
-    out[at] = values.reshape(h + 2 * pad, wide, 3)[pad : pad + h, pad : pad + w].astype(np.uint8)
+    out[at] = values.reshape(-1, wide, 3)[inner]
     return out
 
 
@@ -83,12 +86,15 @@ def crops(rgb: np.ndarray, text: np.ndarray, art: list[dict], texts: list[dict])
     Wiped is the text mask less the boxes of texts that stay, baked or as titles. Titles under two pixels give none.
     """
     height, width = text.shape
-    wipe = text.copy()
-    for t in texts:
-        if t["role"] != "wiped":
-            x0, y0, x1, y1 = around(t, width, height)
-            wipe[y0:y1, x0:x1] = False
-    clean = inpaint(rgb, wipe) if wipe.any() else rgb
+    clean = rgb
+    if text.any():
+        wipe = text.copy()
+        for t in texts:
+            if t["role"] != "wiped":
+                x0, y0, x1, y1 = around(t, width, height)
+                wipe[y0:y1, x0:x1] = False
+        if wipe.any():
+            clean = inpaint(rgb, wipe)
     boxes = [("art", around(a, width, height)) for a in art] + [("title", around(t, width, height)) for t in texts if t["role"] == "title"]
     lines = clean.reshape(height, -1)  # whole stretches of bytes are copied
     cut = [{"kind": k, "x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0, "pixels": np.ascontiguousarray(lines[y0:y1, 3 * x0 : 3 * x1]).tobytes()} for k, (x0, y0, x1, y1) in boxes if k == "art" or min(x1 - x0, y1 - y0) >= 2]

@@ -357,11 +357,14 @@ def cell_starts(rgb: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     rows = first_of_equal(flat) | first_of_equal(text.view(np.uint8))
     picture, at = np.nonzero(rows)
     begins = np.searchsorted(picture, np.arange(k))
-    lines, marks = flat[picture, at], text[picture, at]
-    columns = np.ones((k, width), bool)
-    if width > 1:
-        other = np.logical_or.reduceat(lines[:, 3:] != lines[:, :-3], begins, axis=0).reshape(k, width - 1, 3)
-        columns[:, 1:] = other[..., 0] | other[..., 1] | other[..., 2] | np.logical_or.reduceat(marks[:, 1:] != marks[:, :-1], begins, axis=0)
+    columns = np.arange(width) == np.zeros((k, 1), int)
+    for values, each in ((flat[picture, at], 3), (text[picture, at], 1)):
+        n = width * each
+        other = np.zeros((len(at), -(-n // 8) * 8), bool)  # put together eight at a time
+        np.not_equal(values[:, each:], values[:, :-each], out=other[:, each:n])
+        found = np.bitwise_or.reduceat(other.view(np.uint64), begins, axis=0).view(bool)
+        for i in range(each):
+            columns |= found[:, i:n:each]
     many = (rows.sum(axis=1) > FEW) | (columns.sum(axis=1) > FEW)
     rows[many] = columns[many] = True
     return rows, columns
@@ -477,16 +480,18 @@ def find_rects_in_cells(grid: Grid, planes: np.ndarray, bg: np.ndarray, text: np
     first = (off >= NEAR_BACKGROUND) & ~text & (sizes > 0)
     at = np.nonzero(first)
     picture, colours = ranked_colours(at[0], colour_codes(*(p[at] for p in planes)).astype(np.int64), sizes[at], area)
-    ahead = lambda v, *axes: np.pad(v, [(0, 0), *((int(a in axes), 0) for a in (1, 2))])
-    texts = ahead((text * sizes).cumsum(axis=1).cumsum(axis=2), 1, 2)
-    sums = [ahead((p * sizes).cumsum(axis=2), 2) for p in planes]
+    k, height, width = text.shape
+    texts, sums = np.zeros((k, height + 1, width + 1), np.int64), [np.zeros((k, height, width + 1), np.int64) for _ in planes]
+    texts[:, 1:, 1:] = (text * sizes).cumsum(axis=1).cumsum(axis=2)
+    for total, p in zip(sums, planes):
+        np.cumsum(p * sizes, axis=2, out=total[:, :, 1:])
     cover = np.zeros(sums[0].shape, np.int32)
     step = max(1, CELLS // first[0].size)
     for i in range(0, len(picture), step):
         some, colour = picture[i : i + step], colours[i : i + step].astype(np.int16)
         near = sum(np.abs(planes[c][some] - colour[:, c, None, None]) for c in range(3)) < NEAR_COLOUR
-        for k, rect in rects_of_masks(grid.closed(near & first[some], some), some, grid, texts, sums, cover):
-            out[k][0].append(rect)
+        for at, rect in rects_of_masks(grid.closed(near & first[some], some), some, grid, texts, sums, cover):
+            out[at][0].append(rect)
     rest = first & (cover.cumsum(axis=2)[:, :, :-1] == 0)  # the running sum is how many rectangles' runs hold a cell
     some = np.flatnonzero(rest.any(axis=(1, 2)))
     out = [(sorted(rects, key=lambda r: -r["area"]), art) for rects, art in out]
@@ -500,8 +505,8 @@ def find_rects_in_cells(grid: Grid, planes: np.ndarray, bg: np.ndarray, text: np
     own = np.bincount(found.number, (cells.x[run_of, found.stop] - cells.x[run_of, found.start]) * (cells.y[run_of, line + 1] - cells.y[run_of, line]), len(x)).astype(int)
     kept = np.flatnonzero((own >= ART_AREA) & (np.maximum(w, h) >= ART_SIDE))
     kept = kept[np.lexsort([-c[kept] for c in (h, w, y, x, own)])]
-    for k, *figures in zip(*(v[kept].tolist() for v in (some[found.mask], x, y, w, h, own))):
-        art = out[k][1]
+    for at, *figures in zip(*(v[kept].tolist() for v in (some[found.mask], x, y, w, h, own))):
+        art = out[at][1]
         if len(art) < ART_MOST:
             art.append({"kind": "art", **dict(zip(("x", "y", "w", "h", "area"), figures)), "color": None, "radius": None})
     return out
