@@ -68,3 +68,24 @@ def test_boxes_are_dealt_once_by_bytes(spark, sf):
     assert tasks_for(spark, path, 1 << 10) > spark.sparkContext.defaultParallelism == tasks_for(spark, path, 1 << 40)
     plan = QUERIES["page_text"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
+
+
+def test_pairs_of_small_slides_need_no_join(spark):
+    """Slides of one cell are paired in one pass, crowded ones by cells: together all pairs that cover each other, once."""
+    import random
+
+    r = random.Random(5)
+    sizes = {1: 128, 2: 129, 3: 1, 4: 2, 5: 40}
+    rows = [(s, e, "native-text", r.randrange(400), r.randrange(300), r.randrange(10, 90), r.randrange(10, 60), 12) for s, n in sizes.items() for e in range(n)]
+    df = spark.createDataFrame(rows, "slide_idx long, elem_idx int, strategy string, x int, y int, w int, h int, size int")
+
+    def covered(a, b):
+        ov = max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3])) * max(0, min(a[4] + a[6], b[4] + b[6]) - max(a[4], b[4]))
+        return ov > 400 and ov * 2 > min(a[5] * a[6], b[5] * b[6])
+
+    got = validation.text_collisions(df)
+    want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and covered(a, b))
+    assert sorted((g.slide_idx, g.a, g.b) for g in got.collect()) == want and {w[0] for w in want} >= {1, 2, 5}
+    few = validation.text_collisions(df.where("slide_idx <> 2"))
+    few.collect()
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(filter(") == 1

@@ -48,3 +48,31 @@ def test_a_job(spark):
     assert fixed[4].issues == plain[4].issues and not fixed[7].auto_fixed
     assert report(Options(auto_fix=True, diff_threshold=0.1))[5].issues == ["visual drift 0.5% (>0.1%) @[0,0,1,1]"]
     assert convert(job, Options()).groupBy().agg(F.count("*"), F.count_distinct("slide_idx")).first() == (7, 7)
+
+
+MODES = {"plain": Options(), "fast": Options(fast=True, auto_fix=True), "overlay": Options(overlay_only=True), "fix": Options(auto_fix=True), "near": Options(auto_fix=True, overlay_only=True, diff_threshold=0.1)}
+
+
+def test_several_options_at_once(spark):
+    """Each set of options gives the reports that it gives alone."""
+    from vellum.convert import convert_each
+
+    job = small(spark)
+    each = convert_each(job, MODES)
+    names = [c for c in each.columns if c != "mode"]
+    got = sorted((r.mode, *(str(r[c]) for c in names)) for r in each.collect())
+    assert got == sorted((m, *(str(r[c]) for c in names)) for m, o in MODES.items() for r in convert(job, o).collect()) and len(got) == 35
+    assert {(r.mode, r.slide_idx, r.text_count) for r in each.where("auto_fixed").collect()} == {("fix", 5, 1), ("near", 5, 1)}
+    assert {r.mode: r.kind for r in each.where("slide_idx = 3").collect()} == {"plain": "recon", "fast": "recon", "overlay": "image", "fix": "recon", "near": "image"}
+
+
+def test_options_share_what_they_read(spark, sf):
+    """A job's tables are read for all its options together: one more set of options reads no more."""
+    from vellum.convert import convert_each
+    from vellum.plans.queries import QUERIES
+    from vellum.plans.report_queries import job_tables
+
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    job = job_tables(spark, sf)
+    assert 0 < reads(QUERIES["convert_job"](spark, sf)) < 40
+    assert reads(convert_each(job, {"a": Options(auto_fix=True)})) == reads(convert_each(job, {"a": Options(auto_fix=True), "b": Options(auto_fix=True, diff_threshold=1.0), "c": Options(fast=True)}))

@@ -64,44 +64,71 @@ def emitted_pictures(job: Job, options: Options) -> DataFrame:
     return whole.unionByName(overlay).unionByName(shapes).unionByName(layer).unionByName(blank)
 
 
-def first_reports(job: Job, options: Options) -> DataFrame:
-    """A row a slide before any comparison: kind, coverage_pct, issues, needs_review, image_slide, failed."""
+def first_reports(job: Job, overlays: set[bool]) -> DataFrame:
+    """A row a slide before any comparison: kind, coverage_pct, issues, needs_review, image_slide, failed.
+
+    Picture slides have a row for each of ``overlays``, whether pictures stay whole: overlay_only, null in all other rows.
+    """
     none = F.array().cast(EMPTY)
-    names = ["slide_idx", "kind", "coverage_pct", "issues", "needs_review", "image_slide", "failed"]
-    flags = lambda image, failed: {"image_slide": F.lit(image), "failed": F.lit(failed)}
-    html = validation.issue_list(validation.slide_checks(job.elements)).withColumns({"kind": F.lit("html")} | flags(False, False))
-    pictures = validation.image_report(emitted_pictures(job, options)).withColumns({"kind": validation.slide_class(F.lit(True), F.col("invisible")), "issues": none} | flags(True, False))
-    failed = validation.failure_rows(job.failures, F.col("message")).withColumns({"kind": F.lit("html"), "image_slide": F.lit(False)})
+    names = ["slide_idx", "kind", "coverage_pct", "issues", "needs_review", "image_slide", "failed", "overlay_only"]
+    flags = lambda image, failed, overlay: {"image_slide": F.lit(image), "failed": F.lit(failed), "overlay_only": F.lit(overlay).cast("boolean")}
+    html = validation.issue_list(validation.slide_checks(job.elements)).withColumns({"kind": F.lit("html")} | flags(False, False, None))
+    rest = html.select(*names)
+    for overlay in sorted(overlays):
+        report = validation.image_report(emitted_pictures(job, Options(overlay_only=overlay)))
+        pictures = report.withColumns({"kind": validation.slide_class(F.lit(True), F.col("invisible")), "issues": none} | flags(True, False, overlay))
+        rest = rest.unionByName(pictures.select(*names))
+    failed = validation.failure_rows(job.failures, F.col("message")).withColumn("kind", F.lit("html")).withColumns(flags(False, True, None))
     gone = job.failures.select(F.col("slide_idx").alias("_s")).distinct()
-    rest = html.select(*names).unionByName(pictures.select(*names)).join(gone, F.col("slide_idx") == F.col("_s"), "left_anti")
-    return rest.unionByName(failed.select(*names))
+    return rest.join(gone, F.col("slide_idx") == F.col("_s"), "left_anti").unionByName(failed.select(*names))
 
 
-def done_again(job: Job, picked: DataFrame, options: Options) -> DataFrame:
-    """Reports of picked slides as whole pictures with their texts unseen over them, after their own comparison."""
-    chosen = picked.select(F.col("slide_idx").alias("_s"))
-    mine = lambda df: df.join(chosen, F.col("slide_idx") == F.col("_s"), "left_semi")
+def again_reports(job: Job) -> DataFrame:
+    """What slides done again as whole pictures with their texts unseen over them would give: text_count, and their own comparison."""
     sized = {"conf": F.lit(None).cast("int"), "bg": F.lit(None).cast("string"), "serif": F.lit(False), "mono": F.lit(False), "width": F.lit(1280), "height": F.lit(720)}
-    items = mapping.fix_items(mine(job.texts), ["slide_idx", "elem_idx"]).withColumns(sized)
-    layer = mapping.overlay_layer(items, "invisible").select("slide_idx", "strategy")
-    whole = picked.select("slide_idx", F.lit("image").alias("strategy"))
-    return validation.second_check(whole.unionByName(layer), mine(job.drift_again), override=options.diff_threshold)
+    layer = mapping.overlay_layer(mapping.fix_items(job.texts, ["slide_idx", "elem_idx"]).withColumns(sized), "invisible").select("slide_idx", "strategy")
+    counts = validation.image_report(layer).select(F.col("slide_idx").alias("_s"), "text_count")
+    return job.drift_again.join(counts, F.col("slide_idx") == F.col("_s"), "left").drop("_s").withColumn("text_count", F.coalesce("text_count", F.lit(0)))
+
+
+def convert_each(job: Job, modes: dict[str, Options]) -> DataFrame:
+    """The reports of ``convert`` for each of some sets of options, with their names as mode.
+
+    A slide's tables are read and joined once: options only pick among its reports and comparisons, in columns.
+    """
+    fixing = any(o.auto_fix and not o.fast for o in modes.values())
+    of = lambda df, name: df.select(F.col("slide_idx").alias(f"_{name}"), *[F.col(c).alias(f"_{name}_{c}") for c in df.columns if c != "slide_idx"])
+    reports = first_reports(job, {o.overlay_only for o in modes.values()})
+    reports = reports.join(of(job.drift.select("slide_idx", "diff_pct", "worst_region"), "drift"), F.col("slide_idx") == F.col("_drift"), "left")
+    if fixing:
+        reports = reports.join(of(again_reports(job).select("slide_idx", "diff_pct", "worst_region", "text_count"), "again"), F.col("slide_idx") == F.col("_again"), "left")
+    value = lambda o: F.struct(F.lit(o.fast).alias("fast"), F.lit(o.overlay_only).alias("overlay_only"), F.lit(o.auto_fix and not o.fast).alias("auto_fix"), F.lit(o.diff_threshold).cast("double").alias("diff"))
+    options = F.array(*[F.struct(F.lit(m).alias("mode"), value(o).alias("o")) for m, o in modes.items()])
+    mine = F.filter(options, lambda o: F.coalesce(F.col("overlay_only") == o["o"]["overlay_only"], F.lit(True)))
+    each = reports.withColumn("_m", F.explode(mine)).select("*", "_m.mode", "_m.o").drop("_m", "overlay_only")
+
+    met = F.col("_drift").isNotNull() & ~F.col("failed") & ~F.col("o.fast")
+    each = each.withColumns({"_met": met, "diff_pct": F.when(met, F.col("_drift_diff_pct")), "tolerance": F.when(met, F.coalesce("o.diff", validation.tolerance(F.col("kind"))))})
+    each = each.withColumn("flagged", F.when(F.col("_met"), validation.drifted(F.col("diff_pct"), F.col("tolerance"))))
+    issues = validation.reconciled(F.col("issues"), F.col("_met"), F.col("flagged"), validation.drift_issue(F.col("diff_pct"), F.col("tolerance"), F.col("_drift_worst_region")))
+    each = each.withColumn("issues", issues).withColumn("needs_review", F.size("issues") > 0)
+    names = ["mode", "slide_idx", "kind", "coverage_pct", "issues", "needs_review", "failed", "auto_fixed", "diff_pct", "tolerance", "flagged", "text_count"]
+    if not fixing:
+        return each.withColumns({"auto_fixed": F.lit(False), "text_count": F.lit(None).cast("long")}).select(*names)
+    picked = F.col("o.auto_fix") & validation.needs_fix(F.col("flagged"), F.col("needs_review"), F.col("image_slide"), F.col("failed")) & F.col("_again").isNotNull()
+    each = each.withColumn("auto_fixed", picked)
+    tolerance = F.coalesce("o.diff", validation.tolerance(F.lit("image")))
+    again = each.withColumn("_again_tolerance", tolerance).withColumn("_again_flagged", validation.drifted(F.col("_again_diff_pct"), F.col("_again_tolerance")))
+    issues = F.when(F.col("_again_flagged"), F.array(validation.drift_issue(F.col("_again_diff_pct"), F.col("_again_tolerance"), F.col("_again_worst_region")))).otherwise(F.array().cast(EMPTY))
+    new = {"kind": F.lit("image"), "coverage_pct": F.lit(100), "issues": issues, "needs_review": F.col("_again_flagged"), "diff_pct": F.col("_again_diff_pct"), "tolerance": F.col("_again_tolerance"), "flagged": F.col("_again_flagged")}
+    fixed = {c: F.when(F.col("auto_fixed"), v).otherwise(F.col(c)) for c, v in new.items()}
+    return again.withColumns(fixed | {"text_count": F.when(F.col("auto_fixed"), F.col("_again_text_count"))}).select(*names)
 
 
 def convert(job: Job, options: Options = Options()) -> DataFrame:
-    """The reports of a job, a row a slide: kind, coverage_pct, issues, needs_review, failed, auto_fixed, diff_pct, tolerance, flagged.
+    """The reports of a job, a row a slide: kind, coverage_pct, issues, needs_review, failed, auto_fixed, diff_pct, tolerance,
+    flagged, and text_count of slides done again: how many texts lie over them.
 
     Slides that failed are in no comparison. Without one, figures of drift are null.
     """
-    reports = first_reports(job, options)
-    if options.fast:
-        nothing = {"diff_pct": F.lit(None).cast("double"), "tolerance": F.lit(None).cast("double"), "flagged": F.lit(None).cast("boolean"), "auto_fixed": F.lit(False)}
-        return reports.withColumns(nothing).drop("image_slide")
-    kinds = reports.where("not failed").select(F.col("slide_idx").alias("_s"), "kind")
-    compared = validation.flag_drift(job.drift.join(kinds, F.col("slide_idx") == F.col("_s")).drop("_s"), override=options.diff_threshold)
-    checked = validation.reconcile(reports, compared.drop("kind"))
-    if not options.auto_fix:
-        return checked.withColumn("auto_fixed", F.lit(False)).drop("image_slide")
-    chosen = checked.withColumn("_picked", validation.needs_fix(F.col("flagged"), F.col("needs_review"), F.col("image_slide"), F.col("failed")))
-    again = done_again(job, chosen.where("_picked").select("slide_idx"), options).drop("text_count").withColumn("kind", F.lit("image"))
-    return validation.retry_once(chosen, again, F.col("_picked")).drop("_picked", "image_slide")
+    return convert_each(job, {"": options}).drop("mode")

@@ -92,11 +92,19 @@ def touching(one: DataFrame, two: DataFrame, slide: str) -> DataFrame:
 
 
 def touching_pairs(boxes: DataFrame, slide: str, elem: str) -> DataFrame:
-    """Pairs of boxes of one slide whose cells meet, once, that of smaller ``elem`` as a_...; all that touch, and some more."""
-    met = _meeting(boxes, boxes, slide, False)
+    """Pairs of boxes of one slide whose cells meet, once, that of smaller ``elem`` as a_...; all that touch, and some more.
+
+    Slides of one cell, of at most CROWD boxes, are paired by themselves, in one pass; only crowded ones are joined.
+    """
+    named = lambda p: [F.col(f"_{p}.{c}").alias(f"{p}_{c}") for c in boxes.columns]
+    few = boxes.groupBy(slide).agg(F.collect_list(F.when(~F.col("_crowded"), F.struct(*boxes.columns))).alias("_l"))
+    one = few.where(F.size("_l") > 1).select("_l", F.explode("_l").alias("_a"))
+    pairs = one.select("_a", F.explode(F.filter("_l", lambda b: b[elem] > F.col("_a")[elem])).alias("_b")).select(*named("a"), *named("b"))
+    crowded = boxes.where("_crowded").repartition(slide)  # read once by both sides
+    met = _meeting(crowded, crowded, slide, False)
     finer = grid_of("a_") < grid_of("b_")
     same = (grid_of("a_") == grid_of("b_")) & (F.col(f"a_{elem}") < F.col(f"b_{elem}"))
     kept = met.where(finer | same)
     turn = F.col(f"a_{elem}") > F.col(f"b_{elem}")
     first = [F.when(turn, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in boxes.columns]
-    return kept.select(*first, *[F.when(turn, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in boxes.columns])
+    return pairs.unionByName(kept.select(*first, *[F.when(turn, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in boxes.columns]))

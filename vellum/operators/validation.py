@@ -109,7 +109,12 @@ def tolerance(kind: Column, override: float | None = None) -> Column:
 def flag_drift(diffs: DataFrame, kind: str = "kind", override: float | None = None) -> DataFrame:
     """Add tolerance and flagged; an unknown difference is flagged."""
     out = diffs.withColumn("tolerance", tolerance(F.col(kind), override))
-    return out.withColumn("flagged", F.col("diff_pct").isNull() | (F.col("diff_pct") > F.col("tolerance")))
+    return out.withColumn("flagged", drifted(F.col("diff_pct"), F.col("tolerance")))
+
+
+def drifted(diff_pct: Column, tolerance_: Column) -> Column:
+    """Whether a comparison is flagged: the difference is unknown or beyond the tolerance."""
+    return diff_pct.isNull() | (diff_pct > tolerance_)
 
 
 def drift_issue(diff_pct: Column, tolerance_: Column, region: Column) -> Column:
@@ -123,11 +128,16 @@ def reconcile(reports: DataFrame, verified: DataFrame, slide: str = "slide_idx")
     v = verified.select(F.col(slide).alias("_s"), "diff_pct", "tolerance", "flagged", "worst_region")
     joined = reports.join(v, F.col(slide) == F.col("_s"), "left")
     drift = drift_issue(F.col("diff_pct"), F.col("tolerance"), F.col("worst_region"))
-    kept = F.filter("issues", lambda i: ~i.rlike(OVERRULED))
-    issues = F.when(F.col("_s").isNull(), F.col("issues")).when(F.col("flagged"), F.concat("issues", F.array(drift))).otherwise(kept)
+    issues = reconciled(F.col("issues"), F.col("_s").isNotNull(), F.col("flagged"), drift)
     return joined.withColumn("issues", issues).withColumn("needs_review", F.size("issues") > 0).drop("_s", "worst_region")
 
 
+def reconciled(issues: Column, met: Column, flagged: Column, drift: Column) -> Column:
+    """Issues after a comparison, where there was one: the drift's issue too if it is flagged, else those that it doesn't overrule."""
+    kept = F.filter(issues, lambda i: ~i.rlike(OVERRULED))
+    return F.when(~met, issues).when(flagged, F.concat(issues, F.array(drift))).otherwise(kept)
+
+
 def needs_fix(flagged: Column, needs_review: Column, image_slide: Column, failed: Column) -> Column:
     return (F.coalesce(flagged, F.lit(False)) | needs_review) & ~image_slide & ~failed
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import zlib
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from vellum.convert import Job, Options, convert
+from vellum.convert import Job, Options, convert_each
 from vellum.functions.text import pad_left
 from vellum.operators import inpaint, mapping
 from vellum.operators import pixels as px
@@ -479,6 +478,5 @@ picked as (select *, fix and (coalesce(flagged, false) or n > 0) and not image a
 )
 def convert_job(spark, sf_dir):
     """A whole job with each set of options."""
-    job = job_tables(spark, sf_dir)
-    out = [convert(job, o).select(F.lit(m).alias("mode"), "slide_idx", "kind", "coverage_pct", F.size("issues").alias("n_issues"), "needs_review", "failed", "auto_fixed", "diff_pct", "tolerance", "flagged") for m, o in MODES.items()]
-    return functools.reduce(lambda a, b: a.unionByName(b), out)
+    out = convert_each(job_tables(spark, sf_dir), MODES)
+    return out.select("mode", "slide_idx", "kind", "coverage_pct", F.size("issues").alias("n_issues"), "needs_review", "failed", "auto_fixed", "diff_pct", "tolerance", "flagged")
