@@ -307,8 +307,9 @@ def colour_codes(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def ranked_colours(picture: np.ndarray, codes: np.ndarray, sizes: np.ndarray, area: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each picture's codes the most frequent ones that cover enough of its area, ties by colour: pictures and colours."""
-    keys, at = np.unique(picture * 512 + codes, return_inverse=True)
-    n = np.bincount(at, sizes, len(keys)).astype(int)
+    counts = np.bincount(picture * 512 + codes, sizes)
+    keys = np.flatnonzero(counts)
+    n = counts[keys].astype(int)
     order = np.lexsort([keys, -n, keys >> 9])
     keys, n = keys[order], n[order]
     place = np.arange(len(keys)) - np.searchsorted(keys >> 9, keys >> 9)
